@@ -7,10 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from drayage.session import materialise
-
-# monotonically_increasing_id() is (partition << 33) + position in partition.
-POSITION_BITS = 33
+from drayage.operators.ordering import PART, POSITION, in_order
 
 
 def surrogate_key(
@@ -21,31 +18,17 @@ def surrogate_key(
 ) -> DataFrame:
     """Number rows ``start_at``, ``start_at + 1``, … in ``order_by`` order.
 
-    One range shuffle puts the rows in order and spreads them, also where a
-    third of them share an order value: a row sequence breaks ties, so rows
-    equal in ``order_by`` may be numbered either way. Each row is written with
-    its partition and position; the counts per partition, a list as long as
-    the number of shuffle partitions, give the offset of each partition.
+    Rows equal in ``order_by`` may be numbered either way. The key of a row is
+    the rows in earlier partitions plus its position; the counts per partition
+    are as many as there are shuffle partitions.
     """
-    order = [F.col(o) if isinstance(o, str) else o for o in order_by]
     columns = df.columns
-    order.append(F.col("_seq"))
-    sequenced = df.withColumn("_seq", F.monotonically_increasing_id())
-    ordered = sequenced.repartitionByRange(*order).sortWithinPartitions(*order)
-    row_id = F.monotonically_increasing_id()
-    numbered = ordered.select(
-        *[f"`{c}`" for c in columns],
-        F.shiftright(row_id, POSITION_BITS).alias("_part"),
-        row_id.bitwiseAND(F.lit((1 << POSITION_BITS) - 1)).alias("_pos"),
-    )
-    written = materialise(numbered, "surrogate-key")
+    written = in_order(df, order_by, "surrogate-key")
     offsets, total = [], start_at
-    for row in written.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).orderBy("_part").collect():
-        offsets.append((row["_part"], total))
+    for row in written.groupBy(PART).agg(F.count(F.lit(1)).alias("n")).orderBy(PART).collect():
+        offsets.append((row[PART], total))
         total += row["n"]
-    spark = df.sparkSession
-    starts = F.broadcast(spark.createDataFrame(offsets, "_part long, _start long"))
-    return written.join(starts, "_part").select(
-        *[f"`{c}`" for c in columns], (F.col("_start") + F.col("_pos")).alias(name)
+    starts = F.broadcast(df.sparkSession.createDataFrame(offsets, f"{PART} long, _start long"))
+    return written.join(starts, PART).select(
+        *[f"`{c}`" for c in columns], (F.col("_start") + F.col(POSITION)).alias(name)
     )
-

@@ -55,7 +55,6 @@ def map_columns(
     Every source column that an expression names counts as mapped.
     """
     by = list(by)
-    spark = source.sparkSession
     if transforms is None:
         fields = [f for f in source.schema.fields if f.name in by]
         empty = source.select(*[f.name for f in fields]).limit(0)

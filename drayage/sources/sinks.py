@@ -113,7 +113,7 @@ def layout(df: DataFrame, kind: str, keys: Sequence[str] = (), partitions: int |
 
 def planned_bytes(df: DataFrame) -> int:
     """Size of ``df`` as Spark's optimizer estimates it, without running it."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def _bytes(text: str) -> int:
