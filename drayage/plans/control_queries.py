@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from drayage.functions.control_catalogue import MANUAL_CONTROLS
 from drayage.operators import controls as c
 from drayage.operators import findings as f
 from drayage.plans.registry import Tables, query
@@ -198,9 +199,7 @@ def control_predicate(t: Tables) -> DataFrame:
     return evaluate(t, c.PREDICATE)
 
 
-@query(
-    "control_children",
-    """
+CHILDREN_SQL = """
     SELECT 'NS-1' AS control_id, CASE WHEN open <> '' THEN 'FAIL' ELSE 'PASS' END AS status,
            CASE WHEN open <> '' THEN 'Medium' ELSE 'Info' END AS severity, 'vnet' || o_orderkey AS resource_name,
            'Microsoft.Network/virtualNetworks' AS resource_type, 'rg' || o_orderkey % 7 AS resource_group,
@@ -212,8 +211,10 @@ def control_predicate(t: Tables) -> DataFrame:
                                lambda x: x IS NOT NULL), ', ') END AS open
         FROM orders
     )
-    """,
-)
+    """
+
+
+@query("control_children", CHILDREN_SQL)
 def control_children(t: Tables) -> DataFrame:
     return evaluate(t, c.CHILDREN)
 
@@ -258,10 +259,8 @@ def control_children_names(t: Tables) -> DataFrame:
     return c.failing_children(subnets, "l_orderkey", "child", "l_returnflag = 'R'")
 
 
-@query(
-    "control_ratio",
-    " UNION ALL ".join(
-        [
+RATIO_SQL = " UNION ALL ".join(
+    [
             subscription(
                 "AM-1",
                 "PASS",
@@ -278,14 +277,16 @@ def control_children_names(t: Tables) -> DataFrame:
                       CASE WHEN pct >= 70 THEN 'Info' WHEN pct >= 50 THEN 'Medium' ELSE 'High' END, 'Subscription',
                       'Subscription', '', 'Secure Score: ' || pct::DECIMAL(10,1) || '%'
                FROM (SELECT min_by((55 + n_nationkey)::DOUBLE, n_nationkey) AS pct FROM nation)""",
-        ]
-    ),
+    ]
 )
+
+
+@query("control_ratio", RATIO_SQL)
 def control_ratio(t: Tables) -> DataFrame:
     return evaluate(t, c.RATIO)
 
 
-ROLES_SQL = """
+ASSIGNED = """
     WITH assigned AS (
         SELECT coalesce(role_name, 'Unknown') AS role_name
         FROM orders LEFT JOIN (
@@ -295,9 +296,8 @@ ROLES_SQL = """
 """
 
 
-@query(
-    "control_roles",
-    ROLES_SQL
+ROLES_SQL = (
+    ASSIGNED
     + """
     SELECT 'PA-1' AS control_id, CASE WHEN owners > 3 THEN 'FAIL' ELSE 'PASS' END AS status,
            CASE WHEN owners > 3 THEN 'High' ELSE 'Info' END AS severity, 'Subscription' AS resource_name,
@@ -306,15 +306,16 @@ ROLES_SQL = """
     UNION ALL
     SELECT 'PA-7', 'MANUAL_REVIEW', 'Medium', 'Subscription', 'Subscription', '',
            'Total role assignments: ' || count(*) FROM assigned
-    """,
+    """
 )
+
+
+@query("control_roles", ROLES_SQL)
 def control_roles(t: Tables) -> DataFrame:
     return evaluate(t, c.ROLES)
 
 
-@query(
-    "control_named",
-    """
+NAMED_SQL = """
     SELECT 'ES-2' AS control_id,
            CASE WHEN c_custkey % 6 = 0 THEN 'MANUAL_REVIEW' WHEN c_custkey % 5 = 0 THEN 'PASS' ELSE 'FAIL' END AS status,
            CASE WHEN c_custkey % 6 = 0 THEN 'High' WHEN c_custkey % 5 = 0 THEN 'Info' ELSE 'High' END AS severity,
@@ -330,8 +331,10 @@ def control_roles(t: Tables) -> DataFrame:
            'Defender for Servers: ' || CASE WHEN standard THEN 'Standard' ELSE other END
     FROM (SELECT min_by(p_size % 2 = 0, p_partkey) AS standard FROM part WHERE p_partkey % 4 = 0)
     CROSS JOIN (VALUES ('PV-5', 'Not enabled'), ('ES-1', 'Not Standard')) v(control, other)
-    """,
-)
+"""
+
+
+@query("control_named", NAMED_SQL)
 def control_named(t: Tables) -> DataFrame:
     return evaluate(t, c.NAMED)
 
@@ -351,9 +354,23 @@ def control_manual(t: Tables) -> DataFrame:
     return evaluate(t, rules).groupBy("status").agg(F.count(F.lit(1)).alias("finding_count"))
 
 
-@query("evaluate_all_controls")
+def manual_sql() -> str:
+    rows = ", ".join(f"('{control_id}')" for control_id in MANUAL_CONTROLS)
+    return (
+        "SELECT control_id, 'MANUAL_REVIEW', 'Medium', 'Organization', 'Organization', '', 'Requires review' "
+        f"FROM (VALUES {rows}) v(control_id)"
+    )
+
+
+@query(
+    "evaluate_all_controls",
+    " UNION ALL ".join(
+        f"SELECT * FROM ({sql})"
+        for sql in (EXISTENCE_SQL, PREDICATE_SQL, CHILDREN_SQL, RATIO_SQL, ROLES_SQL, NAMED_SQL, manual_sql())
+    ),
+)
 def evaluate_all_controls(t: Tables) -> DataFrame:
-    return c.evaluate_controls(t.spark, inventories(t), c.ALL, AS_OF)
+    return evaluate(t, c.ALL)
 
 
 def order_findings(t: Tables) -> DataFrame:
