@@ -36,8 +36,30 @@ def text_cells(df: DataFrame, columns: Sequence[str]) -> list[Column]:
     return [canonical_text(F.col(f"`{c}`"), df.schema[c].dataType).alias(c) for c in columns]
 
 
+def raw_cells(df: DataFrame, columns: Sequence[str]) -> list[Column]:
+    """``columns`` as they are, maps and the like as text, ready to hash.
+
+    Equal values of one type have equal text, so a hash of raw cells can stand
+    in for a hash of text cells where both sides have the same type.
+    """
+    return [raw_cell(c, df.schema[c].dataType) for c in columns]
+
+
+def raw_cell(column: str, data_type: T.DataType) -> Column:
+    value = F.col(f"`{column}`")
+    return value if is_hashable(data_type) else canonical_text(value, data_type)
+
+
+def is_hashable(data_type: T.DataType) -> bool:
+    if isinstance(data_type, T.ArrayType):
+        return is_hashable(data_type.elementType)
+    if isinstance(data_type, T.StructType):
+        return all(is_hashable(f.dataType) for f in data_type.fields)
+    return not isinstance(data_type, (T.MapType, T.VariantType))
+
+
 def row_hash(cells: Sequence[Column]) -> Column:
-    """64-bit hash of a row of text cells.
+    """64-bit hash of a row of cells.
 
     The null pattern is hashed with the values: a plain ``xxhash64`` skips
     NULLs, so (NULL, 'a') and ('a', NULL) would look alike.

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from drayage.functions.canonical import row_hash, text_cells
+from drayage.functions.canonical import raw_cells, row_hash
 from drayage.operators.keys import surrogate_key
 
 Expr = Column | str
@@ -32,7 +32,7 @@ def key_pairs(on: KeyPairs) -> list[tuple[str, str]]:
 def total_order(df: DataFrame, order_by: Sequence[Expr]) -> list[Column]:
     """``order_by`` made total: rows that still tie are equal in every column."""
     order = [F.col(o) if isinstance(o, str) else o for o in order_by]
-    return [*order, row_hash(text_cells(df, df.columns))]
+    return [*order, row_hash(raw_cells(df, df.columns))]
 
 
 def filter_rows(df: DataFrame, condition: Expr) -> DataFrame:
@@ -117,9 +117,14 @@ def lookup_first(
 
 
 def exists(df: DataFrame, other: DataFrame, on: KeyPairs, negate: bool = False) -> DataFrame:
-    """Rows of ``df`` with a match in ``other``, or without one if ``negate``."""
+    """Rows of ``df`` with a match in ``other``, or without one if ``negate``.
+
+    The other side is reduced to its distinct keys, which costs no shuffle of
+    its own and keeps a key with many rows there from filling one task.
+    """
     pairs = key_pairs(on)
     keys = other.select(*[F.col(r).alias(f"_key{i}") for i, (_, r) in enumerate(pairs)])
+    keys = keys.distinct()
     condition = F.lit(True)
     for i, (left_key, _) in enumerate(pairs):
         condition = condition & (df[left_key] == keys[f"_key{i}"])

@@ -11,7 +11,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from drayage.functions.canonical import row_hash, text_cells
+from drayage.functions.canonical import raw_cells, row_hash
 from drayage.operators.dataflow import first_per_key
 from drayage.operators.ordering import PART, POSITION, in_order, neighbour
 from drayage.session import materialise
@@ -70,7 +70,7 @@ def scd2_history(
     versions = changes.select(
         *keys, *tracked, F.col(effective).alias("valid_from"), F.col(sequence).alias("_sequence")
     )
-    versions = versions.withColumn("_hash", row_hash(text_cells(versions, tracked)))
+    versions = versions.withColumn("_hash", row_hash(raw_cells(versions, tracked)))
     ordered = in_order(versions, [*keys, "valid_from", "_sequence"], "scd2")
     compared = neighbour(ordered, keys, {"_hash": "_before"}, previous=True, found="_has_before")
     opened = compared.filter(~F.col("_has_before") | (F.col("_hash") != F.col("_before")))
@@ -83,7 +83,7 @@ def scd2_history(
 
 def _last_changes(target: DataFrame, changes: DataFrame, keys: Sequence[str], sequence: str, action: str) -> DataFrame:
     """The last change per key with ``_present``: whether the target has it."""
-    last = first_per_key(changes, keys, [F.desc(sequence)])
+    last = materialise(first_per_key(changes, keys, [F.desc(sequence)]), "merge-changes")
     present = target.select(*keys).join(last.select(*keys), list(keys), "left_semi").distinct()
     return last.join(present.withColumn("_present", F.lit(True)), list(keys), "left").withColumn(
         "_applies",

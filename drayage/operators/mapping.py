@@ -100,7 +100,7 @@ def map_columns(
         nothing.alias("target_type"),
         "expression",
     )
-    left_over = t.join(s.select(*keys), keys, "left_anti").join(made, keys, "left_anti")
+    left_over = t.join(s.select(*keys).distinct(), keys, "left_anti").join(made, keys, "left_anti")
     from_target = left_over.select(
         *by,
         F.lit("unmapped_target").alias("kind"),

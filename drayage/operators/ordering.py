@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from drayage.session import materialise
+from drayage.session import materialise, partitions_for
 
 # monotonically_increasing_id() is (partition << 33) + position in partition.
 POSITION_BITS = 33
@@ -31,7 +31,9 @@ def in_order(df: DataFrame, order_by: Sequence[Column | str], label: str) -> Dat
     columns = df.columns
     order = [F.col(o) if isinstance(o, str) else o for o in order_by] + [F.col("_seq")]
     sequenced = df.withColumn("_seq", F.monotonically_increasing_id())
-    ordered = sequenced.repartitionByRange(*order).sortWithinPartitions(*order)
+    wanted = partitions_for(df)
+    spread = sequenced.repartitionByRange(wanted, *order) if wanted else sequenced.repartitionByRange(*order)
+    ordered = spread.sortWithinPartitions(*order)
     row_id = F.monotonically_increasing_id()
     numbered = ordered.select(
         *[f"`{c}`" for c in columns],
@@ -52,6 +54,9 @@ def neighbour(
     """
     wanted = list(dict.fromkeys([*keys, *columns]))
     row = F.struct(*wanted)
+    parts = partitions_for(ordered)
+    if parts:
+        ordered = ordered.repartition(parts, PART)
     window = W.partitionBy(PART).orderBy(POSITION)
     inside = F.lag(row).over(window) if previous else F.lead(row).over(window)
     # One row per partition: its last (or first) row, keyed by the partition

@@ -99,7 +99,7 @@ def orphan_keys(child: DataFrame, parent: DataFrame, fk: str, pk: str) -> DataFr
     """
     used = child.filter(F.col(fk).isNotNull()).groupBy(F.col(fk).alias("orphan_key"))
     used = used.agg(F.count(F.lit(1)).alias("row_count"))
-    return used.join(parent.select(F.col(pk).alias("orphan_key")), "orphan_key", "left_anti")
+    return used.join(parent.select(F.col(pk).alias("orphan_key")).distinct(), "orphan_key", "left_anti")
 
 
 def fk_coverage(tables: Mapping[str, DataFrame], edges: Sequence[Edge]) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from drayage.functions.canonical import canonical_text, row_hash
+from drayage.functions.canonical import canonical_text, is_hashable, raw_cell, row_hash
 from drayage.session import materialise
 
 
@@ -120,13 +120,22 @@ def reconcile(
     """Compare two tables on typed key columns, NULL keys being equal.
 
     ``columns`` defaults to the source's columns without the keys. Two rows
-    are taken as equal when their 64-bit hashes agree.
+    are taken as equal when their 64-bit hashes agree. Columns of one type on
+    both sides are hashed as they are, the others as text.
     """
     compared = [c for c in (columns or source.columns) if c not in keys]
+    source_types = {f.name: f.dataType for f in source.schema.fields}
+    target_types = {f.name: f.dataType for f in target.schema.fields}
 
     def side(df: DataFrame, is_source: bool) -> DataFrame:
+        cells = [
+            raw_cell(c, source_types[c])
+            if c in source_types and source_types[c] == target_types.get(c) and is_hashable(source_types[c])
+            else text
+            for c, text in zip(compared, compared_cells(df, compared))
+        ]
         # Wide decimals, so that no number of rows can overflow the sum.
-        hashed = row_hash(compared_cells(df, compared)).cast(T.DecimalType(28, 0))
+        hashed = row_hash(cells).cast(T.DecimalType(28, 0))
         return df.select(
             *keys,
             F.lit(int(is_source)).cast("long").alias("_s"),
@@ -148,7 +157,7 @@ def reconcile(
 
 def key_difference(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keys of ``left`` that ``right`` lacks, once each, NULL keys being equal."""
-    other = right.select(*[F.col(k).alias(f"_{k}") for k in keys])
+    other = right.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
     condition = F.lit(True)
     for k in keys:
         condition = condition & left[k].eqNullSafe(other[f"_{k}"])

@@ -273,37 +273,41 @@ def listed_match(name: Column, listed: Sequence[str]) -> Column:
     return F.coalesce(known, exact, part, name)
 
 
-def _pieces(text: Column) -> Column:
-    """All different substrings of a short text."""
-    starts = F.sequence(F.lit(1), F.length(text))
+def _pieces(text: Column, lengths: Sequence[int]) -> Column:
+    """The different substrings of the given lengths."""
+    fitting = F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length(text))
     pieces = F.transform(
-        starts,
-        lambda i: F.transform(
-            F.sequence(F.lit(1), F.length(text) - i + 1), lambda n: F.substring(text, i, n)
-        ),
+        fitting,
+        lambda n: F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, n)),
     )
     return F.array_distinct(F.flatten(pieces))
 
 
+def _lengths(df: DataFrame, column: str) -> list[int]:
+    """The different lengths of a text column: no more than its longest text."""
+    rows = df.select(F.length(column).alias("n")).filter("n > 0").distinct().collect()
+    return sorted(r["n"] for r in rows)
+
+
 def fuzzy_match(names: DataFrame, name: str, candidates: DataFrame, candidate: str, order: str) -> DataFrame:
     """Add ``match`` to ``names``: the best candidate of a table, else the name.
 
     Ranked as :func:`listed_match`, first in ``order``. "Contains" is an equal
-    join on the substrings of both sides, so no name meets every candidate.
-    Names are matched once each, however many rows share them; they are
-    expected to be short, as substrings grow with the square of the length.
+    join on substrings, cut to the lengths that occur on the other side, so no
+    name meets every candidate. Names are matched once each, however many rows
+    share them.
     """
     wanted = names.select(F.col(name).alias("_name")).distinct().withColumn("_folded", folded_name(F.col("_name")))
-    listed = candidates.select(
-        F.col(candidate).alias("match"), F.col(order).alias("_order"), F.lower(candidate).alias("_lower")
-    ).withColumn("_same", folded_name(F.col("match")))
+    listed = candidates.groupBy(F.col(candidate).alias("match")).agg(F.min(order).alias("_order"))
+    listed = listed.withColumns({"_lower": F.lower("match"), "_same": folded_name(F.col("match"))})
+    inner, outer = _lengths(listed, "_lower"), _lengths(wanted, "_folded")
     has_text = wanted.filter("_folded <> ''")
     best = None
     pairs = [
         (0, wanted.withColumn("_key", F.col("_name")), listed.withColumn("_key", F.col("match"))),
         (1, wanted.withColumn("_key", F.col("_folded")), listed.withColumn("_key", F.col("_same"))),
-        (2, has_text.withColumn("_key", F.explode(_pieces(F.col("_folded")))), listed.withColumn("_key", F.col("_lower"))),
-        (2, has_text.withColumn("_key", F.col("_folded")), listed.withColumn("_key", F.explode(_pieces(F.col("_lower"))))),
+        (2, has_text.withColumn("_key", F.explode(_pieces(F.col("_folded"), inner))), listed.withColumn("_key", F.col("_lower"))),
+        (2, has_text.withColumn("_key", F.col("_folded")), listed.withColumn("_key", F.explode(_pieces(F.col("_lower"), outer)))),
     ]
     for rank, left, right in pairs:
         # Keep the first candidate per key before joining: one row per key.

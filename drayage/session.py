@@ -25,6 +25,7 @@ _local_root: str | None = None
 def build_session(app: str = "drayage", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings above; ``conf`` uses ``__`` for dots."""
     builder = SparkSession.builder.appName(app).config("spark.ui.enabled", "false")
+    builder = builder.config("spark.ui.showConsoleProgress", "false")
     if master:
         builder = builder.master(master)
     for key, value in RUNTIME_CONF.items():
@@ -58,6 +59,22 @@ def shared_root(spark: SparkSession) -> str:
     return _local_root
 
 
+def planned_bytes(df: DataFrame) -> int:
+    """Size of ``df`` as Spark's optimizer estimates it, without running it."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+# A sorted partition of this size fits the memory of a task many times over.
+PARTITION_BYTES = 256 << 20
+
+
+def partitions_for(df: DataFrame) -> int | None:
+    """Partitions for a shuffle of ``df`` if the session's number is too small."""
+    needed = -(-planned_bytes(df) // PARTITION_BYTES)
+    default = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return needed if needed > default else None
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new path below the shared folder; never one that is in use."""
     return f"{shared_root(spark)}/drayage/{label}-{uuid.uuid4().hex}"

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from drayage.session import scratch_path
+from drayage.session import planned_bytes, scratch_path
 
 
 def append(df: DataFrame, path: str, format: str = "parquet", **options: str) -> None:
@@ -111,11 +111,6 @@ def layout(df: DataFrame, kind: str, keys: Sequence[str] = (), partitions: int |
     raise ValueError(f"unknown layout {kind!r}")
 
 
-def planned_bytes(df: DataFrame) -> int:
-    """Size of ``df`` as Spark's optimizer estimates it, without running it."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-
-
 def _bytes(text: str) -> int:
     units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
     text = text.strip().lower().removesuffix("b")
