@@ -246,3 +246,10 @@ _define(
     else F.count_distinct(_col(column)),
     "number of different values",
 )
+
+
+def _surrogate_key() -> Column:
+    raise TypeError("a key needs all rows: use drayage.operators.keys.surrogate_key")
+
+
+_define("surrogate_key", "key", ADF, _surrogate_key, "a dense number per row, as a dataflow step")

@@ -83,57 +83,78 @@ class Rules:
     manual: Mapping[str, tuple[str, str]] = field(default_factory=dict)
 
 
-def resource_group(resource_id: Column) -> Column:
-    """The fifth part of a resource path; empty if the path is shorter."""
-    parts = F.split(resource_id, "/")
-    return F.coalesce(F.get(parts, 4), F.lit(""))
-
-
-def _finding(control_id: str, expected: str, name: Column, kind: str, group: Column, outcome: Outcome) -> Column:
-    title = cat.TITLES.get(control_id, control_id)
-    current = F.expr(outcome.current)
-    return F.struct(
-        F.lit(control_id).alias("control_id"),
-        F.lit(title).alias("title"),
-        F.lit(outcome.status).alias("status"),
-        F.lit(outcome.severity).alias("severity"),
-        name.cast("string").alias("resource_name"),
-        F.lit(kind).alias("resource_type"),
-        group.alias("resource_group"),
-        current.cast("string").alias("current_value"),
-        F.lit(expected).alias("expected_value"),
-        F.concat(F.lit(f"{title}: "), current).alias("finding"),
-        F.lit(outcome.advice).alias("recommendation"),
-        F.lit(f"{control_id} expects: {expected}").alias("rationale"),
-    )
+# The fifth part of the resource path ``id``; empty if the path is shorter.
+RESOURCE_GROUP = "coalesce(get(split(id, '/'), 4), '')"
+
+
+# What a scan emits per finding; everything else depends on the case alone.
+HIT_COLUMNS = "case_id int, resource_name string, resource_group string, current_value string"
+
+
+class _Cases:
+    """Numbers the cases of all rules, and holds what is fixed for each."""
+
+    def __init__(self) -> None:
+        self.rows: list[tuple] = []
+
+    def add(
+        self, control_id: str, title: str, kind: str, expected: str, outcome: Outcome, rationale: str | None = None
+    ) -> int:
+        self.rows.append(
+            (
+                len(self.rows),
+                control_id,
+                title,
+                outcome.status,
+                outcome.severity,
+                kind,
+                expected,
+                outcome.advice,
+                rationale or f"{control_id} expects: {expected}",
+            )
+        )
+        return len(self.rows) - 1
 
+    def complete(self, hits: DataFrame) -> DataFrame:
+        """``hits`` with the fixed columns of their case.
 
-def _first_case(cases: Sequence[tuple[str, Outcome]], build) -> Column:
-    chain = None
-    for condition, outcome in cases:
-        test = F.expr(condition)
-        chain = F.when(test, build(outcome)) if chain is None else chain.when(test, build(outcome))
-    return chain
+        The joined table has one row per case of the rules, whatever the data.
+        """
+        schema = (
+            "case_id int, control_id string, title string, status string, severity string, resource_type string, "
+            "expected_value string, recommendation string, rationale string"
+        )
+        cases = F.broadcast(hits.sparkSession.createDataFrame(self.rows, schema))
+        joined = hits.join(cases, "case_id")
+        return joined.withColumn("finding", F.concat("title", F.lit(": "), "current_value")).select(*FINDING_COLUMNS)
 
 
-def row_findings(df: DataFrame, rules: Sequence[RowRule]) -> DataFrame:
-    """Findings of all row rules of one table, in one scan."""
-    group = resource_group(F.col("id"))
-    found = [
-        _first_case(
-            r.cases,
-            lambda o, r=r: _finding(
-                r.control_id, r.expected, F.col("name"), r.resource_type, group if r.grouped else F.lit(""), o
-            ),
-        )
-        for r in rules
-    ]
-    hits = F.filter(F.array(*found), lambda x: x.isNotNull())
-    return df.select(F.explode(hits).alias("f")).select("f.*")
+def _hit(cases: _Cases, control_id: str, kind: str, expected: str, choices: Sequence[tuple[str, Outcome]]) -> str:
+    """SQL for the case that holds first and its observed value, or NULL."""
+    title = cat.TITLES.get(control_id, control_id)
+    branches = []
+    for condition, outcome in choices:
+        case_id = cases.add(control_id, title, kind, expected, outcome)
+        value = f"named_struct('case_id', {case_id}, 'current_value', cast({outcome.current} AS string))"
+        branches.append(f"WHEN {condition} THEN {value}")
+    return f"CASE {' '.join(branches)} END"
+
+
+def _row_hits(cases: _Cases, df: DataFrame, rules: Sequence[RowRule]) -> DataFrame:
+    """Hits of all row rules of one table, in one scan."""
+    found = [_hit(cases, r.control_id, r.resource_type, r.expected, r.cases) for r in rules]
+    grouped = ", ".join(str(r.grouped).lower() for r in rules)
+    hits = df.selectExpr("id", "name", f"posexplode(array({', '.join(found)})) AS (_rule, _hit)")
+    return hits.filter("_hit IS NOT NULL").selectExpr(
+        "_hit.case_id",
+        "cast(name AS string) AS resource_name",
+        f"if(array({grouped})[_rule], {RESOURCE_GROUP}, '') AS resource_group",
+        "_hit.current_value",
+    )
 
 
-def table_findings(df: DataFrame, rules: Sequence[TableRule]) -> DataFrame:
-    """Findings of all table rules of one table, from one aggregate.
+def _table_hits(cases: _Cases, df: DataFrame, rules: Sequence[TableRule]) -> DataFrame:
+    """Hits of all table rules of one table, from one aggregate.
 
     Rules may share measures; a measure name must mean the same in all of them.
     """
@@ -143,43 +164,29 @@ def table_findings(df: DataFrame, rules: Sequence[TableRule]) -> DataFrame:
             if measures.setdefault(name, text) != text:
                 raise ValueError(f"measure {name!r} of {r.table} has two meanings")
     measured = df.agg(*[F.expr(text).alias(name) for name, text in measures.items()])
-    found = [
-        _first_case(
-            r.cases,
-            lambda o, r=r: _finding(r.control_id, r.expected, F.lit(SUBSCRIPTION), SUBSCRIPTION, F.lit(""), o),
-        )
-        for r in rules
-    ]
-    hits = F.filter(F.array(*found), lambda x: x.isNotNull())
-    return measured.select(F.explode(hits).alias("f")).select("f.*")
-
-
-def unreadable_finding(spark: SparkSession, rule: TableRule) -> DataFrame:
-    outcome = Outcome(MANUAL_REVIEW, rule.unreadable, f"'Could not read {rule.table}'", "Review manually")
-    row = _finding(rule.control_id, rule.expected, F.lit(SUBSCRIPTION), SUBSCRIPTION, F.lit(""), outcome)
-    return spark.range(1).select(row.alias("f")).select("f.*")
-
-
-def manual_findings(spark: SparkSession, manual: Mapping[str, tuple[str, str]] = cat.MANUAL_CONTROLS) -> DataFrame:
-    """One MANUAL_REVIEW finding per control that no rule covers."""
-    rows = [
-        (
-            control_id,
-            title,
-            MANUAL_REVIEW,
-            "Medium",
-            "Organization",
-            "Organization",
-            "",
-            "Requires review",
-            guidance,
-            f"{title} - requires review",
-            guidance,
-            "No inventory shows whether this control is met",
-        )
-        for control_id, (title, guidance) in manual.items()
-    ]
-    return spark.createDataFrame(rows, ", ".join(f"{c} string" for c in FINDING_COLUMNS))
+    found = [_hit(cases, r.control_id, SUBSCRIPTION, r.expected, r.cases) for r in rules]
+    hits = measured.selectExpr(f"explode(array({', '.join(found)})) AS _hit").filter("_hit IS NOT NULL")
+    return hits.selectExpr(
+        "_hit.case_id",
+        f"'{SUBSCRIPTION}' AS resource_name",
+        "'' AS resource_group",
+        "_hit.current_value",
+    )
+
+
+def _fixed_hits(cases: _Cases, unreadable: Sequence[TableRule], manual: Mapping[str, tuple[str, str]]) -> list[tuple]:
+    """Hits that need no data: tables that are absent, and manual controls."""
+    rows = []
+    for r in unreadable:
+        outcome = Outcome(MANUAL_REVIEW, r.unreadable, "", "Review manually")
+        case_id = cases.add(r.control_id, cat.TITLES.get(r.control_id, r.control_id), SUBSCRIPTION, r.expected, outcome)
+        rows.append((case_id, SUBSCRIPTION, "", f"Could not read {r.table}"))
+    for control_id, (title, guidance) in manual.items():
+        outcome = Outcome(MANUAL_REVIEW, "Medium", "", guidance)
+        reason = "No inventory shows whether this control is met"
+        case_id = cases.add(control_id, title, "Organization", guidance, outcome, reason)
+        rows.append((case_id, "Organization", "", "Requires review"))
+    return rows
 
 
 def evaluate_controls(
@@ -190,25 +197,28 @@ def evaluate_controls(
     Row rules of an absent table give nothing; table rules give a manual-review
     finding. ``assessed_at`` is the time of the run if not given.
     """
+    cases = _Cases()
     parts: list[DataFrame] = []
+    unreadable: list[TableRule] = []
     for table in dict.fromkeys(r.table for r in rules.rows):
         if table in inventory:
-            parts.append(row_findings(inventory[table], [r for r in rules.rows if r.table == table]))
+            parts.append(_row_hits(cases, inventory[table], [r for r in rules.rows if r.table == table]))
     for table in dict.fromkeys(r.table for r in rules.tables):
         wanted = [r for r in rules.tables if r.table == table]
         if table in inventory:
-            parts.append(table_findings(inventory[table], wanted))
+            parts.append(_table_hits(cases, inventory[table], wanted))
         else:
-            parts += [unreadable_finding(spark, r) for r in wanted if r.unreadable]
-    if rules.manual:
-        parts.append(manual_findings(spark, rules.manual))
+            unreadable += [r for r in wanted if r.unreadable]
+    fixed = _fixed_hits(cases, unreadable, rules.manual)
+    if fixed:
+        parts.append(spark.createDataFrame(fixed, HIT_COLUMNS))
     if not parts:
         raise ValueError("no rule applies to the inventory")
-    out = parts[0]
+    hits = parts[0]
     for part in parts[1:]:
-        out = out.unionAll(part)
+        hits = hits.unionAll(part)
     stamp = F.lit(assessed_at) if assessed_at is not None else F.current_timestamp()
-    return out.withColumn("assessed_at", stamp.cast("timestamp"))
+    return cases.complete(hits).withColumn("assessed_at", stamp.cast("timestamp"))
 
 
 def with_role_names(assignments: DataFrame, definitions: DataFrame) -> DataFrame:
@@ -247,7 +257,8 @@ def child_findings(
         expected,
         [("_bad > 0", Outcome(FAIL, severity, value, "Fix the failing children")), ("true", Outcome(PASS, "Info", value))],
     )
-    return row_findings(joined, [rule])
+    cases = _Cases()
+    return cases.complete(_row_hits(cases, joined, [rule]))
 
 
 def failing_children(children: DataFrame, key: str, name: str, failing: Column | str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from drayage.functions.control_catalogue import DOMAINS, FAIL, MANUAL_REVIEW, PASS
-from drayage.operators.controls import resource_group
+from drayage.operators.controls import RESOURCE_GROUP
 
 OTHER = "other"
 
@@ -90,7 +90,7 @@ def controls_by_domain(catalogue: DataFrame, domain: str = "") -> DataFrame:
 
 def resource_filter(resources: DataFrame, resource_type: str = "", group: str = "") -> DataFrame:
     """Resources by type and group, ignoring case; empty text means all."""
-    out = resources.withColumn("resource_group", resource_group(F.col("id")))
+    out = resources.withColumn("resource_group", F.expr(RESOURCE_GROUP))
     if resource_type:
         out = out.filter(F.lower("type") == resource_type.lower())
     if group:

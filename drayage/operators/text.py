@@ -414,6 +414,7 @@ def missing_uploads(texts: DataFrame, uploads: DataFrame, id_column: str, text:
 _ITEM = r"[ \t]*(?:[-•*][ \t]+)?[^\n]*?\S[ \t]+[-–—][ \t]+\S[^\n]*"
 _SECTION_START = LINES + r"^(?=#{1,4}[ \t]+\S|\*\*[^*\n]+\*\*[ \t]*$)"
 _LIST_RUN = r"(?d)\A[^\n]*\n(?:[ \t]*\n)*+((?:(?!#{1,4}[ \t])" + _ITEM + r"(?:\n|\z)(?:[ \t]*\n(?=" + _ITEM + r"))?)++)"
+_HEADING_LINE = r"(?d)\A(?:#{1,4}\s+[^\n]+|\*\*[^*\n]+\*\*)"
 _ITEM_PARTS = r"^(?:[-•*]\s+)?(.+?)\s+[-–—]\s+(.+)$"
 _COUNT_PARTS = r"(?i)^(?:[-•*]\s+)?(.+?)\s*[-–—]+\s+(\d[\d,]*\s*rows?.*)$"
 
@@ -424,41 +425,47 @@ def list_to_table(df: DataFrame, id_column: str, text: str, min_items: int = 3)
     ``heading, item_no, name, value`` and the column titles. A list needs
     ``min_items`` lines; one blank line may separate two of them.
     """
-    sections = df.select(id_column, F.posexplode(F.split(text, _SECTION_START)).alias("_n", "_part"))
+    sections = df.select(id_column, F.posexplode(F.split(text, _SECTION_START)).alias("section_no", "_part"))
     run = F.regexp_extract("_part", _LIST_RUN, 1)
     lines = F.filter(F.transform(F.split(run, "\n"), strip), lambda x: x != "")
 
     def item(line: Column) -> Column:
-        counted = F.regexp_extract(line, _COUNT_PARTS, 1) != ""
-        pattern = lambda g: F.when(counted, F.regexp_extract(line, _COUNT_PARTS, g)).otherwise(
-            F.regexp_extract(line, _ITEM_PARTS, g)
+        counted = F.regexp_extract(line, _COUNT_PARTS, 1)
+        return F.when(
+            counted != "", F.struct(counted.alias("name"), F.regexp_extract(line, _COUNT_PARTS, 2).alias("value"))
+        ).otherwise(
+            F.struct(
+                F.regexp_extract(line, _ITEM_PARTS, 1).alias("name"), F.regexp_extract(line, _ITEM_PARTS, 2).alias("value")
+            )
         )
-        return F.struct(F.trim(pattern(1)).alias("name"), F.trim(pattern(2)).alias("value"))
-
-    heading = F.regexp_extract("_part", r"(?d)\A(?:#{1,4}\s+([^\n]+)|\*\*([^*\n]+)\*\*)", 0)
-    title = F.trim(F.regexp_replace(heading, r"^#{1,4}\s+|\*\*", ""))
-    found = sections.select(
-        id_column, F.col("_n").alias("section_no"), title.alias("heading"), F.transform(lines, item).alias("_items")
-    ).filter((F.col("heading") != "") & (F.size("_items") >= min_items))
-    counts = F.exists("_items", lambda i: i["value"].rlike(r"(?i)\d+\s*rows?"))
-    titled = found.withColumns(
-        {
-            "name_title": F.when(counts, "Table").otherwise("Name"),
-            "value_title": F.when(counts, "Row Count").otherwise("Details"),
-        }
+
+    heading = F.regexp_extract("_part", _HEADING_LINE, 0)
+    # Exploding an array of one keeps the parsed items from being worked out
+    # again by each later use.
+    parsed = F.array(
+        F.struct(F.when(heading != "", F.transform(lines, item)).alias("items"), heading.alias("heading"))
     )
-    exploded = titled.select(
-        id_column, "section_no", "heading", "name_title", "value_title", F.posexplode("_items").alias("_i", "_item")
+    found = sections.select(id_column, "section_no", F.explode(parsed).alias("_s")).filter(
+        F.size("_s.items") >= min_items
     )
-    return exploded.select(
+    counts = F.exists("_s.items", lambda i: i["value"].rlike(r"(?i)\d+\s*rows?"))
+    titled = found.select(
+        id_column,
+        "section_no",
+        F.trim(F.regexp_replace("_s.heading", r"^#{1,4}\s+|\*\*", "")).alias("heading"),
+        F.when(counts, "Table").otherwise("Name").alias("name_title"),
+        F.when(counts, "Row Count").otherwise("Details").alias("value_title"),
+        F.posexplode("_s.items").alias("_i", "_item"),
+    )
+    return titled.select(
         id_column,
         "section_no",
         "heading",
         "name_title",
         "value_title",
         (F.col("_i") + 1).alias("item_no"),
-        F.col("_item.name").alias("name"),
-        F.col("_item.value").alias("value"),
+        F.trim("_item.name").alias("name"),
+        F.trim("_item.value").alias("value"),
     )
 
 

@@ -26,7 +26,7 @@ def inventories(t: Tables) -> dict[str, DataFrame]:
     There is no ``log_workspaces`` table, and ``ddos_plans`` and
     ``security_contacts`` are empty.
     """
-    suppliers, customers, parts = t.supplier, t.customer, t.part
+    suppliers, customers, parts = t.supplier, t.spread("customer"), t.spread("part")
     return {
         "private_endpoints": suppliers.filter("s_suppkey % 2 = 0"),
         "firewalls": suppliers.filter("s_suppkey % 9 = 0").selectExpr(
@@ -68,7 +68,7 @@ def inventories(t: Tables) -> dict[str, DataFrame]:
             "if(p_size % 2 = 0, 'Standard', 'Free') AS pricing_tier",
             "p_partkey AS ordinal",
         ),
-        "virtual_networks": t.orders.selectExpr(
+        "virtual_networks": t.spread("orders").selectExpr(
             resource_id("o_orderkey"),
             "concat('vnet', o_orderkey) AS name",
             "if(o_orderkey % 10 = 0, NULL, array("

@@ -19,7 +19,7 @@ DOCUMENT = """
 
 
 def documents(t: Tables) -> DataFrame:
-    return t.events.selectExpr("event_id", f"{DOCUMENT} AS doc")
+    return t.spread("events").selectExpr("event_id", f"{DOCUMENT} AS doc")
 
 
 FIELDS = f"""
@@ -102,7 +102,7 @@ LINE_SCHEMA = (
 
 def line_documents(t: Tables) -> DataFrame:
     """A nested document per line item, numbered by all its key columns."""
-    return t.lineitem.selectExpr(
+    return t.spread("lineitem").selectExpr(
         "l_orderkey",
         "l_linenumber",
         "l_partkey",

@@ -64,7 +64,7 @@ def expr_cast(t: Tables) -> DataFrame:
     day = F.expr("if(o_orderkey % 4 > 0, date_format(o_orderdate, 'dd/MM/yyyy'), 'soon')")
     time = F.expr("if(o_orderkey % 4 > 0, date_format(o_orderdate + INTERVAL 90 MINUTES, 'yyyyMMdd HHmmss'), '')")
     flag = F.expr("CASE o_orderkey % 3 WHEN 0 THEN 'maybe' WHEN 1 THEN 'true' ELSE 'no' END")
-    return t.orders.select(
+    return t.spread("orders").select(
         "o_orderkey",
         expr("to_string", column="o_orderkey").alias("as_string"),
         expr("to_integer", column=number).alias("as_int"),
@@ -89,7 +89,7 @@ def expr_cast(t: Tables) -> DataFrame:
 )
 def expr_date(t: Tables) -> DataFrame:
     as_of = F.lit("2002-01-01").cast("date")
-    return t.orders.select(
+    return t.spread("orders").select(
         "o_orderkey",
         expr("year", column="o_orderdate").alias("year"),
         expr("month", column="o_orderdate").alias("month"),
@@ -115,7 +115,7 @@ def expr_date(t: Tables) -> DataFrame:
 def expr_null_cond(t: Tables) -> DataFrame:
     priority = F.expr("nullif(o_orderpriority, '5-LOW')")
     status = F.expr("nullif(o_orderstatus, 'P')")
-    return t.orders.select(
+    return t.spread("orders").select(
         "o_orderkey",
         expr("coalesce", column=priority, default_value="none").alias("filled"),
         expr("iif_null", column=status, replacement=F.col("o_orderpriority")).alias("replaced"),
@@ -153,7 +153,7 @@ def expr_hash(t: Tables) -> DataFrame:
 )
 def expr_math(t: Tables) -> DataFrame:
     price = F.col("o_totalprice").cast("decimal(18,2)")
-    return t.orders.select(
+    return t.spread("orders").select(
         "o_orderkey",
         expr("round", column=price, decimals=1).cast("double").alias("rounded"),
         expr("round", column="o_custkey", decimals=-2).alias("hundreds"),

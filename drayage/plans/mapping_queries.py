@@ -145,7 +145,7 @@ ORDER_CASTS = [
 
 def cast_source(t: Tables) -> DataFrame:
     """Orders as text columns, some of which do not fit their target type."""
-    return t.orders.selectExpr(
+    return t.spread("orders").selectExpr(
         "o_orderkey",
         "substring(o_orderpriority, 1, cast(1 + o_orderkey % 2 AS int)) AS priority_code",
         "o_orderstatus",

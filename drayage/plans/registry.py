@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from drayage.session import tune
+from drayage.session import spread, tune
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -27,12 +27,19 @@ class Tables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder.rstrip("/")
+        self._loaded: dict[str, DataFrame] = {}
 
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}.parquet"
 
+    def spread(self, name: str) -> DataFrame:
+        """A table dealt to all cores, for costly work per row."""
+        return spread(getattr(self, name))
+
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self.path(name))
+        if name not in self._loaded:  # reading looks up the schema in a file
+            self._loaded[name] = self.spark.read.parquet(self.path(name))
+        return self._loaded[name]
 
 
 def query(name: str, sql: str | None = None) -> Callable:

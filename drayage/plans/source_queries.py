@@ -101,7 +101,7 @@ def infer_file_schema(t: Tables) -> DataFrame:
 )
 def document_find(t: Tables) -> DataFrame:
     wanted = {"$or": [{"k": {"$gte": 50, "$lt": 60}}, {"k": {"$in": [1, 2, 3]}}], "missing": {"$exists": False}}
-    return find(t.events.select("event_id", "props"), "props", wanted)
+    return find(t.spread("events").select("event_id", "props"), "props", wanted)
 
 
 @query(

@@ -55,7 +55,7 @@ AGENT = "CASE WHEN doc_id % 7 = 0 THEN 'DataQualityAgent' ELSE source END"
 
 
 def reports(t: Tables) -> DataFrame:
-    return t.documents.selectExpr("doc_id", f"{AGENT} AS agent", f"{REPORT} AS report")
+    return t.spread("documents").selectExpr("doc_id", f"{AGENT} AS agent", f"{REPORT} AS report")
 
 
 REPORTS = f"WITH reports AS (SELECT doc_id, {AGENT} AS agent, {REPORT} AS report FROM documents)"
@@ -215,7 +215,7 @@ def attribute(patterns: list[tuple[str, int]]) -> str:
     """,
 )
 def attribute_extract(t: Tables) -> DataFrame:
-    texts = t.documents.selectExpr("doc_id", f"{INFRASTRUCTURE} AS report")
+    texts = t.spread("documents").selectExpr("doc_id", f"{INFRASTRUCTURE} AS report")
     return x.attribute_extract(texts, "report").drop("report")
 
 
@@ -255,7 +255,7 @@ AGENTS = ["DiscoveryAgent", "MappingAgent", "QualityAgent"]
     """,
 )
 def plan_steps_extract(t: Tables) -> DataFrame:
-    texts = t.orders.selectExpr("o_orderkey", f"{PLAN_TEXT} AS plan_text")
+    texts = t.spread("orders").selectExpr("o_orderkey", f"{PLAN_TEXT} AS plan_text")
     steps = x.plan_steps_extract(texts, "o_orderkey", "plan_text", AGENTS)
     return steps.withColumn("dependencies", F.array_join("dependencies", ","))
 
@@ -307,7 +307,7 @@ UPLOADS = """
     """,
 )
 def upload_refs(t: Tables) -> DataFrame:
-    return x.upload_refs(t.documents.selectExpr("doc_id", f"{UPLOADS} AS report"), "doc_id", "report")
+    return x.upload_refs(t.spread("documents").selectExpr("doc_id", f"{UPLOADS} AS report"), "doc_id", "report")
 
 
 def upload_record(key: str) -> str:
@@ -324,13 +324,13 @@ def upload_record(key: str) -> str:
 )
 def missing_uploads(t: Tables) -> DataFrame:
     """Two records per document, the first one twice; even texts show it."""
-    texts = t.documents.selectExpr(
+    texts = t.spread("documents").selectExpr(
         "doc_id", f"text || if(doc_id % 2 = 0, {upload_record('(doc_id % 4)')}, '') AS report"
     )
     records = [(upload_record("(doc_id % 4)"), 1), (upload_record("(doc_id % 4)"), 2), (upload_record("doc_id"), 3)]
     uploads = None
     for raw, seq in records:
-        part = t.documents.selectExpr("doc_id", f"{raw} AS raw", f"{seq} AS seq")
+        part = t.spread("documents").selectExpr("doc_id", f"{raw} AS raw", f"{seq} AS seq")
         uploads = part if uploads is None else uploads.unionAll(part)
     return x.missing_uploads(texts, uploads, "doc_id", "report", "raw", "seq")
 
@@ -379,7 +379,7 @@ Only words here
     """,
 )
 def list_to_table(t: Tables) -> DataFrame:
-    return x.list_to_table(t.orders.selectExpr("o_orderkey", f"{LISTS} AS report"), "o_orderkey", "report")
+    return x.list_to_table(t.spread("orders").selectExpr("o_orderkey", f"{LISTS} AS report"), "o_orderkey", "report")
 
 
 KEY = """
@@ -407,7 +407,7 @@ VALUE = """
     """,
 )
 def status_normalize(t: Tables) -> DataFrame:
-    pairs = t.events.selectExpr("event_id", f"{KEY} AS key", f"{VALUE} AS value")
+    pairs = t.spread("events").selectExpr("event_id", f"{KEY} AS key", f"{VALUE} AS value")
     return pairs.select("event_id", x.status_normalize(F.col("key"), F.col("value")).alias("status_type"))
 
 
@@ -421,5 +421,5 @@ def status_normalize(t: Tables) -> DataFrame:
 )
 def humanise_keys(t: Tables) -> DataFrame:
     key = "CASE event_id % 3 WHEN 0 THEN 'total_size_mb_' || event_type WHEN 1 THEN 'resourceId-sql' ELSE 'skuNameUrl' END"
-    keys = t.events.selectExpr("event_id", f"{key} AS key")
+    keys = t.spread("events").selectExpr("event_id", f"{key} AS key")
     return keys.select("event_id", x.humanise_key(F.col("key")).alias("label"))

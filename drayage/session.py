@@ -60,10 +60,18 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def planned_bytes(df: DataFrame) -> int:
-    """Size of ``df`` as Spark's optimizer estimates it, without running it."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    """Size of the tables ``df`` reads, after pruning, as Spark's planner sees it.
+
+    The sum over the scans, not the plan's own estimate: that takes a join for
+    the product of its sides.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
 
 
+# The size up to which Spark reads files in one task.
+SPLIT_BYTES = 128 << 20
+
 # A sorted partition of this size fits the memory of a task many times over.
 PARTITION_BYTES = 256 << 20
 
@@ -75,6 +83,16 @@ def partitions_for(df: DataFrame) -> int | None:
     return needed if needed > default else None
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows to all cores where the input is too small to be split that far.
+
+    For costly work per row; a large input has splits enough and is left as it
+    is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if planned_bytes(df) < cores * SPLIT_BYTES else df
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new path below the shared folder; never one that is in use."""
     return f"{shared_root(spark)}/drayage/{label}-{uuid.uuid4().hex}"
