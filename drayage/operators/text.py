@@ -58,7 +58,9 @@ DEPLOYMENT_ATTRIBUTES: dict[str, list[tuple[str, int]]] = {
 }
 
 # A numbered plan step and a fenced JSON block.
-PLAN_STEP = r"(\d+)\.\s*\[([^\]]+)\]\s*(.+?)(?:\(depends?\s*on:?\s*([\d,\s]+)\))?\s*$"
+PLAN_STEP = (
+    r"(?<!\d)(\d++)\.\s*\[([^\]\n]+)\]\s*(\S(?:[^\n]*?\S)?)[ \t\r]*+(?:\(depends?\s*on:?\s*([\d,\s]+)\))?[ \t\r]*+$"
+)
 FENCED_JSON = r"(?s)```(?:json)?\s*(\{.*?\})\s*```"
 PLAN_JSON = (
     "task string, steps array<struct<step_number: int, agent: string, task: string, description: string, "
@@ -66,7 +68,7 @@ PLAN_JSON = (
 )
 
 # An upload record inside a text.
-UPLOAD = r'\{[^{}]*"(?:status|container|blob)"[^{}]*\}'
+UPLOAD = r'\{(?=[^{}]*+\})[^{}]*"(?:status|container|blob)"[^{}]*+\}'
 UPLOAD_STATUSES = ("uploaded", "success")
 
 # Keys and values that mean a status.
@@ -118,7 +120,10 @@ def report_classify(df: DataFrame, text: str, name: str) -> DataFrame:
 
 # Consecutive lines that start with a bar. Possessive, so each line is read once.
 TABLE_BLOCK = LINES + r"(?:^[ \t]*+\|[^\n]*+(?:\n|\z))++"
-SEPARATOR = r"^\|[\s:|-]*-[\s:|-]*\|$"
+
+
+def _is_separator(line: Column) -> Column:
+    return line.rlike(r"^\|[\s:|-]*\|$") & F.contains(line, F.lit("-"))
 
 
 def _table_blocks(text: Column | str) -> Column:
@@ -133,8 +138,8 @@ def _parsed_block(lines: Column) -> Column:
     The line before the separator is the header; a block without one, or with
     nothing before it, has none.
     """
-    at = F.array_position(F.transform(lines, lambda x: x.rlike(SEPARATOR)), True)
-    data = F.filter(F.slice(lines, at.cast("int") + 1, F.size(lines)), lambda x: ~x.rlike(SEPARATOR))
+    at = F.array_position(F.transform(lines, _is_separator), True)
+    data = F.filter(F.slice(lines, at.cast("int") + 1, F.size(lines)), lambda x: ~_is_separator(x))
     return F.when(
         at > 1, F.struct(F.get(lines, at.cast("int") - 2).alias("header"), data.alias("data"))
     )
@@ -170,12 +175,15 @@ def markdown_table_rows(df: DataFrame, id_column: str, text: str) -> DataFrame:
     cells past the last header have no column and are dropped.
     """
     tables = df.select(id_column, F.posexplode(markdown_tables(text)).alias("_t", "_table"))
-    rows = tables.select(
+    # Cut the table up before the lines are exploded: a line must carry the
+    # header, not the whole table.
+    cut = tables.select(
         id_column,
         (F.col("_t") + 1).alias("table_no"),
         _cells(F.col("_table.header")).alias("_header"),
-        F.posexplode("_table.data").alias("_r", "_line"),
+        F.col("_table.data").alias("_lines"),
     )
+    rows = cut.select(id_column, "table_no", "_header", F.posexplode("_lines").alias("_r", "_line"))
     cells = rows.select(
         id_column,
         "table_no",
@@ -397,7 +405,8 @@ def missing_uploads(texts: DataFrame, uploads: DataFrame, id_column: str, text:
     ``uploads`` holds the id, the record as JSON text and its order. Records
     that are no JSON objects are left out.
     """
-    parsed = uploads.withColumn("_r", F.from_json(raw, "container string, blob string")).filter("_r IS NOT NULL")
+    is_object = F.schema_of_variant(F.try_parse_json(raw)).startswith("OBJECT")
+    parsed = uploads.filter(is_object).withColumn("_r", F.from_json(raw, "container string, blob string"))
     keyed = parsed.withColumns(
         {
             "container": F.coalesce("_r.container", F.lit("")),
@@ -411,12 +420,12 @@ def missing_uploads(texts: DataFrame, uploads: DataFrame, id_column: str, text:
 
 
 # One "name - value" line, optionally a bullet.
-_ITEM = r"[ \t]*(?:[-•*][ \t]+)?[^\n]*?\S[ \t]+[-–—][ \t]+\S[^\n]*"
+_ITEM = r"[ \t]*+(?:[-•*][ \t]+)?[^\n]*?\S[ \t]+[-–—][ \t]+\S[^\n]*"
 _SECTION_START = LINES + r"^(?=#{1,4}[ \t]+\S|\*\*[^*\n]+\*\*[ \t]*$)"
 _LIST_RUN = r"(?d)\A[^\n]*\n(?:[ \t]*\n)*+((?:(?!#{1,4}[ \t])" + _ITEM + r"(?:\n|\z)(?:[ \t]*\n(?=" + _ITEM + r"))?)++)"
 _HEADING_LINE = r"(?d)\A(?:#{1,4}\s+[^\n]+|\*\*[^*\n]+\*\*)"
-_ITEM_PARTS = r"^(?:[-•*]\s+)?(.+?)\s+[-–—]\s+(.+)$"
-_COUNT_PARTS = r"(?i)^(?:[-•*]\s+)?(.+?)\s*[-–—]+\s+(\d[\d,]*\s*rows?.*)$"
+_ITEM_PARTS = r"^(?:[-•*]\s+)?(.*?\S)\s++[-–—]\s+(.+)$"
+_COUNT_PARTS = r"(?i)^(?:[-•*]\s+)?(.*?[^\s–—-])\s*+[-–—]++\s++(\d[\d,]*\s*rows?.*)$"
 
 
 def list_to_table(df: DataFrame, id_column: str, text: str, min_items: int = 3) -> DataFrame:
@@ -455,9 +464,12 @@ def list_to_table(df: DataFrame, id_column: str, text: str, min_items: int = 3)
         F.trim(F.regexp_replace("_s.heading", r"^#{1,4}\s+|\*\*", "")).alias("heading"),
         F.when(counts, "Table").otherwise("Name").alias("name_title"),
         F.when(counts, "Row Count").otherwise("Details").alias("value_title"),
-        F.posexplode("_s.items").alias("_i", "_item"),
+        F.col("_s.items").alias("_items"),
+    )
+    items = titled.select(
+        id_column, "section_no", "heading", "name_title", "value_title", F.posexplode("_items").alias("_i", "_item")
     )
-    return titled.select(
+    return items.select(
         id_column,
         "section_no",
         "heading",

@@ -19,6 +19,7 @@ def spark(tmp_path_factory):
         "tests",
         "local[4]",
         spark__sql__shuffle__partitions="4",
+        spark__driver__memory="4g",
         spark__checkpoint__dir=str(tmp_path_factory.mktemp("run-checkpoint")),
         spark__sql__warehouse__dir=str(tmp_path_factory.mktemp("run-warehouse")),
     )
