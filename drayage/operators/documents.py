@@ -81,10 +81,9 @@ def schema_drift(df: DataFrame, json_column: str, id_column: str) -> DataFrame:
         _types().alias("types"),
         F.count_distinct(F.when(F.col("type") != "NoneType", F.col("type"))).alias("type_count"),
     )
-    total = F.broadcast(df.agg(F.count(F.lit(1)).alias("total_documents")).withColumn("_one", F.lit(1)))
-    joined = stats.withColumn("_one", F.lit(1)).join(total, "_one").drop("_one")
+    counted = stats.withColumn("total_documents", df.agg(F.count(F.lit(1))).scalar())
     drifts = (F.col("document_count") < F.col("total_documents")) | (F.col("type_count") > 1)
-    return joined.withColumns(
+    return counted.withColumns(
         {"presence_percent": percent(F.col("document_count"), F.col("total_documents")), "drifts": drifts}
     )
 
@@ -103,13 +102,10 @@ def common_fields(
         F.count(F.lit(1)).alias("document_count"),
         F.bool_or(F.col("type").isin(*COMPLEX_TYPES)).alias("is_complex"),
     )
-    total = F.broadcast(df.agg(F.count(F.lit(1)).alias("_total")).withColumn("_one", F.lit(1)))
-    kept = stats.withColumn("_one", F.lit(1)).join(total, "_one")
-    kept = kept.filter((F.col("document_count") >= F.ceil(F.col("_total") * F.lit(share))) & (F.col("_total") >= 2))
-    fit = kept.agg(F.count(F.lit(1)).alias("_fields"), F.count_if("is_complex").alias("_complex"))
-    fit = fit.filter((F.col("_fields") >= min_fields) & (F.col("_complex") <= max_complex))
-    verdict = F.broadcast(fit.select(F.lit(1).alias("_one")))
-    return kept.join(verdict, "_one", "left_semi").select("field", "document_count", "is_complex")
+    total = df.agg(F.count(F.lit(1))).scalar()
+    kept = stats.filter((F.col("document_count") >= F.ceil(total * F.lit(share))) & (total >= 2))
+    fits = kept.agg((F.count(F.lit(1)) >= min_fields) & (F.count_if("is_complex") <= max_complex))
+    return kept.filter(fits.scalar())
 
 
 def flatten_documents(

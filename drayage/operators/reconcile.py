@@ -89,23 +89,23 @@ class Reconciliation:
 
     def summary(self) -> DataFrame:
         """One row of totals."""
-        counts = [self.source, self.target]
-        source_count, target_count = (df.agg(F.count(F.lit(1)).alias("n")).withColumn("_one", F.lit(1)) for df in counts)
-        keys = self.states.agg(
-            F.count_if(F.col("n_target") == 0).alias("missing_in_target"),
-            F.count_if(F.col("n_source") == 0).alias("extra_in_target"),
-            F.count_if(F.col("n_source") > 1).alias("duplicate_source_keys"),
-            F.count_if(F.col("n_target") > 1).alias("duplicate_target_keys"),
-        ).withColumn("_one", F.lit(1))
-        cells = self.mismatches().agg(F.count(F.lit(1)).alias("value_mismatches")).withColumn("_one", F.lit(1))
-        # Four one-row results side by side.
-        return (
-            source_count.withColumnRenamed("n", "source_count")
-            .join(F.broadcast(target_count.withColumnRenamed("n", "target_count")), "_one")
-            .join(F.broadcast(keys), "_one")
-            .join(F.broadcast(cells), "_one")
-            .drop("_one")
-        )
+        one = F.count(F.lit(1))
+        parts = [
+            self.source.agg(one.alias("source_count")),
+            self.target.agg(one.alias("target_count")),
+            self.states.agg(
+                F.count_if(F.col("n_target") == 0).alias("missing_in_target"),
+                F.count_if(F.col("n_source") == 0).alias("extra_in_target"),
+                F.count_if(F.col("n_source") > 1).alias("duplicate_source_keys"),
+                F.count_if(F.col("n_target") > 1).alias("duplicate_target_keys"),
+            ),
+            self.mismatches().agg(one.alias("value_mismatches")),
+        ]
+        # Each part is one row with its own columns; adding them up is one row.
+        rows = parts[0]
+        for part in parts[1:]:
+            rows = rows.unionByName(part, allowMissingColumns=True)
+        return rows.agg(*[F.sum(c).alias(c) for c in rows.columns])
 
     def samples(self, kind: str, limit: int = 50) -> DataFrame:
         """The first ``limit`` rows of a result by key, for a report."""
