@@ -28,7 +28,7 @@ def surrogate_key(
     for row in written.groupBy(PART).agg(F.count(F.lit(1)).alias("n")).orderBy(PART).collect():
         offsets.append((row[PART], total))
         total += row["n"]
-    starts = F.broadcast(df.sparkSession.createDataFrame(offsets, f"{PART} long, _start long"))
+    starts = F.broadcast(df.sparkSession.createDataFrame(offsets, f"{PART} int, _start long"))
     return written.join(starts, PART).select(
         *[f"`{c}`" for c in columns], (F.col("_start") + F.col(POSITION)).alias(name)
     )

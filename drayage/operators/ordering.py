@@ -37,7 +37,7 @@ def in_order(df: DataFrame, order_by: Sequence[Column | str], label: str) -> Dat
     row_id = F.monotonically_increasing_id()
     numbered = ordered.select(
         *[f"`{c}`" for c in columns],
-        F.shiftright(row_id, POSITION_BITS).alias(PART),
+        F.shiftright(row_id, POSITION_BITS).cast("int").alias(PART),
         row_id.bitwiseAND(F.lit((1 << POSITION_BITS) - 1)).alias(POSITION),
     )
     return materialise(numbered, label)
@@ -54,9 +54,6 @@ def neighbour(
     """
     wanted = list(dict.fromkeys([*keys, *columns]))
     row = F.struct(*wanted)
-    parts = partitions_for(ordered)
-    if parts:
-        ordered = ordered.repartition(parts, PART)
     window = W.partitionBy(PART).orderBy(POSITION)
     inside = F.lag(row).over(window) if previous else F.lead(row).over(window)
     # One row per partition: its last (or first) row, keyed by the partition
@@ -69,7 +66,10 @@ def neighbour(
     ]
     schema = ordered.select(F.col(PART), row.alias("_edge")).schema
     borders = ordered.sparkSession.createDataFrame(handed, schema)
-    joined = ordered.withColumn("_inside", inside).join(F.broadcast(borders), PART, "left")
+    # Each written partition becomes one task again: hashing would put several
+    # of them together.
+    placed = ordered.repartitionById(edges[-1][PART] + 1 if edges else 1, PART)
+    joined = placed.withColumn("_inside", inside).join(F.broadcast(borders), PART, "left")
     other = F.coalesce("_inside", "_edge")
     same = other.isNotNull()
     for k in keys:

@@ -59,16 +59,20 @@ def shared_root(spark: SparkSession) -> str:
     return _local_root
 
 
-def planned_bytes(df: DataFrame) -> int:
+def planned_bytes(df: DataFrame) -> int | None:
     """Size of the tables ``df`` reads, after pruning, as Spark's planner sees it.
 
     The sum over the scans, not the plan's own estimate: that takes a join for
-    the product of its sides.
+    the product of its sides. None if a scan has no known size.
     """
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+    size = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+    return size if size < UNKNOWN_BYTES else None
 
 
+# Spark takes a source it knows nothing about for one of 8 exabytes.
+UNKNOWN_BYTES = 1 << 62
+
 # The size up to which Spark reads files in one task.
 SPLIT_BYTES = 128 << 20
 
@@ -78,8 +82,9 @@ PARTITION_BYTES = 256 << 20
 
 def partitions_for(df: DataFrame) -> int | None:
     """Partitions for a shuffle of ``df`` if the session's number is too small."""
-    needed = -(-planned_bytes(df) // PARTITION_BYTES)
+    size = planned_bytes(df)
     default = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    needed = 0 if size is None else -(-size // PARTITION_BYTES)
     return needed if needed > default else None
 
 
@@ -90,7 +95,8 @@ def spread(df: DataFrame) -> DataFrame:
     is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if planned_bytes(df) < cores * SPLIT_BYTES else df
+    size = planned_bytes(df)
+    return df.repartition(cores) if size is not None and size < cores * SPLIT_BYTES else df
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

@@ -105,8 +105,8 @@ def layout(df: DataFrame, kind: str, keys: Sequence[str] = (), partitions: int |
     if kind == "REPLICATE":
         limit = _bytes(df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold"))
         size = planned_bytes(df)
-        if size > limit:
-            raise ValueError(f"REPLICATE of {size} bytes exceeds the broadcast limit of {limit}")
+        if size is None or size > limit:
+            raise ValueError(f"REPLICATE of {size} bytes is not known to fit the broadcast limit of {limit}")
         return F.broadcast(df)
     raise ValueError(f"unknown layout {kind!r}")
 
