@@ -9,11 +9,12 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark import inheritable_thread_target
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from drayage.functions.canonical import raw_cells, row_hash
 from drayage.operators.dataflow import first_per_key
-from drayage.operators.ordering import PART, POSITION, in_order, neighbour
+from drayage.operators.ordering import HOT_ROWS, in_order, neighbour, split_hot_keys
 from drayage.session import materialise
 
 STATE_SCHEMA = "table_name string, batch_id long, watermark_value timestamp_ntz"
@@ -22,15 +23,19 @@ STATUS_SCHEMA = "table_name string, status string, row_count long, message strin
 
 
 def watermark(spark: SparkSession, state_path: str, table: str) -> tuple[int, str]:
-    """Last batch and watermark of a table; batch 0 at 1900 if never loaded."""
+    """Last batch and watermark of a table; batch 0 at 1900 if never loaded.
+
+    Each table keeps its state in a folder of its own, so that tables can be
+    loaded side by side.
+    """
     try:
-        state = spark.read.schema(STATE_SCHEMA).parquet(state_path)
+        state = spark.read.schema(STATE_SCHEMA).parquet(f"{state_path}/{table}")
     except AnalysisException:  # no state written yet
         return 0, FIRST_WATERMARK
     row = (
-        state.filter(F.col("table_name") == table)
-        .agg(F.max("batch_id").alias("batch"), F.max_by("watermark_value", "batch_id").cast("string").alias("value"))
-        .first()
+        state.agg(
+            F.max("batch_id").alias("batch"), F.max_by("watermark_value", "batch_id").cast("string").alias("value")
+        ).first()
     )
     return (0, FIRST_WATERMARK) if row["batch"] is None else (row["batch"], row["value"])
 
@@ -54,31 +59,71 @@ def incremental_load(source: DataFrame, target_path: str, state_path: str, table
     rows.write.mode("overwrite").parquet(f"{target_path}/batch_id={batch}")
     state = spark.createDataFrame([(table, batch, upper)], "table_name string, batch_id long, value string")
     state = state.select("table_name", "batch_id", F.col("value").cast("timestamp_ntz").alias("watermark_value"))
-    state.write.mode("append").parquet(state_path)
+    state.write.mode("append").parquet(f"{state_path}/{table}")
     return batch
 
 
+def incremental_load_tables(
+    sources: Mapping[str, tuple[DataFrame, str]], target_folder: str, state_path: str, parallel: int = 4
+) -> dict[str, int]:
+    """:func:`incremental_load` for ``{table: (source, modified column)}``.
+
+    ``parallel`` tables at a time; returns the batch each one is at.
+    """
+    spark = next(iter(sources.values()))[0].sparkSession
+
+    def load(table: str) -> int:
+        source, modified = sources[table]
+        return incremental_load(source, f"{target_folder}/{table}", state_path, table, modified)
+
+    with ThreadPoolExecutor(max_workers=parallel) as pool:
+        return dict(zip(sources, pool.map(inheritable_thread_target(spark)(load), sources)))
+
+
 def scd2_history(
-    changes: DataFrame, keys: Sequence[str], tracked: Sequence[str], effective: str, sequence: str
+    changes: DataFrame,
+    keys: Sequence[str],
+    tracked: Sequence[str],
+    effective: str,
+    sequence: str,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Type-2 history: one row per run of unchanged ``tracked`` values.
 
     ``valid_from`` is the first ``effective`` value of the run, ``valid_to`` that
     of the next run (NULL while current). ``sequence`` orders changes at the
-    same time. A key may hold any share of the rows.
+    same time. Keys with more than ``hot_rows`` changes are worked on in range
+    partitions, the others in one window per key: both give the same rows.
     """
     versions = changes.select(
         *keys, *tracked, F.col(effective).alias("valid_from"), F.col(sequence).alias("_sequence")
     )
     versions = versions.withColumn("_hash", row_hash(raw_cells(versions, tracked)))
+    cold, hot = split_hot_keys(versions, keys, hot_rows)
+    columns = [*keys, *tracked, "valid_from", "valid_to", "is_current"]
+    out = _history_by_key(cold, keys).select(*columns)
+    return out if hot is None else out.unionAll(_history_by_range(hot, keys).select(*columns))
+
+
+def _history_by_key(versions: DataFrame, keys: Sequence[str]) -> DataFrame:
+    # Both windows share one shuffle and one sort.
+    window = W.partitionBy(*keys).orderBy("valid_from", "_sequence")
+    before = F.lag(F.struct("_hash")).over(window)
+    opened = versions.withColumn("_before", before).filter(
+        F.col("_before").isNull() | (F.col("_before._hash") != F.col("_hash"))
+    )
+    after = F.lead(F.struct("valid_from")).over(window)
+    closed = opened.withColumn("_after", after)
+    return closed.withColumns({"valid_to": F.col("_after.valid_from"), "is_current": F.col("_after").isNull()})
+
+
+def _history_by_range(versions: DataFrame, keys: Sequence[str]) -> DataFrame:
     ordered = in_order(versions, [*keys, "valid_from", "_sequence"], "scd2")
     compared = neighbour(ordered, keys, {"_hash": "_before"}, previous=True, found="_has_before")
     opened = compared.filter(~F.col("_has_before") | (F.col("_hash") != F.col("_before")))
-    runs = materialise(opened.select(*keys, *tracked, "valid_from", PART, POSITION), "scd2")
+    runs = materialise(opened, "scd2")
     closed = neighbour(runs, keys, {"valid_from": "valid_to"}, previous=False, found="_has_next")
-    return closed.select(
-        *keys, *tracked, "valid_from", "valid_to", (~F.col("_has_next")).alias("is_current")
-    )
+    return closed.withColumn("is_current", ~F.col("_has_next"))
 
 
 def _last_changes(target: DataFrame, changes: DataFrame, keys: Sequence[str], sequence: str, action: str) -> DataFrame:

@@ -20,6 +20,26 @@ from drayage.session import materialise, partitions_for
 POSITION_BITS = 33
 PART, POSITION = "_part", "_pos"
 
+# A key with up to so many rows is sorted by one task in its stride.
+HOT_ROWS = 5_000_000
+
+
+def split_hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame | None]:
+    """``df`` without the rows of its hot keys, and those rows (None if none).
+
+    Counting is combined on the map side; the hot keys are at most
+    ``rows / hot_rows``.
+    """
+    names = [f"_hot{i}" for i in range(len(keys))]
+    counted = df.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names)]).agg(F.count(F.lit(1)).alias("_rows"))
+    hot = materialise(counted.filter(F.col("_rows") > hot_rows).select(*names), "hot-keys")
+    if hot.isEmpty():
+        return df, None
+    same = F.lit(True)
+    for k, n in zip(keys, names):
+        same = same & df[k].eqNullSafe(hot[n])
+    return df.join(hot, same, "left_anti"), df.join(hot, same, "left_semi")
+
 
 def in_order(df: DataFrame, order_by: Sequence[Column | str], label: str) -> DataFrame:
     """``df`` written in order, with ``_part`` and ``_pos``.

@@ -19,14 +19,19 @@ PARAMETER_FIELDS = {"uid": "user_id", "pid": "plan_id", "tid": "id"}
 HEAD_LENGTH = 200
 
 
-def plans_by_user(plans: DataFrame, user: object) -> DataFrame:
-    """A user's plans, newest first."""
-    return plans.filter(F.col("user_id") == F.lit(user)).orderBy(F.desc("created_at"), "plan_id")
+def plans_by_user(plans: DataFrame, user: object = None) -> DataFrame:
+    """A user's plans, newest first; without a user all plans, user by user.
+
+    On a table partitioned by user the filter prunes to one partition.
+    """
+    wanted = plans if user is None else plans.filter(F.col("user_id") == F.lit(user))
+    return wanted.orderBy("user_id", F.desc("created_at"), "plan_id")
 
 
-def messages_by_plan(messages: DataFrame, plan: object) -> DataFrame:
-    """A plan's messages, oldest first."""
-    return messages.filter(F.col("plan_id") == F.lit(plan)).orderBy("timestamp", "id")
+def messages_by_plan(messages: DataFrame, plan: object = None) -> DataFrame:
+    """A plan's messages, oldest first; without a plan all, plan by plan."""
+    wanted = messages if plan is None else messages.filter(F.col("plan_id") == F.lit(plan))
+    return wanted.orderBy("plan_id", "timestamp", "id")
 
 
 def run_status_counts(plans: DataFrame) -> DataFrame:

@@ -28,14 +28,14 @@ def inventories(t: Tables) -> dict[str, DataFrame]:
     """
     suppliers, customers, parts = t.supplier, t.spread("customer"), t.spread("part")
     return {
-        "private_endpoints": suppliers.filter("s_suppkey % 2 = 0"),
-        "firewalls": suppliers.filter("s_suppkey % 9 = 0").selectExpr(
+        "private_endpoints": suppliers,
+        "firewalls": suppliers.selectExpr(
             resource_id("s_suppkey"), "s_name AS name", "if(s_suppkey % 2 = 0, 'Succeeded', NULL) AS provisioning_state"
         ),
         "ddos_plans": suppliers.filter("s_acctbal > 1000000"),
-        "private_dns_zones": parts.filter("p_size = 7"),
+        "private_dns_zones": parts,
         "security_contacts": customers.filter("c_acctbal > 1000000"),
-        "recovery_vaults": suppliers.filter("s_suppkey % 4 = 1").selectExpr(
+        "recovery_vaults": suppliers.selectExpr(
             resource_id("s_suppkey"), "s_name AS name", "concat('region', s_nationkey) AS location"
         ),
         "storage_accounts": suppliers.selectExpr(
@@ -125,7 +125,7 @@ EXISTENCE_SQL = " UNION ALL ".join(
             "'Provisioning state: ' || CASE WHEN s_suppkey % 2 = 0 THEN 'Succeeded' ELSE 'None' END",
             "s_suppkey",
             "s_name",
-            "supplier WHERE s_suppkey % 9 = 0",
+            "supplier",
         ),
         resource(
             "BR-1",
@@ -135,13 +135,13 @@ EXISTENCE_SQL = " UNION ALL ".join(
             "'Vault location: region' || s_nationkey",
             "s_suppkey",
             "s_name",
-            "supplier WHERE s_suppkey % 4 = 1",
+            "supplier",
         ),
         subscription(
-            "NS-2", "PASS", "Info", "count(*) || ' private endpoints found'", "FROM supplier WHERE s_suppkey % 2 = 0"
+            "NS-2", "PASS", "Info", "count(*) || ' private endpoints found'", "FROM supplier"
         ),
         subscription("NS-4", "FAIL", "High", "'No DDoS Protection Plan found'"),
-        subscription("NS-10", "PASS", "Low", "count(*) || ' Private DNS zones found'", "FROM part WHERE p_size = 7"),
+        subscription("NS-10", "PASS", "Low", "count(*) || ' Private DNS zones found'", "FROM part"),
         subscription("LT-5", "MANUAL_REVIEW", "High", "'Could not read log_workspaces'"),
         subscription("IR-2", "FAIL", "High", "'No security contacts configured'"),
     ]
@@ -171,7 +171,7 @@ PREDICATE_SQL = " UNION ALL ".join(
                  f"CASE WHEN {_SOFT} THEN 'Blob soft delete: ' || s_suppkey % 30 || ' days' ELSE 'Blob soft delete: Disabled' END",
                  "s_suppkey", "s_name", "supplier"),
         resource("BR-2", "'PASS'", "'Info'", "Microsoft.RecoveryServices/vaults", "'Soft delete: Enabled by default'",
-                 "s_suppkey", "s_name", "supplier WHERE s_suppkey % 4 = 1"),
+                 "s_suppkey", "s_name", "supplier"),
         resource("DP-8", either("c_custkey % 3 <> 0", "PASS", "FAIL"), either("c_custkey % 3 <> 0", "Info", "High"), _KV,
                  either("c_custkey % 3 <> 0", "Soft delete: Enabled", "Soft delete: Disabled"), "c_custkey", "c_name", "customer"),
         resource("DP-8", either("c_custkey % 2 = 0", "PASS", "FAIL"), either("c_custkey % 2 = 0", "Info", "Medium"), _KV,
@@ -261,19 +261,19 @@ def control_children_names(t: Tables) -> DataFrame:
 
 RATIO_SQL = " UNION ALL ".join(
     [
-            subscription(
-                "AM-1",
-                "PASS",
-                "Info",
-                "'Resources: ' || count(*) || ', Tagged: ' || count(*) FILTER (p_partkey % 3 <> 0) || ' (' || "
-                "(100.0::DOUBLE * count(*) FILTER (p_partkey % 3 <> 0) / count(*))::DECIMAL(10,1) || '%)'",
-                "FROM part",
-            ),
-            """SELECT 'AM-2', CASE WHEN pct >= 90 THEN 'PASS' ELSE 'FAIL' END,
+        subscription(
+            "AM-1",
+            "PASS",
+            "Info",
+            "'Resources: ' || count(*) || ', Tagged: ' || count(*) FILTER (p_partkey % 3 <> 0) || ' (' || "
+            "(100.0::DOUBLE * count(*) FILTER (p_partkey % 3 <> 0) / count(*))::DECIMAL(10,1) || '%)'",
+            "FROM part",
+        ),
+        """SELECT 'AM-2', CASE WHEN pct >= 90 THEN 'PASS' ELSE 'FAIL' END,
                       CASE WHEN pct >= 90 THEN 'Info' ELSE 'Medium' END, 'Subscription', 'Subscription', '',
                       'Policy compliance: ' || pct::DECIMAL(10,1) || '%'
                FROM (SELECT 100.0::DOUBLE * count(*) FILTER (c_custkey % 8 <> 0) / count(*) AS pct FROM customer)""",
-            """SELECT 'PV-1', CASE WHEN pct >= 70 THEN 'PASS' ELSE 'FAIL' END,
+        """SELECT 'PV-1', CASE WHEN pct >= 70 THEN 'PASS' ELSE 'FAIL' END,
                       CASE WHEN pct >= 70 THEN 'Info' WHEN pct >= 50 THEN 'Medium' ELSE 'High' END, 'Subscription',
                       'Subscription', '', 'Secure Score: ' || pct::DECIMAL(10,1) || '%'
                FROM (SELECT min_by((55 + n_nationkey)::DOUBLE, n_nationkey) AS pct FROM nation)""",

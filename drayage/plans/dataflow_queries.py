@@ -199,8 +199,8 @@ def self_fk_orphans(t: Tables) -> DataFrame:
 @query(
     "df_aggregate",
     """
-    SELECT l_returnflag, l_linestatus, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS sum_qty,
-           CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS sum_price, count(*) AS row_count
+    SELECT l_returnflag, l_linestatus, sum(floor(l_quantity * 100 + 0.5)::BIGINT)::DOUBLE / 100 AS sum_qty,
+           sum(floor(l_extendedprice * 100 + 0.5)::BIGINT)::DOUBLE / 100 AS sum_price, count(*) AS row_count
     FROM lineitem GROUP BY l_returnflag, l_linestatus
     """,
 )
@@ -209,8 +209,9 @@ def df_aggregate(t: Tables) -> DataFrame:
         t.lineitem,
         ["l_returnflag", "l_linestatus"],
         {
-            "sum_qty": "CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE)",
-            "sum_price": "CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE)",
+            # Whole cents add up to the same sum in any order.
+            "sum_qty": "CAST(sum(floor(l_quantity * 100D + 0.5D)) AS DOUBLE) / 100D",
+            "sum_price": "CAST(sum(floor(l_extendedprice * 100D + 0.5D)) AS DOUBLE) / 100D",
             "row_count": "count(*)",
         },
     )

@@ -41,7 +41,20 @@ def expr_string(t: Tables) -> DataFrame:
     )
 
 
-@query("expr_soundex")
+def soundex_sql(name: str) -> str:
+    """First letter, then the codes of the rest: runs of one code count once,
+    vowels part them, H and W do not."""
+    codes = "'BFPVCGJKQSXZDTLMNRAEIOUY HW', '1111222222223345560000000'"
+    coded = (
+        f"CASE WHEN upper(left({name}, 1)) IN ('H', 'W') THEN '7' ELSE translate(upper(left({name}, 1)), {codes}) END "
+        f"|| translate(upper(substring({name}, 2)), {codes})"
+    )
+    for digit in range(7):
+        coded = f"regexp_replace({coded}, '{digit}+', '{digit}', 'g')"
+    return f"upper(left({name}, 1)) || left(replace(substring({coded}, 2), '0', '') || '000', 3)"
+
+
+@query("expr_soundex", f"SELECT p_partkey, {soundex_sql('p_name')} AS code FROM part")
 def expr_soundex(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", expr("soundex", column="p_name").alias("code"))
 

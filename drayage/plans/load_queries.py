@@ -30,6 +30,33 @@ def incremental_load(t: Tables) -> DataFrame:
     return loaded.withColumn("batch_id", F.col("batch_id").cast("long"))
 
 
+@query(
+    "incremental_load_tables",
+    """
+    SELECT 'events' AS table_name, CASE WHEN ts < TIMESTAMP '2024-01-15' THEN 1 ELSE 2 END::BIGINT AS batch_id,
+           count(*) AS row_count FROM events GROUP BY 2
+    UNION ALL
+    SELECT 'orders', CASE WHEN o_orderdate < TIMESTAMP '1998-01-01' THEN 1 ELSE 2 END::BIGINT, count(*)
+    FROM orders GROUP BY 2
+    """,
+)
+def incremental_load_tables(t: Tables) -> DataFrame:
+    base = scratch_path(t.spark, "incremental")
+    for events_until, orders_until in (("2024-01-15", "1998-01-01"), ("2100-01-01", "2100-01-01")):
+        sources = {
+            "events": (t.events.filter(F.col("ts") < F.lit(events_until).cast("timestamp_ntz")), "ts"),
+            "orders": (t.orders.filter(F.col("o_orderdate") < F.lit(orders_until).cast("timestamp_ntz")), "o_orderdate"),
+        }
+        load.incremental_load_tables(sources, f"{base}/target", f"{base}/state")
+    parts = [
+        t.spark.read.parquet(f"{base}/target/{name}")
+        .groupBy(F.lit(name).alias("table_name"), F.col("batch_id").cast("long").alias("batch_id"))
+        .agg(F.count(F.lit(1)).alias("row_count"))
+        for name in ("events", "orders")
+    ]
+    return parts[0].unionAll(parts[1])
+
+
 @query(
     "scd2_history",
     """

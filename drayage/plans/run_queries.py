@@ -32,23 +32,23 @@ def plans(t: Tables) -> DataFrame:
     )
 
 
-@query("plans_by_user", f"SELECT {PLAN} FROM orders WHERE o_custkey = 12")
+@query("plans_by_user", f"SELECT {PLAN} FROM orders")
 def plans_by_user(t: Tables) -> DataFrame:
-    return r.plans_by_user(plans(t), 12)
+    return r.plans_by_user(plans(t))
 
 
 @query(
     "messages_by_plan",
     """
     SELECT conv_id AS plan_id, turn AS timestamp, conv_id * 1000 + turn AS id, role AS agent, text AS content
-    FROM conversations WHERE conv_id = 3
+    FROM conversations
     """,
 )
 def messages_by_plan(t: Tables) -> DataFrame:
     messages = t.conversations.selectExpr(
         "conv_id AS plan_id", "turn AS timestamp", "conv_id * 1000 + turn AS id", "role AS agent", "text AS content"
     )
-    return r.messages_by_plan(messages, 3)
+    return r.messages_by_plan(messages)
 
 
 @query(
@@ -249,7 +249,7 @@ def run_summary(t: Tables) -> DataFrame:
 
 @query(
     "param_filter",
-    f"SELECT * FROM (SELECT {PLAN} FROM orders) WHERE user_id = 12 AND team_id = 'team2' AND overall_status = 'failed'",
+    f"SELECT * FROM (SELECT {PLAN} FROM orders) WHERE team_id = 'team2' AND overall_status = 'failed'",
 )
 def param_filter(t: Tables) -> DataFrame:
-    return r.param_filter(plans(t), {"@uid": 12, "overall_status": "failed"}, partition=("team_id", "team2"))
+    return r.param_filter(plans(t), {"@overall_status": "failed"}, partition=("team_id", "team2"))

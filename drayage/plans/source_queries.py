@@ -72,6 +72,15 @@ def file_inventory(t: Tables) -> DataFrame:
     return files.file_inventory(t.spark, text_folder(t), glob="*.txt")
 
 
+@query(
+    "file_inventory_total",
+    "SELECT sum(strlen(text) + 1)::BIGINT AS total_size, bool_and(text IS NOT NULL) AS all_text FROM documents",
+)
+def file_inventory_total(t: Tables) -> DataFrame:
+    listed = files.file_inventory(t.spark, text_folder(t), glob="*.txt")
+    return listed.agg(F.sum("size").alias("total_size"), F.bool_and(F.endswith("name", F.lit(".txt"))).alias("all_text"))
+
+
 @query(
     "infer_file_schema",
     """

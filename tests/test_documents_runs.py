@@ -128,6 +128,12 @@ def test_run_summary_lines(spark):
     assert got[1][2] == f"**A**: {'x' * 200}..." and len(got) == 2
 
 
+def test_plans_of_one_user_are_newest_first(spark):
+    plans = spark.createDataFrame([(1, "u", 1), (2, "u", 3), (3, "v", 2)], "plan_id int, user_id string, created_at int")
+    assert [p.plan_id for p in r.plans_by_user(plans, "u").collect()] == [2, 1]
+    assert [p.plan_id for p in r.plans_by_user(plans).collect()] == [2, 1, 3]
+
+
 def test_param_filter_short_names(spark):
     df = spark.createDataFrame([(1, "a", None), (2, "a", "t")], "id int, user_id string, team string")
     assert rows(r.param_filter(df, {"@uid": "a", "tid": 2}), "id") == [(2,)]

@@ -2,8 +2,9 @@ from __future__ import annotations
 
 import random
 
+import pytest
 import shop
-from conftest import rows
+from conftest import plan, rows
 from pyspark.sql import functions as F
 
 from drayage.operators import load
@@ -37,7 +38,7 @@ def test_a_batch_that_died_before_its_state_is_repeated_in_place(spark, tmp_path
 
 def brute_history(changes):
     out, by_key = [], {}
-    for key, when, seq, value in sorted(changes):
+    for key, when, seq, value in sorted(changes, key=lambda c: (c[0] or 0, c[1], c[2])):
         by_key.setdefault(key, []).append((when, value))
     for key, versions in by_key.items():
         runs = [v for i, v in enumerate(versions) if i == 0 or versions[i - 1][1] != v[1]]
@@ -47,17 +48,24 @@ def brute_history(changes):
     return sorted(out, key=repr)
 
 
-def test_history_matches_brute_force_with_a_hot_key(spark):
+@pytest.mark.parametrize("hot_rows", [100, 10_000, 0])
+def test_history_matches_brute_force_with_a_hot_key(spark, hot_rows):
     rng = random.Random(7)
     changes = [
-        (1 if rng.random() < 0.35 else rng.randrange(2, 200), rng.randrange(300), i, rng.choice(["a", "b", None]))
+        (None if rng.random() < 0.35 else rng.randrange(2, 200), rng.randrange(300), i, rng.choice(["a", "b", None]))
         for i in range(3000)
     ]
     df = spark.createDataFrame(changes, "k int, at int, seq int, v string").repartition(7)
-    got = rows(load.scd2_history(df, ["k"], ["v"], "at", "seq"))
+    got = rows(load.scd2_history(df, ["k"], ["v"], "at", "seq", hot_rows))
     assert got == brute_history(changes)
 
 
+def test_history_without_hot_keys_shuffles_once(spark):
+    df = spark.range(100).selectExpr("id % 5 AS k", "id AS at", "id AS seq", "id % 3 AS v")
+    text = plan(load.scd2_history(df, ["k"], ["v"], "at", "seq"))
+    assert text.count("Exchange hashpartitioning") == 1 and text.count("Sort [") == 1
+
+
 def test_history_intervals_do_not_overlap(spark):
     changes = [(1, 5, 1, "a"), (1, 5, 2, "b"), (1, 9, 3, "b"), (1, 12, 4, "a")]
     df = spark.createDataFrame(changes, "k int, at int, seq int, v string")

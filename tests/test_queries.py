@@ -29,7 +29,7 @@ def test_has_rows(spark, folder, name):
 
 
 def test_few_queries_lack_sql():
-    assert set(WITHOUT_SQL) == {"expr_soundex", "file_inventory", "scan_text_prefix"}
+    assert set(WITHOUT_SQL) == {"file_inventory", "scan_text_prefix"}
 
 
 def test_entry_points(spark):
