@@ -6,21 +6,24 @@ combined before the shuffle, and a join that Spark can split.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from drayage.session import materialise
 
 
-def fingerprint(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
+def stored(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges as a table, and their number and a hash of them all."""
+    seen = Observation()
+    told = edges.observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("hash"))
+    return materialise(told, "links"), (seen.get["n"], seen.get["hash"])
 
 
 def large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is linked to the node's smallest neighbour."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
-    return both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def small_star(edges: DataFrame) -> DataFrame:
@@ -36,13 +39,11 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     ``a`` and ``b`` are whole numbers; rows with a null and links of an id to
     itself say nothing. The component is named after its smallest id.
     """
-    edges = materialise(
-        links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "links"
-    )
-    state = fingerprint(edges)
-    while True:
-        edges = materialise(small_star(large_star(edges)), "links")
-        now = fingerprint(edges)
+    pairs = links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
+    edges, state = stored(pairs.distinct())
+    while state[0]:
+        edges, now = stored(small_star(large_star(edges)))
         if now == state:
-            return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
+            break
         state = now
+    return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))

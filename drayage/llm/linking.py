@@ -2,23 +2,24 @@
 
 Sets that may be similar share a key of an index. The links are verified on
 the whole sets. Components are wanted, not all pairs: ids are first compared
-with one leader per key, round by round; then every pair of ids that share a
-key and are still in different components is verified. So no link that the
-index leads to is lost, while a group of thousands of copies costs a few
-comparisons each.
+with a few leaders, round by round; then every pair of ids that share a key and
+are still in different components is verified. So no link that the index leads
+to is lost, while a group of thousands of copies costs a few comparisons each.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from drayage.llm.components import components
 from drayage.session import materialise
 
-# Rounds with leaders go on while the pairs left would be this many times the index.
-LEFT_OVER = 2
-MAX_LEADER_ROUNDS = 6
+# Leaders that an id is compared with in a round.
+LEADERS = 3
+
+# Rounds end once the pairs left are no more than the rows of the index; after so many at any rate.
+MAX_LEADER_ROUNDS = 5
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -29,8 +30,10 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
 
 
-def close_sizes(a: str, b: str, percent: int):
-    return (100 * F.least(a, b) >= percent * F.greatest(a, b))
+def may_link(na: str, ma: str, nb: str, mb: str, percent: int) -> Column:
+    """Whether two sets can be similar, given their sizes n and how many members m other sets have too."""
+    common = F.least(ma, mb)
+    return 100 * common >= percent * (F.col(na) + F.col(nb) - common)
 
 
 def labelled(index: DataFrame, found: DataFrame) -> DataFrame:
@@ -40,14 +43,26 @@ def labelled(index: DataFrame, found: DataFrame) -> DataFrame:
     return named.join(open_keys.where("x <> y").select("key"), "key", "left_semi")
 
 
-def with_leader(index: DataFrame, percent: int, round_no: int) -> DataFrame:
-    """Pairs of each id and the leaders of its keys, where their components differ."""
-    order = F.struct(F.xxhash64(F.lit(round_no), "id"), "id") if round_no else F.col("id")
-    leader = index.groupBy("key").agg(F.min_by(F.struct("id", "n", "component"), order).alias("lead"))
-    met = index.join(leader, "key").where(
-        (F.col("component") != F.col("lead.component")) & close_sizes("n", "lead.n", percent)
+def with_leaders(index: DataFrame, percent: int, round_no: int) -> DataFrame:
+    """Pairs of each id and its leaders, where their components differ.
+
+    An order of all ids by a hash gives each key its leader, and each id the
+    first of its keys' leaders; there are as many orders as leaders.
+    """
+    orders = range(round_no * LEADERS, (round_no + 1) * LEADERS)
+    member = F.struct("id", "n", "m", "component")
+    own = F.col("n") - F.col("m")  # in a group of copies, those with few members of their own are its middle
+    leads = index.groupBy("key").agg(
+        *[F.min(F.struct(F.shiftright(own, i % LEADERS).alias("own"), F.xxhash64(F.lit(i), "id").alias("hash"), member.alias("lead"))).alias(f"l{i}")
+          for i in orders]
     )
-    return met.select(F.col("lead.id").alias("a"), F.col("id").alias("b"))
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"l{i}").alias("l")) for i in orders]))
+    met = index.join(leads, "key").select("id", "n", "m", "component", each.alias("x"))
+    fit = met.where(
+        (F.col("component") != F.col("x.l.lead.component")) & may_link("n", "m", "x.l.lead.n", "x.l.lead.m", percent)
+    )
+    first = fit.groupBy("id", "x.i").agg(F.min("x.l").alias("l"))
+    return first.select(F.col("l.lead.id").alias("a"), F.col("id").alias("b")).distinct()
 
 
 def across(index: DataFrame, percent: int) -> DataFrame:
@@ -61,46 +76,44 @@ def across(index: DataFrame, percent: int) -> DataFrame:
     outside = (
         index.join(largest, "key")
         .where(F.col("component") != F.col("main"))
-        .select("key", F.col("id").alias("a"), F.col("n").alias("m"), F.col("component").alias("other"), "main")
+        .select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("m").alias("ma"), F.col("component").alias("other"), "main")
     )
     met = index.join(outside, "key").where(
         (F.col("component") != F.col("other"))
         & ((F.col("component") == F.col("main")) | (F.col("a") < F.col("id")))
-        & close_sizes("n", "m", percent)
+        & may_link("n", "m", "na", "ma", percent)
     )
     return met.select("a", F.col("id").alias("b"))
 
 
-def pairs_left(index: DataFrame) -> tuple[int, int]:
-    """Rows of the index, and a bound on the pairs that ``across`` would make."""
+def pairs_left(index: DataFrame) -> int:
+    """A bound on the pairs that ``across`` would make."""
     sizes = index.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
     keys = sizes.groupBy("key").agg(F.sum("c").alias("all"), F.max("c").alias("top"))
-    found = keys.agg(F.sum("all"), F.sum(((F.col("all") - F.col("top")) * F.col("all")).cast("double"))).first()
-    return int(found[0] or 0), int(found[1] or 0)
+    found = keys.agg(F.sum(((F.col("all") - F.col("top")) * F.col("all")).cast("double"))).first()
+    return int(found[0] or 0)
 
 
 def cluster(index: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``id``, ``component`` of every id linked to a smaller one.
 
-    ``index`` has ``key``, ``id``, ``n`` (the set's size), ``sets`` has ``id``,
-    ``n``, ``members``; both should be tables, as they are read several times.
+    ``index`` has ``key``, ``id``, ``n`` (the set's size) and ``m`` (how many of
+    its members other sets have too, or ``n`` if that is not known); ``sets`` has
+    ``id``, ``n``, ``members``. Both should be tables, as they are read several
+    times. Ids that can link with no size found under a key leave it.
     """
-    shared = index.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
-    kept = materialise(index.join(shared, "key", "left_semi"), "index")
-    first = with_leader(kept.withColumn("component", F.col("id")), percent, 0)
-    links = materialise(verified(first.groupBy("b").agg(F.min("a").alias("a")), sets, percent), "links")
-    found = components(links)
-    for round_no in range(1, MAX_LEADER_ROUNDS + 1):
-        left = materialise(labelled(kept, found), "left")
-        rows, pairs = pairs_left(left)
-        if pairs <= LEFT_OVER * rows:
+    keys = index.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("low")).where("c > 1").select("key", "low")
+    union = F.col("n") + F.greatest(F.col("low"), F.col("m")) - F.col("m")
+    able = index.join(keys, "key").where(100 * F.col("m") >= percent * union)
+    left = materialise(able.select("key", "id", "n", "m", F.col("id").alias("component")), "index")
+    kept, rows = left.drop("component"), left.count()
+    links = found = None
+    for round_no in range(MAX_LEADER_ROUNDS):
+        if pairs_left(left) <= rows:
             break
-        more = verified(with_leader(left, percent, round_no).distinct(), sets, percent)
-        links = materialise(links.unionByName(more), "links")
+        new = verified(with_leaders(left, percent, round_no), sets, percent)
+        links = materialise(new if links is None else links.unionByName(new), "links")
         found = components(links)
-    else:
         left = materialise(labelled(kept, found), "left")
-    if left.isEmpty():
-        return found
-    last = verified(across(left, percent).distinct(), sets, percent)
-    return components(links.unionByName(last))
+    new = verified(across(left, percent).distinct(), sets, percent)
+    return components(new if links is None else links.unionByName(new))

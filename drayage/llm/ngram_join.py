@@ -19,6 +19,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,19 +27,18 @@ from pyspark.sql import types as T
 
 from drayage.llm import texts
 from drayage.llm.linking import cluster
+from drayage.llm.second_pass import Counted, Seen, Shared, bit_map, in_map
 from drayage.session import materialise
 
 # From these numbers of documents on, a shingle counts in combinations of k.
 FREQUENT = ((64, 2), (4096, 3))
 
+# The first prefix is longer than what a similar set may lack by the size over this; as many must be shared.
+MORE = 8
+
 # Below this level (sets of under 2 ** level shingles) shingles count singly.
 COMBINED_FROM = 5
 
-# Bits of the filter that tells which texts are read again: 2 MB, whatever the input.
-FILTER_BITS = 24
-
-SEEN = 500_000
-
 
 def missing(n: int, percent: int) -> int:
     """How many members of a set of ``n`` a similar set may lack."""
@@ -57,22 +57,9 @@ def set_hashes(offsets: np.ndarray, members: np.ndarray) -> tuple[np.ndarray, np
         return texts.sums(offsets, members), texts.sums(offsets, texts.mix(members * texts.GOLDEN))
 
 
-class Seen:
-    """Tells what this task has met lately, so that copies are not shuffled again."""
-
-    def __init__(self):
-        self.held: set = set()
-
-    def new(self, item) -> bool:
-        if item in self.held:
-            return False
-        if len(self.held) >= SEEN:
-            self.held.clear()
-        self.held.add(item)
-        return True
-
-
 def profile_batches(text: str, width: int, percent: int) -> Callable:
+    """Per text a row with ``info``, and a row per hash of its first prefix; copies met in the task have no prefix."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row, seen = TaskContext.get().partitionId() << 40, Seen()
         for batch in texts.chunks(batches, text):
@@ -80,59 +67,60 @@ def profile_batches(text: str, width: int, percent: int) -> Callable:
             sizes = np.diff(offsets)
             f1, f2 = set_hashes(offsets, members)
             lacking = sizes - -(-percent * sizes // 100)
-            length = np.minimum(sizes, lacking + np.maximum(sizes // 16, 1))
+            length = np.minimum(sizes, lacking + np.maximum(sizes // MORE, 1))
             fresh = np.fromiter(map(seen.new, zip(f1.tolist(), f2.tolist())), bool, len(f1))
             length = np.where(fresh, length, 0)
-            starts = offsets[:-1]
             ends = np.concatenate([[0], np.cumsum(length)])
-            picked = np.repeat(starts - ends[:-1], length) + np.arange(ends[-1])
-            rows = pa.array(np.arange(row, row + batch.num_rows))
+            picked = np.repeat(offsets[:-1] - ends[:-1], length) + np.arange(ends[-1])
+            rows = np.arange(row, row + batch.num_rows)
             row += batch.num_rows
+            columns = [batch.column("key"), batch.column("text_key"), pa.array(sizes), texts.signed(f1), texts.signed(f2)]
+            info = pa.StructArray.from_arrays(columns, names=["key", "text_key", "n", "f1", "f2"])
+            yield pa.RecordBatch.from_arrays([texts.signed(f1), pa.array(rows), info], names=["h", "row", "info"])
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[1:], rows, pa.array(sizes), texts.signed(f1), texts.signed(f2),
-                 texts.lists(ends, texts.signed(members[picked]))],
-                names=[*batch.schema.names[1:], "row", "n", "f1", "f2", "prefix"],
+                [texts.signed(members[picked]), pa.array(np.repeat(rows, length)), pa.nulls(len(picked), info.type)],
+                names=["h", "row", "info"],
             )
 
     return run
 
 
 def count_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by ``h``: per ``row``, how many of its hashes other rows have too.
+    """Of rows sorted by ``h``: per ``row``, how many of its hashes other rows have too; rows with ``info`` pass."""
+    shared = Shared()
+    for batch in batches:
+        told = pc.is_valid(batch.column("info"))
+        passed, plain = batch.filter(told), batch.filter(pc.invert(told))
+        _, rows = shared.add(plain.column("h").to_numpy(), plain.column("row").to_numpy())
+        ids, hits = np.unique(rows, return_counts=True)
+        info = pa.concat_arrays([passed.column("info"), pa.nulls(len(ids), batch.schema.field("info").type)])
+        rows = np.concatenate([passed.column("row").to_numpy(), ids])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(rows), pa.array(np.concatenate([np.zeros(passed.num_rows, np.int64), hits])), info],
+            names=["row", "hits", "info"],
+        )
 
-    Holds one batch and one pending row; a hash that many rows have streams by.
-    """
-    held_h = held_row = None
-    told = False  # whether the pending row was counted
 
-    def counted(rows: np.ndarray) -> pa.RecordBatch:
-        ids, hits = np.unique(rows, return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(hits)], names=["row", "hits"])
+def count_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by ``h``: those whose hash several ids have, with how many; beyond the last class it is one number."""
+    counted = Counted(FREQUENT[-1][0])
+
+    def taken() -> pa.RecordBatch:
+        h, ids, counts = counted.taken()
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(h), pa.array(counts)], names=["id", "h", "c"])
 
     for batch in batches:
-        if batch.num_rows == 0:
-            continue
-        h, rows = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        like_before = np.empty(len(h), bool)
-        like_before[1:] = h[1:] == h[:-1]
-        like_before[0] = held_h is not None and h[0] == held_h
-        shared = like_before.copy()
-        shared[:-1] |= like_before[1:]
-        found = rows[shared]
-        if like_before[0] and not told:
-            found = np.append(found, held_row)
-        held_h, held_row, told = h[-1], rows[-1], bool(shared[-1])
-        if len(found):
-            yield counted(found)
+        counted.add(batch.column("h").to_numpy(), batch.column("id").to_numpy())
+        yield taken()
+    counted.end()
+    yield taken()
 
 
 def refill_batches(text: str, width: int, bits: np.ndarray) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = Seen()
         for batch in batches:
-            slot = batch.column("__text_key").to_numpy().view(np.uint64) & np.uint64((1 << FILTER_BITS) - 1)
-            hit = (bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) > 0
-            wanted = batch.filter(pa.array(hit))
+            wanted = batch.filter(pa.array(in_map(bits, batch.column("text_key").to_numpy())))
             for part in texts.chunks([wanted], text):
                 offsets, members = shingle_sets(part, text, width)
                 f1, f2 = set_hashes(offsets, members)
@@ -145,20 +133,6 @@ def refill_batches(text: str, width: int, bits: np.ndarray) -> Callable:
     return run
 
 
-def text_filter(keys: DataFrame) -> np.ndarray:
-    """A bit map of fixed size over ``key``; it may say yes too often, never no."""
-    slot = F.col("key").bitwiseAND((1 << FILTER_BITS) - 1)
-    filled = (
-        keys.select(F.shiftright(slot, 6).alias("at"), F.expr(f"shiftleft(1L, cast(key & 63 as int))").alias("bit"))
-        .groupBy("at")
-        .agg(F.bit_or("bit").alias("bits"))
-        .toArrow()  # 2 ** 18 rows at most
-    )
-    bits = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    bits[filled.column("at").to_numpy()] = filled.column("bits").to_numpy()
-    return bits.view(np.uint64)
-
-
 def levels(n: int, percent: int) -> set[int]:
     """Levels at which a set of ``n`` may meet a similar one: of the smaller of the two sizes."""
     return {n.bit_length() - 1, (-(-percent * n // 100)).bit_length() - 1}
@@ -206,16 +180,11 @@ def signature_batches(percent: int) -> Callable:
             for i in range(batch.num_rows):
                 n, id_ = batch.column("n")[i].as_py(), batch.column("id")[i].as_py()
                 shared = batch.column("shared")[i].values
-                found = np.zeros(0, np.int64) if shared is None else np.unique(
-                    np.fromiter(
-                        signatures(n, shared.field("h").to_numpy(), shared.field("c").to_numpy(), percent), np.int64
-                    )
-                )
+                h, c = shared.field("h").to_numpy(), shared.field("c").to_numpy()
+                found = np.unique(np.fromiter(signatures(n, h, c, percent), np.int64))
                 if len(found):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(found), pa.array(np.full(len(found), id_)), pa.array(np.full(len(found), n))],
-                        names=["key", "id", "n"],
-                    )
+                    columns = [found, *(np.full(len(found), x) for x in (id_, n, len(shared)))]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["key", "id", "n", "m"])
 
     return run
 
@@ -235,36 +204,36 @@ def similar_documents(
     """
     spark = docs.sparkSession
     kind = docs.schema[key].dataType
-    read = docs.select(F.col(text), F.col(key).alias("key"), texts.text_key(F.col(text)).alias("__text_key"))
-    schema = T.StructType(
-        [T.StructField("key", kind), T.StructField("__text_key", T.LongType())]
-        + [T.StructField(c, T.LongType()) for c in ("row", "n", "f1", "f2")]
-        + [T.StructField("prefix", T.ArrayType(T.LongType()))]
+    read = docs.select(F.col(text).alias("text"), F.col(key).alias("key"), texts.text_key(F.col(text)).alias("text_key"))
+    long = T.LongType()
+    info = T.StructType(
+        [T.StructField("key", kind), *[T.StructField(c, long) for c in ("text_key", "n", "f1", "f2")]]
     )
-    profile = materialise(read.mapInArrow(profile_batches(text, width, percent), schema), "shingles")
-
-    entries = profile.select(F.explode("prefix").alias("h"), "row").repartition("h").sortWithinPartitions("h")
-    hits = entries.mapInArrow(count_shared, "row long, hits long").groupBy("row").agg(F.sum("hits").alias("hits"))
-    least = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * percent / 100) / 16))
-    met = hits.join(profile.drop("prefix"), "row").where(F.col("hits") >= least)
+    entry = T.StructType([T.StructField("h", long), T.StructField("row", long), T.StructField("info", info)])
+    met = T.StructType([T.StructField("row", long), T.StructField("hits", long), T.StructField("info", info)])
+    entries = read.mapInArrow(profile_batches("text", width, percent), entry).repartition("h").sortWithinPartitions("h")
+    first = materialise(entries.mapInArrow(count_shared, met), "shingles")  # one pass over the texts gives both
+    profile = first.where(F.col("info").isNotNull()).select("row", "info.*")
+    hits = first.where(F.col("info").isNull()).groupBy("row").agg(F.sum("hits").alias("hits"))
+    least = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * percent / 100) / MORE))
+    met_again = hits.join(profile, "row").where(F.col("hits") >= least)
     classes = materialise(
-        met.groupBy("f1", "f2").agg(F.min("row").alias("id"), F.min_by("__text_key", "row").alias("text_key"), F.first("n").alias("n")),
+        met_again.groupBy("f1", "f2").agg(F.min("row").alias("id"), F.min_by("text_key", "row").alias("text_key"), F.first("n").alias("n")),
         "classes",
     )
 
-    bits = text_filter(classes.select(F.col("text_key").alias("key")))
-    again = docs.select(F.col(text), texts.text_key(F.col(text)).alias("__text_key"))
-    refilled = again.mapInArrow(refill_batches(text, width, bits), "f1 long, f2 long, members array<long>")
+    bits = bit_map(classes.select(F.col("text_key").alias("key")))
+    again = read.select("text", "text_key")
+    refilled = again.mapInArrow(refill_batches("text", width, bits), "f1 long, f2 long, members array<long>")
     sets = materialise(
         refilled.join(classes.drop("text_key"), ["f1", "f2"]).groupBy("id").agg(F.first("n").alias("n"), F.first("members").alias("members")),
         "sets",
     )
 
-    members = sets.select("id", F.explode("members").alias("h"))
-    counts = members.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    shared = members.join(counts, "h").groupBy("id").agg(F.collect_list(F.struct("h", "c")).alias("shared"))
+    members = sets.select("id", F.explode("members").alias("h")).repartition("h").sortWithinPartitions("h")
+    shared = members.mapInArrow(count_members, "id long, h long, c long").groupBy("id").agg(F.collect_list(F.struct("h", "c")).alias("shared"))
     described = sets.select("id", "n").join(shared, "id")
-    index = materialise(described.mapInArrow(signature_batches(percent), "key long, id long, n long"), "signatures")
+    index = materialise(described.mapInArrow(signature_batches(percent), "key long, id long, n long, m long"), "signatures")
     linked = cluster(index, sets, percent)
 
     grouped = profile.where("n > 0").groupBy("f1", "f2").agg(

@@ -119,15 +119,13 @@ def shingles(offsets: np.ndarray, words: np.ndarray, width: int) -> tuple[np.nda
 
 def distinct_sorted(offsets: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct values of each sequence in ascending order."""
-    if len(values) == 0:
-        return np.zeros(len(offsets), np.int64), values
-    owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    order = np.lexsort((values, owner))
-    values, owner = values[order], owner[order]
+    values = values.copy()
+    for low, high in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+        values[low:high].sort()
     new = np.ones(len(values), bool)
-    new[1:] = (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])
-    values, owner = values[new], owner[new]
-    return np.searchsorted(owner, np.arange(len(offsets))), values
+    new[1:] = values[1:] != values[:-1]
+    new[offsets[:-1][np.diff(offsets) > 0]] = True
+    return np.concatenate([[0], np.cumsum(new)])[offsets], values[new]
 
 
 def sums(offsets: np.ndarray, values: np.ndarray) -> np.ndarray:
