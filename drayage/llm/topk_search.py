@@ -229,7 +229,7 @@ def search(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     packed = materialise(sent, "queries")
     groups = max(1, -(-packed.count() // GROUP_QUERIES))
     last = index.agg(F.max("block")).first()[0]
-    blocks = F.array().cast("array<long>") if last is None else F.sequence(F.lit(0), F.lit(last))
+    blocks = F.array().cast("array<long>") if last is None else F.sequence(F.lit(0), F.lit(last)).cast("array<long>")
     grouped = packed.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(groups)))
     asked = grouped.select(
         F.explode(blocks).alias("block"),
@@ -237,7 +237,7 @@ def search(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         F.lit(None).cast("binary").alias("ids"), "body",
     )
     offered = index.select(
-        "block", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).cast("long").alias("part"),
+        "block", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)).cast("array<long>")).alias("part"),
         F.lit(None).cast("long").alias("row"), F.lit(None).cast("long").alias("id"), "bits", "width", "ids", "body",
     )
     met = offered.unionByName(asked).repartition("block", "part").sortWithinPartitions("block", "part", F.col("bits").desc_nulls_last())
