@@ -8,13 +8,12 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import inheritable_thread_target
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from drayage.functions.canonical import raw_cells, row_hash
-from drayage.operators.dataflow import first_per_key
-from drayage.operators.ordering import HOT_ROWS, in_order, neighbour, split_hot_keys
+from drayage.operators.ordering import in_order, neighbour
 from drayage.session import materialise
 
 STATE_SCHEMA = "table_name string, batch_id long, watermark_value timestamp_ntz"
@@ -40,27 +39,51 @@ def watermark(spark: SparkSession, state_path: str, table: str) -> tuple[int, st
     return (0, FIRST_WATERMARK) if row["batch"] is None else (row["batch"], row["value"])
 
 
-def incremental_load(source: DataFrame, target_path: str, state_path: str, table: str, modified: str) -> int:
-    """Append the rows modified after the table's watermark; returns the batch.
+def _not_loaded(rows: DataFrame, target_path: str, batches: int, stamp: Column, value: str) -> DataFrame:
+    """``rows`` without those at the watermark that the first ``batches`` batches hold, each as often as they do."""
+    spark = rows.sparkSession
+    at_mark = stamp == F.lit(value).cast("timestamp_ntz")
+    loaded = spark.read.schema(rows.schema).parquet(*[f"{target_path}/batch_id={i}" for i in range(1, batches + 1)])
+    cells = xxhash(rows.columns)
+    held = loaded.filter(at_mark).groupBy(cells.alias("_cells")).agg(F.count(F.lit(1)).alias("_held"))
+    twin = F.row_number().over(W.partitionBy("_cells").orderBy("_cells"))
+    tied = rows.filter(at_mark).withColumn("_cells", cells).withColumn("_twin", twin)
+    fresh = tied.join(held, "_cells", "left").filter(F.col("_held").isNull() | (F.col("_twin") > F.col("_held")))
+    return rows.filter(stamp > F.lit(value).cast("timestamp_ntz")).unionAll(fresh.select(*[f"`{c}`" for c in rows.columns]))
+
+
+def xxhash(columns: Sequence[str]) -> Column:
+    """128 bits of a row's cells, as text."""
+    cells = [F.col(f"`{c}`") for c in columns]
+    present = F.concat(*[F.when(c.isNull(), "0").otherwise("1") for c in cells])
+    return F.concat_ws(" ", F.hex(F.xxhash64(present, *cells)), F.hex(F.xxhash64(F.lit(1), present, *cells)))
 
-    The new watermark is the largest value *seen*, fixed before the copy, so a
-    row written meanwhile is left for the next batch. Data goes first, state
-    second; a run that died in between is repeated into the same batch folder.
+
+def incremental_load(source: DataFrame, target_path: str, state_path: str, table: str, modified: str) -> int:
+    """Append the rows modified since the last load; returns the batch.
+
+    The new watermark is the largest value in the rows copied, found as they
+    are written, so the source is scanned once. Rows *at* the old watermark may
+    have come later: they are loaded too, but for those that earlier batches
+    hold. Rows without a value are kept in ``state_path/rejects/table``, which
+    each load writes anew. Data goes first, state second; a run that died in
+    between, or found nothing, is repeated into the same batch folder.
     """
     spark = source.sparkSession
     batch, value = watermark(spark, state_path, table)
     stamp = F.col(modified).cast("timestamp_ntz")
-    fresh = source.filter(stamp > F.lit(value).cast("timestamp_ntz"))
-    upper = fresh.agg(F.max(stamp).cast("string").alias("u")).first()["u"]
-    if upper is None:
+    source.filter(stamp.isNull()).write.mode("overwrite").parquet(f"{state_path}/rejects/{table}")
+    known = source.filter(stamp.isNotNull())
+    fresh = _not_loaded(known.filter(stamp >= F.lit(value).cast("timestamp_ntz")), target_path, batch, stamp, value) if batch else known
+    seen = Observation(f"load-{table}")
+    told = fresh.observe(seen, F.count(F.lit(1)).alias("n"), F.max(stamp).cast("string").alias("upper"))
+    told.write.mode("overwrite").parquet(f"{target_path}/batch_id={batch + 1}")
+    if not seen.get["n"]:
         return batch
-    batch += 1
-    rows = fresh.filter(stamp <= F.lit(upper).cast("timestamp_ntz"))
-    rows.write.mode("overwrite").parquet(f"{target_path}/batch_id={batch}")
-    state = spark.createDataFrame([(table, batch, upper)], "table_name string, batch_id long, value string")
+    state = spark.createDataFrame([(table, batch + 1, seen.get["upper"])], "table_name string, batch_id long, value string")
     state = state.select("table_name", "batch_id", F.col("value").cast("timestamp_ntz").alias("watermark_value"))
     state.write.mode("append").parquet(f"{state_path}/{table}")
-    return batch
+    return batch + 1
 
 
 def incremental_load_tables(
@@ -81,88 +104,112 @@ def incremental_load_tables(
 
 
 def scd2_history(
-    changes: DataFrame,
-    keys: Sequence[str],
-    tracked: Sequence[str],
-    effective: str,
-    sequence: str,
-    hot_rows: int = HOT_ROWS,
+    changes: DataFrame, keys: Sequence[str], tracked: Sequence[str], effective: str, sequence: str
 ) -> DataFrame:
     """Type-2 history: one row per run of unchanged ``tracked`` values.
 
     ``valid_from`` is the first ``effective`` value of the run, ``valid_to`` that
     of the next run (NULL while current). ``sequence`` orders changes at the
-    same time. Keys with more than ``hot_rows`` changes are worked on in range
-    partitions, the others in one window per key: both give the same rows.
+    same time. Changes are put in order by range, and work runs per range
+    partition, so that a key's changes need not fit one task.
     """
     versions = changes.select(
         *keys, *tracked, F.col(effective).alias("valid_from"), F.col(sequence).alias("_sequence")
     )
     versions = versions.withColumn("_hash", row_hash(raw_cells(versions, tracked)))
-    cold, hot = split_hot_keys(versions, keys, hot_rows)
-    columns = [*keys, *tracked, "valid_from", "valid_to", "is_current"]
-    out = _history_by_key(cold, keys).select(*columns)
-    return out if hot is None else out.unionAll(_history_by_range(hot, keys).select(*columns))
-
-
-def _history_by_key(versions: DataFrame, keys: Sequence[str]) -> DataFrame:
-    # Both windows share one shuffle and one sort.
-    window = W.partitionBy(*keys).orderBy("valid_from", "_sequence")
-    before = F.lag(F.struct("_hash")).over(window)
-    opened = versions.withColumn("_before", before).filter(
-        F.col("_before").isNull() | (F.col("_before._hash") != F.col("_hash"))
-    )
-    after = F.lead(F.struct("valid_from")).over(window)
-    closed = opened.withColumn("_after", after)
-    return closed.withColumns({"valid_to": F.col("_after.valid_from"), "is_current": F.col("_after").isNull()})
-
-
-def _history_by_range(versions: DataFrame, keys: Sequence[str]) -> DataFrame:
     ordered = in_order(versions, [*keys, "valid_from", "_sequence"], "scd2")
     compared = neighbour(ordered, keys, {"_hash": "_before"}, previous=True, found="_has_before")
     opened = compared.filter(~F.col("_has_before") | (F.col("_hash") != F.col("_before")))
     runs = materialise(opened, "scd2")
     closed = neighbour(runs, keys, {"valid_from": "valid_to"}, previous=False, found="_has_next")
-    return closed.withColumn("is_current", ~F.col("_has_next"))
-
-
-def _last_changes(target: DataFrame, changes: DataFrame, keys: Sequence[str], sequence: str, action: str) -> DataFrame:
-    """The last change per key with ``_present``: whether the target has it."""
-    last = materialise(first_per_key(changes, keys, [F.desc(sequence)]), "merge-changes")
-    present = target.select(*keys).join(last.select(*keys), list(keys), "left_semi").distinct()
-    return last.join(present.withColumn("_present", F.lit(True)), list(keys), "left").withColumn(
-        "_applies",
-        F.when(F.col(action) == "insert", F.col("_present").isNull())
-        .when(F.col(action).isin("update", "delete"), F.col("_present").isNotNull())
-        .otherwise(F.col(action) == "upsert"),
+    return closed.select(*keys, *tracked, "valid_from", "valid_to", (~F.col("_has_next")).alias("is_current"))
+
+
+def _same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], prefix: str) -> Column:
+    """Whether the keys are equal, NULL keys too; the right ones bear a prefix."""
+    same = F.lit(True)
+    for k in keys:
+        same = same & left[k].eqNullSafe(right[f"{prefix}{k}"])
+    return same
+
+
+def _keys_named(df: DataFrame, keys: Sequence[str], prefix: str) -> DataFrame:
+    return df.withColumnsRenamed({k: f"{prefix}{k}" for k in keys})
+
+
+def _in_sequence(df: DataFrame, sequence: str, action: str) -> Column:
+    """The order of changes; those with one sequence go by their cells."""
+    rest = [c for c in df.columns if c not in (sequence, action)]
+    return F.struct(F.col(sequence), F.col(action), F.xxhash64(*[f"`{c}`" for c in rest]))
+
+
+def _folded(changes: DataFrame, columns: Sequence[str], keys: Sequence[str], sequence: str, action: str) -> DataFrame:
+    """What a key's changes, in order, come to: a row per key.
+
+    ``_deleted``: whether one of them deletes. Of the changes after the last
+    delete: ``_first`` and its place ``_first_at``, the first that can make a
+    row, and ``_last``, ``_last_at``, the last that can change one. All are
+    minima and maxima, so a key may have any number of changes.
+    """
+    ordered = changes.withColumn("_at", _in_sequence(changes, sequence, action))
+    deletes = ordered.filter(F.col(action) == "delete").groupBy(*keys).agg(F.max("_at").alias("_delete"))
+    deletes = _keys_named(materialise(deletes, "merge-deletes"), keys, "_d_")
+    joined = ordered.join(deletes, _same_keys(ordered, deletes, keys, "_d_"), "left")
+    later = F.col("_delete").isNull() | (F.col("_at") > F.col("_delete"))
+    makes = later & F.col(action).isin("insert", "upsert")
+    sets = later & F.col(action).isin("update", "upsert")
+    row = F.struct(*[f"`{c}`" for c in columns])
+    return joined.groupBy(*[ordered[k] for k in keys]).agg(
+        F.max(F.col("_delete").isNotNull()).alias("_deleted"),
+        F.min(F.when(makes, F.col("_at"))).alias("_first_at"),
+        F.min_by(row, F.when(makes, F.col("_at"))).alias("_first"),
+        F.max(F.when(sets, F.col("_at"))).alias("_last_at"),
+        F.max_by(row, F.when(sets, F.col("_at"))).alias("_last"),
     )
 
 
 def merge_upsert(
     target: DataFrame, changes: DataFrame, keys: Sequence[str], sequence: str, action: str = "row_action"
 ) -> DataFrame:
-    """The target after the last change per key: insert, update, upsert, delete.
+    """The target after each key's changes, applied in order: insert, update, upsert, delete.
 
-    An insert of a present key and an update or delete of an absent one do
-    nothing (:func:`merge_conflicts` lists them). Write the result to a new
-    path: the target is read while the result is made.
+    An insert of a key that is present then, and an update or delete of one
+    that is absent, do nothing (:func:`merge_conflicts` lists them). The result
+    is the same wherever the changes are cut into batches. NULL keys are equal;
+    the target's keys should be unique. Write the result to a new path: the target
+    is read while the result is made.
     """
     columns = target.columns
-    applied = materialise(
-        _last_changes(target, changes, keys, sequence, action)
-        .filter("_applies")
-        .select(*[f"`{c}`" for c in columns], F.col(action).alias("_action")),
-        "merge",
+    folded = _keys_named(_folded(changes, columns, keys, sequence, action), keys, "_f_")
+    folded = folded.withColumn("_changed", F.lit(True))
+    held = target.withColumn("_row", F.struct(*[f"`{c}`" for c in columns]))
+    joined = held.join(folded, _same_keys(held, folded, keys, "_f_"), "full_outer")
+    made = F.when(F.col("_last_at") >= F.col("_first_at"), F.col("_last")).otherwise(F.col("_first"))
+    outcome = (
+        F.when(F.col("_changed").isNull(), F.col("_row"))
+        .when(F.col("_row").isNotNull() & ~F.col("_deleted"), F.coalesce("_last", "_row"))
+        .when(F.col("_first_at").isNotNull(), made)
     )
-    kept = target.join(applied.select(*keys), list(keys), "left_anti")
-    return kept.select(*columns).unionAll(applied.filter("_action <> 'delete'").select(*columns))
+    return joined.select(outcome.alias("_row")).filter(F.col("_row").isNotNull()).select("_row.*")
 
 
 def merge_conflicts(
     target: DataFrame, changes: DataFrame, keys: Sequence[str], sequence: str, action: str = "row_action"
 ) -> DataFrame:
-    """Last changes that cannot apply: ``keys`` and the action."""
-    return _last_changes(target, changes, keys, sequence, action).filter("NOT _applies").select(*keys, action)
+    """Changes that do nothing when their turn comes: ``keys``, the sequence and the action.
+
+    Whether a key is present then follows from its last insert, upsert or
+    delete before, or else from the target. Changes are put in order by range,
+    so a key's changes need not fit one task.
+    """
+    settles = F.col(action).isin("insert", "upsert", "delete")
+    ordered = in_order(changes.withColumn("_at", _in_sequence(changes, sequence, action)), [*keys, "_at"], "merge-order")
+    before = neighbour(ordered, keys, {action: "_before"}, previous=True, found="_settled", marked=settles)
+    present = _keys_named(target.select(*keys).distinct().withColumn("_present", F.lit(True)), keys, "_t_")
+    joined = before.join(present, _same_keys(before, present, keys, "_t_"), "left")
+    there = F.when(F.col("_settled"), F.col("_before") != "delete").otherwise(F.col("_present").isNotNull())
+    idle = F.when(F.col(action) == "insert", there).when(F.col(action).isin("update", "delete"), ~there).otherwise(F.lit(False))
+    return joined.filter(idle).select(*keys, sequence, action)
 
 
 def changelog_replay(
@@ -172,18 +219,21 @@ def changelog_replay(
     event: str = "event_type",
     new_values: str = "new_values",
 ) -> DataFrame:
-    """Current state of each record, one row per field: ``field, value``.
+    """State of each record: ``alive``, and a row per ``field, value`` if it is.
 
     INSERT starts a record anew, UPDATE overwrites the fields it names, DELETE
-    ends it. Only the last write per field matters, so everything is a
-    combinable maximum and a record may have any number of events. A record
-    whose last event is a DELETE is absent.
+    ends it: what comes between a DELETE and the next INSERT does nothing. A
+    record that is dead, or has no fields, has one row without a field. Only the
+    last write per field matters, so everything is a combinable maximum and a
+    record may have any number of events.
     """
     kind = F.upper(event)
     life = log.groupBy(*record).agg(
-        F.max_by(kind, sequence).alias("_last"),
-        F.max(F.when(kind.isin("INSERT", "DELETE"), F.col(sequence))).alias("_reset"),
+        F.max(F.when(kind == "INSERT", F.col(sequence))).alias("_born"),
+        F.max(F.when(kind == "DELETE", F.col(sequence))).alias("_died"),
     )
+    alive = F.col("_died").isNull() | F.coalesce(F.col("_born") > F.col("_died"), F.lit(False))
+    life = life.withColumn("alive", alive)
     values = F.from_json(new_values, "map<string,string>")
     writes = log.filter(kind != "DELETE").select(
         *record, F.col(sequence).alias("_sequence"), F.explode(values).alias("field", "value")
@@ -191,9 +241,9 @@ def changelog_replay(
     fields = writes.groupBy(*record, "field").agg(
         F.max_by("value", "_sequence").alias("value"), F.max("_sequence").alias("_sequence")
     )
-    alive = life.filter("_last <> 'DELETE'").select(*record, "_reset")
-    joined = fields.join(alive, list(record))
-    return joined.filter("_reset IS NULL OR _sequence >= _reset").select(*record, "field", "value")
+    fields = _keys_named(fields, record, "_w_")
+    current = _same_keys(life, fields, record, "_w_") & life["alive"] & (life["_born"].isNull() | (fields["_sequence"] >= life["_born"]))
+    return life.join(fields, current, "left").select(*record, "alive", "field", "value")
 
 
 def load_table(df: DataFrame, path: str, name: str) -> DataFrame:

@@ -3,7 +3,7 @@
 A window per key puts a hot key into one task. Here rows are put in order by a
 range shuffle and written with their partition and their position in it; the
 window then runs per range partition, and the rows at the borders, one per
-partition, are handed over separately.
+partition, are handed over by a window of their own.
 """
 
 from __future__ import annotations
@@ -14,33 +14,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from drayage.session import materialise, partitions_for
+from drayage.session import materialise
 
 # monotonically_increasing_id() is (partition << 33) + position in partition.
 POSITION_BITS = 33
 PART, POSITION = "_part", "_pos"
 
-# A key with up to so many rows is sorted by one task in its stride.
-HOT_ROWS = 5_000_000
-
-
-def split_hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame | None]:
-    """``df`` without the rows of its hot keys, and those rows (None if none).
-
-    Counting is combined on the map side; the hot keys are at most
-    ``rows / hot_rows``.
-    """
-    names = [f"_hot{i}" for i in range(len(keys))]
-    counted = df.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names)]).agg(F.count(F.lit(1)).alias("_rows"))
-    hot = materialise(counted.filter(F.col("_rows") > hot_rows).select(*names), "hot-keys")
-    if hot.isEmpty():
-        return df, None
-    same = F.lit(True)
-    for k, n in zip(keys, names):
-        same = same & df[k].eqNullSafe(hot[n])
-    return df.join(hot, same, "left_anti"), df.join(hot, same, "left_semi")
-
-
 def in_order(df: DataFrame, order_by: Sequence[Column | str], label: str) -> DataFrame:
     """``df`` written in order, with ``_part`` and ``_pos``.
 
@@ -51,9 +30,7 @@ def in_order(df: DataFrame, order_by: Sequence[Column | str], label: str) -> Dat
     columns = df.columns
     order = [F.col(o) if isinstance(o, str) else o for o in order_by] + [F.col("_seq")]
     sequenced = df.withColumn("_seq", F.monotonically_increasing_id())
-    wanted = partitions_for(df)
-    spread = sequenced.repartitionByRange(wanted, *order) if wanted else sequenced.repartitionByRange(*order)
-    ordered = spread.sortWithinPartitions(*order)
+    ordered = sequenced.repartitionByRange(*order).sortWithinPartitions(*order)
     row_id = F.monotonically_increasing_id()
     numbered = ordered.select(
         *[f"`{c}`" for c in columns],
@@ -64,32 +41,37 @@ def in_order(df: DataFrame, order_by: Sequence[Column | str], label: str) -> Dat
 
 
 def neighbour(
-    ordered: DataFrame, keys: Sequence[str], columns: Mapping[str, str], previous: bool, found: str
+    ordered: DataFrame,
+    keys: Sequence[str],
+    columns: Mapping[str, str],
+    previous: bool,
+    found: str,
+    marked: Column | None = None,
 ) -> DataFrame:
-    """Add columns of the previous or next row with the same keys.
+    """Add columns of the nearest previous or next row with the same keys.
 
     ``ordered`` comes from :func:`in_order` sorted by the keys first, possibly
     filtered since. ``columns`` maps column names to the names to add; they are
-    NULL, and ``found`` is false, where there is no such row.
+    NULL, and ``found`` is false, where there is no such row. With ``marked``
+    only the rows it holds for count as previous rows.
+
+    What a range partition needs of those before (or after) it is one row: a
+    window over one small row per partition finds it.
     """
     wanted = list(dict.fromkeys([*keys, *columns]))
-    row = F.struct(*wanted)
-    window = W.partitionBy(PART).orderBy(POSITION)
-    inside = F.lag(row).over(window) if previous else F.lead(row).over(window)
-    # One row per partition: its last (or first) row, keyed by the partition
-    # that follows (or precedes) it among those that have rows.
-    edge = F.max_by(row, POSITION) if previous else F.min_by(row, POSITION)
-    edges = ordered.groupBy(PART).agg(edge.alias("_edge")).orderBy(PART).collect()
-    handed = [
-        (to[PART], frm["_edge"])
-        for frm, to in (zip(edges, edges[1:]) if previous else zip(edges[1:], edges))
-    ]
-    schema = ordered.select(F.col(PART), row.alias("_edge")).schema
-    borders = ordered.sparkSession.createDataFrame(handed, schema)
-    # Each written partition becomes one task again: hashing would put several
-    # of them together.
-    placed = ordered.repartitionById(edges[-1][PART] + 1 if edges else 1, PART)
-    joined = placed.withColumn("_inside", inside).join(F.broadcast(borders), PART, "left")
+    row, place = F.struct(*wanted), F.col(POSITION)
+    window, parts = W.partitionBy(PART).orderBy(POSITION), W.orderBy(PART)
+    earlier = (W.unboundedPreceding, -1)
+    if marked is not None:
+        row, place = F.when(marked, row), F.when(marked, place)
+        inside = F.last(row, True).over(window.rowsBetween(*earlier))
+    else:
+        inside = F.lag(row).over(window) if previous else F.lead(row).over(window)
+    edges = ordered.groupBy(PART).agg((F.max_by(row, place) if previous else F.min_by(row, place)).alias("_edge"))
+    handed = F.last("_edge", True).over(parts.rowsBetween(*earlier)) if previous else F.lead("_edge").over(parts)
+    borders = materialise(edges.select(PART, handed.alias("_edge")), "borders")
+    # A written partition goes to one task again; several may share one.
+    joined = ordered.withColumn("_inside", inside).join(borders, PART, "left")
     other = F.coalesce("_inside", "_edge")
     same = other.isNotNull()
     for k in keys:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,19 +15,21 @@ from drayage.session import scratch_path
 @query(
     "incremental_load",
     """
-    SELECT event_id, ts, event_type,
-           CASE WHEN ts < TIMESTAMP '2024-01-10' THEN 1 WHEN ts < TIMESTAMP '2024-01-20' THEN 2 ELSE 3 END::BIGINT
-               AS batch_id
+    SELECT event_id, date_trunc('day', ts)::TIMESTAMP AS day, event_type,
+           CASE WHEN ts < TIMESTAMP '2024-01-09' OR (ts < TIMESTAMP '2024-01-10' AND event_id % 2 = 0) THEN 1
+                WHEN ts < TIMESTAMP '2024-01-19' OR (ts < TIMESTAMP '2024-01-20' AND event_id % 2 = 0) THEN 2
+                ELSE 3 END::BIGINT AS batch_id
     FROM events
     """,
 )
 def incremental_load(t: Tables) -> DataFrame:
+    """By day: half of a run's last day comes only after the run, at its watermark."""
     base = scratch_path(t.spark, "incremental")
-    source = t.events.select("event_id", "ts", "event_type")
-    days = ["2024-01-10", "2024-01-20", "2100-01-01", "2100-01-01"]  # the last run finds nothing new
-    for day in days:
-        seen = source.filter(F.col("ts") < F.lit(day).cast("timestamp_ntz"))
-        load.incremental_load(seen, f"{base}/target", f"{base}/state", "events", "ts")
+    source = t.events.select("event_id", F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day"), "event_type")
+    for last in ("2024-01-09", "2024-01-19", "2100-01-01", "2100-01-01"):  # the last run finds nothing new
+        day = F.lit(last).cast("timestamp_ntz")
+        seen = source.filter((F.col("day") < day) | ((F.col("day") == day) & (F.col("event_id") % 2 == 0)))
+        load.incremental_load(seen, f"{base}/target", f"{base}/state", "events", "day")
     loaded = t.spark.read.parquet(f"{base}/target")
     return loaded.withColumn("batch_id", F.col("batch_id").cast("long"))
 
@@ -75,69 +79,81 @@ def scd2_history(t: Tables) -> DataFrame:
 
 
 def order_changes(t: Tables) -> DataFrame:
-    """Updates, later deletes, inserts of new and of present keys."""
+    """Changes of all kinds, also several of one key that undo each other."""
     source = t.orders.select("o_orderkey", "o_custkey", "o_totalprice")
-    price = (F.col("o_totalprice") + 1).alias("o_totalprice")
-    new_key = (F.col("o_orderkey") + 10_000_000).alias("o_orderkey")
-
-    def part(rows: DataFrame, key, price, sequence: int, action: str) -> DataFrame:
-        return rows.select(key, "o_custkey", price, F.lit(sequence).alias("seq"), F.lit(action).alias("row_action"))
 
-    key, same = F.col("o_orderkey"), F.col("o_totalprice")
-    parts = [
-        part(source.filter("o_orderkey % 3 = 0"), key, price, 1, "update"),
-        part(source.filter("o_orderkey % 6 = 0"), key, same, 2, "delete"),
-        part(source.filter("o_orderkey % 7 = 0"), new_key, same, 1, "upsert"),
-        part(source.filter("o_orderkey % 35 = 0"), new_key, price, 2, "upsert"),
-        part(source.filter("o_orderkey % 11 = 1"), key, price, 3, "insert"),
-        part(source.filter("o_orderkey % 13 = 0"), (F.col("o_orderkey") + 20_000_000).alias("o_orderkey"), same, 1, "update"),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionAll(p)
-    return out
-
-
-CHANGES = """
-    WITH target AS (SELECT o_orderkey, o_custkey, o_totalprice FROM orders),
-    changes AS (
-        SELECT o_orderkey, o_custkey, o_totalprice + 1 AS o_totalprice, 1 AS seq, 'update' AS row_action
-        FROM orders WHERE o_orderkey % 3 = 0
-        UNION ALL SELECT o_orderkey, o_custkey, o_totalprice, 2, 'delete' FROM orders WHERE o_orderkey % 6 = 0
-        UNION ALL SELECT o_orderkey + 10000000, o_custkey, o_totalprice, 1, 'upsert'
-                  FROM orders WHERE o_orderkey % 7 = 0
-        UNION ALL SELECT o_orderkey + 10000000, o_custkey, o_totalprice + 1, 2, 'upsert'
-                  FROM orders WHERE o_orderkey % 35 = 0
-        UNION ALL SELECT o_orderkey, o_custkey, o_totalprice + 1, 3, 'insert' FROM orders WHERE o_orderkey % 11 = 1
-        UNION ALL SELECT o_orderkey + 20000000, o_custkey, o_totalprice, 1, 'update'
-                  FROM orders WHERE o_orderkey % 13 = 0
-    ), last AS (
-        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY seq DESC) AS rn FROM changes)
-        WHERE rn = 1
-    ), flagged AS (
-        SELECT l.*, CASE row_action WHEN 'insert' THEN t.o_orderkey IS NULL WHEN 'upsert' THEN TRUE
-                                    ELSE t.o_orderkey IS NOT NULL END AS applies
-        FROM last l LEFT JOIN target t USING (o_orderkey)
+    def part(where: str, shift: int, rise: int, sequence: int, action: str) -> DataFrame:
+        return source.filter(where).select(
+            (F.col("o_orderkey") + shift).alias("o_orderkey"),
+            "o_custkey",
+            (F.col("o_totalprice") + rise).alias("o_totalprice"),
+            F.lit(sequence).alias("seq"),
+            F.lit(action).alias("row_action"),
+        )
+
+    return reduce(DataFrame.unionAll, [part(*x) for x in ORDER_CHANGES])
+
+
+# Which orders, what is added to key and price, sequence and action.
+ORDER_CHANGES = [
+    ("o_orderkey % 3 = 0", 0, 1, 1, "update"),
+    ("o_orderkey % 6 = 0", 0, 0, 2, "delete"),
+    ("o_orderkey % 11 = 1", 0, 1, 3, "insert"),
+    ("o_orderkey % 12 = 0", 0, 5, 4, "update"),
+    ("o_orderkey % 7 = 0", 10_000_000, 0, 1, "upsert"),
+    ("o_orderkey % 35 = 0", 10_000_000, 1, 2, "upsert"),
+    ("o_orderkey % 21 = 0", 10_000_000, 0, 3, "delete"),
+    ("o_orderkey % 13 = 0", 20_000_000, 0, 1, "update"),
+    ("o_orderkey % 5 = 0", 30_000_000, 0, 1, "insert"),
+    ("o_orderkey % 10 = 0", 30_000_000, 2, 2, "update"),
+    ("o_orderkey % 20 = 0", 30_000_000, 9, 3, "insert"),
+]
+
+# The changes folded one by one: present and price after each.
+CHANGES = (
+    """
+    WITH RECURSIVE target AS (SELECT o_orderkey, o_custkey, o_totalprice FROM orders),
+    changes AS ("""
+    + " UNION ALL ".join(
+        f"SELECT o_orderkey + {shift} AS o_orderkey, o_custkey, o_totalprice + {rise} AS o_totalprice, {seq} AS seq, "
+        f"'{action}' AS row_action FROM orders WHERE {where}"
+        for where, shift, rise, seq, action in ORDER_CHANGES
     )
+    + """),
+    numbered AS (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY seq) AS rn FROM changes),
+    fold AS (
+        SELECT k.o_orderkey, 0::BIGINT AS rn, t.o_orderkey IS NOT NULL AS present, t.o_custkey, t.o_totalprice,
+               0 AS seq, NULL::VARCHAR AS row_action, FALSE AS idle
+        FROM (SELECT DISTINCT o_orderkey FROM changes) k LEFT JOIN target t USING (o_orderkey)
+        UNION ALL
+        SELECT f.o_orderkey, n.rn,
+               CASE n.row_action WHEN 'delete' THEN FALSE WHEN 'update' THEN f.present ELSE TRUE END,
+               CASE WHEN n.row_action = 'upsert' OR (n.row_action = 'update') = f.present AND n.row_action <> 'delete'
+                    THEN n.o_custkey ELSE f.o_custkey END,
+               CASE WHEN n.row_action = 'upsert' OR (n.row_action = 'update') = f.present AND n.row_action <> 'delete'
+                    THEN n.o_totalprice ELSE f.o_totalprice END,
+               n.seq, n.row_action,
+               CASE n.row_action WHEN 'insert' THEN f.present WHEN 'upsert' THEN FALSE ELSE NOT f.present END
+        FROM fold f JOIN numbered n ON n.o_orderkey = f.o_orderkey AND n.rn = f.rn + 1
+    ),
+    ended AS (SELECT * FROM fold QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY rn DESC) = 1)
 """
+)
 
-
-@query(
-    "merge_upsert",
-    CHANGES
-    + """
-    SELECT t.* FROM target t WHERE NOT EXISTS
-        (SELECT 1 FROM flagged f WHERE f.applies AND f.o_orderkey = t.o_orderkey)
+MERGED = """
+    SELECT t.* FROM target t WHERE o_orderkey NOT IN (SELECT o_orderkey FROM ended)
     UNION ALL
-    SELECT o_orderkey, o_custkey, o_totalprice FROM flagged WHERE applies AND row_action <> 'delete'
-    """,
-)
+    SELECT o_orderkey, o_custkey, o_totalprice FROM ended WHERE present
+"""
+
+
+@query("merge_upsert", CHANGES + MERGED)
 def merge_upsert(t: Tables) -> DataFrame:
     target = t.orders.select("o_orderkey", "o_custkey", "o_totalprice")
     return load.merge_upsert(target, order_changes(t), ["o_orderkey"], "seq")
 
 
-@query("merge_conflicts", CHANGES + "SELECT o_orderkey, row_action FROM flagged WHERE NOT applies")
+@query("merge_conflicts", CHANGES + "SELECT o_orderkey, seq, row_action FROM fold WHERE idle")
 def merge_conflicts(t: Tables) -> DataFrame:
     target = t.orders.select("o_orderkey", "o_custkey", "o_totalprice")
     return load.merge_conflicts(target, order_changes(t), ["o_orderkey"], "seq")
@@ -161,20 +177,24 @@ def change_log(t: Tables) -> DataFrame:
 @query(
     "changelog_replay",
     """
-    WITH life AS (
-        SELECT user_id AS record_id, max_by(event_type, event_id) AS last_type,
-               max(event_id) FILTER (event_type IN ('signup', 'error')) AS reset
-        FROM events GROUP BY user_id
-    ), writes AS (
-        SELECT user_id AS record_id, event_id, unnest([event_type || '_' || event_id % 5, 'props']) AS field,
-               unnest([event_id::VARCHAR, props]) AS value
-        FROM events WHERE event_type <> 'error'
-    ), fields AS (
-        SELECT record_id, field, max_by(value, event_id) AS value, max(event_id) AS event_id
-        FROM writes GROUP BY record_id, field
-    )
-    SELECT record_id, field, value FROM fields JOIN life USING (record_id)
-    WHERE last_type <> 'error' AND (reset IS NULL OR event_id >= reset)
+    WITH RECURSIVE log AS (
+        SELECT user_id AS record_id, event_id, event_type, props,
+               row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events
+    ), fold AS (
+        SELECT DISTINCT record_id, 0::BIGINT AS rn, TRUE AS alive, MAP {}::MAP(VARCHAR, VARCHAR) AS fields FROM log
+        UNION ALL
+        SELECT f.record_id, l.rn,
+               CASE l.event_type WHEN 'signup' THEN TRUE WHEN 'error' THEN FALSE ELSE f.alive END,
+               CASE WHEN l.event_type = 'error' THEN MAP {}::MAP(VARCHAR, VARCHAR)
+                    WHEN l.event_type = 'signup'
+                    THEN MAP {'signup_' || l.event_id % 5: l.event_id::VARCHAR, 'props': l.props}
+                    WHEN f.alive
+                    THEN map_concat(f.fields, MAP {l.event_type || '_' || l.event_id % 5: l.event_id::VARCHAR, 'props': l.props})
+                    ELSE f.fields END
+        FROM fold f JOIN log l ON l.record_id = f.record_id AND l.rn = f.rn + 1
+    ), ended AS (SELECT * FROM fold QUALIFY row_number() OVER (PARTITION BY record_id ORDER BY rn DESC) = 1)
+    SELECT record_id, alive, e.key AS field, e.value AS value
+    FROM ended, unnest(CASE WHEN alive AND cardinality(fields) > 0 THEN map_entries(fields) ELSE [NULL] END) AS u(e)
     """,
 )
 def changelog_replay(t: Tables) -> DataFrame:
