@@ -33,6 +33,16 @@ def small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
+def partly_joined(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """``id``, ``component``: ids of one name are connected, but not all that are connected have one name.
+
+    A single round, for where a rough answer will do.
+    """
+    edges = links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
+    moved = small_star(large_star(edges))
+    return materialise(moved.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component")), "joined")
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``id``, ``component`` of every linked id but the smallest of each component.
 

@@ -9,17 +9,19 @@ to is lost, while a group of thousands of copies costs a few comparisons each.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from drayage.llm.components import components
+from drayage.llm.components import components, partly_joined
 from drayage.session import materialise
 
 # Leaders that an id is compared with in a round.
 LEADERS = 3
 
-# Rounds end once the pairs left are no more than the rows of the index; after so many at any rate.
-MAX_LEADER_ROUNDS = 5
+# Rounds end once the pairs left are no more than the rows of the index, or a round has left more than this share of them.
+WORTH = 0.7
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -107,13 +109,11 @@ def cluster(index: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     able = index.join(keys, "key").where(100 * F.col("m") >= percent * union)
     left = materialise(able.select("key", "id", "n", "m", F.col("id").alias("component")), "index")
     kept, rows = left.drop("component"), left.count()
-    links = found = None
-    for round_no in range(MAX_LEADER_ROUNDS):
-        if pairs_left(left) <= rows:
-            break
+    links, round_no, before, now = None, 0, math.inf, pairs_left(left)
+    while rows < now <= WORTH * before:
         new = verified(with_leaders(left, percent, round_no), sets, percent)
         links = materialise(new if links is None else links.unionByName(new), "links")
-        found = components(links)
-        left = materialise(labelled(kept, found), "left")
+        left = materialise(labelled(kept, partly_joined(links)), "left")
+        round_no, before, now = round_no + 1, now, pairs_left(left)
     new = verified(across(left, percent).distinct(), sets, percent)
     return components(new if links is None else links.unionByName(new))

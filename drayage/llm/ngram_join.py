@@ -14,6 +14,8 @@ frequent ones in combinations of k. All candidates are verified on whole sets.
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from itertools import combinations
 
@@ -36,13 +38,8 @@ FREQUENT = ((64, 2), (4096, 3))
 # The first prefix is longer than what a similar set may lack by the size over this; as many must be shared.
 MORE = 8
 
-# Below this level (sets of under 2 ** level shingles) shingles count singly.
-COMBINED_FROM = 5
-
-
-def missing(n: int, percent: int) -> int:
-    """How many members of a set of ``n`` a similar set may lack."""
-    return n - -(-percent * n // 100)
+# In sets of fewer shingles all count singly.
+COMBINED_FROM = 32
 
 
 def shingle_sets(batch: pa.RecordBatch, text: str, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -133,41 +130,51 @@ def refill_batches(text: str, width: int, bits: np.ndarray) -> Callable:
     return run
 
 
-def levels(n: int, percent: int) -> set[int]:
-    """Levels at which a set of ``n`` may meet a similar one: of the smaller of the two sizes."""
-    return {n.bit_length() - 1, (-(-percent * n // 100)).bit_length() - 1}
+def size_classes(growth: float = 1.15, top: int = 1 << 40) -> list[int]:
+    """The least size of each class: single sizes first, then sizes that differ by a seventh at most."""
+    out = [1]
+    while out[-1] < top:
+        out.append(max(out[-1] + 1, math.ceil(out[-1] * growth)))
+    return out
+
+
+LEAST = size_classes()
 
 
 def signatures(n: int, hashes: np.ndarray, counts: np.ndarray, percent: int, frequent=FREQUENT) -> Iterator[int]:
     """Keys of a set of ``n``, given those of its members that other sets have too.
 
-    Members that no other set has come first; then the rare ones by frequency,
-    then the frequent classes. In a class that counts k members together,
-    members are dealt to groups by their hash, and a group with m members of the
-    prefix stands for m - k + 1 single ones. The prefix ends as soon as this
-    makes one more than a similar set may lack: so a similar set shares k
-    members in at least one group, whose combination both emit.
+    Similar sets are met class by class of their size, which bounds what they
+    may lack. Members that no other set has come first; then the rare ones by
+    frequency, then the frequent classes. In a class that counts k members
+    together, members are dealt to groups by their hash, and a group with m
+    members of the prefix stands for m - k + 1 single ones. The prefix ends as
+    soon as this makes one more than a similar set may lack: so a similar set
+    shares k members in at least one group, whose combination both emit.
     """
-    lacking = missing(n, percent)
-    rest = lacking + 1 - (n - len(hashes))
-    if rest <= 0:
-        return
     order = np.lexsort((hashes, counts))
     hashes, counts = hashes[order].tolist(), counts[order].tolist()
-    for level in sorted(levels(n, percent)):
-        need, groups = rest, {}
+    own = bisect_right(LEAST, n) - 1
+    smallest, largest = -(-percent * n // 100), 100 * n // percent
+    for other in range(bisect_right(LEAST, smallest) - 1, bisect_right(LEAST, largest)):
+        common = -(-percent * (n + max(LEAST[other], smallest)) // (100 + percent))
+        need = len(hashes) - common + 1
+        if need <= 0:
+            continue
+        low, high = min(own, other), max(own, other)
+        size, groups = LEAST[low], {}
         for h, count in zip(hashes, counts):
             k = 1
-            if level >= COMBINED_FROM:
-                for least, size in frequent:
-                    k = size if count >= least else k
+            if size >= COMBINED_FROM:
+                for least, together in frequent:
+                    k = together if count >= least else k
             if k == 1:
-                yield hash((level, h))
+                yield hash((low, high, h))
                 need -= 1
             else:
-                mates = groups.setdefault((k, (h >> 7) % (1 << (level - k))), [])
+                mates = groups.setdefault((k, (h >> 7) % (size >> k)), [])
                 for some in combinations(mates, k - 1):
-                    yield hash((level, *sorted((*some, h))))
+                    yield hash((low, high, *sorted((*some, h))))
                 mates.append(h)
                 need -= len(mates) >= k
             if need <= 0:
