@@ -17,11 +17,15 @@ TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 
 
 def canonical_text(column: Column, data_type: T.DataType) -> Column:
-    """``column`` as text: fixed decimals, fixed timestamps, NULL stays NULL."""
+    """``column`` as text: plain decimals, fixed timestamps, NULL stays NULL.
+
+    Different doubles have different texts: what six decimals cannot hold
+    exactly is printed in full.
+    """
     if isinstance(data_type, (T.DoubleType, T.FloatType)):
-        as_decimal = column.try_cast(T.DecimalType(38, DOUBLE_SCALE)).cast("string")
-        # Infinities, NaN and magnitudes past 32 digits have no decimal form.
-        return F.coalesce(as_decimal, column.cast("string"))
+        as_decimal = column.try_cast(T.DecimalType(38, DOUBLE_SCALE))
+        exact = as_decimal.cast(data_type) == column
+        return F.when(exact, as_decimal.cast("string")).otherwise(column.cast("string"))
     if isinstance(data_type, (T.TimestampType, T.TimestampNTZType)):
         return F.date_format(column, TIMESTAMP_FORMAT)
     if isinstance(data_type, T.BinaryType):
@@ -47,6 +51,8 @@ def raw_cells(df: DataFrame, columns: Sequence[str]) -> list[Column]:
 
 def raw_cell(column: str, data_type: T.DataType) -> Column:
     value = F.col(f"`{column}`")
+    if isinstance(data_type, (T.DoubleType, T.FloatType)):
+        return value + F.lit(0).cast(data_type)  # -0.0 is 0.0
     return value if is_hashable(data_type) else canonical_text(value, data_type)
 
 

@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 from drayage.session import materialise
 
 
-def dependency_waves(nodes: DataFrame, edges: DataFrame, max_waves: int = 10_000) -> DataFrame:
+# Rounds after which the waves found are written as one table.
+FOLD_ROUNDS = 8
+
+
+def dependency_waves(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Wave of each table: 1 + the largest wave among the tables it refers to.
 
     ``nodes`` holds ``node, row_count``; ``edges`` holds ``child, parent``.
@@ -17,7 +21,9 @@ def dependency_waves(nodes: DataFrame, edges: DataFrame, max_waves: int = 10_000
 
     One written table per round: the references whose parent itself still
     waits. A node's wave is one more than the rounds it waited in, so work
-    shrinks with what is left, and rounds stop when nothing is released.
+    shrinks with what is left, and rounds stop when nothing is released,
+    however deep the graph. What a round tells of its nodes is folded into one
+    table every few rounds.
     """
     known = nodes.select("node")
     waiting = edges.select("child", "parent").distinct().filter("child <> parent")
@@ -25,22 +31,20 @@ def dependency_waves(nodes: DataFrame, edges: DataFrame, max_waves: int = 10_000
         waiting = waiting.join(known.withColumnRenamed("node", end), end, "left_semi")
     waiting = materialise(waiting, "waves")
     left = waiting.count()
-    rounds: list[DataFrame] = []
-    stuck = None
+    waited = stuck = None
+    rounds = 0
     while left:
-        if len(rounds) == max_waves:
-            raise RuntimeError(f"more than {max_waves} waves")
-        rounds.append(waiting)
+        rounds += 1
+        children = waiting.select(F.col("child").alias("node")).distinct().withColumn("rounds", F.lit(rounds))
+        waited = children if waited is None else waited.unionAll(children)
+        if rounds % FOLD_ROUNDS == 0:
+            waited = materialise(waited.groupBy("node").agg(F.max("rounds").alias("rounds")), "waves")
         blocked = waiting.select(F.col("child").alias("parent")).distinct()
         waiting = materialise(waiting.join(blocked, "parent", "left_semi").select("child", "parent"), "waves")
         before, left = left, waiting.count()
         if left == before:
             stuck = waiting
             break
-    waited = None
-    for i, part in enumerate(rounds, start=1):
-        children = part.select(F.col("child").alias("node"), F.lit(i).alias("rounds"))
-        waited = children if waited is None else waited.unionAll(children)
     if waited is None:
         return nodes.withColumn("wave", F.lit(1))
     out = nodes.join(waited.groupBy("node").agg(F.max("rounds").alias("rounds")), "node", "left")

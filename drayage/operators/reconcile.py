@@ -54,26 +54,37 @@ class Reconciliation:
         """Keys with several rows on a side."""
         return self.states.filter("n_source > 1 OR n_target > 1").select(*self.keys, "n_source", "n_target")
 
-    def mismatches(self) -> DataFrame:
-        """One row per key and differing cell: ``column_name, source, target``.
-
-        A key with several rows on a side is represented by the row whose cells
-        sort last.
-        """
+    def _surplus(self) -> DataFrame:
+        """Rows of differing keys that one side has more often: ``_cells`` and ``_more``, below 0 for the target."""
         suspects = self.states.filter("differs").select(*[F.col(k).alias(f"_{k}") for k in self.keys])
         both = None
-        for side, df in (("s", self.source), ("t", self.target)):
+        for more, df in ((1, self.source), (-1, self.target)):
             condition = F.lit(True)
             for k in self.keys:
                 condition = condition & df[k].eqNullSafe(suspects[f"_{k}"])
             rows = df.join(suspects, condition, "left_semi")
             cells = F.struct(*compared_cells(df, self.columns))
-            part = rows.select(*self.keys, F.lit(side).alias("_side"), cells.alias("_cells"))
+            part = rows.select(*self.keys, cells.alias("_cells"), F.lit(more).cast("long").alias("_more"))
             both = part if both is None else both.unionAll(part)
-        pairs = both.groupBy(*self.keys).agg(
-            F.max(F.when(F.col("_side") == "s", F.col("_cells"))).alias("_s"),
-            F.max(F.when(F.col("_side") == "t", F.col("_cells"))).alias("_t"),
+        return both.groupBy(*self.keys, "_cells").agg(F.sum("_more").alias("_more")).filter("_more <> 0")
+
+    def _paired(self) -> DataFrame:
+        """Per differing key: its unmatched rows per side, and the cells of one on each."""
+        more = F.col("_more")
+        return self._surplus().groupBy(*self.keys).agg(
+            F.sum(F.greatest(more, F.lit(0))).alias("_n_s"),
+            F.sum(F.greatest(-more, F.lit(0))).alias("_n_t"),
+            F.max(F.when(more > 0, F.col("_cells"))).alias("_s"),
+            F.max(F.when(more < 0, F.col("_cells"))).alias("_t"),
         )
+
+    def mismatches(self) -> DataFrame:
+        """One row per key and differing cell: ``column_name, source, target``.
+
+        Rows of a key that both sides have are taken away first. What is left
+        can be told apart by cell if it is one row on each side; the rows of
+        other keys are in :meth:`unmatched_rows`.
+        """
         cells = F.array(
             *[
                 F.struct(
@@ -85,11 +96,29 @@ class Reconciliation:
             ]
         )
         changed = F.filter(cells, lambda x: ~x["source"].eqNullSafe(x["target"]))
+        pairs = self._paired().filter("_n_s = 1 AND _n_t = 1")
         return pairs.select(*self.keys, F.explode(changed).alias("_cell")).select(*self.keys, "_cell.*")
 
+    def unmatched_rows(self) -> DataFrame:
+        """Rows that a side has more often, of keys that cannot be compared row by row.
+
+        ``side`` and ``row_count`` tell where and by how many; cells are text.
+        """
+        apart = self._paired().filter("_n_s <> 1 OR _n_t <> 1").select(*[F.col(k).alias(f"_{k}") for k in self.keys])
+        surplus = self._surplus()
+        condition = F.lit(True)
+        for k in self.keys:
+            condition = condition & surplus[k].eqNullSafe(apart[f"_{k}"])
+        rows = surplus.join(apart, condition, "left_semi")
+        side = F.when(F.col("_more") > 0, "source").otherwise("target")
+        return rows.select(*self.keys, side.alias("side"), F.abs("_more").alias("row_count"), "_cells.*")
+
     def summary(self) -> DataFrame:
         """One row of totals."""
         one = F.count(F.lit(1))
+        paired = (F.col("_n_s") == 1) & (F.col("_n_t") == 1)
+        cells = F.array(*[F.struct(F.col("_s").getField(c).alias("s"), F.col("_t").getField(c).alias("t")) for c in self.columns])
+        changed = F.size(F.filter(cells, lambda x: ~x["s"].eqNullSafe(x["t"])))
         parts = [
             self.source.agg(one.alias("source_count")),
             self.target.agg(one.alias("target_count")),
@@ -98,8 +127,12 @@ class Reconciliation:
                 F.count_if(F.col("n_source") == 0).alias("extra_in_target"),
                 F.count_if(F.col("n_source") > 1).alias("duplicate_source_keys"),
                 F.count_if(F.col("n_target") > 1).alias("duplicate_target_keys"),
+                F.count_if("differs").alias("differing_keys"),
+            ),
+            self._paired().agg(
+                F.coalesce(F.sum(F.when(paired, changed.cast("long"))), F.lit(0).cast("long")).alias("value_mismatches"),
+                F.coalesce(F.sum(F.when(~paired, F.col("_n_s") + F.col("_n_t"))), F.lit(0).cast("long")).alias("unmatched_rows"),
             ),
-            self.mismatches().agg(one.alias("value_mismatches")),
         ]
         # Each part is one row with its own columns; adding them up is one row.
         rows = parts[0]

@@ -115,15 +115,19 @@ def plan_outcome(steps: DataFrame) -> DataFrame:
     return steps.groupBy("plan_id").agg(F.when(failed, FAILED).otherwise(COMPLETED).alias("outcome"))
 
 
-def dependency_gate(steps: DataFrame, max_rounds: int = 1_000) -> DataFrame:
+# Rounds after which what was reached is written as one table.
+FOLD_ROUNDS = 8
+
+
+def dependency_gate(steps: DataFrame) -> DataFrame:
     """Final ``gated_status`` of each step: skipped if a dependency is not met.
 
     ``steps`` holds ``plan_id, step_number, status, dependencies``, run in step
     order; ``status`` is the outcome of a step that runs. A dependency is met
     if it came earlier and is completed; one on an unknown step is ignored.
 
-    Failures spread along the dependencies, one round per link. A round reads
-    only the links from steps found in the round before.
+    Failures spread along the dependencies, one round per link, however deep.
+    A round reads only the links from steps found in the round before.
     """
     keys = ["plan_id", "step_number"]
     known = steps.select("plan_id", F.col("step_number").alias("needs"))
@@ -133,15 +137,15 @@ def dependency_gate(steps: DataFrame, max_rounds: int = 1_000) -> DataFrame:
     links = links.filter(F.col("needs") < F.col("step_number"))
     not_done = steps.filter(F.col("status") != COMPLETED).select(*keys)
     frontier = materialise(not_done.unionAll(too_early).distinct(), "gate")
-    reached = frontier
-    for _ in range(max_rounds):
+    reached, rounds = frontier, 0
+    while True:  # a link leads to a later step, so this ends
         hit = links.join(frontier.withColumnRenamed("step_number", "needs"), ["plan_id", "needs"], "left_semi")
         frontier = materialise(hit.select(*keys).distinct().join(reached, keys, "left_anti"), "gate")
         if frontier.isEmpty():
             break
-        reached = reached.unionAll(frontier)
-    else:
-        raise RuntimeError(f"dependencies deeper than {max_rounds}")
+        reached, rounds = reached.unionAll(frontier), rounds + 1
+        if rounds % FOLD_ROUNDS == 0:  # one table again, so that scans and plans stay small
+            reached = materialise(reached, "gate")
     blocked = links.join(reached.withColumnRenamed("step_number", "needs"), ["plan_id", "needs"], "left_semi")
     skipped = blocked.select(*keys).unionAll(too_early).distinct().withColumn("_skipped", F.lit(True))
     joined = steps.join(skipped, keys, "left")

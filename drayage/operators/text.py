@@ -61,7 +61,8 @@ DEPLOYMENT_ATTRIBUTES: dict[str, list[tuple[str, int]]] = {
 PLAN_STEP = (
     r"(?<!\d)(\d++)\.\s*\[([^\]\n]+)\]\s*(\S(?:[^\n]*?\S)?)[ \t\r]*+(?:\(depends?\s*on:?\s*([\d,\s]+)\))?[ \t\r]*+$"
 )
-FENCED_JSON = r"(?s)```(?:json)?\s*(\{.*?\})\s*```"
+FENCE, FENCE_LABEL = "```", r"^json(?=\s*+\{)"
+BLANKS = " \t\n\x0b\f\r"
 PLAN_JSON = (
     "task string, steps array<struct<step_number: int, agent: string, task: string, description: string, "
     "dependencies: array<int>>>"
@@ -257,28 +258,28 @@ def folded_name(name: Column) -> Column:
     return F.regexp_replace(F.lower(name), "[ _]", "")
 
 
-# A longer list belongs in a table: see fuzzy_match.
-MAX_LISTED_NAMES = 200
-
-
 def listed_match(name: Column, listed: Sequence[str]) -> Column:
-    """The name among a short list that fits best, else ``name`` itself.
+    """The name among a list that fits best, else ``name`` itself.
 
     A listed name with the same letters wins, then the first that contains the
     name or is contained in it.
     """
-    if len(listed) > MAX_LISTED_NAMES:
-        raise ValueError(f"more than {MAX_LISTED_NAMES} names: use fuzzy_match")
     folded = folded_name(name)
-    exact, part = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for candidate in reversed(listed):
-        same = "".join(ch for ch in candidate.lower() if ch not in " _")
-        lower = candidate.lower()
-        exact = F.when(folded == same, F.lit(candidate)).otherwise(exact)
-        touches = F.contains(F.lit(lower), folded) | F.contains(folded, F.lit(lower))
-        part = F.when(touches, F.lit(candidate)).otherwise(part)
-    known = F.when(name.isin(*listed), name)
-    return F.coalesce(known, exact, part, name)
+    if not listed:
+        return name
+    known = F.array(
+        *[
+            F.struct(
+                F.lit(c).alias("name"),
+                F.lit("".join(ch for ch in c.lower() if ch not in " _")).alias("same"),
+                F.lit(c.lower()).alias("lower"),
+            )
+            for c in listed
+        ]
+    )
+    exact = F.get(F.filter(known, lambda c: c["same"] == folded), F.lit(0))["name"]
+    touching = F.filter(known, lambda c: F.contains(c["lower"], folded) | F.contains(folded, c["lower"]))
+    return F.coalesce(F.when(name.isin(*listed), name), exact, F.get(touching, F.lit(0))["name"], name)
 
 
 def _pieces(text: Column, lengths: Sequence[int]) -> Column:
@@ -329,6 +330,19 @@ def fuzzy_match(names: DataFrame, name: str, candidates: DataFrame, candidate: s
     return joined.withColumn("match", F.coalesce("_match", F.col(name))).drop("_name", "_match")
 
 
+def fenced_object(text: Column) -> Column:
+    """The first fenced block that holds a JSON object; NULL if there is none.
+
+    The text is cut once at the fence marks, so time grows with its length.
+    """
+    pieces = F.split(text, FENCE)
+    blocks = F.transform(
+        F.slice(pieces, 2, F.greatest(F.size(pieces) - 2, F.lit(0))),  # the last piece is not closed
+        lambda p: F.btrim(F.regexp_replace(F.btrim(p, F.lit(BLANKS)), FENCE_LABEL, ""), F.lit(BLANKS)),
+    )
+    return F.get(F.filter(blocks, lambda p: F.startswith(p, F.lit("{")) & F.endswith(p, F.lit("}"))), F.lit(0))
+
+
 def plan_steps_extract(df: DataFrame, id_column: str, text: str, agents: Sequence[str] = ()) -> DataFrame:
     """The steps a plan text names: ``form, step_number, agent, task, dependencies``.
 
@@ -337,10 +351,13 @@ def plan_steps_extract(df: DataFrame, id_column: str, text: str, agents: Sequenc
     first agent. Agents are matched to the list of known ones.
     """
     raw = F.col(text)
-    fenced = F.regexp_extract(raw, FENCED_JSON, 1)
-    parsed = F.from_json(F.when(fenced != "", fenced).otherwise(F.trim(raw)), PLAN_JSON)["steps"]
+    fenced = fenced_object(raw)
+    parsed = F.from_json(F.coalesce(fenced, F.trim(raw)), PLAN_JSON)["steps"]
     pattern = LINES + PLAN_STEP
-    numbered = F.arrays_zip(*[_matches(raw, pattern, g).alias(f"g{g}") for g in (1, 2, 3, 4)])
+    numbered = F.transform(  # one scan of the text; the groups come from each short match
+        _matches(raw, pattern),
+        lambda m: F.struct(*[F.regexp_extract(m, pattern, g).alias(f"g{g}") for g in (1, 2, 3, 4)]),
+    )
     listed = F.transform(
         numbered,
         lambda m: F.struct(

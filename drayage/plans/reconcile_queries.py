@@ -14,38 +14,62 @@ def source_orders(t: Tables) -> DataFrame:
 
 
 def target_orders(t: Tables) -> DataFrame:
-    """Changed prices, emptied states, missing keys and extra keys."""
+    """Changed prices, also by less than a millionth, emptied states, missing, extra and repeated keys."""
     kept = source_orders(t).filter("o_orderkey % 101 <> 0").selectExpr(
         "o_orderkey",
         "o_custkey",
         "if(o_orderkey % 89 = 0, nullif(o_orderstatus, 'P'), o_orderstatus) AS o_orderstatus",
-        "if(o_orderkey % 97 = 0, o_totalprice + 1, o_totalprice) AS o_totalprice",
+        "CASE WHEN o_orderkey % 97 = 0 THEN o_totalprice + 1 WHEN o_orderkey % 83 = 0 THEN o_totalprice + 0.0000005D "
+        "ELSE o_totalprice END AS o_totalprice",
         "o_orderdate",
     )
     extra = source_orders(t).filter("o_orderkey % 103 = 0").withColumn("o_orderkey", F.expr("o_orderkey + 10000000"))
-    return kept.unionAll(extra)
+    same_again = source_orders(t).filter("o_orderkey % 107 = 0 AND o_orderkey % 101 <> 0")
+    other_again = source_orders(t).filter("o_orderkey % 109 = 0").withColumn("o_orderstatus", F.lit("X"))
+    return kept.unionAll(extra).unionAll(same_again).unionAll(other_again)
 
 
-SIDES = """
+# Cells as text: six decimals where they hold a price exactly.
+CELLS = """o_orderkey, o_custkey::VARCHAR AS o_custkey, o_orderstatus,
+           CASE WHEN o_totalprice::DECIMAL(38,6)::DOUBLE = o_totalprice THEN o_totalprice::DECIMAL(38,6)::VARCHAR
+                ELSE o_totalprice::VARCHAR END AS o_totalprice,
+           strftime(o_orderdate, '%Y-%m-%d %H:%M:%S.%f') AS o_orderdate"""
+
+SIDES = f"""
     WITH source AS (SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate FROM orders),
     target AS (
         SELECT o_orderkey, o_custkey,
                CASE WHEN o_orderkey % 89 = 0 THEN nullif(o_orderstatus, 'P') ELSE o_orderstatus END AS o_orderstatus,
-               CASE WHEN o_orderkey % 97 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice, o_orderdate
+               CASE WHEN o_orderkey % 97 = 0 THEN o_totalprice + 1 WHEN o_orderkey % 83 = 0
+                    THEN o_totalprice + 0.0000005::DOUBLE ELSE o_totalprice END AS o_totalprice, o_orderdate
         FROM source WHERE o_orderkey % 101 <> 0
         UNION ALL
         SELECT o_orderkey + 10000000, o_custkey, o_orderstatus, o_totalprice, o_orderdate
         FROM source WHERE o_orderkey % 103 = 0
+        UNION ALL SELECT * FROM source WHERE o_orderkey % 107 = 0 AND o_orderkey % 101 <> 0
+        UNION ALL SELECT o_orderkey, o_custkey, 'X', o_totalprice, o_orderdate FROM source WHERE o_orderkey % 109 = 0
+    ),
+    s_text AS (SELECT {CELLS} FROM source WHERE o_orderkey IN (SELECT o_orderkey FROM target)),
+    t_text AS (SELECT {CELLS} FROM target WHERE o_orderkey IN (SELECT o_orderkey FROM source)),
+    s_more AS (SELECT * FROM s_text EXCEPT ALL SELECT * FROM t_text),
+    t_more AS (SELECT * FROM t_text EXCEPT ALL SELECT * FROM s_text),
+    differing AS (SELECT o_orderkey FROM s_more UNION SELECT o_orderkey FROM t_more),
+    paired AS (
+        SELECT o_orderkey FROM differing d
+        WHERE (SELECT count(*) FROM s_more s WHERE s.o_orderkey = d.o_orderkey) = 1
+          AND (SELECT count(*) FROM t_more t WHERE t.o_orderkey = d.o_orderkey) = 1
     ),
     cells AS (
         SELECT s.o_orderkey, unnest(['o_custkey', 'o_orderstatus', 'o_totalprice', 'o_orderdate']) AS column_name,
-               unnest([s.o_custkey::VARCHAR, s.o_orderstatus, s.o_totalprice::DECIMAL(38,6)::VARCHAR,
-                       strftime(s.o_orderdate, '%Y-%m-%d %H:%M:%S.%f')]) AS source,
-               unnest([t.o_custkey::VARCHAR, t.o_orderstatus, t.o_totalprice::DECIMAL(38,6)::VARCHAR,
-                       strftime(t.o_orderdate, '%Y-%m-%d %H:%M:%S.%f')]) AS target
-        FROM source s JOIN target t USING (o_orderkey)
+               unnest([s.o_custkey, s.o_orderstatus, s.o_totalprice, s.o_orderdate]) AS source,
+               unnest([t.o_custkey, t.o_orderstatus, t.o_totalprice, t.o_orderdate]) AS target
+        FROM paired JOIN s_more s USING (o_orderkey) JOIN t_more t USING (o_orderkey)
     ),
-    mismatches AS (SELECT * FROM cells WHERE source IS DISTINCT FROM target)
+    mismatches AS (SELECT * FROM cells WHERE source IS DISTINCT FROM target),
+    unmatched AS (
+        SELECT 'source' AS side, * FROM s_more WHERE o_orderkey NOT IN (SELECT o_orderkey FROM paired)
+        UNION ALL SELECT 'target', * FROM t_more WHERE o_orderkey NOT IN (SELECT o_orderkey FROM paired)
+    )
 """
 
 
@@ -62,8 +86,10 @@ def orders_reconciliation(t: Tables) -> Reconciliation:
                (SELECT 1 FROM target t WHERE t.o_orderkey = s.o_orderkey)) AS missing_in_target,
            (SELECT count(*) FROM target t WHERE NOT EXISTS
                (SELECT 1 FROM source s WHERE t.o_orderkey = s.o_orderkey)) AS extra_in_target,
-           0::BIGINT AS duplicate_source_keys, 0::BIGINT AS duplicate_target_keys,
-           (SELECT count(*) FROM mismatches) AS value_mismatches
+           0::BIGINT AS duplicate_source_keys,
+           (SELECT count(*) FROM (SELECT o_orderkey FROM target GROUP BY 1 HAVING count(*) > 1)) AS duplicate_target_keys,
+           (SELECT count(*) FROM differing) AS differing_keys,
+           (SELECT count(*) FROM mismatches) AS value_mismatches, (SELECT count(*) FROM unmatched) AS unmatched_rows
     """,
 )
 def reconcile_summary(t: Tables) -> DataFrame:
@@ -75,6 +101,22 @@ def reconcile_mismatches(t: Tables) -> DataFrame:
     return orders_reconciliation(t).mismatches()
 
 
+@query(
+    "reconcile_unmatched",
+    SIDES + "SELECT o_orderkey, side, count(*) AS row_count, o_custkey, o_orderstatus, o_totalprice, o_orderdate FROM unmatched GROUP BY ALL",
+)
+def reconcile_unmatched(t: Tables) -> DataFrame:
+    return orders_reconciliation(t).unmatched_rows()
+
+
+@query(
+    "reconcile_samples",
+    SIDES + "SELECT o_orderkey, column_name, source, target FROM mismatches ORDER BY o_orderkey, column_name LIMIT 50",
+)
+def reconcile_samples(t: Tables) -> DataFrame:
+    return orders_reconciliation(t).samples("mismatches", 50)
+
+
 @query(
     "reconcile_missing",
     SIDES + "SELECT o_orderkey FROM source EXCEPT SELECT o_orderkey FROM target",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -179,12 +181,16 @@ def schema_table_counts(t: Tables) -> DataFrame:
     """,
 )
 def bounded_query_plan(t: Tables) -> DataFrame:
-    t.orders.createOrReplaceTempView("bounded_orders")
-    text = """
-        WITH per_customer AS (SELECT o_custkey, count(*) AS order_count FROM bounded_orders GROUP BY o_custkey)
+    view = f"orders_{uuid.uuid4().hex}"
+    t.orders.createTempView(view)
+    text = f"""
+        WITH per_customer AS (SELECT o_custkey, count(*) AS order_count FROM {view} GROUP BY o_custkey)
         SELECT * FROM per_customer ORDER BY order_count DESC, o_custkey;
     """
-    return bounded_query(t.spark, text).annotated()
+    try:
+        return bounded_query(t.spark, text).annotated()
+    finally:
+        t.spark.catalog.dropTempView(view)
 
 
 @query(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from drayage.plans.load_queries import CHANGES, MERGED, order_changes
 from drayage.plans.registry import Tables, query
-from drayage.session import SPLIT_BYTES, planned_bytes, scratch_path
+from drayage.session import scratch_path
 from drayage.streaming import jobs
 
 
@@ -17,13 +17,6 @@ def stream(t: Tables, name: str) -> DataFrame:
     return t.spark.readStream.schema(getattr(t, name).schema).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
-def state_parts(t: Tables, name: str) -> int:
-    """State partitions for one run over a whole table: by its size, and at
-    least one per core."""
-    size = planned_bytes(getattr(t, name)) or 0
-    return max(t.spark.sparkContext.defaultParallelism, -(-size // SPLIT_BYTES))
-
-
 def closed_windows(every: str, length: str, condition: str, columns: str) -> str:
     """Sliding windows whose end the final watermark has passed."""
     return f"""
@@ -51,7 +44,7 @@ def closed_windows(every: str, length: str, condition: str, columns: str) -> str
 def alert_failures(t: Tables) -> DataFrame:
     base = scratch_path(t.spark, "alert-failures")
     alerts = jobs.failure_alerts(stream(t, "events").select("ts", "event_type"), "ts", "event_type = 'error'")
-    return jobs.run_append(alerts, f"{base}/out", f"{base}/checkpoint", state_parts(t, "events"))
+    return jobs.run_append(alerts, f"{base}/out", f"{base}/checkpoint")
 
 
 @query(
@@ -62,7 +55,7 @@ def alert_duration(t: Tables) -> DataFrame:
     base = scratch_path(t.spark, "alert-duration")
     runs = stream(t, "events").selectExpr("ts", "value * 600D AS seconds")
     alerts = jobs.duration_alerts(runs, "ts", "seconds")
-    return jobs.run_append(alerts, f"{base}/out", f"{base}/checkpoint", state_parts(t, "events"))
+    return jobs.run_append(alerts, f"{base}/out", f"{base}/checkpoint")
 
 
 @query("stream_dedup", "SELECT event_id FROM events")
@@ -72,7 +65,7 @@ def stream_dedup(t: Tables) -> DataFrame:
     events = stream(t, "events").select("event_id", "ts")
     late = events.select("event_id", F.expr("ts + make_dt_interval(0, 0, if(event_id % 10 = 0, 2, 0))").alias("ts"))
     unique = jobs.deduplicate(events.unionAll(late), ["event_id"], "ts")
-    return jobs.run_append(unique.select("event_id"), f"{base}/out", f"{base}/checkpoint", state_parts(t, "events"))
+    return jobs.run_append(unique.select("event_id"), f"{base}/out", f"{base}/checkpoint")
 
 
 @query(
@@ -125,7 +118,7 @@ def stream_step_state(t: Tables) -> DataFrame:
     )
     state = jobs.step_state(messages, "ts")
     keys = ["plan_id", "step_number"]
-    return jobs.run_state(state, f"{base}/out", f"{base}/checkpoint", keys, state_parts(t, "events"))
+    return jobs.run_state(state, f"{base}/out", f"{base}/checkpoint", keys)
 
 
 @query("stream_merge", CHANGES + MERGED)

@@ -15,13 +15,12 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Streaming state larger than memory must not end the job.
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
-_local_root: str | None = None
-
-
 def build_session(app: str = "drayage", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings above; ``conf`` uses ``__`` for dots."""
     builder = SparkSession.builder.appName(app).config("spark.ui.enabled", "false")
@@ -46,17 +45,15 @@ def tune(spark: SparkSession) -> SparkSession:
 def shared_root(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it.
 
-    Only a local master, as in tests, may fall back to a temporary folder.
+    Only a local master, as in tests, may have none named: then one is made.
     """
-    global _local_root
     named = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(CHECKPOINT_DIR)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder all executors share")
-    if _local_root is None:
-        _local_root = tempfile.mkdtemp(prefix="run-drayage-")
-    return _local_root
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder all executors share")
+        named = tempfile.mkdtemp(prefix="run-drayage-")
+        spark.conf.set(CHECKPOINT_DIR, named)
+    return named.rstrip("/")
 
 
 def planned_bytes(df: DataFrame) -> int | None:
@@ -76,18 +73,6 @@ UNKNOWN_BYTES = 1 << 62
 # The size up to which Spark reads files in one task.
 SPLIT_BYTES = 128 << 20
 
-# A sorted partition of this size fits the memory of a task many times over.
-PARTITION_BYTES = 256 << 20
-
-
-def partitions_for(df: DataFrame) -> int | None:
-    """Partitions for a shuffle of ``df`` if the session's number is too small."""
-    size = planned_bytes(df)
-    default = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    needed = 0 if size is None else -(-size // PARTITION_BYTES)
-    return needed if needed > default else None
-
-
 def spread(df: DataFrame) -> DataFrame:
     """Deal rows to all cores where the input is too small to be split that far.
 
@@ -99,9 +84,20 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if size is not None and size < cores * SPLIT_BYTES else df
 
 
+def scratch_root(spark: SparkSession) -> str:
+    """The folder of this application's intermediate tables."""
+    return f"{shared_root(spark)}/drayage/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new path below the shared folder; never one that is in use."""
-    return f"{shared_root(spark)}/drayage/{label}-{uuid.uuid4().hex}"
+    """A new path below the application's folder; never one that is in use."""
+    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Remove the application's intermediate tables, when no result of it is read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from drayage.session import planned_bytes, scratch_path
+from drayage.session import scratch_path
 
 
 def append(df: DataFrame, path: str, format: str = "parquet", **options: str) -> None:
@@ -90,9 +90,9 @@ def require_schema(df: DataFrame, target: T.StructType, allow_drift: bool = Fals
 def layout(df: DataFrame, kind: str, keys: Sequence[str] = (), partitions: int | None = None) -> DataFrame:
     """Physical layout of a table: HASH, ROUND_ROBIN or REPLICATE.
 
-    HASH co-locates equal keys. REPLICATE keeps a copy in each task that joins
-    it, so it is refused for tables that Spark sizes above its own broadcast
-    limit.
+    HASH co-locates equal keys. REPLICATE leaves the rows as they are: whether
+    each task that joins them gets a copy is Spark's choice, by their measured
+    size.
     """
     kind = kind.upper()
     if kind == "HASH":
@@ -103,15 +103,5 @@ def layout(df: DataFrame, kind: str, keys: Sequence[str] = (), partitions: int |
         wanted = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         return df.repartition(wanted)
     if kind == "REPLICATE":
-        limit = _bytes(df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold"))
-        size = planned_bytes(df)
-        if size is None or size > limit:
-            raise ValueError(f"REPLICATE of {size} bytes is not known to fit the broadcast limit of {limit}")
-        return F.broadcast(df)
+        return df
     raise ValueError(f"unknown layout {kind!r}")
-
-
-def _bytes(text: str) -> int:
-    units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
-    text = text.strip().lower().removesuffix("b")
-    return int(text[:-1]) * units[text[-1]] if text[-1:] in units else int(text)

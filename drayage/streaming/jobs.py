@@ -17,11 +17,6 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from drayage.operators.load import merge_upsert
 
-# State larger than memory must not end the job.
-STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
-SHUFFLE_PARTITIONS = "spark.sql.shuffle.partitions"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
 # Windows and limits of the alerts, and of the message queues.
 FAILURE_WINDOW, FAILURE_EVERY = "15 minutes", "5 minutes"
 DURATION_WINDOW, DURATION_EVERY = "1 hour", "15 minutes"
@@ -93,45 +88,26 @@ def step_state(messages: DataFrame, ts: str, keys: Sequence[str] = ("plan_id", "
     )
 
 
-def _available(spark: SparkSession, writer: DataStreamWriter, checkpoint: str, state_partitions: int | None) -> None:
+def _available(writer: DataStreamWriter, checkpoint: str) -> None:
     """Run a query over what is there now.
 
-    State is kept on disk, outside the heap, in ``state_partitions`` parts (the
-    session's shuffle partitions if None). The first run of a checkpoint
-    settles their number.
+    Its state has as many parts as the session has shuffle partitions when the
+    first run of a checkpoint starts.
     """
-    settings = {STATE_STORE: ROCKSDB}
-    if state_partitions:
-        settings[SHUFFLE_PARTITIONS] = str(state_partitions)
-    before = {key: spark.conf.get(key, None) for key in settings}
-    for key, value in settings.items():
-        spark.conf.set(key, value)
-    try:  # a query keeps the settings it was started with
-        query = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    finally:
-        for key, value in before.items():
-            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
-    query.awaitTermination()
-
-
-def run_append(stream: DataFrame, path: str, checkpoint: str, state_partitions: int | None = None) -> DataFrame:
+    writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def run_append(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
     """Append the stream's rows to Parquet, each once; returns the table."""
-    spark = stream.sparkSession
-    writer = stream.writeStream.format("parquet").outputMode("append").option("path", path)
-    _available(spark, writer, checkpoint, state_partitions)
-    return spark.read.schema(stream.schema).parquet(path)
+    _available(stream.writeStream.format("parquet").outputMode("append").option("path", path), checkpoint)
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
 def run_batches(
-    stream: DataFrame,
-    write: Callable[[DataFrame, int], None],
-    checkpoint: str,
-    mode: str = "append",
-    state_partitions: int | None = None,
+    stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append"
 ) -> None:
     """Hand each micro-batch to ``write``, which must be repeatable."""
-    writer = stream.writeStream.outputMode(mode).foreachBatch(write)
-    _available(stream.sparkSession, writer, checkpoint, state_partitions)
+    _available(stream.writeStream.outputMode(mode).foreachBatch(write), checkpoint)
 
 
 def run_routed(stream: DataFrame, folder: str, checkpoint: str, route: str = "route") -> DataFrame:
@@ -146,15 +122,13 @@ def run_routed(stream: DataFrame, folder: str, checkpoint: str, route: str = "ro
     return stream.sparkSession.read.parquet(f"{folder}/batch=*")
 
 
-def run_state(
-    state: DataFrame, folder: str, checkpoint: str, keys: Sequence[str], state_partitions: int | None = None
-) -> DataFrame:
+def run_state(state: DataFrame, folder: str, checkpoint: str, keys: Sequence[str]) -> DataFrame:
     """Write the changed groups of each batch; returns the newest per key."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
 
-    run_batches(state, write, checkpoint, "update", state_partitions)
+    run_batches(state, write, checkpoint, "update")
     values = [c for c in state.columns if c not in keys]
     changes = state.sparkSession.read.parquet(f"{folder}/batch=*")
     newest = changes.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch_id").alias("v"))

@@ -21,7 +21,9 @@ def test_a_table_equals_itself(spark):
         "extra_in_target": 0,
         "duplicate_source_keys": 0,
         "duplicate_target_keys": 0,
+        "differing_keys": 0,
         "value_mismatches": 0,
+        "unmatched_rows": 0,
     }
 
 
@@ -77,11 +79,31 @@ def test_duplicate_keys_are_reported_and_compared_once(spark):
     target = spark.createDataFrame([(1, "b"), (1, "c"), (2, "x")], "id int, v string")
     result = reconcile(source, target, ["id"])
     assert rows(result.duplicates()) == [(1, 2, 2)]
-    assert rows(result.mismatches()) == [(1, "v", "b", "c")]
+    assert rows(result.mismatches()) == [(1, "v", "a", "c")]  # b is on both sides
     same = reconcile(source, source, ["id"])
     assert rows(same.duplicates()) == [(1, 2, 2)] and same.mismatches().isEmpty()
 
 
+def test_rows_of_one_key_are_compared_as_multisets(spark):
+    source = spark.createDataFrame([(1, "p"), (1, "q"), (2, "a"), (2, "a"), (3, "x"), (4, "m")], "id int, v string")
+    target = spark.createDataFrame([(1, "o"), (1, "q"), (2, "a"), (3, "x"), (3, "y"), (4, "m"), (4, "m")], "id int, v string")
+    result = reconcile(source, target, ["id"])
+    assert rows(result.mismatches()) == [(1, "v", "p", "o")]
+    assert rows(result.unmatched_rows()) == [(2, "source", 1, "a"), (3, "target", 1, "y"), (4, "target", 1, "m")]
+    assert rows(result.states.filter("differs"), "id") == [(1,), (2,), (3,), (4,)]
+    totals = result.summary().first()
+    assert (totals.differing_keys, totals.value_mismatches, totals.unmatched_rows) == (4, 1, 3)
+
+
+def test_differences_below_a_millionth_count(spark):
+    source = spark.createDataFrame([(1, 1e-8), (2, 0.1), (3, -0.0), (4, float("nan"))], "id int, v double")
+    target = spark.createDataFrame([(1, 9e-8), (2, 0.1000000001), (3, 0.0), (4, float("nan"))], "id int, v double")
+    result = reconcile(source, target, ["id"])
+    assert rows(result.states.filter("differs"), "id") == [(1,), (2,)]
+    assert rows(result.mismatches()) == [(1, "v", "1.0E-8", "9.0E-8"), (2, "v", "0.100000", "0.1000000001")]
+    assert result.summary().first().value_mismatches == 2
+
+
 def test_hot_key(spark):
     """A third of all rows share a key on both sides."""
     source = spark.range(3000).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("k"), F.col("id").alias("v"))
