@@ -5,11 +5,18 @@ the whole sets. Components are wanted, not all pairs: ids are first compared
 with a few leaders, round by round; then every pair of ids that share a key and
 are still in different components is verified. So no link that the index leads
 to is lost, while a group of thousands of copies costs a few comparisons each.
+
+``members`` of a set may leave out those that no other set has; ``n`` is its
+whole size.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +30,9 @@ LEADERS = 3
 # Rounds end once the pairs left are no more than the rows of the index, or a round has left more than this share of them.
 WORTH = 0.7
 
+# Members of the sets outside that one task holds at a time.
+TOGETHER = 500_000
+
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those ``a``, ``b`` whose sets have 100 * intersection >= percent * union."""
@@ -67,25 +77,88 @@ def with_leaders(index: DataFrame, percent: int, round_no: int) -> DataFrame:
     return first.select(F.col("l.lead.id").alias("a"), F.col("id").alias("b")).distinct()
 
 
-def across(index: DataFrame, percent: int) -> DataFrame:
-    """All pairs of ids that share a key and have different components.
-
-    One of the two lies outside the key's largest component, so only those
-    ids are joined with the rest.
+class Outside:
+    """Some sets with an index of their members; links found to other sets join their components."""
+
+    def __init__(self, ids: list, components: list, sizes: list, members: list[np.ndarray]):
+        self.ids, self.components, self.sizes = ids, components, np.array(sizes)
+        flat = np.concatenate(members) if members else np.zeros(0, np.int64)
+        owner = np.repeat(np.arange(len(members)), [len(m) for m in members])
+        order = np.argsort(flat, kind="stable")
+        self.owner = owner[order]
+        self.values, self.starts = np.unique(flat[order], return_index=True)
+        self.ends = np.append(self.starts[1:], len(flat))
+        self.parent: dict = {}
+
+    def root(self, component):
+        while (up := self.parent.get(component, component)) != component:
+            component = up
+        return component
+
+    def links(self, id_, component, size: int, members: np.ndarray, percent: int) -> Iterator[tuple]:
+        """Links to the sets that join two components; each set is met by its members that this one has."""
+        if len(self.values) == 0:
+            return
+        at = np.minimum(np.searchsorted(self.values, members), len(self.values) - 1)
+        at = at[self.values[at] == members]
+        lengths = self.ends[at] - self.starts[at]
+        ends = np.cumsum(lengths)
+        places = np.repeat(self.starts[at] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)
+        common = np.bincount(self.owner[places], minlength=len(self.ids))
+        for i in np.flatnonzero(100 * common >= percent * (self.sizes + size - common)).tolist():
+            a, b = self.root(self.components[i]), self.root(component)
+            if a != b:
+                self.parent[max(a, b)] = min(a, b)
+                yield self.ids[i], id_
+
+
+def link_batches(percent: int) -> Callable:
+    """Links of rows sorted so that, of each group, the sets outside come before all sets; holds those outside."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, gathered, outside = None, [], None
+        for batch in batches:
+            found: list[tuple] = []
+            members = batch.column("members")
+            rows = zip(*(batch.column(c).to_pylist() for c in ("key", "part", "side", "id", "component", "n")))
+            for i, (key, part, side, id_, component, n) in enumerate(rows):
+                if (key, part) != group:
+                    group, gathered, outside = (key, part), [], None
+                held = members[i].values
+                held = np.zeros(0, np.int64) if held is None else held.to_numpy()
+                if side == 0:
+                    gathered.append((id_, component, n, held))
+                    continue
+                if outside is None:
+                    outside = Outside(*(list(x) for x in zip(*gathered))) if gathered else Outside([], [], [], [])
+                found.extend(outside.links(id_, component, n, held, percent))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["a", "b"])
+
+    return run
+
+
+def across(index: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between ids that share a key and have different components, as many as join them.
+
+    One of two such ids lies outside the key's largest component. Those
+    outside, in parts of bounded size, meet all ids of the key in one task,
+    where pairs are counted but not listed.
     """
-    sizes = index.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
-    largest = sizes.groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("main"))
-    outside = (
-        index.join(largest, "key")
-        .where(F.col("component") != F.col("main"))
-        .select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("m").alias("ma"), F.col("component").alias("other"), "main")
-    )
-    met = index.join(outside, "key").where(
-        (F.col("component") != F.col("other"))
-        & ((F.col("component") == F.col("main")) | (F.col("a") < F.col("id")))
-        & may_link("n", "m", "na", "ma", percent)
+    sizes = index.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("members"))
+    main = F.max_by(F.struct("component", "members"), F.struct("c", "component"))
+    keys = sizes.groupBy("key").agg(main.alias("main"), F.sum("members").alias("all")).select(
+        "key", F.col("main.component").alias("main"), F.ceil((F.col("all") - F.col("main.members")) / TOGETHER).alias("parts")
     )
-    return met.select("a", F.col("id").alias("b"))
+    keyed = index.join(materialise(keys.where("parts > 0"), "keys"), "key")
+    outside = F.col("component") != F.col("main")
+    mine = F.pmod(F.xxhash64("id"), F.col("parts"))
+    asked = F.when(outside, F.array(F.struct(F.lit(0).alias("side"), mine.alias("part"))))
+    offered = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda p: F.struct(F.lit(1).alias("side"), p.alias("part")))
+    sides = F.concat(F.coalesce(asked, F.array().cast("array<struct<side:int,part:bigint>>")), offered)
+    met = keyed.select("key", "id", "component", F.explode(sides).alias("s")).select("key", "id", "component", "s.*")
+    full = met.join(sets, "id").repartition("key", "part").sortWithinPartitions("key", "part", "side", "id")
+    return full.select("key", "part", "side", "id", "component", "n", "members").mapInArrow(link_batches(percent), "a long, b long")
 
 
 def pairs_left(index: DataFrame) -> int:
@@ -115,5 +188,5 @@ def cluster(index: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         links = materialise(new if links is None else links.unionByName(new), "links")
         left = materialise(labelled(kept, partly_joined(links)), "left")
         round_no, before, now = round_no + 1, now, pairs_left(left)
-    new = verified(across(left, percent).distinct(), sets, percent)
+    new = across(left, sets, percent)
     return components(new if links is None else links.unionByName(new))

@@ -239,8 +239,9 @@ def similar_documents(
 
     members = sets.select("id", F.explode("members").alias("h")).repartition("h").sortWithinPartitions("h")
     shared = members.mapInArrow(count_members, "id long, h long, c long").groupBy("id").agg(F.collect_list(F.struct("h", "c")).alias("shared"))
-    described = sets.select("id", "n").join(shared, "id")
+    described = materialise(sets.select("id", "n").join(shared, "id"), "shared")  # what no other set has matters by its number
     index = materialise(described.mapInArrow(signature_batches(percent), "key long, id long, n long, m long"), "signatures")
+    sets = described.select("id", "n", F.col("shared.h").alias("members"))
     linked = cluster(index, sets, percent)
 
     grouped = profile.where("n > 0").groupBy("f1", "f2").agg(

@@ -6,6 +6,7 @@ lower-cased where an operator says so, other letters are kept.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,8 +26,15 @@ GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
 def small_batches(spark: SparkSession) -> SparkSession:
-    """Keep the Arrow batches of text columns small."""
+    """Keep the Arrow batches of text columns small, and let Python workers find this package where the driver did.
+
+    On a cluster whose machines do not have it there, ship it with ``--py-files``.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    home = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    known = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if home not in known:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [home, *known]))
     return spark
 
 
