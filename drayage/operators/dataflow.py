@@ -6,6 +6,7 @@ and column lists down to the scan in whatever order the steps are written.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -244,9 +245,24 @@ class Dataflow:
             df = filter_rows(df, self.filter)
         for step in self.lookups:
             df = lookup_first(df, step.right, step.on, step.order_by, step.columns)
-        if self.key is not None:
-            df = surrogate_key(df, self.key.order_by, self.key.name, self.key.start_at)
+        key = self.key
+        if key is not None and not self._key_comes_last():
+            df, key = surrogate_key(df, key.order_by, key.name, key.start_at), None
         if self.derived:
             df = derive(df, self.derived)
-        keep = [self.key.name] if self.key is not None else []
-        return select_map(df, self.mapping, keep=[*keep, *self.derived])
+        if key is None:
+            keep = [self.key.name] if self.key is not None else []
+            return select_map(df, self.mapping, keep=[*keep, *self.derived])
+        # Numbering writes its input: only what the result and the order need.
+        order = {f"_order{i}": F.col(o) for i, o in enumerate(key.order_by)}
+        slim = select_map(df.withColumns(order), self.mapping, keep=[*self.derived, *order])
+        kept = [c for c in slim.columns if c not in order]
+        mapped = [c for c in kept if c not in self.derived]
+        keyed = surrogate_key(slim, list(order), key.name, key.start_at)
+        return keyed.select(*[f"`{c}`" for c in [*mapped, key.name, *(c for c in kept if c not in mapped)]])
+
+    def _key_comes_last(self) -> bool:
+        """Whether nothing else names the key, and it is ordered by plain columns."""
+        word = re.compile(rf"\b{re.escape(self.key.name)}\b")
+        named = any(word.search(str(e)) for e in self.derived.values()) or any(self.key.name in pair for pair in self.mapping)
+        return not named and all(isinstance(o, str) for o in self.key.order_by)

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from drayage.operators.ordering import PART, POSITION, in_order
+from drayage.session import materialise
 
 
 def surrogate_key(
@@ -19,16 +21,14 @@ def surrogate_key(
     """Number rows ``start_at``, ``start_at + 1``, … in ``order_by`` order.
 
     Rows equal in ``order_by`` may be numbered either way. The key of a row is
-    the rows in earlier partitions plus its position; the counts per partition
-    are as many as there are shuffle partitions.
+    the rows in earlier partitions plus its position. All of ``df`` is written
+    once, so leave out what is not needed before.
     """
     columns = df.columns
     written = in_order(df, order_by, "surrogate-key")
-    offsets, total = [], start_at
-    for row in written.groupBy(PART).agg(F.count(F.lit(1)).alias("n")).orderBy(PART).collect():
-        offsets.append((row[PART], total))
-        total += row["n"]
-    starts = F.broadcast(df.sparkSession.createDataFrame(offsets, f"{PART} int, _start long"))
-    return written.join(starts, PART).select(
+    sizes = written.groupBy(PART).agg(F.count(F.lit(1)).alias("_n"))
+    earlier = W.orderBy(PART).rowsBetween(W.unboundedPreceding, -1)  # one small row per partition
+    starts = sizes.select(PART, (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) + start_at).alias("_start"))
+    return written.join(materialise(starts, "key-starts"), PART).select(
         *[f"`{c}`" for c in columns], (F.col("_start") + F.col(POSITION)).alias(name)
     )

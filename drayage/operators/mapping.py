@@ -113,6 +113,13 @@ def map_columns(
     return from_source.unionAll(from_transforms).unionAll(from_target)
 
 
+def mapping_summary(mapped: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """How many columns of a mapping are direct, cast, transformed and unmapped on either side, per ``by``."""
+    kinds = ("direct", "type_cast", "transform", "unmapped_source", "unmapped_target")
+    counts = [F.count_if(F.col("kind") == k).alias(k) for k in kinds]
+    return mapped.groupBy(*by).agg(*counts)
+
+
 Mapping = Sequence[tuple[str, str, str]]
 
 

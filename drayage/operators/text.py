@@ -162,6 +162,13 @@ def significant_tables(df: DataFrame, text: str, min_rows: int = 3) -> DataFrame
     return df.withColumn("has_tables", F.exists(markdown_tables(text), lambda p: F.size(p["data"]) >= min_rows))
 
 
+def table_totals(df: DataFrame, id_column: str, text: str) -> DataFrame:
+    """How many tables with rows a text has, and the rows: ``table_count, table_rows``."""
+    tables = F.filter(markdown_tables(text), lambda t: F.size(t["data"]) > 0)
+    rows = F.aggregate(tables, F.lit(0), lambda n, t: n + F.size(t["data"]))
+    return df.select(id_column, F.size(tables).cast("long").alias("table_count"), rows.cast("long").alias("table_rows"))
+
+
 def typed_number(value: Column) -> Column:
     """The number a cell holds: digits, or a decimal with thousands commas."""
     plain = F.when(F.contains(value, F.lit(".")), F.replace(value, F.lit(","), F.lit("")).try_cast("double"))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from drayage.functions.type_rules import MYSQL, POSTGRES, SNOWFLAKE, SQLSERVER, TYPE_RULES
-from drayage.operators.mapping import cast_failures, conform, map_columns, map_types
+from drayage.operators.mapping import cast_failures, conform, map_columns, map_types, mapping_summary
 from drayage.plans.registry import Tables, query
 
 
@@ -69,9 +69,7 @@ def type_mapping_snowflake(t: Tables) -> DataFrame:
     return map_types(sized_columns(t, SQLSERVER_TYPES), "sqlserver", "snowflake")
 
 
-@query(
-    "column_mapping",
-    """
+COLUMN_MAPPING = """
     WITH source AS (
         SELECT p_brand AS table_name, 'Col_' || p_partkey AS name, p_type AS type FROM part
     ), target AS (
@@ -107,8 +105,10 @@ def type_mapping_snowflake(t: Tables) -> DataFrame:
     SELECT table_name, 'unmapped_target', NULL, NULL, name, type, NULL FROM target t
     WHERE NOT EXISTS (SELECT 1 FROM source s WHERE s.table_name = t.table_name AND lower(s.name) = lower(t.name))
       AND NOT EXISTS (SELECT 1 FROM transforms x WHERE x.table_name = t.table_name AND x.target_column = lower(t.name))
-    """,
-)
+"""
+
+
+@query("column_mapping", COLUMN_MAPPING)
 def column_mapping(t: Tables) -> DataFrame:
     source = t.part.selectExpr(
         "p_brand AS table_name", "concat('Col_', p_partkey) AS name", "p_type AS type", "p_partkey AS ordinal"
@@ -135,6 +135,19 @@ def column_mapping(t: Tables) -> DataFrame:
     return map_columns(source, target, transforms, by=["table_name"])
 
 
+@query(
+    "mapping_summary",
+    f"""
+    SELECT table_name, count(*) FILTER (kind = 'direct') AS direct, count(*) FILTER (kind = 'type_cast') AS type_cast,
+           count(*) FILTER (kind = 'transform') AS transform, count(*) FILTER (kind = 'unmapped_source') AS unmapped_source,
+           count(*) FILTER (kind = 'unmapped_target') AS unmapped_target
+    FROM ({COLUMN_MAPPING}) GROUP BY table_name
+    """,
+)
+def mapping_summary_query(t: Tables) -> DataFrame:
+    return mapping_summary(column_mapping(t), by=["table_name"])
+
+
 ORDER_CASTS = [
     ("priority_code", "priority_code", "int"),
     ("o_orderstatus", "is_final", "boolean"),

@@ -152,6 +152,19 @@ def markdown_table_rows(t: Tables) -> DataFrame:
     return x.markdown_table_rows(reports(t), "doc_id", "report")
 
 
+@query(
+    "report_table_totals",
+    TABLES_SQL
+    + """
+    SELECT r.doc_id, count(DISTINCT t.table_no) AS table_count, count(d.row_no) AS table_rows
+    FROM reports r LEFT JOIN tables t ON t.doc_id = r.doc_id LEFT JOIN data d ON d.doc_id = t.doc_id AND d.run = t.run
+    GROUP BY r.doc_id
+    """,
+)
+def report_table_totals(t: Tables) -> DataFrame:
+    return x.table_totals(reports(t), "doc_id", "report")
+
+
 @query(
     "section_heads",
     LINES

@@ -122,25 +122,60 @@ def run_routed(stream: DataFrame, folder: str, checkpoint: str, route: str = "ro
     return stream.sparkSession.read.parquet(f"{folder}/batch=*")
 
 
+# Batches of changes after which run_state writes the newest rows anew.
+COMPACT_EVERY = 16
+
+
+def _noted(spark: SparkSession, folder: str, schema: str) -> list:
+    """The notes of a job, few and small; none before the first."""
+    try:
+        return spark.read.schema(schema).parquet(f"{folder}/notes/batch=*").collect()
+    except AnalysisException:
+        return []
+
+
+def _note(spark: SparkSession, folder: str, batch_id: int, rows: list, schema: str) -> None:
+    """Notes of a batch, written when its data is; a repeated batch replaces them."""
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("overwrite").parquet(f"{folder}/notes/batch={batch_id}")
+
+
 def run_state(state: DataFrame, folder: str, checkpoint: str, keys: Sequence[str]) -> DataFrame:
-    """Write the changed groups of each batch; returns the newest per key."""
+    """Write the changed groups of each batch; returns the newest per key.
+
+    Every ``COMPACT_EVERY`` batches the newest rows so far are written as one
+    table, so that a read never goes back further.
+    """
+    spark, values = state.sparkSession, [c for c in state.columns if c not in keys]
+    schema = state.withColumn("batch_id", F.lit(0)).schema
+
+    def newest(upto: int | None) -> DataFrame:
+        whole = [r["compact"] for r in _noted(spark, folder, "compact long") if upto is None or r["compact"] <= upto]
+        since = max(whole, default=-1)
+        read = spark.read.schema(schema)
+        changes = read.parquet(f"{folder}/batch=*").filter(F.col("batch_id") > since)
+        if upto is not None:
+            changes = changes.filter(F.col("batch_id") <= upto)
+        if whole:
+            changes = changes.unionByName(read.parquet(f"{folder}/compact={since}"))
+        latest = changes.groupBy(*keys).agg(F.max_by(F.struct(*values, "batch_id"), "batch_id").alias("v"))
+        return latest.select(*keys, "v.*")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+        if (batch_id + 1) % COMPACT_EVERY == 0:
+            newest(batch_id).write.mode("overwrite").parquet(f"{folder}/compact={batch_id}")
+            _note(spark, folder, batch_id, [(batch_id,)], "compact long")
 
     run_batches(state, write, checkpoint, "update")
-    values = [c for c in state.columns if c not in keys]
-    changes = state.sparkSession.read.parquet(f"{folder}/batch=*")
-    newest = changes.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch_id").alias("v"))
-    return newest.select(*keys, "v.*")
+    return newest(None).drop("batch_id")
+
+
+MERGED = "bucket int, version long, has_rows boolean"
 
 
 def current_version(spark: SparkSession, folder: str) -> int | None:
-    """The last version that was written whole."""
-    try:
-        return spark.read.schema("version long").parquet(f"{folder}/versions").agg(F.max("version")).first()[0]
-    except AnalysisException:  # nothing merged yet
-        return None
+    """The last batch that was merged whole; -1 if there is only the base, None before."""
+    return max((r["version"] for r in _noted(spark, folder, MERGED)), default=None)
 
 
 def run_merge(
@@ -151,26 +186,46 @@ def run_merge(
     keys: Sequence[str],
     sequence: str,
     action: str = "row_action",
+    buckets: int = 64,
 ) -> DataFrame:
-    """Apply a stream of change rows to a table; returns its last version.
+    """Apply a stream of change rows to a table; returns the table after the last batch.
 
-    Each batch writes a new version of the table from the one before it, data
-    first and version number second, so a batch that is repeated after a
-    failure ends in the same version.
+    Rows lie in ``buckets`` folders by a hash of their keys. A batch rewrites
+    the buckets that it touches, data first and their versions second, so a batch
+    that is repeated after a failure ends in the same versions. The first run
+    copies ``base``; the number of buckets must stay the same.
     """
-    spark = changes.sparkSession
-    schema = base.schema
-
-    def read(version: int | None) -> DataFrame:
-        return base if version is None else spark.read.schema(schema).parquet(f"{folder}/version={version}")
+    spark, schema = changes.sparkSession, base.schema
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+
+    def read(versions: dict[int, tuple[int, bool]], wanted: set[int]) -> DataFrame:
+        paths = [f"{folder}/version={v}/bucket={b}" for b, (v, full) in versions.items() if full and b in wanted]
+        return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+    def current() -> dict[int, tuple[int, bool]]:
+        notes = sorted(_noted(spark, folder, MERGED), key=lambda r: r["version"])
+        return {r["bucket"]: (r["version"], r["has_rows"]) for r in notes}
+
+    def store(rows: DataFrame, version: int, touched: set[int]) -> None:
+        path = f"{folder}/version={version}"
+        rows.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+        try:
+            full = {r["bucket"] for r in spark.read.parquet(path).select("bucket").distinct().collect()}
+        except AnalysisException:  # no row is left
+            full = set()
+        _note(spark, folder, version, [(b, version, b in full) for b in sorted(touched)], MERGED)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        previous = current_version(spark, folder)
-        if previous is not None and previous >= batch_id:
+        if current_version(spark, folder) >= batch_id:
             return  # done before the failure
-        merged = merge_upsert(read(previous), batch, keys, sequence, action)
-        merged.write.mode("overwrite").parquet(f"{folder}/version={batch_id}")
-        spark.createDataFrame([(batch_id,)], "version long").write.mode("append").parquet(f"{folder}/versions")
-
+        held = batch.persist()
+        touched = {r["bucket"] for r in held.select(bucket.alias("bucket")).distinct().collect()}  # as many as buckets
+        if touched:
+            store(merge_upsert(read(current(), touched), held, keys, sequence, action), batch_id, touched)
+        held.unpersist()
+
+    everything = set(range(buckets))
+    if current_version(spark, folder) is None:
+        store(base, -1, everything)
     run_batches(changes, write, checkpoint)
-    return read(current_version(spark, folder))
+    return read(current(), everything)

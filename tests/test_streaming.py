@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import os
 from datetime import datetime, timedelta
 
 import pytest
@@ -103,6 +104,29 @@ def test_merge_over_batches_and_a_repeated_batch(spark, tmp_path):
     assert rows(again) == [(1, "y"), (3, "c")]
 
 
+def test_a_merge_rewrites_the_buckets_it_touches(spark, tmp_path):
+    source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "checkpoint"))
+    base = spark.range(200).selectExpr("cast(id AS int) AS id", "'old' AS v")
+    df = spark.createDataFrame([(5, "new", 1, "update")], CHANGE)
+    df.write.parquet(source)
+    merged = jobs.run_merge(arriving(spark, source, df.schema), base, out, checkpoint, ["id"], "seq", buckets=8)
+    assert merged.count() == 200 and rows(merged.filter("v = 'new'")) == [(5, "new")]
+    assert len(os.listdir(f"{out}/version=-1")) > 8 and sum(n.startswith("bucket=") for n in os.listdir(f"{out}/version=0")) == 1
+
+
+def test_state_is_compacted(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(jobs, "COMPACT_EVERY", 2)
+    source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "checkpoint"))
+    schema = "plan_id int, step_number int, message_id int, ts timestamp_ntz, status string, tokens long"
+    for i in range(5):
+        at = START + timedelta(minutes=i)
+        df = spark.createDataFrame([(1, 1, i, at, f"s{i}", 1), (1, i + 2, i, at, "x", 1)], schema)
+        df.write.mode("append").parquet(source)
+        got = rows(jobs.run_state(jobs.step_state(arriving(spark, source, df.schema), "ts"), out, checkpoint, ["plan_id", "step_number"]))
+        assert got == sorted([(1, 1, f"s{i}", i + 1, i + 1), *((1, k + 2, "x", 1, 1) for k in range(i + 1))], key=repr)
+    assert any(n.startswith("compact=") for n in os.listdir(out))
+
+
 def test_a_failed_batch_is_repeated(spark, tmp_path):
     source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "checkpoint"))
     df = events(spark, (0, "a"), (1, "b"))

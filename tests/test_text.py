@@ -119,6 +119,9 @@ def test_hostile_texts_take_linear_time(spark):
         "1. [A] " + "x" + " " * 200_000 + "y",
         '{"status"' * 20_000 + '"status" ' * 20_000,
         "total" + " " * 200_000,
+        "```{ " * 200_000,
+        "```json " * 100_000 + "{" + "}" * 100_000,
+        "```{" + " }" * 300_000 + " " * 300_000,
     ]
     df = table(spark, hostile)
     for result in (
