@@ -129,5 +129,5 @@ def stream_merge(t: Tables) -> DataFrame:
     for part in ("seq <= 1", "seq > 1"):
         order_changes(t).filter(part).write.mode("append").parquet(f"{base}/in")
         changes = t.spark.readStream.schema(order_changes(t).schema).parquet(f"{base}/in")
-        out = jobs.run_merge(changes, target, f"{base}/out", f"{base}/checkpoint", ["o_orderkey"], "seq")
+        out = jobs.run_merge(changes, target, f"{base}/out", f"{base}/checkpoint", ["o_orderkey"], "seq", buckets=8)
     return out
