@@ -46,11 +46,12 @@ BOILERPLATE = set(
     "newsletter subscribe subscription signup login toolbar pagination pager widget complementary contentinfo search dialog".split()
 )
 
+INSIDE = r"(?:\"[^\"]*+\"|'[^']*+'|[^>])*+"  # of a tag; one that does not end goes on to the page's end
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    rf"|<(?P<raw>{'|'.join(RAW)})(?=[\s/>])(?:\"[^\"]*+\"|'[^']*+'|[^>\"'])*+>.*?(?:</(?P=raw)\s*+>|\Z)"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attributes>(?:\"[^\"]*+\"|'[^']*+'|[^>\"'])*+)>"
-    r"|<[!?/][^>]*+>",
+    rf"|<(?P<raw>{'|'.join(RAW)})(?=[\s/>]){INSIDE}>.*?(?:</(?P=raw)\s*+>|\Z)"
+    rf"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attributes>{INSIDE})(?:>|\Z)"
+    r"|<[!?/][^>]*+(?:>|\Z)",
     re.S | re.I,
 )
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++))?+""")
@@ -93,6 +94,7 @@ class Element:
     article: bool = False
     main: bool = False
     heading: bool = False  # in an article's header, of which only headings count
+    block: str = ""  # the nearest block, itself included
 
 
 @dataclass(frozen=True)
@@ -109,6 +111,7 @@ class Reader:
 
     def __init__(self):
         self.stack = [Element()]
+        self.opened: dict[str, int] = {}  # how many elements of a tag are open
         self.kept: list[str] = []
         self.skipped: list[str] = []
         self.lines: list[Line] = []
@@ -119,7 +122,7 @@ class Reader:
 
     def end_block(self) -> None:
         here = self.stack[-1]
-        holder = next((e.tag for e in reversed(self.stack) if e.tag in BLOCKS), "")
+        holder = here.block
         for pieces, skipped in ((self.kept, here.heading and holder not in HEADINGS), (self.skipped, True)):
             line = " ".join("".join(pieces).split())
             pieces.clear()
@@ -133,24 +136,35 @@ class Reader:
             self.text(" ")
         if tag in VOID:
             return
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i].tag in CLOSES.get(tag, ()):
-                del self.stack[i:]
-            elif self.stack[i].tag in SCOPES:
-                break
+        ends = CLOSES.get(tag, ())
+        if any(self.opened.get(t) for t in ends):
+            for i in range(len(self.stack) - 1, 0, -1):
+                if self.stack[i].tag in ends:
+                    self.drop(i)
+                elif self.stack[i].tag in SCOPES:
+                    break
         here, named = self.stack[-1], named_boilerplate(tag, attributes)
         heading = here.article and (tag == "header" or named == {"header"})
         skipped = here.skipped or (not heading and (tag in SKIPPED or bool(named)))
+        self.opened[tag] = self.opened.get(tag, 0) + 1
         self.stack.append(
-            Element(tag, skipped, here.article or (tag == "article" and not skipped), here.main or tag == "main", here.heading or heading)
+            Element(tag, skipped, here.article or (tag == "article" and not skipped), here.main or tag == "main", here.heading or heading,
+                    tag if tag in BLOCKS else here.block)
         )
 
+    def drop(self, depth: int) -> None:
+        for element in self.stack[depth:]:
+            self.opened[element.tag] -= 1
+        del self.stack[depth:]
+
     def close(self, tag: str) -> None:
         if tag in BLOCKS:
             self.end_block()
+        if not self.opened.get(tag):
+            return
         for i in range(len(self.stack) - 1, 0, -1):
             if self.stack[i].tag == tag:
-                del self.stack[i:]
+                self.drop(i)
                 return
             if self.stack[i].tag in SCOPES and tag not in SCOPES:
                 return
@@ -310,21 +324,24 @@ def url_path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?([^?#]*)", 1), F.lit(""))
 
 
-def extract_text(pages: DataFrame, source: str = "html", url: str = "url", key: str = "page_id") -> DataFrame:
+def extract_text(
+    pages: DataFrame, source: str = "html", url: str = "url", key: str = "page_id", ranges: int | None = None
+) -> DataFrame:
     """``key``, ``url``, ``text``, ``n_chars`` (code points) and ``n_deleted`` of every row of ``pages``.
 
     ``n_deleted`` counts the lines that the nearest page of the host has too.
     Null and empty pages have the empty text. Pages with a null URL are of one
     nameless host. Rows that repeat are neighbours, and as copies they tell
-    nothing of each other. Pages are sorted by range, so a host with many is
-    cut; at the cuts a page has one neighbour. Other columns are not read.
+    nothing of each other. Pages are sorted into ``ranges`` (as many as the
+    session's shuffle partitions), so a host with many is cut; at the cuts a
+    page has one neighbour. Other columns are not read.
     """
     read = pages.select(
         F.col(key).alias("key"), F.col(url).alias("url"), F.col(source).alias("__html"),
         url_host(F.col(url)).alias("__host"), url_path(F.col(url)).alias("__path"),
     )
     order = ["__host", "__path", "url", "key"]
-    dealt = read.repartitionByRange(texts.spread(pages.sparkSession), *order).sortWithinPartitions(*order)
+    dealt = read.repartitionByRange(ranges or texts.spread(pages.sparkSession), *order).sortWithinPartitions(*order)
     schema = T.StructType(
         [T.StructField("key", pages.schema[key].dataType), T.StructField("url", T.StringType()), T.StructField("text", T.StringType()),
          T.StructField("n_chars", T.LongType()), T.StructField("n_deleted", T.LongType())]

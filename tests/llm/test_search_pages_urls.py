@@ -6,6 +6,7 @@ import datetime
 import html
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -91,9 +92,9 @@ def page(n, body, tag="article"):
     return SHELL.format(n=n, main=f"<{tag}>{body}</{tag}>")
 
 
-def texts_of(spark, rows):
+def texts_of(spark, rows, ranges=None):
     df = spark.createDataFrame([(*r, "x", 1) for r in rows], "page_id long, url string, html string, text string, key int")
-    out = H.extract_text(df).collect()
+    out = H.extract_text(df, ranges=ranges).collect()
     assert all(r["n_chars"] == len(r["text"]) for r in out) and len(out) == len(rows)
     return {r["page_id"]: r["text"] for r in out}
 
@@ -118,7 +119,7 @@ def test_shared_lines_of_pages_without_an_article(spark):
 
     rows = [(i, f"http://a.example/news/{i}", plain(i)) for i in range(6)] + [(9, "http://lone.example/", plain(9))]
     rows += [(7, "http://copy.example/1", plain(1)), (8, "http://copy.example/2", plain(1))]
-    got = texts_of(spark, rows)
+    got = texts_of(spark, rows, ranges=1)
     whole = "Welcome to the site Read more below Own text {0}. More of {0} All contact data"
     assert [got[i] for i in range(6)] == [f"Own text {i}. More of {i}" for i in range(6)]
     assert got[9] == whole.format(9) and got[7] == got[8] == whole.format(1)
@@ -135,8 +136,11 @@ def test_the_given_pages(spark, folder):
 
 
 def test_hostile_pages_take_linear_time():
-    for text in ("<" * 200_000, "<a " * 60_000, "<a b='" * 40_000, "<div>" * 50_000, "<p class=" + '"x' * 50_000, "<script>" * 30_000, "&" * 100_000):
+    for text in ("<" * 200_000, "<a " * 60_000, "<a b='" * 40_000, "<div>" * 50_000, "<p class=" + '"x' * 50_000, "<script>" * 30_000, "&" * 100_000,
+                 "<!" * 100_000, "<div>" * 30_000 + "</section>" * 30_000, "<b>" * 50_000 + "</b>" * 50_000, "<b>" * 50_000 + "<p></p>" * 50_000, "<p><div>" + "<b>" * 50_000 + "<li>" * 30_000):
+        start = time.time()
         H.page_lines(text)
+        assert time.time() - start < 5
 
 
 DAY = datetime.datetime(2024, 1, 1)
