@@ -11,6 +11,8 @@ places by their rank among those of their length.
 from __future__ import annotations
 
 import os
+import re
+import unicodedata
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
@@ -25,18 +27,49 @@ from pyspark.sql import types as T
 from drayage.llm import texts
 from drayage.session import materialise
 
-# Words whose ids a worker remembers.
-KNOWN_WORDS = 300_000
+# Parts of words whose ids a worker remembers.
+KNOWN_PARTS = 1_000_000
+
+# What may be cut off a word's end: the tokenizer cuts there anyway.
+MARKS = ".,;:!?%$#*&|+=-_()[]{}/\\~^@\""
 
 # Patterns drawn of each number of lengths.
 DRAWN = {3: 12_000, 4: 12_000, 5: 12_000, 6: 12_000}
 
 
+def byte_characters() -> dict[int, str]:
+    """The characters that stand for bytes in byte-level vocabularies: printable ones for themselves, the rest from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {**{b: chr(b) for b in plain}, **{b: chr(256 + i) for i, b in enumerate(rest)}}
+
+
+BYTES = byte_characters()
+
+# Small Latin letters that no normalisation changes: a word of them is one piece of text to the model.
+LETTERS = [chr(c) for c in (*range(0x61, 0x7B), *range(0xDF, 0x180)) if chr(c).islower() and unicodedata.normalize("NFC", chr(c)) == chr(c)]
+SPELT = {ord(c): "".join(BYTES[b] for b in c.encode()) for c in LETTERS}
+ONE_PIECE = re.compile(f"[{''.join(LETTERS)}]+|[{re.escape(MARKS)}]+")
+
+
+def parts_of(word: str) -> tuple[str, str]:
+    """A word as what comes before its closing marks, ASCII in small letters, and the marks.
+
+    For tokenizers that fold case and cut between letters and marks. Words
+    that may hold special tokens, and letters that could change into letter and
+    mark when they are normalised, stay whole.
+    """
+    core = word.rstrip(MARKS)
+    if "<|" in word or (core != word and not (core and core[-1].isalpha() and core[-1] <= "\u017f" and core[-1] != "\u0130")):
+        return word, ""
+    return (core.lower() if core.isascii() else core), word[len(core) :]
+
+
 class WordTokenizer:
-    """Token ids of texts, each distinct word encoded once.
+    """Token ids of texts, each distinct part of a word encoded once.
 
-    For tokenizers that split at white space and drop it, so that a text's ids
-    are those of its words.
+    For byte-level tokenizers that fold case, split at white space and drop it,
+    and cut between letters and marks, so that a text's ids are those of its words.
     """
 
     _loaded: dict[str, "WordTokenizer"] = {}
@@ -55,32 +88,43 @@ class WordTokenizer:
         return cls._loaded[path]
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.starts = np.zeros(1, np.int64)  # of each known word's ids, and their end
+        self.known: dict[str, int] = {"": 0}
+        self.starts = np.zeros(2, np.int64)  # of each known part's ids, and their end
         self.ids = np.zeros(0, np.uint32)
 
+    def learn(self, parts: list[str]) -> None:
+        """Remember the ids of new parts; those of one piece go straight to the model."""
+        model, found = self.tokenizer.model, {}
+        rest = [p for p in parts if not ONE_PIECE.fullmatch(p)]
+        found.update(zip(rest, (e.ids for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False))))
+        for part in parts:
+            if part not in found:
+                found[part] = [t.id for t in model.tokenize(part if part.isascii() else part.translate(SPELT))]
+        ids = [found[p] for p in parts]
+        self.ids = np.concatenate([self.ids, np.fromiter((i for x in ids for i in x), np.uint32)])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum([len(x) for x in ids])])
+        base = len(self.known)
+        self.known.update((w, base + i) for i, w in enumerate(parts))
+
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Offsets of each text's ids, and all ids."""
         offsets, words = texts.word_list(texts.strings(column), lower=False)
         if len(words) == 0:
             return np.zeros(len(offsets), np.int64), np.zeros(0, np.uint32)
         coded = words.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        if len(self.known) > KNOWN_WORDS:
+        parts = [p for w in coded.dictionary.to_pylist() for p in parts_of(w)]
+        if len(self.known) > KNOWN_PARTS:
             self.forget()
-        fresh = [w for w in distinct if w not in self.known]
+        known = self.known
+        fresh = list(dict.fromkeys(p for p in parts if p not in known))
         if fresh:
-            found = [e.ids for e in self.tokenizer.encode_batch(fresh, add_special_tokens=False)]
-            ends = self.starts[-1] + np.cumsum([len(x) for x in found])
-            self.ids = np.concatenate([self.ids, np.fromiter((i for x in found for i in x), np.uint32)])
-            self.starts = np.concatenate([self.starts, ends])
-            base = len(self.known)
-            self.known.update((w, base + i) for i, w in enumerate(fresh))
-        at = np.fromiter((self.known[w] for w in distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
+            self.learn(fresh)
+        pairs = np.fromiter((known[p] for p in parts), np.int64, len(parts)).reshape(-1, 2)
+        at = pairs[coded.indices.to_numpy()].ravel()
         counts = self.starts[at + 1] - self.starts[at]
         ends = np.concatenate([[0], np.cumsum(counts)])
         places = np.repeat(self.starts[at] - ends[:-1], counts) + np.arange(ends[-1])
-        return ends[offsets], self.ids[places]
+        return ends[2 * offsets], self.ids[places]
 
 
 def with_end(offsets: np.ndarray, ids: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:

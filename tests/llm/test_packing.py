@@ -23,8 +23,15 @@ def tokenizer():
     return Tokenizer.from_file(PATH)
 
 
+def odd_words(count: int) -> str:
+    """Words of letters, marks, digits and rarer characters, in any order."""
+    r = random.Random(8)
+    pool = "abcXYZéÉßİŉ\u0958\u0301\u00a0'’.,;:!?%$#*&|()[]-_0129<>~\u2581中ш\U0001f600"
+    return " ".join("".join(r.choice(pool) for _ in range(r.randint(1, 7))) for _ in range(count))
+
+
 def test_ids_are_those_of_the_whole_text(tokenizer):
-    rows = [t for _, t in cases.corpus()] + ["İSTANBUL ΣΊΣΥΦΟΣ é ́x", "a<|endoftext|>b <|startoftext|> c", "it's WE'LL 12,5\xa0x y"]
+    rows = [odd_words(20_000), "it's we'LL. İ. a\u0301. x'S, <|ENDOFTEXT|>. <|endoftext|>."] + [t for _, t in cases.corpus()] + ["İSTANBUL ΣΊΣΥΦΟΣ é ́x", "a<|endoftext|>b <|startoftext|> c", "it's WE'LL 12,5\xa0x y"]
     offsets, ids = packing.WordTokenizer(PATH).encode(pa.array(rows))
     for text, a, b in zip(rows, offsets, offsets[1:]):
         assert ids[a:b].tolist() == tokenizer.encode(text or "", add_special_tokens=False).ids
