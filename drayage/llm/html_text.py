@@ -141,6 +141,8 @@ class Reader:
             for i in range(len(self.stack) - 1, 0, -1):
                 if self.stack[i].tag in ends:
                     self.drop(i)
+                    if not any(self.opened.get(t) for t in ends):
+                        break
                 elif self.stack[i].tag in SCOPES:
                     break
         here, named = self.stack[-1], named_boilerplate(tag, attributes)
