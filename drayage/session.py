@@ -21,6 +21,8 @@ RUNTIME_CONF = {
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
+_own_root: str | None = None
+
 def build_session(app: str = "drayage", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings above; ``conf`` uses ``__`` for dots."""
     builder = SparkSession.builder.appName(app).config("spark.ui.enabled", "false")
@@ -51,8 +53,8 @@ def shared_root(spark: SparkSession) -> str:
     if not named:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder all executors share")
-        named = tempfile.mkdtemp(prefix="run-drayage-")
-        spark.conf.set(CHECKPOINT_DIR, named)
+        global _own_root
+        named = _own_root = _own_root or tempfile.mkdtemp(prefix="run-drayage-")
     return named.rstrip("/")
 
 
