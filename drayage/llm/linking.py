@@ -30,8 +30,8 @@ LEADERS = 3
 # Rounds end once the pairs left are no more than the rows of the index, or a round has left more than this share of them.
 WORTH = 0.7
 
-# Members of the sets outside that one task holds at a time.
-TOGETHER = 500_000
+# Sets outside that one task holds at a time, by their bit maps.
+TOGETHER = 5_000
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -77,78 +77,87 @@ def with_leaders(index: DataFrame, percent: int, round_no: int) -> DataFrame:
     return first.select(F.col("l.lead.id").alias("a"), F.col("id").alias("b")).distinct()
 
 
+def sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The members of each row as a bit map of ``bits`` bits, and their number."""
+    for batch in batches:
+        bits, members = batch.column("bits").to_pylist(), batch.column("members")
+        out, sizes = [], []
+        for i, size in enumerate(bits):
+            held = members[i].values
+            held = np.zeros(0, np.int64) if held is None else held.to_numpy()
+            marks = np.zeros(size, np.uint8)
+            marks[((held.view(np.uint64) >> np.uint64(20)) % np.uint64(size)).astype(np.int64)] = 1
+            out.append(np.packbits(marks, bitorder="little").tobytes())
+            sizes.append(len(held))
+        names = [c for c in batch.schema.names if c not in ("bits", "members")]
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(c) for c in names), pa.array(sizes, pa.int64()), pa.array(out, pa.binary())], names=[*names, "m", "sketch"]
+        )
+
+
 class Outside:
-    """Some sets with an index of their members; links found to other sets join their components."""
-
-    def __init__(self, ids: list, components: list, sizes: list, members: list[np.ndarray]):
-        self.ids, self.components, self.sizes = ids, components, np.array(sizes)
-        flat = np.concatenate(members) if members else np.zeros(0, np.int64)
-        owner = np.repeat(np.arange(len(members)), [len(m) for m in members])
-        order = np.argsort(flat, kind="stable")
-        self.owner = owner[order]
-        self.values, self.starts = np.unique(flat[order], return_index=True)
-        self.ends = np.append(self.starts[1:], len(flat))
-        self.parent: dict = {}
-
-    def root(self, component):
-        while (up := self.parent.get(component, component)) != component:
-            component = up
-        return component
-
-    def links(self, id_, component, size: int, members: np.ndarray, percent: int) -> Iterator[tuple]:
-        """Links to the sets that join two components; each set is met by its members that this one has."""
-        if len(self.values) == 0:
-            return
-        at = np.minimum(np.searchsorted(self.values, members), len(self.values) - 1)
-        at = at[self.values[at] == members]
-        lengths = self.ends[at] - self.starts[at]
-        ends = np.cumsum(lengths)
-        places = np.repeat(self.starts[at] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)
-        common = np.bincount(self.owner[places], minlength=len(self.ids))
-        for i in np.flatnonzero(100 * common >= percent * (self.sizes + size - common)).tolist():
-            a, b = self.root(self.components[i]), self.root(component)
-            if a != b:
-                self.parent[max(a, b)] = min(a, b)
-                yield self.ids[i], id_
-
-
-def link_batches(percent: int) -> Callable:
-    """Links of rows sorted so that, of each group, the sets outside come before all sets; holds those outside."""
+    """Sets by their bit maps, which tell how many members two sets have in common at most.
+
+    A common member sets one bit in both maps. Members that share a bit of their
+    own set's map are counted on top, so the bound is never too low.
+    """
+
+    def __init__(self, rows: list[tuple]):
+        self.ids, self.components, sizes, members, sketches = (list(x) for x in zip(*rows))
+        self.components, self.sizes, self.members = (np.array(x, np.int64) for x in (self.components, sizes, members))
+        self.maps = np.stack([np.frombuffer(x, np.uint64) for x in sketches])
+        self.doubled = self.members - np.bitwise_count(self.maps).sum(axis=1)
+
+    def may_link(self, component: int, size: int, members: int, sketch: bytes, percent: int) -> np.ndarray:
+        """Numbers of the sets of other components that may be similar to this one."""
+        bits = np.frombuffer(sketch, np.uint64)
+        doubled = members - int(np.bitwise_count(bits).sum())
+        common = np.bitwise_count(self.maps & bits).sum(axis=1) + np.minimum(self.doubled, doubled)
+        common = np.minimum(common, np.minimum(self.members, members))
+        fit = 100 * common.astype(np.int64) >= percent * (self.sizes + size - common.astype(np.int64))
+        return np.flatnonzero(fit & (self.components != component))
+
+
+def candidate_batches(percent: int) -> Callable:
+    """Pairs of rows sorted so that, of each group, the sets outside come before all sets; holds those outside."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, gathered, outside = None, [], None
         for batch in batches:
-            found: list[tuple] = []
-            members = batch.column("members")
-            rows = zip(*(batch.column(c).to_pylist() for c in ("key", "part", "side", "id", "component", "n")))
-            for i, (key, part, side, id_, component, n) in enumerate(rows):
+            a: list[int] = []
+            b: list[int] = []
+            columns = ("key", "part", "side", "id", "component", "n", "m", "sketch")
+            for key, part, side, id_, component, n, m, sketch in zip(*(batch.column(c).to_pylist() for c in columns)):
                 if (key, part) != group:
                     group, gathered, outside = (key, part), [], None
-                held = members[i].values
-                held = np.zeros(0, np.int64) if held is None else held.to_numpy()
                 if side == 0:
-                    gathered.append((id_, component, n, held))
+                    gathered.append((id_, component, n, m, sketch))
                     continue
-                if outside is None:
-                    outside = Outside(*(list(x) for x in zip(*gathered))) if gathered else Outside([], [], [], [])
-                found.extend(outside.links(id_, component, n, held, percent))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["a", "b"])
+                if outside is None and gathered:
+                    outside = Outside(gathered)
+                if outside is not None:
+                    for i in outside.may_link(component, n, m, sketch, percent).tolist():
+                        a.append(min(outside.ids[i], id_))
+                        b.append(max(outside.ids[i], id_))
+            if a:
+                pairs = np.unique(np.array([a, b], np.int64), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
     return run
 
 
 def across(index: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between ids that share a key and have different components, as many as join them.
+    """Pairs of ids that share a key, have different components and may be similar.
 
     One of two such ids lies outside the key's largest component. Those
-    outside, in parts of bounded size, meet all ids of the key in one task,
-    where pairs are counted but not listed.
+    outside, in parts of bounded size, meet all ids of the key in one task by
+    bit maps of their members, so that only pairs near the threshold and above
+    are listed, and whole sets are not sent.
     """
-    sizes = index.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("members"))
-    main = F.max_by(F.struct("component", "members"), F.struct("c", "component"))
-    keys = sizes.groupBy("key").agg(main.alias("main"), F.sum("members").alias("all")).select(
-        "key", F.col("main.component").alias("main"), F.ceil((F.col("all") - F.col("main.members")) / TOGETHER).alias("parts")
+    sizes = index.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
+    main = F.max_by(F.struct("component", "c"), F.struct("c", "component"))
+    keys = sizes.groupBy("key").agg(main.alias("main"), F.sum("c").alias("all")).select(
+        "key", F.col("main.component").alias("main"), F.ceil((F.col("all") - F.col("main.c")) / TOGETHER).alias("parts")
     )
     keyed = index.join(materialise(keys.where("parts > 0"), "keys"), "key")
     outside = F.col("component") != F.col("main")
@@ -156,9 +165,13 @@ def across(index: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     asked = F.when(outside, F.array(F.struct(F.lit(0).alias("side"), mine.alias("part"))))
     offered = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda p: F.struct(F.lit(1).alias("side"), p.alias("part")))
     sides = F.concat(F.coalesce(asked, F.array().cast("array<struct<side:int,part:bigint>>")), offered)
-    met = keyed.select("key", "id", "component", F.explode(sides).alias("s")).select("key", "id", "component", "s.*")
-    full = met.join(sets, "id").repartition("key", "part").sortWithinPartitions("key", "part", "side", "id")
-    return full.select("key", "part", "side", "id", "component", "n", "members").mapInArrow(link_batches(percent), "a long, b long")
+    full = keyed.select("key", "id", "component", "bits", sides.alias("sides")).join(sets.select("id", "n", "members"), "id")
+    schema = "key long, id long, component long, sides array<struct<side:int,part:bigint>>, n long, m long, sketch binary"
+    drawn = full.select("key", "id", "component", "bits", "sides", "n", "members").mapInArrow(sketch_batches, schema)
+    met = drawn.select("key", "id", "component", "n", "m", "sketch", F.explode("sides").alias("s"))
+    met = met.select("key", "s.part", "s.side", "id", "component", "n", "m", "sketch")
+    sorted_ = met.repartition("key", "part").sortWithinPartitions("key", "part", "side", "id")
+    return sorted_.mapInArrow(candidate_batches(percent), "a long, b long").distinct()
 
 
 def pairs_left(index: DataFrame) -> int:
@@ -172,15 +185,17 @@ def pairs_left(index: DataFrame) -> int:
 def cluster(index: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``id``, ``component`` of every id linked to a smaller one.
 
-    ``index`` has ``key``, ``id``, ``n`` (the set's size) and ``m`` (how many of
-    its members other sets have too, or ``n`` if that is not known); ``sets`` has
-    ``id``, ``n``, ``members``. Both should be tables, as they are read several
-    times. Ids that can link with no size found under a key leave it.
+    ``index`` has ``key``, ``id``, ``n`` (the set's size), ``m`` (how many of
+    its members other sets have too, or ``n`` if that is not known) and ``bits``
+    (of the bit maps, for all rows of a key the same multiple of 64); ``sets``
+    has ``id``, ``n``, ``members``. Both should be tables, as they are read
+    several times. Ids that can link with no size found under a key leave it.
     """
     keys = index.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("low")).where("c > 1").select("key", "low")
     union = F.col("n") + F.greatest(F.col("low"), F.col("m")) - F.col("m")
     able = index.join(keys, "key").where(100 * F.col("m") >= percent * union)
-    left = materialise(able.select("key", "id", "n", "m", F.col("id").alias("component")), "index")
+    left = materialise(able.select("key", "id", "n", "m", "bits", F.col("id").alias("component")), "index")
+    sets = materialise(sets.join(left.select("id").distinct(), "id", "left_semi"), "sets")
     kept, rows = left.drop("component"), left.count()
     links, round_no, before, now = None, 0, math.inf, pairs_left(left)
     while rows < now <= WORTH * before:
@@ -188,5 +203,5 @@ def cluster(index: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         links = materialise(new if links is None else links.unionByName(new), "links")
         left = materialise(labelled(kept, partly_joined(links)), "left")
         round_no, before, now = round_no + 1, now, pairs_left(left)
-    new = across(left, sets, percent)
+    new = verified(across(left, sets, percent), sets, percent)
     return components(new if links is None else links.unionByName(new))

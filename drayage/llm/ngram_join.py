@@ -38,6 +38,9 @@ FREQUENT = ((64, 2), (4096, 3))
 # The first prefix is longer than what a similar set may lack by the size over this; as many must be shared.
 MORE = 8
 
+# Bits of a set's map per shingle.
+SKETCH = 8
+
 # In sets of fewer shingles all count singly.
 COMBINED_FROM = 32
 
@@ -141,8 +144,10 @@ def size_classes(growth: float = 1.15, top: int = 1 << 40) -> list[int]:
 LEAST = size_classes()
 
 
-def signatures(n: int, hashes: np.ndarray, counts: np.ndarray, percent: int, frequent=FREQUENT) -> Iterator[int]:
-    """Keys of a set of ``n``, given those of its members that other sets have too.
+def signatures(
+    n: int, hashes: np.ndarray, counts: np.ndarray, percent: int, frequent=FREQUENT
+) -> Iterator[tuple[int, int]]:
+    """Keys, and the size their class begins with, of a set of ``n``, given those of its members that other sets have too.
 
     Similar sets are met class by class of their size, which bounds what they
     may lack. Members that no other set has come first; then the rare ones by
@@ -169,12 +174,12 @@ def signatures(n: int, hashes: np.ndarray, counts: np.ndarray, percent: int, fre
                 for least, together in frequent:
                     k = together if count >= least else k
             if k == 1:
-                yield hash((low, high, h))
+                yield hash((low, high, h)), size
                 need -= 1
             else:
                 mates = groups.setdefault((k, (h >> 7) % (size >> k)), [])
                 for some in combinations(mates, k - 1):
-                    yield hash((low, high, *sorted((*some, h))))
+                    yield hash((low, high, *sorted((*some, h)))), size
                 mates.append(h)
                 need -= len(mates) >= k
             if need <= 0:
@@ -188,10 +193,12 @@ def signature_batches(percent: int) -> Callable:
                 n, id_ = batch.column("n")[i].as_py(), batch.column("id")[i].as_py()
                 shared = batch.column("shared")[i].values
                 h, c = shared.field("h").to_numpy(), shared.field("c").to_numpy()
-                found = np.unique(np.fromiter(signatures(n, h, c, percent), np.int64))
-                if len(found):
-                    columns = [found, *(np.full(len(found), x) for x in (id_, n, len(shared)))]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["key", "id", "n", "m"])
+                found = dict(signatures(n, h, c, percent))
+                if found:
+                    keys, sizes = (np.fromiter(x, np.int64, len(found)) for x in (found.keys(), found.values()))
+                    bits = -(-SKETCH * sizes // 64) * 64
+                    columns = [keys, *(np.full(len(found), x) for x in (id_, n, len(shared))), bits]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["key", "id", "n", "m", "bits"])
 
     return run
 
@@ -240,7 +247,7 @@ def similar_documents(
     members = sets.select("id", F.explode("members").alias("h")).repartition("h").sortWithinPartitions("h")
     shared = members.mapInArrow(count_members, "id long, h long, c long").groupBy("id").agg(F.collect_list(F.struct("h", "c")).alias("shared"))
     described = materialise(sets.select("id", "n").join(shared, "id"), "shared")  # what no other set has matters by its number
-    index = materialise(described.mapInArrow(signature_batches(percent), "key long, id long, n long, m long"), "signatures")
+    index = materialise(described.mapInArrow(signature_batches(percent), "key long, id long, n long, m long, bits long"), "signatures")
     sets = described.select("id", "n", F.col("shared.h").alias("members"))
     linked = cluster(index, sets, percent)
 

@@ -218,7 +218,7 @@ def repeated_spans(
         sets.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", F.size("members").cast("long").alias("n"), "members"),
         "classes",
     )
-    index = materialise(met.join(classes.select("h1", "id", "n"), "h1").select("key", "id", "n", F.col("n").alias("m")), "bands")
+    index = materialise(met.join(classes.select("h1", "id", "n"), "h1").select("key", "id", "n", F.col("n").alias("m"), F.lit(256).cast("long").alias("bits")), "bands")
     linked = cluster(index, classes.select("id", "n", "members"), percent)
     named = materialise(
         classes.select("id", "h1", "h2").join(linked, "id", "left")

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from drayage.llm import line_dedup, ngram_join, passages, second_pass, texts
+from drayage.llm import line_dedup, linking, ngram_join, passages, second_pass, texts
 from drayage.llm.components import components
 from drayage.llm.linking import cluster
 
@@ -83,7 +83,7 @@ def test_similar_sets_share_a_signature(frequent):
         keys = []
         for s in (x, y):
             h = np.array(sorted(s & shared), np.int64)
-            keys.append(set(ngram_join.signatures(len(s), h, np.array([count[v] for v in h.tolist()]), 75, frequent)))
+            keys.append({k for k, _ in ngram_join.signatures(len(s), h, np.array([count[v] for v in h.tolist()]), 75, frequent)})
         assert keys[0] & keys[1]
 
 
@@ -107,11 +107,25 @@ def test_components_and_clusters(spark):
     assert got == {k: v for k, v in want.items() if k != v}
 
 
+def test_bit_maps_never_hide_a_link():
+    rng = random.Random(4)
+    for bits in (64, 256):
+        sets = [set(rng.sample(range(1, 60), rng.randint(1, 40))) for _ in range(120)]
+        hashed = [np.array(sorted(x), np.uint64) * np.uint64(0x9E3779B97F4A7C15) for x in sets]
+        batch = pa.RecordBatch.from_pydict({
+            "id": list(range(120)), "bits": [bits] * 120, "members": pa.array([h.view(np.int64) for h in hashed], pa.list_(pa.int64()))})
+        drawn = next(linking.sketch_batches(iter([batch]))).to_pylist()
+        outside = linking.Outside([(r["id"], r["id"], len(sets[r["id"]]), r["m"], r["sketch"]) for r in drawn])
+        for r in drawn:
+            found = set(outside.may_link(r["id"], len(sets[r["id"]]), r["m"], r["sketch"], 75).tolist())
+            assert {i for i in range(120) if i != r["id"] and brute.similar(sets[i], sets[r["id"]])} <= found
+
+
 def test_cluster_finds_links_between_members_that_no_leader_has(spark):
     """A chain under one key: only neighbours are similar."""
     members = {i: list(range(i * 2, i * 2 + 20)) for i in range(40)}
     sets = spark.createDataFrame([(i, 20, m) for i, m in members.items()], "id long, n long, members array<long>")
-    index = spark.createDataFrame([(1, i, 20, 20) for i in members], "key long, id long, n long, m long")
+    index = spark.createDataFrame([(1, i, 20, 20, 64) for i in members], "key long, id long, n long, m long, bits long")
     got = {r["id"]: r["component"] for r in cluster(index, sets, 75).collect()}
     assert got == {i: 0 for i in range(1, 40)}
 
