@@ -23,6 +23,7 @@ CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 _own_root: str | None = None
 
+
 def build_session(app: str = "drayage", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings above; ``conf`` uses ``__`` for dots."""
     builder = SparkSession.builder.appName(app).config("spark.ui.enabled", "false")
