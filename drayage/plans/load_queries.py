@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from drayage.operators import load
-from drayage.plans.registry import Tables, query
+from drayage.plans.registry import ALL_TABLES, Tables, query
 from drayage.session import scratch_path
 
 
@@ -205,9 +205,8 @@ def changelog_replay(t: Tables) -> DataFrame:
     "copy_tables",
     " UNION ALL ".join(
         f"SELECT '{n}' AS table_name, 'copied' AS status, count(*) AS row_count, NULL::VARCHAR AS message FROM {n}"
-        for n in ("customer", "lineitem", "orders", "part", "supplier")
+        for n in ALL_TABLES
     ),
 )
 def copy_tables(t: Tables) -> DataFrame:
-    names = ("customer", "lineitem", "orders", "part", "supplier")
-    return load.copy_tables({n: getattr(t, n) for n in names}, scratch_path(t.spark, "copy"))
+    return load.copy_tables({n: getattr(t, n) for n in ALL_TABLES}, scratch_path(t.spark, "copy"))

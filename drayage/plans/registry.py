@@ -20,6 +20,11 @@ class Registered:
 
 REGISTRY: dict[str, Registered] = {}
 
+# The tables of a folder.
+ALL_TABLES = (
+    "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
+).split()
+
 
 class Tables:
     """The tables of one folder, loaded on first use: ``t.orders``."""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from drayage.operators.load import load_table
-from drayage.plans.registry import Tables, query
+from drayage.plans.registry import ALL_TABLES, Tables, query
 from drayage.session import scratch_path
 from drayage.sources import files, inventory, sinks
 from drayage.sources.bounded_sql import bounded_query
@@ -118,13 +118,11 @@ def document_find(t: Tables) -> DataFrame:
 @query(
     "table_inventory",
     " UNION ALL ".join(
-        f"SELECT 'default' AS schema_name, '{n}' AS table_name, count(*) AS row_count FROM {n}"
-        for n in ("customer", "documents", "events", "lineitem", "orders", "part", "supplier")
+        f"SELECT 'default' AS schema_name, '{n}' AS table_name, count(*) AS row_count FROM {n}" for n in ALL_TABLES
     ),
 )
 def table_inventory(t: Tables) -> DataFrame:
-    names = ("customer", "documents", "events", "lineitem", "orders", "part", "supplier")
-    return inventory.table_inventory({n: getattr(t, n) for n in names})
+    return inventory.table_inventory({n: getattr(t, n) for n in ALL_TABLES})
 
 
 def inventory_sql(table: str, columns: list[tuple[str, str]]) -> str:
