@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from drayage.llm.components import components, partly_joined
+from drayage.llm.second_pass import Seen
 from drayage.session import materialise
 
 # Leaders that an id is compared with in a round.
@@ -122,10 +123,9 @@ def candidate_batches(percent: int) -> Callable:
     """Pairs of rows sorted so that, of each group, the sets outside come before all sets; holds those outside."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, gathered, outside = None, [], None
+        group, gathered, outside, seen = None, [], None, Seen()  # a pair may share many keys
         for batch in batches:
-            a: list[int] = []
-            b: list[int] = []
+            pairs: list[tuple[int, int]] = []
             columns = ("key", "part", "side", "id", "component", "n", "m", "sketch")
             for key, part, side, id_, component, n, m, sketch in zip(*(batch.column(c).to_pylist() for c in columns)):
                 if (key, part) != group:
@@ -137,11 +137,11 @@ def candidate_batches(percent: int) -> Callable:
                     outside = Outside(gathered)
                 if outside is not None:
                     for i in outside.may_link(component, n, m, sketch, percent).tolist():
-                        a.append(min(outside.ids[i], id_))
-                        b.append(max(outside.ids[i], id_))
-            if a:
-                pairs = np.unique(np.array([a, b], np.int64), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+                        pair = (min(outside.ids[i], id_), max(outside.ids[i], id_))
+                        if seen.new(pair):
+                            pairs.append(pair)
+            if pairs:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*pairs)], names=["a", "b"])
 
     return run
 
@@ -203,5 +203,7 @@ def cluster(index: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         links = materialise(new if links is None else links.unionByName(new), "links")
         left = materialise(labelled(kept, partly_joined(links)), "left")
         round_no, before, now = round_no + 1, now, pairs_left(left)
+    if links is not None:  # what the rounds have joined needs no comparing
+        left = materialise(labelled(kept, components(links)), "left")
     new = verified(across(left, sets, percent), sets, percent)
     return components(new if links is None else links.unionByName(new))

@@ -39,7 +39,7 @@ FREQUENT = ((64, 2), (4096, 3))
 MORE = 8
 
 # Bits of a set's map per shingle.
-SKETCH = 8
+SKETCH = 16
 
 # In sets of fewer shingles all count singly.
 COMBINED_FROM = 32
