@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from drayage.llm.line_dedup import dedup_lines
 from drayage.llm.ngram_join import similar_documents
 from drayage.llm.packing import pack
-from drayage.llm.passages import repeated_spans, without_spans
+from drayage.llm.passages import all_spans, without_spans
 from drayage.llm.quality_rules import keep_good, learn_rules
 from drayage.llm.texts import small_batches
 from drayage.plans.registry import Tables
@@ -61,7 +61,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the passages that stand in an earlier one."""
     ready(spark)
-    return recounted(without_spans(docs, repeated_spans(docs)))
+    return recounted(without_spans(docs, all_spans(docs)))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,10 +1,12 @@
-"""Substring dedup: paragraphs that repeat, by MinHash banding.
+"""Substring dedup: paragraphs that repeat, by MinHash banding, and passages that repeat word for word.
 
 A text is cut into paragraphs at line ends and sentence ends; short ones are
-joined with the next, so a passage has the same paragraphs wherever it stands,
-but for its first. Paragraphs that collide in a band are verified by exact
-Jaccard similarity of their shingles and clustered; of each cluster the first
-occurrence stays. Neighbouring repeats make a span; spans of enough words go.
+joined with the next, so a passage may be cut otherwise after other words.
+Paragraphs that collide in a band are verified by exact Jaccard similarity of
+their shingles and clustered; of each cluster the first occurrence stays.
+Neighbouring repeats make a span; spans of enough words go. Copied passages
+that are no paragraphs are found by anchors (``exact_spans``); what overlaps or
+touches is one span.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from drayage.llm import texts
+from drayage.llm.exact_spans import exact_repeats
 from drayage.llm.linking import cluster
 from drayage.llm.second_pass import SEEN, Shared, bit_map, in_map
 from drayage.session import materialise
@@ -86,6 +89,7 @@ class Paragraphs:
         low, high = borders[:-1], borders[1:]
         self.text = np.searchsorted(offsets, low, side="right") - 1
         self.number = np.arange(len(low)) - np.searchsorted(low, offsets)[self.text]
+        self.word = low - offsets[self.text]
         self.n_words = high - low
         self.begin, self.end = begin[low], end[high - 1]
         place = np.arange(len(self.words)) - np.repeat(low, self.n_words)
@@ -167,9 +171,9 @@ def paragraph_batches(text: str, min_words: int, width: int, bits: np.ndarray) -
             owner = pa.array(p.text[chosen])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c).take(owner) for c in ("key", "a", "b")]
-                + [pa.array(x[chosen].astype(np.int64)) for x in (p.number, p.n_words, p.begin, p.end)]
+                + [pa.array(x[chosen].astype(np.int64)) for x in (p.number, p.word, p.n_words, p.begin, p.end)]
                 + [texts.signed(p.h1[chosen]), texts.signed(p.h2[chosen]), pa.array(members, pa.list_(pa.int64()))],
-                names=["key", "a", "b", "number", "n_words", "begin", "end", "h1", "h2", "members"],
+                names=["key", "a", "b", "number", "word", "n_words", "begin", "end", "h1", "h2", "members"],
             )
 
     return run
@@ -191,10 +195,10 @@ def repeated_spans(
     percent: int = 75,
     recall: float = 0.98,
 ) -> DataFrame:
-    """The spans that repeat what stands earlier: a row per span.
+    """The spans of paragraphs that repeat what stands earlier: a row per span.
 
-    Columns: key, a, b (the document's identity), start and length (code
-    points), n_words of the paragraphs in it, kept_key (the document whose
+    Columns: key, a, b (the document's identity), word (its first word's
+    number), start and length (code points), n_words, kept_key (the document whose
     occurrence of the first paragraph stays), class_id. Earlier means a smaller
     key, then an earlier place. Rows that repeat key and text are one document.
     Null and empty texts have no paragraphs. Null keys come first.
@@ -208,7 +212,7 @@ def repeated_spans(
 
     bits = bit_map(wanted.withColumnRenamed("h1", "key"))
     fields = [T.StructField("key", docs.schema[key].dataType)]
-    fields += [T.StructField(c, T.LongType()) for c in ("a", "b", "number", "n_words", "begin", "end", "h1", "h2")]
+    fields += [T.StructField(c, T.LongType()) for c in ("a", "b", "number", "word", "n_words", "begin", "end", "h1", "h2")]
     schema = T.StructType([*fields, T.StructField("members", T.ArrayType(T.LongType()))])
     again = identified(read, "key", "text").mapInArrow(paragraph_batches("text", min_words, width, bits), schema)
     found = materialise(again.join(wanted, "h1", "left_semi"), "paragraphs")
@@ -234,6 +238,7 @@ def repeated_spans(
     document = Window.partitionBy("a", "b", "key").orderBy("number")
     runs = repeats.withColumn("run", F.col("number") - F.row_number().over(document))
     spans = runs.groupBy("key", "a", "b", "run").agg(
+        F.min("word").alias("word"),
         F.min("begin").alias("start"),
         (F.max("end") - F.min("begin")).alias("length"),
         F.sum("n_words").alias("n_words"),
@@ -243,6 +248,29 @@ def repeated_spans(
     return spans.where(F.col("n_words") >= min_span_words).drop("run")
 
 
+def all_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The spans of ``repeated_spans`` and the passages that repeat word for word, where they meet as one.
+
+    Every passage of 51 words or more that stands earlier too lies in one,
+    wherever it begins. kept_key and class_id are those of the first part.
+    """
+    parts = repeated_spans(docs, key, text).unionByName(exact_repeats(docs, key, text))
+    stop = F.col("word") + F.col("n_words")
+    document = Window.partitionBy("a", "b", "key").orderBy("word", F.desc("n_words"), "class_id")
+    before = F.max(stop).over(document.rowsBetween(Window.unboundedPreceding, -1))
+    begins = parts.withColumn("new", F.coalesce((F.col("word") > before).cast("long"), F.lit(1).cast("long")))
+    named = begins.withColumn("span", F.sum("new").over(document.rowsBetween(Window.unboundedPreceding, 0)))
+    at = F.struct("word", F.negative("n_words"), "class_id")
+    return named.groupBy("key", "a", "b", "span").agg(
+        F.min("word").alias("word"),
+        F.min("start").alias("start"),
+        (F.max(F.col("start") + F.col("length")) - F.min("start")).alias("length"),
+        (F.max(stop) - F.min("word")).alias("n_words"),
+        F.min_by("kept_key", at).alias("kept_key"),
+        F.min_by("class_id", at).alias("class_id"),
+    ).drop("span")
+
+
 def cut_batches(text: str) -> Callable:
     def cut(body: str | None, spans: list | None) -> str | None:
         if body is None or not spans:

@@ -115,20 +115,20 @@ class Counted:
         return tuple(found)
 
 
-def bit_map(keys: DataFrame) -> np.ndarray:
-    """The map of the column ``key`` of longs."""
-    slot = F.col("key").bitwiseAND((1 << MAP_BITS) - 1)
+def bit_map(keys: DataFrame, size: int = MAP_BITS) -> np.ndarray:
+    """The map of the column ``key`` of longs, of ``2 ** size`` bits."""
+    slot = F.col("key").bitwiseAND((1 << size) - 1)
     filled = (
         keys.select(F.shiftright(slot, 6).alias("at"), F.expr("shiftleft(1L, cast(key & 63 as int))").alias("bit"))
         .groupBy("at")
         .agg(F.bit_or("bit").alias("bits"))
-        .toArrow()  # 2 ** 18 rows at most
+        .toArrow()  # 2 ** (size - 6) rows at most
     )
-    bits = np.zeros(1 << (MAP_BITS - 6), np.int64)
+    bits = np.zeros(1 << (size - 6), np.int64)
     bits[filled.column("at").to_numpy()] = filled.column("bits").to_numpy()
     return bits.view(np.uint64)
 
 
 def in_map(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    slot = keys.view(np.uint64) & np.uint64((1 << MAP_BITS) - 1)
+    slot = keys.view(np.uint64) & np.uint64(64 * len(bits) - 1)
     return (bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) > 0

@@ -75,6 +75,8 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BY
 
 def strings(column: pa.Array) -> pa.Array:
     """The column as strings with 64-bit offsets, null as the empty text."""
+    if column.offset:  # Arrow lower-cases a slice with the offsets of the whole
+        column = pa.concat_arrays([column, column.slice(0, 0)])
     return pc.fill_null(column.cast(pa.large_string()), "")
 
 
