@@ -31,14 +31,3 @@ def spark(tmp_path_factory):
 @pytest.fixture(scope="session")
 def folder() -> str:
     return FOLDER
-
-
-def rows(df, *order: str) -> list[tuple]:
-    """Rows as sorted tuples, columns in the given order."""
-    selected = df.select(*order) if order else df
-    return sorted((tuple(r) for r in selected.collect()), key=repr)
-
-
-def plan(df) -> str:
-    """The physical plan as text."""
-    return df._jdf.queryExecution().executedPlan().toString()

@@ -4,7 +4,7 @@ from decimal import Decimal as D
 
 import pytest
 import shop
-from conftest import plan, rows
+from frames import plan, rows
 from pyspark.sql import functions as F
 
 from drayage.functions.expressions import catalogue, expr

@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import random
 
-from conftest import plan, rows
+from frames import plan, rows
 
 from drayage.operators import documents as d
 from drayage.operators import runs as r

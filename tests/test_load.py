@@ -4,7 +4,7 @@ import random
 
 import pytest
 import shop
-from conftest import rows
+from frames import rows
 from pyspark.sql import functions as F
 
 from drayage.operators import load

@@ -1,7 +1,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import rows
+from frames import rows
 
 from drayage.functions.type_rules import TYPE_RULES, spark_type
 from drayage.operators.mapping import cast_failures, conform, map_columns, map_types

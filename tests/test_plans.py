@@ -7,7 +7,7 @@ import pathlib
 import re
 
 import pytest
-from conftest import plan
+from frames import plan
 
 from drayage.plans.catalog import load_all
 

@@ -3,7 +3,7 @@ from __future__ import annotations
 import random
 
 import shop
-from conftest import rows
+from frames import rows
 from pyspark.sql import functions as F
 
 from drayage.operators import quality as q

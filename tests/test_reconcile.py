@@ -3,7 +3,7 @@ from __future__ import annotations
 from decimal import Decimal as D
 
 import shop
-from conftest import rows
+from frames import rows
 from pyspark.sql import functions as F
 
 from drayage.operators.reconcile import count_compare, reconcile

@@ -4,7 +4,7 @@ import json
 import os
 
 import pytest
-from conftest import plan, rows
+from frames import plan, rows
 from pyspark.sql import types as T
 
 from drayage.functions.canonical import canonical_text, row_hash

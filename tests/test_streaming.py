@@ -4,7 +4,7 @@ import os
 from datetime import datetime, timedelta
 
 import pytest
-from conftest import rows
+from frames import rows
 from pyspark.sql import functions as F
 
 from drayage.streaming import jobs

@@ -7,7 +7,7 @@ import re
 import time
 
 import pytest
-from conftest import rows
+from frames import rows
 from pyspark.sql import functions as F
 
 from drayage.operators import text as x
