@@ -19,10 +19,11 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from drayage.operators.ordering import PART, POSITION, in_order
+from drayage.llm.numbering import numbered, same
+from drayage.operators.ordering import in_order
 from drayage.session import materialise
 
 FAN = 3
@@ -239,10 +240,6 @@ def child_batches(height: int) -> Callable:
 CHILD_TYPE = f"grp string, pos long, subroot string, root string, above {PATH_TYPE}"
 
 
-def same(a: str, b: str, column: str) -> Column:
-    return F.col(f"{a}.{column}").eqNullSafe(F.col(f"{b}.{column}"))
-
-
 def below(blocks: DataFrame, above: DataFrame, height: int, label: str) -> DataFrame:
     """Paths above the nodes one layer down; ``above`` has those of ``blocks`` by grp and pos."""
     wanted = with_path(blocks, above).select("grp", "block", "count", "levels", "stored", "subroot", "root", "above")
@@ -344,26 +341,6 @@ def proof_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             )
 
 
-def numbered(rows: DataFrame, label: str) -> DataFrame:
-    """Rows with ``grp`` and ``digest`` and an order: the place in the group as ``pos`` and the group's ``total``.
-
-    One range shuffle of all rows; a group may span partitions, so no group
-    has to fit one task. What is handed over is one count per partition and group in it.
-    """
-    counts = rows.groupBy(PART, "grp").agg(F.count(F.lit(1)).alias("n"), F.min(POSITION).alias("first"))
-    earlier = Window.partitionBy("grp").orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
-    spans = materialise(
-        counts.select(
-            PART, "grp", (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first")).alias("shift"),
-            F.sum("n").over(Window.partitionBy("grp")).alias("total"),
-        ),
-        label,
-    )
-    on = same("r", "s", "grp") & (F.col(f"r.{PART}") == F.col(f"s.{PART}"))
-    kept = [f"r.{c}" for c in rows.columns if c not in (PART, POSITION)]
-    return rows.alias("r").join(spans.alias("s"), on).select(*kept, (F.col(POSITION) + F.col("shift")).alias("pos"), "total")
-
-
 def build_manifest(
     docs: DataFrame,
     fields: Sequence[str],

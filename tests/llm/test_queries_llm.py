@@ -17,7 +17,7 @@ QUERIES = load_all()
 
 def test_all_are_registered():
     names = [n for n in entry_points.queries() if n.startswith("op") and n[2].isdigit()]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert "pipeline" in entry_points.queries()
 
 
