@@ -1,16 +1,20 @@
 """Source against target by key: missing, extra, duplicate and changed rows.
 
-Two passes, neither of which joins the tables with each other. The first sends
-only keys and an 8-byte row hash through the shuffle and is combined on the map
-side, so a key that holds a third of the rows leaves each map task as one
-record. The second reads again only the rows of keys that differ and compares
-their cells as text.
+No pass joins the tables with each other. The first deals keys to a fixed
+number of buckets, twice over and each time by another hash, and shuffles a
+digest per bucket: counts and sums that add up over files, tasks and batches. A
+key whose bucket has the same digest on both sides is settled. Only keys whose
+buckets differ both times go on: keys and an 8-byte row hash are combined on the
+map side, so that a key with a third of the rows leaves each map task as one
+record. The third pass reads the rows of keys that differ and compares their
+cells as text.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,19 +32,93 @@ def compared_cells(df: DataFrame, columns: Sequence[str]) -> list[Column]:
     ]
 
 
+# Digests per bucketing. With fewer differing keys than that, a key that does
+# not differ goes on with the square of their share as its chance.
+BUCKETS = 1 << 16
+BUCKETINGS = 2
+DIGEST_SUMS = ("a", "b", "c")
+
+
+def bucket_of(keys: Sequence[str], bucketing: int, buckets: int = BUCKETS) -> Column:
+    """The bucket of a row's key; NULL keys have one too."""
+    cells = [F.col(f"`{k}`") for k in keys]
+    return F.pmod(row_hash([F.lit(bucketing), *cells]), F.lit(buckets)).cast("int")
+
+
+def table_digest(rows: DataFrame, keys: Sequence[str], hashed: str, buckets: int = BUCKETS) -> DataFrame:
+    """``bucketing, bucket, n, a, b, c``: rows and sums over parts of the 64-bit hash of their keys and cells.
+
+    Digests of parts of a table add up to that of the whole, so they can be kept
+    per batch and merged by :func:`merged_digests`. The sums are of 21 or 22
+    bits each and hold for 2^41 rows to a bucket.
+    """
+    whole = row_hash([F.col(f"`{k}`") for k in keys] + [F.col(hashed)])
+    places = F.array(*[F.struct(F.lit(i).alias("bucketing"), bucket_of(keys, i, buckets).alias("bucket")) for i in range(BUCKETINGS)])
+    parts = rows.select(whole.alias("_w"), F.inline(places))
+    low = F.lit((1 << 21) - 1).cast("long")
+    return parts.groupBy("bucketing", "bucket").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(F.col("_w").bitwiseAND(low)).alias("a"),
+        F.sum(F.shiftrightunsigned("_w", 21).bitwiseAND(low)).alias("b"),
+        F.sum(F.shiftrightunsigned("_w", 42)).alias("c"),
+    )
+
+
+def merged_digests(digests: DataFrame) -> DataFrame:
+    """The digest of a table from those of its parts."""
+    return digests.groupBy("bucketing", "bucket").agg(*[F.sum(c).alias(c) for c in ("n", *DIGEST_SUMS)])
+
+
+def compared_digests(source: DataFrame, target: DataFrame) -> DataFrame:
+    """``bucketing, bucket, n_source, n_target, differs`` of every bucket of two digests."""
+    signed = source.withColumn("_sign", F.lit(1)).unionAll(target.withColumn("_sign", F.lit(-1)))
+    summed = signed.groupBy("bucketing", "bucket").agg(
+        F.sum(F.when(F.col("_sign") > 0, F.col("n")).otherwise(0)).alias("n_source"),
+        F.sum(F.when(F.col("_sign") < 0, F.col("n")).otherwise(0)).alias("n_target"),
+        *[F.sum(F.col("_sign") * F.col(c)).alias(c) for c in DIGEST_SUMS],
+    )
+    differs = F.col("n_source") != F.col("n_target")
+    for c in DIGEST_SUMS:
+        differs = differs | (F.col(c) != 0)
+    return summed.select("bucketing", "bucket", "n_source", "n_target", differs.alias("differs"))
+
+
+def in_differing_buckets(rows: DataFrame, keys: Sequence[str], digests: DataFrame, buckets: int, inside: bool = True) -> DataFrame:
+    """``rows`` whose key lies in differing buckets every time, or the others.
+
+    The buckets are broadcast: there are at most ``BUCKETINGS * buckets``.
+    """
+    columns = [f"`{c}`" for c in rows.columns]
+    hit = F.lit(True)
+    for i in range(BUCKETINGS):
+        found = digests.filter(f"differs AND bucketing = {i}").select(F.col("bucket").alias(f"_b{i}"))
+        rows = rows.join(F.broadcast(found), bucket_of(keys, i, buckets) == F.col(f"_b{i}"), "left_semi" if inside else "left")
+        hit = hit & F.col(f"_b{i}").isNotNull()
+    return rows if inside else rows.filter(~hit).select(*columns)
+
+
+SUMMARY = (
+    "source_count", "target_count", "missing_in_target", "extra_in_target", "duplicate_source_keys",
+    "duplicate_target_keys", "differing_keys", "value_mismatches", "unmatched_rows",
+)
+
+
 @dataclass(frozen=True)
 class Reconciliation:
     """Results of one comparison.
 
-    ``states`` holds the keys that are missing, extra, duplicate or different,
-    with their row counts on each side.
+    ``digests`` holds the compared buckets, ``states`` the keys of differing
+    buckets that are missing, extra, duplicate or different, with their row
+    counts on each side.
     """
 
     source: DataFrame
     target: DataFrame
     keys: tuple[str, ...]
     columns: tuple[str, ...]
+    digests: DataFrame
     states: DataFrame
+    buckets: int
 
     def missing(self) -> DataFrame:
         """Keys of the source that the target lacks."""
@@ -51,27 +129,42 @@ class Reconciliation:
         return self.states.filter("n_source = 0").select(*self.keys)
 
     def duplicates(self) -> DataFrame:
-        """Keys with several rows on a side."""
-        return self.states.filter("n_source > 1 OR n_target > 1").select(*self.keys, "n_source", "n_target")
+        """Keys with several rows on a side.
+
+        In buckets of one digest both sides hold the same rows, so only the
+        source's keys are counted there.
+        """
+        found = self.states.filter("n_source > 1 OR n_target > 1").select(*self.keys, "n_source", "n_target")
+        settled = in_differing_buckets(self.states.limit(0).select(*self.keys).unionAll(self.source.select(*self.keys)), self.keys, self.digests, self.buckets, inside=False)
+        counts = settled.groupBy(*self.keys).agg(F.count(F.lit(1)).alias("n_source")).filter("n_source > 1")
+        return found.unionAll(counts.withColumn("n_target", F.col("n_source")))
+
+    @cached_property
+    def surplus(self) -> DataFrame:
+        """Rows of differing keys that one side has more often: ``_cells`` and ``_more``, below 0 for the target.
 
-    def _surplus(self) -> DataFrame:
-        """Rows of differing keys that one side has more often: ``_cells`` and ``_more``, below 0 for the target."""
+        Written once, for all results that need it.
+        """
         suspects = self.states.filter("differs").select(*[F.col(k).alias(f"_{k}") for k in self.keys])
         both = None
         for more, df in ((1, self.source), (-1, self.target)):
             condition = F.lit(True)
             for k in self.keys:
                 condition = condition & df[k].eqNullSafe(suspects[f"_{k}"])
-            rows = df.join(suspects, condition, "left_semi")
+            # Rows of settled buckets go before the join shuffles any.
+            narrowed = df.withColumns({f"_{k}": F.col(f"`{k}`").cast(self.states.schema[k].dataType) for k in self.keys})
+            narrowed = in_differing_buckets(narrowed, [f"_{k}" for k in self.keys], self.digests, self.buckets)
+            rows = narrowed.drop(*[f"_{k}" for k in self.keys]).join(suspects, condition, "left_semi")
             cells = F.struct(*compared_cells(df, self.columns))
             part = rows.select(*self.keys, cells.alias("_cells"), F.lit(more).cast("long").alias("_more"))
             both = part if both is None else both.unionAll(part)
-        return both.groupBy(*self.keys, "_cells").agg(F.sum("_more").alias("_more")).filter("_more <> 0")
+        found = both.groupBy(*self.keys, "_cells").agg(F.sum("_more").alias("_more")).filter("_more <> 0")
+        return materialise(found, "surplus")
 
     def _paired(self) -> DataFrame:
         """Per differing key: its unmatched rows per side, and the cells of one on each."""
         more = F.col("_more")
-        return self._surplus().groupBy(*self.keys).agg(
+        return self.surplus.groupBy(*self.keys).agg(
             F.sum(F.greatest(more, F.lit(0))).alias("_n_s"),
             F.sum(F.greatest(-more, F.lit(0))).alias("_n_t"),
             F.max(F.when(more > 0, F.col("_cells"))).alias("_s"),
@@ -105,7 +198,7 @@ class Reconciliation:
         ``side`` and ``row_count`` tell where and by how many; cells are text.
         """
         apart = self._paired().filter("_n_s <> 1 OR _n_t <> 1").select(*[F.col(k).alias(f"_{k}") for k in self.keys])
-        surplus = self._surplus()
+        surplus = self.surplus
         condition = F.lit(True)
         for k in self.keys:
             condition = condition & surplus[k].eqNullSafe(apart[f"_{k}"])
@@ -115,19 +208,21 @@ class Reconciliation:
 
     def summary(self) -> DataFrame:
         """One row of totals."""
-        one = F.count(F.lit(1))
         paired = (F.col("_n_s") == 1) & (F.col("_n_t") == 1)
         cells = F.array(*[F.struct(F.col("_s").getField(c).alias("s"), F.col("_t").getField(c).alias("t")) for c in self.columns])
         changed = F.size(F.filter(cells, lambda x: ~x["s"].eqNullSafe(x["t"])))
         parts = [
-            self.source.agg(one.alias("source_count")),
-            self.target.agg(one.alias("target_count")),
+            self.digests.filter("bucketing = 0").agg(
+                *[F.coalesce(F.sum(f"n_{s}"), F.lit(0).cast("long")).alias(f"{s}_count") for s in ("source", "target")]
+            ),
             self.states.agg(
                 F.count_if(F.col("n_target") == 0).alias("missing_in_target"),
                 F.count_if(F.col("n_source") == 0).alias("extra_in_target"),
+                F.count_if("differs").alias("differing_keys"),
+            ),
+            self.duplicates().agg(
                 F.count_if(F.col("n_source") > 1).alias("duplicate_source_keys"),
                 F.count_if(F.col("n_target") > 1).alias("duplicate_target_keys"),
-                F.count_if("differs").alias("differing_keys"),
             ),
             self._paired().agg(
                 F.coalesce(F.sum(F.when(paired, changed.cast("long"))), F.lit(0).cast("long")).alias("value_mismatches"),
@@ -138,7 +233,7 @@ class Reconciliation:
         rows = parts[0]
         for part in parts[1:]:
             rows = rows.unionByName(part, allowMissingColumns=True)
-        return rows.agg(*[F.sum(c).alias(c) for c in rows.columns])
+        return rows.agg(*[F.sum(c).alias(c) for c in SUMMARY])
 
     def samples(self, kind: str, limit: int = 50) -> DataFrame:
         """The first ``limit`` rows of a result by key, for a report."""
@@ -148,7 +243,7 @@ class Reconciliation:
 
 
 def reconcile(
-    source: DataFrame, target: DataFrame, keys: Sequence[str], columns: Sequence[str] | None = None
+    source: DataFrame, target: DataFrame, keys: Sequence[str], columns: Sequence[str] | None = None, buckets: int = BUCKETS
 ) -> Reconciliation:
     """Compare two tables on typed key columns, NULL keys being equal.
 
@@ -167,25 +262,26 @@ def reconcile(
             else text
             for c, text in zip(compared, compared_cells(df, compared))
         ]
-        # Wide decimals, so that no number of rows can overflow the sum.
-        hashed = row_hash(cells).cast(T.DecimalType(28, 0))
-        return df.select(
-            *keys,
-            F.lit(int(is_source)).cast("long").alias("_s"),
-            F.lit(int(not is_source)).cast("long").alias("_t"),
-            (hashed if is_source else -hashed).cast(T.DecimalType(28, 0)).alias("_h"),
-        )
-
+        sides = [F.lit(int(is_source)).cast("long").alias("_s"), F.lit(int(not is_source)).cast("long").alias("_t")]
+        return df.select(*keys, *sides, row_hash(cells).alias("_h"))
+
+    # The union gives both sides one type per key.
+    sides = [side(source, True), side(target, False)]
+    none = sides[0].limit(0).unionAll(sides[1].limit(0))
+    sides = [none.unionAll(s) for s in sides]
+    digests = [table_digest(s, keys, "_h", buckets) for s in sides]
+    compared_buckets = materialise(compared_digests(*digests), "digests")
+    suspects = in_differing_buckets(sides[0].unionAll(sides[1]), keys, compared_buckets, buckets)
+    wide = F.col("_h").cast(T.DecimalType(28, 0))  # no number of rows can overflow the sum
+    balance = F.sum(F.when(F.col("_s") == 1, wide).otherwise(-wide))
     states = (
-        side(source, True)
-        .unionAll(side(target, False))
-        .groupBy(*keys)
-        .agg(F.sum("_s").alias("n_source"), F.sum("_t").alias("n_target"), F.sum("_h").alias("_balance"))
+        suspects.groupBy(*keys)
+        .agg(F.sum("_s").alias("n_source"), F.sum("_t").alias("n_target"), balance.alias("_balance"))
         .withColumn("differs", (F.col("n_source") > 0) & (F.col("n_target") > 0) & (F.col("_balance") != 0))
         .drop("_balance")
         .filter("n_source <> 1 OR n_target <> 1 OR differs")
     )
-    return Reconciliation(source, target, tuple(keys), tuple(compared), materialise(states, "reconcile"))
+    return Reconciliation(source, target, tuple(keys), tuple(compared), compared_buckets, materialise(states, "reconcile"), buckets)
 
 
 def key_difference(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -3,9 +3,11 @@ from __future__ import annotations
 from decimal import Decimal as D
 
 import shop
-from frames import rows
+import pytest
+from frames import plan, rows
 from pyspark.sql import functions as F
 
+from drayage.operators import reconcile as reconciling
 from drayage.operators.reconcile import count_compare, reconcile
 
 
@@ -125,3 +127,37 @@ def test_removed_rows_are_missing(spark):
 def test_count_compare(spark):
     result = count_compare({"a": spark.range(3), "b": spark.range(2)}, {"a": spark.range(3), "c": spark.range(1)})
     assert rows(result) == [("a", 3, 3, 0, True), ("b", 2, None, -2, False), ("c", None, 1, 1, False)]
+
+
+@pytest.mark.parametrize("buckets", [1, 7, 1 << 16])
+def test_any_number_of_buckets_gives_the_same(spark, buckets):
+    source = spark.range(4000).selectExpr("if(id % 50 = 0, null, id div 2) AS k", "id AS v", "string(id % 3) AS w")
+    target = source.filter("v % 97 <> 0").selectExpr("k", "if(v % 89 = 0, v + 1, v) AS v", "w").unionAll(source.filter("v < 3"))
+    result = reconcile(source, target, ["k"], buckets=buckets)
+    s, t = ([tuple(r) for r in df.collect()] for df in (source, target))
+    keys = {r[0] for r in s + t}
+    held = {k: [sorted(r[1:] for r in side if r[0] == k) for side in (s, t)] for k in keys}
+    assert rows(result.missing()) == sorted([(k,) for k, (a, b) in held.items() if not b], key=repr)
+    assert rows(result.duplicates()) == sorted([(k, len(a), len(b)) for k, (a, b) in held.items() if len(a) > 1 or len(b) > 1], key=repr)
+    assert rows(result.states.filter("differs"), "k") == sorted([(k,) for k, (a, b) in held.items() if a and b and a != b], key=repr)
+    assert result.summary().first().source_count == 4000
+
+
+def test_digests_of_parts_add_up(spark):
+    whole = spark.range(900).selectExpr("id AS k", "hash(id) AS _h")
+    parts = [whole.filter(f"k % 3 = {i}") for i in range(3)]
+    digests = [reconciling.table_digest(p, ["k"], "_h", 64) for p in parts]
+    merged = reconciling.merged_digests(digests[0].unionAll(digests[1]).unionAll(digests[2]))
+    assert rows(merged) == rows(reconciling.table_digest(whole, ["k"], "_h", 64))
+    compared = reconciling.compared_digests(merged, reconciling.table_digest(whole.filter("k <> 5"), ["k"], "_h", 64))
+    assert compared.filter("differs").count() == reconciling.BUCKETINGS
+
+
+def test_the_first_pass_shuffles_buckets_and_no_keys(spark):
+    orders = spark.range(100).selectExpr("id AS k", "id AS v")
+    digest = plan(reconciling.table_digest(orders.selectExpr("k", "v AS _h"), ["k"], "_h"))
+    exchanges = [line for line in digest.splitlines() if "Exchange" in line]
+    assert exchanges and all("hashpartitioning(bucketing" in e for e in exchanges)
+    states = plan(reconciling.in_differing_buckets(orders, ["k"], reconciling.compared_digests(*[
+        reconciling.table_digest(orders.selectExpr("k", "v AS _h"), ["k"], "_h")] * 2), 1 << 16))
+    assert "SortMergeJoin" not in states and "hashpartitioning(k" not in states
