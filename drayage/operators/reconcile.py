@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from drayage.functions.canonical import canonical_text, is_hashable, raw_cell, row_hash
+from drayage.functions.canonical import canonical_text, raw_cell, row_hash
 from drayage.session import materialise
 
 
@@ -52,16 +52,17 @@ def table_digest(rows: DataFrame, keys: Sequence[str], hashed: str, buckets: int
     per batch and merged by :func:`merged_digests`. The sums are of 21 or 22
     bits each and hold for 2^41 rows to a bucket.
     """
-    whole = row_hash([F.col(f"`{k}`") for k in keys] + [F.col(hashed)])
+    parts = _bucketed(rows, keys, hashed, buckets)
+    return parts.groupBy("bucketing", "bucket").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in DIGEST_SUMS])
+
+
+def _bucketed(rows: DataFrame, keys: Sequence[str], hashed: str, buckets: int, *kept: str) -> DataFrame:
+    """Each row once per bucketing, its 64-bit hash in three parts."""
+    whole, low = F.col("_w"), F.lit((1 << 21) - 1).cast("long")
+    parts = (whole.bitwiseAND(low), F.shiftrightunsigned(whole, 21).bitwiseAND(low), F.shiftrightunsigned(whole, 42))
+    hashes = row_hash([F.col(f"`{k}`") for k in keys] + [F.col(hashed)]).alias("_w")
     places = F.array(*[F.struct(F.lit(i).alias("bucketing"), bucket_of(keys, i, buckets).alias("bucket")) for i in range(BUCKETINGS)])
-    parts = rows.select(whole.alias("_w"), F.inline(places))
-    low = F.lit((1 << 21) - 1).cast("long")
-    return parts.groupBy("bucketing", "bucket").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(F.col("_w").bitwiseAND(low)).alias("a"),
-        F.sum(F.shiftrightunsigned("_w", 21).bitwiseAND(low)).alias("b"),
-        F.sum(F.shiftrightunsigned("_w", 42)).alias("c"),
-    )
+    return rows.select(*kept, hashes, F.inline(places)).select(*kept, "bucketing", "bucket", *[x.alias(c) for c, x in zip(DIGEST_SUMS, parts)])
 
 
 def merged_digests(digests: DataFrame) -> DataFrame:
@@ -71,11 +72,16 @@ def merged_digests(digests: DataFrame) -> DataFrame:
 
 def compared_digests(source: DataFrame, target: DataFrame) -> DataFrame:
     """``bucketing, bucket, n_source, n_target, differs`` of every bucket of two digests."""
-    signed = source.withColumn("_sign", F.lit(1)).unionAll(target.withColumn("_sign", F.lit(-1)))
-    summed = signed.groupBy("bucketing", "bucket").agg(
-        F.sum(F.when(F.col("_sign") > 0, F.col("n")).otherwise(0)).alias("n_source"),
-        F.sum(F.when(F.col("_sign") < 0, F.col("n")).otherwise(0)).alias("n_target"),
-        *[F.sum(F.col("_sign") * F.col(c)).alias(c) for c in DIGEST_SUMS],
+    none = F.lit(0).cast("long")
+    sides = [source.withColumns({"_s": F.col("n"), "_t": none}), target.withColumns({"_s": none, "_t": F.col("n")})]
+    return _compared(sides[0].unionAll(sides[1]))
+
+
+def _compared(parts: DataFrame) -> DataFrame:
+    """Buckets compared: ``_s`` and ``_t`` are the rows of either side behind a part, the sums count for the side that has some."""
+    sign = F.when(F.col("_s") > 0, 1).otherwise(-1)
+    summed = parts.groupBy("bucketing", "bucket").agg(
+        F.sum("_s").alias("n_source"), F.sum("_t").alias("n_target"), *[F.sum(sign * F.col(c)).alias(c) for c in DIGEST_SUMS]
     )
     differs = F.col("n_source") != F.col("n_target")
     for c in DIGEST_SUMS:
@@ -107,13 +113,12 @@ SUMMARY = (
 class Reconciliation:
     """Results of one comparison.
 
-    ``digests`` holds the compared buckets, ``states`` the keys of differing
+    ``rows`` are those of both sides, told apart by ``_s`` and ``_t``, ``digests`` holds the compared buckets, ``states`` the keys of differing
     buckets that are missing, extra, duplicate or different, with their row
     counts on each side.
     """
 
-    source: DataFrame
-    target: DataFrame
+    rows: DataFrame
     keys: tuple[str, ...]
     columns: tuple[str, ...]
     digests: DataFrame
@@ -135,7 +140,8 @@ class Reconciliation:
         source's keys are counted there.
         """
         found = self.states.filter("n_source > 1 OR n_target > 1").select(*self.keys, "n_source", "n_target")
-        settled = in_differing_buckets(self.states.limit(0).select(*self.keys).unionAll(self.source.select(*self.keys)), self.keys, self.digests, self.buckets, inside=False)
+        source = self.rows.filter("_s = 1").select(*self.keys)
+        settled = in_differing_buckets(source, self.keys, self.digests, self.buckets, inside=False)
         counts = settled.groupBy(*self.keys).agg(F.count(F.lit(1)).alias("n_source")).filter("n_source > 1")
         return found.unionAll(counts.withColumn("n_target", F.col("n_source")))
 
@@ -146,18 +152,13 @@ class Reconciliation:
         Written once, for all results that need it.
         """
         suspects = self.states.filter("differs").select(*[F.col(k).alias(f"_{k}") for k in self.keys])
-        both = None
-        for more, df in ((1, self.source), (-1, self.target)):
-            condition = F.lit(True)
-            for k in self.keys:
-                condition = condition & df[k].eqNullSafe(suspects[f"_{k}"])
-            # Rows of settled buckets go before the join shuffles any.
-            narrowed = df.withColumns({f"_{k}": F.col(f"`{k}`").cast(self.states.schema[k].dataType) for k in self.keys})
-            narrowed = in_differing_buckets(narrowed, [f"_{k}" for k in self.keys], self.digests, self.buckets)
-            rows = narrowed.drop(*[f"_{k}" for k in self.keys]).join(suspects, condition, "left_semi")
-            cells = F.struct(*compared_cells(df, self.columns))
-            part = rows.select(*self.keys, cells.alias("_cells"), F.lit(more).cast("long").alias("_more"))
-            both = part if both is None else both.unionAll(part)
+        # Rows of settled buckets go first, and only rows of differing keys are made into text.
+        rows = in_differing_buckets(self.rows, self.keys, self.digests, self.buckets)
+        condition = F.lit(True)
+        for k in self.keys:
+            condition = condition & rows[k].eqNullSafe(suspects[f"_{k}"])
+        rows = rows.join(suspects, condition, "left_semi")
+        both = rows.select(*self.keys, F.struct(*compared_cells(rows, self.columns)).alias("_cells"), (F.col("_s") - F.col("_t")).alias("_more"))
         found = both.groupBy(*self.keys, "_cells").agg(F.sum("_more").alias("_more")).filter("_more <> 0")
         return materialise(found, "surplus")
 
@@ -255,23 +256,19 @@ def reconcile(
     source_types = {f.name: f.dataType for f in source.schema.fields}
     target_types = {f.name: f.dataType for f in target.schema.fields}
 
+    alike = [c for c in compared if c in source_types and source_types[c] == target_types.get(c)]
+
     def side(df: DataFrame, is_source: bool) -> DataFrame:
-        cells = [
-            raw_cell(c, source_types[c])
-            if c in source_types and source_types[c] == target_types.get(c) and is_hashable(source_types[c])
-            else text
-            for c, text in zip(compared, compared_cells(df, compared))
-        ]
         sides = [F.lit(int(is_source)).cast("long").alias("_s"), F.lit(int(not is_source)).cast("long").alias("_t")]
-        return df.select(*keys, *sides, row_hash(cells).alias("_h"))
-
-    # The union gives both sides one type per key.
-    sides = [side(source, True), side(target, False)]
-    none = sides[0].limit(0).unionAll(sides[1].limit(0))
-    sides = [none.unionAll(s) for s in sides]
-    digests = [table_digest(s, keys, "_h", buckets) for s in sides]
-    compared_buckets = materialise(compared_digests(*digests), "digests")
-    suspects = in_differing_buckets(sides[0].unionAll(sides[1]), keys, compared_buckets, buckets)
+        texts = {c: text for c, text in zip(compared, compared_cells(df, compared))}
+        return df.select(*keys, *[F.col(f"`{c}`") if c in alike else texts[c] for c in compared], *sides)
+
+    # The union gives both sides one type per key; cells of one type stay as they are.
+    rows = side(source, True).unionAll(side(target, False))
+    cells = [raw_cell(c, rows.schema[c].dataType) for c in compared]
+    hashed = rows.select(*keys, "_s", "_t", row_hash(cells).alias("_h"))
+    compared_buckets = materialise(_compared(_bucketed(hashed, keys, "_h", buckets, "_s", "_t")), "digests")
+    suspects = in_differing_buckets(hashed, keys, compared_buckets, buckets)
     wide = F.col("_h").cast(T.DecimalType(28, 0))  # no number of rows can overflow the sum
     balance = F.sum(F.when(F.col("_s") == 1, wide).otherwise(-wide))
     states = (
@@ -281,7 +278,7 @@ def reconcile(
         .drop("_balance")
         .filter("n_source <> 1 OR n_target <> 1 OR differs")
     )
-    return Reconciliation(source, target, tuple(keys), tuple(compared), compared_buckets, materialise(states, "reconcile"), buckets)
+    return Reconciliation(rows, tuple(keys), tuple(compared), compared_buckets, materialise(states, "reconcile"), buckets)
 
 
 def key_difference(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -289,50 +289,72 @@ def listed_match(name: Column, listed: Sequence[str]) -> Column:
     return F.coalesce(F.when(name.isin(*listed), name), exact, F.get(touching, F.lit(0))["name"], name)
 
 
-def _pieces(text: Column, lengths: Sequence[int]) -> Column:
-    """The different substrings of the given lengths."""
-    fitting = F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length(text))
-    pieces = F.transform(
-        fitting,
-        lambda n: F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, n)),
-    )
-    return F.array_distinct(F.flatten(pieces))
+GRAM = 3
+
+
+def _grams(text: Column, size: int) -> Column:
+    """The different substrings of one length, in time linear in the text."""
+    chars = F.split(text, "")
 
+    def cut(c: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.size(c) - size)
+        return F.transform(starts, lambda i: F.concat(*[c[i + k] for k in range(size)]))
 
-def _lengths(df: DataFrame, column: str) -> list[int]:
-    """The different lengths of a text column: no more than its longest text."""
-    rows = df.select(F.length(column).alias("n")).filter("n > 0").distinct().collect()
-    return sorted(r["n"] for r in rows)
+    named = F.transform(F.array(chars), lambda c: F.when(F.size(c) >= size, cut(c)))  # named once, so that it is computed once
+    return F.array_distinct(F.when(F.length(text) >= size, named[0]))
+
+
+def substring_join(inner: DataFrame, outer: DataFrame, gram: int = GRAM) -> DataFrame:
+    """``inner``, ``outer``: each text of a table that a text of another one contains.
+
+    Both tables have distinct texts in a column ``text``; empty and NULL ones
+    meet nothing. An inner text is filed under the one of its grams that the
+    fewest outer texts have, if all of them occur there. An outer text looks
+    under its own grams, and what it finds is verified. Texts shorter than a gram
+    meet as whole pieces. So a text of n characters gives at most ``gram * n`` rows
+    before the join, and a pair comes up once.
+    """
+    outer_grams = outer.select(F.col("text").alias("outer"), F.explode(_grams(F.col("text"), gram)).alias("_gram"))
+    counts = outer_grams.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
+    inner_grams = inner.select(F.col("text").alias("inner"), F.explode(_grams(F.col("text"), gram)).alias("_gram"))
+    counted = inner_grams.join(counts, "_gram", "left")
+    rarest = F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_gram").alias("gram")))
+    filed = counted.groupBy("inner").agg(rarest.alias("_r")).filter("_r.n > 0").select("inner", F.col("_r.gram").alias("_gram"))
+    pairs = filed.join(outer_grams, "_gram").filter(F.contains("outer", "inner")).select("inner", "outer")
+    short = inner.filter(F.length("text").between(1, gram - 1)).select(F.col("text").alias("inner"))
+    pieces = F.flatten(F.array(*[F.coalesce(_grams(F.col("text"), n), F.array().cast("array<string>")) for n in range(1, gram)]))
+    cut = outer.select(F.col("text").alias("outer"), F.explode(pieces).alias("inner"))
+    return pairs.unionAll(cut.join(short, "inner").select("inner", "outer"))
 
 
 def fuzzy_match(names: DataFrame, name: str, candidates: DataFrame, candidate: str, order: str) -> DataFrame:
     """Add ``match`` to ``names``: the best candidate of a table, else the name.
 
-    Ranked as :func:`listed_match`, first in ``order``. "Contains" is an equal
-    join on substrings, cut to the lengths that occur on the other side, so no
-    name meets every candidate. Names are matched once each, however many rows
-    share them.
+    Ranked as :func:`listed_match`, first in ``order``. "Contains" goes through
+    :func:`substring_join`, so no name meets every candidate. Names are matched
+    once each, however many rows share them.
     """
     wanted = names.select(F.col(name).alias("_name")).distinct().withColumn("_folded", folded_name(F.col("_name")))
     listed = candidates.groupBy(F.col(candidate).alias("match")).agg(F.min(order).alias("_order"))
     listed = listed.withColumns({"_lower": F.lower("match"), "_same": folded_name(F.col("match"))})
-    inner, outer = _lengths(listed, "_lower"), _lengths(wanted, "_folded")
-    has_text = wanted.filter("_folded <> ''")
-    best = None
-    pairs = [
-        (0, wanted.withColumn("_key", F.col("_name")), listed.withColumn("_key", F.col("match"))),
-        (1, wanted.withColumn("_key", F.col("_folded")), listed.withColumn("_key", F.col("_same"))),
-        (2, has_text.withColumn("_key", F.explode(_pieces(F.col("_folded"), inner))), listed.withColumn("_key", F.col("_lower"))),
-        (2, has_text.withColumn("_key", F.col("_folded")), listed.withColumn("_key", F.explode(_pieces(F.col("_lower"), outer)))),
-    ]
-    for rank, left, right in pairs:
-        # Keep the first candidate per key before joining: one row per key.
-        first = right.groupBy("_key").agg(F.min(F.struct("_order", "match")).alias("_c"))
-        hits = left.select("_name", "_key").join(first, "_key").select(
-            "_name", F.struct(F.lit(rank).alias("rank"), F.col("_c._order").alias("o"), F.col("_c.match").alias("m")).alias("_hit")
-        )
-        best = hits if best is None else best.unionAll(hits)
-    chosen = best.groupBy("_name").agg(F.min("_hit").alias("_hit")).select("_name", F.col("_hit.m").alias("_match"))
+
+    def first(key: str) -> DataFrame:
+        """The first candidate per key: one row each to join."""
+        return listed.groupBy(F.col(key).alias("_key")).agg(F.min(F.struct(F.col("_order").alias("o"), F.col("match").alias("m"))).alias("_c"))
+
+    def hit(rank: int) -> Column:
+        return F.struct(F.lit(rank).alias("rank"), F.col("_c.o").alias("o"), F.col("_c.m").alias("m")).alias("_hit")
+
+    exact = wanted.join(first("match"), wanted["_name"] == F.col("_key")).select("_name", hit(0))
+    alike = wanted.join(first("_same"), wanted["_folded"] == F.col("_key")).select("_name", hit(1))
+    folded = wanted.select(F.col("_folded").alias("text")).distinct()
+    lower = listed.select(F.col("_lower").alias("text")).distinct()
+    found = substring_join(lower, folded).selectExpr("inner AS _key", "outer AS _text")
+    found = found.unionAll(substring_join(folded, lower).selectExpr("outer AS _key", "inner AS _text"))
+    touching = found.join(first("_lower"), "_key").groupBy("_text").agg(F.min("_c").alias("_c"))
+    within = wanted.join(touching, wanted["_folded"] == touching["_text"]).select("_name", hit(2))
+    chosen = exact.unionAll(alike).unionAll(within).groupBy("_name").agg(F.min("_hit").alias("_hit"))
+    chosen = chosen.select("_name", F.col("_hit.m").alias("_match"))
     joined = names.join(chosen, names[name] == chosen["_name"], "left")
     return joined.withColumn("match", F.coalesce("_match", F.col(name))).drop("_name", "_match")
 

@@ -7,7 +7,7 @@ import re
 import time
 
 import pytest
-from frames import rows
+from frames import plan, rows
 from pyspark.sql import functions as F
 
 from drayage.operators import text as x
@@ -242,3 +242,22 @@ def test_status_and_keys(spark):
     assert [r.h for r in keys.select(x.humanise_key(F.col("k")).alias("h")).collect()] == [
         "Total Size Mb", "Resource ID", "SQL URL", "Mongo DBName",
     ]
+
+
+def test_substring_join_finds_every_pair_once(spark):
+    r = random.Random(4)
+    texts = {"".join(r.choice("abcé ß") for _ in range(r.randint(0, 9))) for _ in range(400)}
+    inner, outer = (sorted(r.sample(sorted(texts), 150)) for _ in range(2))
+    tables = [spark.createDataFrame([(t,) for t in [*side, None]], "text string").repartition(3) for side in (inner, outer)]
+    want = sorted((a, b) for a in inner for b in outer if a and a in b)
+    assert rows(x.substring_join(*tables)) == sorted(want, key=repr)
+    assert rows(x.substring_join(*tables, gram=2)) == sorted(want, key=repr)
+
+
+def test_rows_before_the_substring_join_are_linear_in_the_text(spark):
+    long = spark.createDataFrame([("".join(chr(97 + (i * i) % 26) for i in range(5000)),)], "text string")
+    for size in (1, 2, 3):
+        assert long.select(F.size(x._grams(F.col("text"), size))).first()[0] <= 5000
+    names = spark.createDataFrame([("abcdef",), ("ab",)], "text string")
+    joined = plan(x.substring_join(names, long))
+    assert "NestedLoop" not in joined and "Cartesian" not in joined
