@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -112,11 +113,26 @@ class Pieces:
             cls._loaded[path, alpha] = cls(path, alpha)
         return cls._loaded[path, alpha]
 
-    def decode(self, offsets: np.ndarray, ids: np.ndarray) -> list[str]:
-        """The texts of sequences of ids."""
+    def spelt(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of ids, and where each id's begin."""
         counts = self.lengths[ids]
         ends = np.concatenate([[0], np.cumsum(counts)])
-        raw = self.flat[np.repeat(self.starts[ids] - ends[:-1], counts) + np.arange(ends[-1])].tobytes()
+        return self.flat[np.repeat(self.starts[ids] - ends[:-1], counts) + np.arange(ends[-1])], ends
+
+    def spells(self, offsets: np.ndarray, ids: np.ndarray, rows: list[str]) -> np.ndarray:
+        """Whether each sequence of ids decodes to its text. Only those whose bytes are others are decoded."""
+        raw, ends = self.spelt(ids)
+        borders = ends[offsets].tolist()
+        whole = raw.tobytes()
+        good = np.array([whole[a:b] == (b" " + t.encode() if t else b"") for a, b, t in zip(borders, borders[1:], rows)], bool)
+        for i in np.flatnonzero(~good).tolist():
+            good[i] = self.decode(np.array([0, offsets[i + 1] - offsets[i]]), ids[offsets[i] : offsets[i + 1]])[0] == rows[i]
+        return good
+
+    def decode(self, offsets: np.ndarray, ids: np.ndarray) -> list[str]:
+        """The texts of sequences of ids."""
+        flat, ends = self.spelt(ids)
+        raw = flat.tobytes()
         borders = ends[offsets]
         found = [raw[a:b].decode("utf-8", "replace") for a, b in zip(borders[:-1].tolist(), borders[1:].tolist())]
         return [t[1:] if t.startswith(" ") else t for t in found]
@@ -179,18 +195,17 @@ class Lattice:
         width = 1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF)
         found.append((spelt, 1, -1 - c, width * pieces.byte_weight))
         degree = np.zeros(len(left), np.int64)
-        for places, *_ in found:
-            degree[self.node_of[places]] += 1
+        found = [(self.node_of[places], self.node_of[places + depth], depth, ids, weights) for places, depth, ids, weights in found]
+        for node, *_ in found:
+            degree[node] += 1
         self.first = np.concatenate([[0], np.cumsum(degree)])
         self.length, self.ids = np.zeros(self.first[-1], np.int64), np.zeros(self.first[-1], np.int64)
         self.weights, self.target = np.zeros(self.first[-1]), np.zeros(self.first[-1], np.int64)
         free = self.first[:-1].copy()
-        for places, depth, ids, weights in found:
-            node = self.node_of[places]
+        for node, target, depth, ids, weights in found:
             slot = free[node]
-            free[node] += 1
-            self.length[slot], self.ids[slot], self.weights[slot] = depth, ids, weights
-            self.target[slot] = self.node_of[places + depth]
+            free[node] = slot + 1
+            self.length[slot], self.ids[slot], self.weights[slot], self.target[slot] = depth, ids, weights, target
 
     def _probabilities(self, borders: np.ndarray) -> None:
         """Of each edge the chance given its node; ``borders`` has the first node of each distance from 1 on."""
@@ -237,6 +252,27 @@ def truncated(location: np.ndarray, bound: np.ndarray, uniform: np.ndarray) -> n
         return np.where(np.isneginf(location), NONE, np.minimum(value, bound))
 
 
+FIRST = 2  # the stream of the values left on the first path
+
+
+@dataclass
+class Path:
+    """A path per text: its edge at each character (-1 inside an edge) and, node by node, what is kept about it.
+
+    ``ends`` borders the nodes of each text, ``before`` is the log probability up
+    to a node, ``left`` the value left there, ``total`` the log probability per text.
+    """
+
+    edge_at: np.ndarray
+    used: np.ndarray
+    edge: np.ndarray
+    text: np.ndarray
+    ends: np.ndarray
+    before: np.ndarray
+    left: np.ndarray
+    total: np.ndarray
+
+
 class Sampler:
     """Draws the ``k`` best perturbed paths of each of some texts."""
 
@@ -275,24 +311,23 @@ class Sampler:
             after = at + self.lattice.length[edge]
             at = after[after < self.ends[at]]
 
-    def values(self, edge_at: np.ndarray, begin: np.ndarray, bound: np.ndarray, stream: int) -> tuple[np.ndarray, np.ndarray]:
-        """Of a path per text: the value left at each of its nodes from ``begin`` on, and its log probability."""
+    def path(self, edge_at: np.ndarray, begin: np.ndarray, bound: np.ndarray, stream: int) -> "Path":
+        """A path per text, with the value left at each of its nodes from ``begin`` on."""
         used = np.flatnonzero(edge_at >= 0)
         edge, text = edge_at[used], self.text[used]
-        log_p = np.zeros(self.size)
-        log_p[used] = self.lattice.log_p[edge]
+        ends = np.searchsorted(used, self.offsets)
+        log_p = self.lattice.log_p[edge]
         before = np.cumsum(log_p) - log_p
-        before -= np.repeat(before[np.minimum(self.offsets[:-1], self.size - 1)], np.diff(self.offsets))
-        mine = used[used >= begin[text]]
-        where = self.text[mine]
-        node = self.node[mine]
+        counts = np.diff(ends)
+        before -= np.repeat(before[ends[:-1][counts > 0]], counts[counts > 0])
+        mine = slice(None) if stream == FIRST else np.flatnonzero(used >= begin[text])
+        where, node = text[mine], self.node[used[mine]]
         several = self.lattice.first[node + 1] - self.lattice.first[node] > 1
-        location = np.where(several, before[mine] + log_rest(self.lattice.p[edge_at[mine]]), NONE)
-        left = np.full(self.size, NONE)
-        left[mine] = truncated(location, bound[where], uniforms(self.seeds[where], self.place[mine], stream))
-        total = np.bincount(text, weights=self.lattice.log_p[edge], minlength=len(bound))
-        self.before = before
-        return left, total
+        location = np.where(several, before[mine] + log_rest(self.lattice.p[edge[mine]]), NONE)
+        left = np.full(len(used), NONE)
+        left[mine] = truncated(location, bound[where], uniforms(self.seeds[where], self.place[used[mine]], stream))
+        total = np.bincount(text, weights=log_p, minlength=len(bound))
+        return Path(edge_at, used, edge, text, ends, before, left, total)
 
     def samples(self) -> list[dict]:
         """Per round: the texts that have a path left, its edges, log probability and perturbed value."""
@@ -301,27 +336,25 @@ class Sampler:
         every = np.arange(count)
         value = -np.log(-np.log(uniforms(self.seeds, np.full(count, 1 << 40), 0)))
         if self.size == 0:
-            return [{"texts": every, "edges": np.zeros(0, np.int64), "log_p": np.zeros(count), "value": value}]
+            return [{"texts": every, "path": None, "log_p": np.zeros(count), "value": value}]
         edges = np.full(self.size, -1, np.int64)
         self.walk(edges, self.starts, 1)
-        left, total = self.values(edges, self.offsets[:-1], value, 2)
-        paths, lefts, befores = [edges], [left], [self.before]
-        found.append({"texts": every, "edges": edges, "log_p": total, "value": value})
+        paths = [self.path(edges, self.offsets[:-1], value, FIRST)]
+        found.append({"texts": every, "path": paths[0], "log_p": paths[0].total, "value": value})
         used: dict[tuple, list[int]] = {}  # edges taken at a path's node
-        full = np.flatnonzero(np.diff(self.offsets) > 0)
         for round_no in range(1, self.k + 1):
             best, path, at = np.full(count, NONE), np.zeros(count, np.int64), np.zeros(count, np.int64)
-            for r, left in enumerate(lefts):
-                top = np.maximum.reduceat(left, self.offsets[:-1][full])
-                better = top > best[full]
-                chosen = full[better]
+            for r, taken_path in enumerate(paths):
+                held = np.flatnonzero(np.diff(taken_path.ends) > 0)
+                top = np.maximum.reduceat(taken_path.left, taken_path.ends[:-1][held]) if len(held) else np.zeros(0)
+                better = top > best[held]
+                chosen = held[better]
                 best[chosen], path[chosen] = top[better], r
-            for r, left in enumerate(lefts):
-                mine = np.flatnonzero((path == r) & (best > NONE))
-                if len(mine):
-                    hit = np.flatnonzero(left == best[self.text])
-                    hit = hit[path[self.text[hit]] == r]
-                    at[self.text[hit][::-1]] = hit[::-1]
+            for r, taken_path in enumerate(paths):
+                if ((path == r) & (best > NONE)).any():
+                    hit = np.flatnonzero(taken_path.left == best[taken_path.text])
+                    hit = hit[path[taken_path.text[hit]] == r]
+                    at[taken_path.text[hit][::-1]] = taken_path.used[hit[::-1]]
             self.next_best = best
             chosen = np.flatnonzero(best > NONE)
             if round_no == self.k or len(chosen) == 0:
@@ -331,8 +364,8 @@ class Sampler:
             go_on = []
             for t, r, c, u in zip(chosen.tolist(), path[chosen].tolist(), at[chosen].tolist(), uniform.tolist()):
                 low = int(self.offsets[t])
-                edges[low:c] = paths[r][low:c]
-                taken = used.setdefault((t, r, c), [int(paths[r][c])])
+                edges[low:c] = paths[r].edge_at[low:c]
+                taken = used.setdefault((t, r, c), [int(paths[r].edge_at[c])])
                 node = int(self.node[c])
                 options = [e for e in range(int(self.lattice.first[node]), int(self.lattice.first[node + 1])) if e not in taken]
                 weights = np.cumsum(self.lattice.p[options])
@@ -341,26 +374,25 @@ class Sampler:
                 edges[c] = edge
                 rest = len(options) - 1
                 mass = float(sum(self.lattice.p[e] for e in options if e != edge))
-                location = befores[r][c] + np.log(mass) if rest and mass > 0 else NONE
+                place = int(np.searchsorted(paths[r].used, c))
+                location = paths[r].before[place] + np.log(mass) if rest and mass > 0 else NONE
                 again = uniforms(self.seeds[t : t + 1], self.place[c : c + 1], 3 * round_no + 2)
-                lefts[r][c] = truncated(np.array([location]), best[t : t + 1], again)[0]
+                paths[r].left[place] = truncated(np.array([location]), best[t : t + 1], again)[0]
                 after = c + int(self.lattice.length[edge])
                 if after < self.ends[c]:
                     go_on.append(after)
             begin = np.where(best > NONE, at + 1, self.size)
             later = self.starts[self.starts >= begin[self.text[self.starts]]]
             self.walk(edges, np.concatenate([np.array(go_on, np.int64), later]), 3 * round_no + 3)
-            left, total = self.values(edges, begin, best, 1000 + round_no)
-            paths.append(edges)
-            lefts.append(left)
-            befores.append(self.before)
-            found.append({"texts": chosen, "edges": edges, "log_p": total[chosen], "value": best[chosen]})
+            paths.append(self.path(edges, begin, best, 1000 + round_no))
+            found.append({"texts": chosen, "path": paths[-1], "log_p": paths[-1].total[chosen], "value": best[chosen]})
         return found
 
-    def ids(self, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def ids(self, path: "Path | None") -> tuple[np.ndarray, np.ndarray]:
         """Offsets and ids of a path of each text."""
-        used = np.flatnonzero(edges >= 0)
-        ids = self.lattice.ids[edges[used]] if self.size else np.zeros(0, np.int64)
+        if path is None:
+            return np.zeros_like(self.offsets), np.zeros(0, np.int64)
+        ids = self.lattice.ids[path.edge]
         spelt = np.flatnonzero(ids < 0)
         counts = np.ones(len(ids), np.int64)
         spellings = [chr(-1 - int(i)).encode("utf-8", "surrogatepass") for i in ids[spelt].tolist()]
@@ -370,7 +402,7 @@ class Sampler:
         if len(spelt):
             places = np.repeat(ends[spelt] - np.concatenate([[0], np.cumsum(counts[spelt])])[:-1], counts[spelt])
             out[places + np.arange(len(places))] = self.pieces.byte_ids[np.frombuffer(b"".join(spellings), np.uint8)]
-        return ends[np.searchsorted(used, self.offsets)], out
+        return ends[path.ends], out
 
 
 def sample_batches(model: str, k: int, alpha: float, seed: int, with_ids: bool) -> Callable:
@@ -384,9 +416,9 @@ def sample_batches(model: str, k: int, alpha: float, seed: int, with_ids: bool)
             rounds = sampler.samples()
             border = getattr(sampler, "next_best", np.full(len(rows), NONE))
             for number, x in enumerate(rounds):
-                offsets, ids = sampler.ids(x["edges"]) if sampler.size else (np.zeros(len(rows) + 1, np.int64), np.zeros(0, np.int64))
-                decoded = pieces.decode(offsets, ids)
+                offsets, ids = sampler.ids(x["path"])
                 chosen = x["texts"]
+                good = pieces.spells(offsets, ids, rows)
                 with np.errstate(divide="ignore"):
                     gap = x["log_p"] - border[chosen]
                     score = np.where(np.isposinf(gap), 0.0, np.where(gap < -30, gap, np.log(-np.expm1(-np.exp(np.minimum(gap, 700))))))
@@ -400,7 +432,7 @@ def sample_batches(model: str, k: int, alpha: float, seed: int, with_ids: bool)
                     "log_prob": pa.array(x["log_p"]),
                     "perturbed": pa.array(x["value"]),
                     "log_inclusion": pa.array(score),
-                    "round_trip": pa.array([decoded[t] == rows[t] for t in chosen.tolist()], pa.bool_()),
+                    "round_trip": pa.array(good[chosen], pa.bool_()),
                 }
                 if with_ids:
                     columns["ids"] = pa.array([ids[a:b].astype(np.int32) for a, b in spans], pa.list_(pa.int32()))
