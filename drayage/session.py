@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -92,15 +96,33 @@ def scratch_root(spark: SparkSession) -> str:
     return f"{shared_root(spark)}/drayage/{spark.sparkContext.applicationId}"
 
 
+_scope: ContextVar[str] = ContextVar("scratch_scope", default="")
+
+
+@contextmanager
+def scratch_scope(name: str) -> Iterator[None]:
+    """Intermediate tables made inside lie in a folder of their own, to be dropped together."""
+    token = _scope.set(name)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new path below the application's folder; never one that is in use."""
-    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    return "/".join(filter(None, [scratch_root(spark), _scope.get(), f"{label}-{uuid.uuid4().hex}"]))
+
 
+def drop_scratch(spark: SparkSession, scope: str = "") -> None:
+    """Remove the application's intermediate tables, or those of one scope, when no result of them is read any more.
 
-def drop_scratch(spark: SparkSession) -> None:
-    """Remove the application's intermediate tables, when no result of it is read any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    Shuffle files go too, as far as no plan that is still held needs them.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path("/".join(filter(None, [scratch_root(spark), scope])))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
