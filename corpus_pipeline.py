@@ -3,10 +3,16 @@
 Each stage is a function of (session, documents, folder of the tables); its
 result is written as Parquet and is the next one's input. All but the last
 return the columns of ``documents``, with ``n_chars`` brought up to date.
+
+A stage begins by dropping the intermediate tables of the other stages, which
+nothing reads once their results are written.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +24,7 @@ from drayage.llm.passages import all_spans, without_spans
 from drayage.llm.quality_rules import keep_good, learn_rules
 from drayage.llm.texts import small_batches
 from drayage.plans.registry import Tables
-from drayage.session import materialise, tune
+from drayage.session import drop_scratch, materialise, scratch_scope, tune
 
 TOKENIZER = "word_bpe_49k.json"
 SEQUENCE = 2048
@@ -70,17 +76,41 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return pack(docs, public_tokenizers.path(TOKENIZER), capacity=SEQUENCE, end_id=0)
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+SCOPE = "pipeline"
+
+
+def tidy(name: str, stage: Stage) -> Stage:
+    """The stage, with its intermediate tables in a folder that the next stage drops."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        drop_scratch(spark, SCOPE)
+        with scratch_scope(f"{SCOPE}/{name.replace(' ', '_')}"):
+            return stage(spark, docs, sf_dir)
+
+    return run
+
+
 STAGES = [
-    ("quality rules", quality_rules),
-    ("line dedup", line_dedup),
-    ("n-gram Jaccard join", near_duplicates),
-    ("substring dedup", substring_dedup),
-    ("best-fit packing", best_fit_packing),
+    (name, tidy(name, stage))
+    for name, stage in [
+        ("quality rules", quality_rules),
+        ("line dedup", line_dedup),
+        ("n-gram Jaccard join", near_duplicates),
+        ("substring dedup", substring_dedup),
+        ("best-fit packing", best_fit_packing),
+    ]
 ]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = Tables(ready(spark), sf_dir).documents
-    for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+    docs, before = Tables(ready(spark), sf_dir).documents, None
+    for number, (_, stage) in enumerate(STAGES[:-1]):
+        found = stage(spark, docs, sf_dir)
+        with scratch_scope(output := f"{SCOPE}-output-{number}"):
+            docs = materialise(found, "documents")
+        if before:
+            drop_scratch(spark, before)
+        before = output
     return STAGES[-1][1](spark, docs, sf_dir)
