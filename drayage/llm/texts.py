@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -94,15 +95,49 @@ def word_list(texts: pa.Array, lower: bool) -> tuple[np.ndarray, pa.Array]:
     return offsets, flat
 
 
+# Words are hashed in blocks of so many bytes, those from LONG_WORD bytes on one by one.
+HASH_BLOCK = 1 << 18
+LONG_WORD = 1 << 8
+
+
+@cache
+def hash_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A number per byte, and the powers of an odd number and of its inverse for each place in a block."""
+    odd = 0xD6E8FEB86659FD93
+    with np.errstate(over="ignore"):
+        count = HASH_BLOCK + LONG_WORD
+        return odd_numbers(256, 29), *(np.cumprod(np.full(count, pow(odd, e, 1 << 64), np.uint64)) for e in (1, -1))
+
+
 def hash_words(words: pa.Array) -> np.ndarray:
-    """A 64-bit hash of each word; each distinct word is hashed once."""
+    """A 64-bit hash of each word, from its bytes and its length alone.
+
+    Sums of the bytes' numbers times powers, taken as differences of one running
+    sum over a block, so that no word is looked at by itself.
+    """
+    words = words.cast(pa.large_string())
+    out = np.empty(len(words), np.uint64)
     if len(words) == 0:
-        return np.empty(0, np.uint64)
-    coded = words.dictionary_encode()
-    hashes = np.fromiter(
-        map(xxhash.xxh3_64_intdigest, coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary)
-    )
-    return hashes[coded.indices.to_numpy()]
+        return out
+    offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    data = words.buffers()[2]
+    raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    lengths = np.diff(offsets)
+    of_byte, powers, back = hash_tables()
+    low = 0
+    with np.errstate(over="ignore"):
+        while low < len(words):
+            high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + HASH_BLOCK, side="right")) - 1)
+            base, size = offsets[low], min(int(offsets[high] - offsets[low]), HASH_BLOCK)  # a word beyond a block is alone
+            total = np.zeros(size + 1, np.uint64)
+            np.cumsum(of_byte[raw[base : base + size]] * powers[:size], out=total[1:])
+            at = np.minimum(offsets[low : high + 1] - base, size)
+            out[low:high] = (total[at[1:]] - total[at[:-1]]) * back[at[:-1]]
+            low = high
+        out = mix(out + lengths.astype(np.uint64) * GOLDEN)
+    for i in np.flatnonzero(lengths >= LONG_WORD).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(raw[offsets[i] : offsets[i + 1]])
+    return out
 
 
 def shingles(offsets: np.ndarray, words: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
