@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from drayage.functions.canonical import canonical_text
+from drayage.operators.sketches import column_sketches, distinct_keys, sketched_profile
 
 
 @dataclass(frozen=True)
@@ -78,10 +79,7 @@ def key_uniqueness(tables: Mapping[str, DataFrame], keys: Mapping[str, Sequence[
     out = None
     for table, candidates in keys.items():
         for key in candidates:
-            per_key = tables[table].groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
-            part = per_key.agg(
-                F.coalesce(F.sum("n"), F.lit(0)).alias("row_count"), F.count(F.lit(1)).alias("distinct_count")
-            ).select(
+            part = distinct_keys(tables[table], key).select(
                 F.lit(table).alias("table_name"),
                 F.lit(", ".join(key)).alias("key_columns"),
                 "row_count",
@@ -175,37 +173,16 @@ def value_pattern(text: Column) -> Column:
 def column_profile(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = False) -> DataFrame:
     """Cardinality, extremes, text lengths and most frequent value per column.
 
-    The default is one pass with sketches for the distinct count. ``exact``
+    The default is one pass with sketches, which also tell quantiles and more
+    of the frequent values (:mod:`drayage.operators.sketches`). ``exact``
     counts values instead: rows become (column, value) pairs, combined on the
     map side, then one row per column. Ties for the top value go to the value
     that sorts first.
     """
     columns = list(columns or df.columns)
-    cells = {c: canonical_text(F.col(f"`{c}`"), df.schema[c].dataType) for c in columns}
     if not exact:
-        aggregates: list[Column] = []
-        structs: list[Column] = []
-        for i, c in enumerate(columns):
-            aggregates += [
-                F.count(cells[c]).alias(f"_n{i}"),
-                F.approx_count_distinct(cells[c]).alias(f"_d{i}"),
-                F.min(cells[c]).alias(f"_lo{i}"),
-                F.max(cells[c]).alias(f"_hi{i}"),
-                F.max(F.length(cells[c])).alias(f"_len{i}"),
-                F.avg(F.length(cells[c])).alias(f"_avg{i}"),
-            ]
-            structs.append(
-                F.struct(
-                    F.lit(c).alias("column_name"),
-                    F.col(f"_n{i}").alias("value_count"),
-                    F.col(f"_d{i}").alias("distinct_count"),
-                    F.col(f"_lo{i}").alias("min_text"),
-                    F.col(f"_hi{i}").alias("max_text"),
-                    F.col(f"_len{i}").alias("max_length"),
-                    F.col(f"_avg{i}").alias("avg_length"),
-                )
-            )
-        return unpivot_aggregates(df.agg(*aggregates), structs)
+        return sketched_profile(column_sketches(df, columns))
+    cells = {c: canonical_text(F.col(f"`{c}`"), df.schema[c].dataType) for c in columns}
     pairs = df.select(
         F.explode(
             F.array(*[F.struct(F.lit(c).alias("column_name"), cells[c].alias("value")) for c in columns])

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from drayage.operators import quality as q
+from drayage.operators import sketches as sk
 from drayage.operators.graph import dependency_waves
 from drayage.operators.reconcile import table_counts
 from drayage.plans.registry import Tables, query
@@ -196,6 +197,67 @@ def column_profile(t: Tables) -> DataFrame:
     return q.column_profile(faulty_orders(t), exact=True)
 
 
+@query(
+    "column_profile_sketched",
+    FAULTY
+    + """, cells AS (
+        SELECT unnest(['o_orderkey', 'o_custkey', 'o_orderstatus', 'o_totalprice', 'o_orderpriority']) AS column_name,
+               unnest([o_orderkey::VARCHAR, o_custkey::VARCHAR, o_orderstatus, o_totalprice::DECIMAL(38,6)::VARCHAR,
+                       o_orderpriority]) AS value
+        FROM f_orders
+    ), counted AS (SELECT column_name, value, count(*) AS n FROM cells WHERE value IS NOT NULL GROUP BY ALL),
+    tops AS (SELECT column_name, max(n) AS top, count(*) AS d, sum(n)::BIGINT AS v FROM counted GROUP BY column_name)
+    SELECT column_name, v AS value_count, min(value) AS min_text, max(value) AS max_text,
+           max(length(value))::INTEGER AS max_length, sum(length(value) * n)::DOUBLE / v AS avg_length,
+           CASE WHEN d <= 5000 THEN top END AS top_count, TRUE AS distinct_close,
+           CASE WHEN column_name IN ('o_orderkey', 'o_custkey', 'o_totalprice') THEN TRUE END AS quartiles_close
+    FROM counted JOIN tops USING (column_name) GROUP BY column_name, v, d, top
+    """,
+)
+def column_profile_sketched(t: Tables) -> DataFrame:
+    """Sketches of two batches, merged: exact where they add up, else held against the exact counts and ranks."""
+    orders = faulty_orders(t)
+    batches = [sk.column_sketches(orders.filter(f"o_orderkey % 2 = {i}")) for i in range(2)]
+    merged = sk.sketched_profile(sk.merged_sketches(batches[0].unionAll(batches[1])))
+    exact = q.column_profile(orders, exact=True).select("column_name", F.col("distinct_count").alias("exact"))
+    numbers = ["o_orderkey", "o_custkey", "o_totalprice"]
+    values = orders.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("x")) for c in numbers])))
+    points = merged.select("column_name", F.posexplode("quantiles")).filter("pos BETWEEN 1 AND 3")
+    ranks = values.filter("x IS NOT NULL").join(points, "column_name").groupBy("column_name", "pos").agg(
+        F.avg((F.col("x") <= F.col("col")).cast("int")).alias("rank")
+    )
+    close = ranks.groupBy("column_name").agg(F.every(F.abs(F.col("rank") - F.col("pos") / 4) <= 0.02).alias("quartiles_close"))
+    return merged.join(exact, "column_name").join(close, "column_name", "left").select(
+        "column_name", "value_count", "min_text", "max_text", "max_length", "avg_length",
+        F.when(F.col("exact") <= 5000, F.col("top_count")).alias("top_count"),
+        (F.abs(F.col("distinct_count") - F.col("exact")) <= 0.08 * F.col("exact")).alias("distinct_close"), "quartiles_close",
+    )
+
+
+@query(
+    "key_bitmaps",
+    """
+    SELECT 'l_orderkey' AS key_column, count(*) AS row_count, count(DISTINCT l_orderkey) AS distinct_count FROM lineitem
+    UNION ALL SELECT 'l_suppkey', count(*), count(DISTINCT l_suppkey) FROM lineitem
+    UNION ALL SELECT 'o_custkey', count(*), count(DISTINCT o_custkey) + max((o_custkey IS NULL)::INT)
+    FROM (SELECT CASE WHEN o_orderkey % 50 = 0 THEN NULL ELSE o_custkey END AS o_custkey FROM orders)
+    """,
+)
+def key_bitmaps(t: Tables) -> DataFrame:
+    """Exact distinct counts from bitmaps of batches."""
+    out = None
+    for column, df, batch in (
+        ("l_orderkey", t.lineitem, F.col("l_linenumber") < 3),
+        ("l_suppkey", t.lineitem, F.col("l_returnflag") == "N"),
+        ("o_custkey", faulty_orders(t), F.col("o_orderstatus") == "F"),
+    ):
+        parts = [sk.key_bitmaps(df.filter(b), column) for b in (batch, ~batch)]
+        counts = sk.counted_bitmaps(sk.merged_bitmaps(parts[0].unionAll(parts[1])))
+        part = counts.select(F.lit(column).alias("key_column"), "row_count", "distinct_count")
+        out = part if out is None else out.unionAll(part)
+    return out
+
+
 @query(
     "pattern_profile",
     """

@@ -3,10 +3,11 @@ from __future__ import annotations
 import random
 
 import shop
-from frames import rows
+from frames import plan, rows
 from pyspark.sql import functions as F
 
 from drayage.operators import quality as q
+from drayage.operators import sketches as sk
 from drayage.operators.graph import dependency_waves
 from drayage.sources.inventory import column_inventory, schema_table_counts
 
@@ -52,7 +53,9 @@ def test_profiles_agree(spark):
     for name in ("a", "b"):
         for field in ("value_count", "distinct_count", "min_text", "max_text", "max_length", "avg_length"):
             assert exact[name][field] == sketch[name][field], (name, field)
-    assert (exact["a"].top_value, exact["a"].top_count) == ("0", 29)
+        assert exact[name].top_count == sketch[name].top_count
+    assert (exact["a"].top_value, exact["a"].top_count) == ("0", 29) == (sketch["a"].top_value, sketch["a"].top_count)
+    assert sketch["a"].quantiles == [0, 1, 3, 5, 6] and sketch["b"].quantiles is None
 
 
 def test_patterns(spark):
@@ -128,3 +131,42 @@ def test_schemas_without_tables_count_zero(spark):
     schemas = spark.createDataFrame([("app",), ("empty",), ("INFORMATION_SCHEMA",)], "schema_name string")
     tables = spark.createDataFrame([("app", "a"), ("app", "b"), ("other", "c")], "schema_name string, table_name string")
     assert rows(schema_table_counts(schemas, tables)) == [("app", 2), ("empty", 0)]
+
+
+def test_sketches_of_parts_merge(spark):
+    df = spark.range(5000).selectExpr("id * 3 AS a", "if(id % 3 = 0, NULL, id % 50) AS b", "double(null) AS c", "string(id) AS d")
+    parts = [sk.column_sketches(df.filter(f"a % 4 = {i}")) for i in range(4)] + [sk.column_sketches(df.limit(0))]
+    both = parts[0]
+    for p in parts[1:]:
+        both = both.unionAll(p)
+    merged = {r.column_name: r for r in sk.sketched_profile(sk.merged_sketches(both)).collect()}
+    whole = {r.column_name: r for r in sk.sketched_profile(sk.column_sketches(df)).collect()}
+    for name in df.columns:
+        for field in ("value_count", "min_text", "max_text", "max_length", "avg_length"):
+            assert merged[name][field] == whole[name][field]
+        assert abs(merged[name].distinct_count - df.select(name).distinct().dropna().count()) <= 0.08 * 5000
+    assert [[v["count"] for v in x["b"].top_values] for x in (merged, whole)] == [[67] * 10] * 2  # of a tie any ten
+    assert merged["c"].value_count == 0 and merged["c"].quantiles is None and merged["c"].top_value is None
+    assert abs(merged["a"].quantiles[2] - 7500) <= 0.02 * 15000
+
+
+def test_bitmaps_count_exactly(spark):
+    import random
+
+    r = random.Random(8)
+    keys = [r.choice([r.randint(-70_000, 70_000), r.randint(-(2**62), 2**62), 0, 32768, -32768, None]) for _ in range(3000)]
+    df = spark.createDataFrame([(k,) for k in keys], "k long").repartition(3)
+    want = (len(keys), len(set(keys)))
+    assert rows(sk.counted_bitmaps(sk.key_bitmaps(df, "k"))) == [want]
+    parts = sk.key_bitmaps(df.filter("k > 0 OR k IS NULL"), "k").unionAll(sk.key_bitmaps(df.filter("k <= 5"), "k"))
+    assert rows(sk.counted_bitmaps(sk.merged_bitmaps(parts)), "distinct_count") == [(len(set(keys)),)]
+    assert rows(sk.counted_bitmaps(sk.key_bitmaps(df.limit(0), "k"))) == [(0, 0)]
+
+
+def test_keys_that_lie_apart_are_not_made_bitmaps(spark):
+    close, apart = spark.range(100_000).selectExpr("id AS k"), spark.range(100_000).selectExpr("id * 1000003 AS k")
+    assert sk.bitmaps_pay(close, "k") and not sk.bitmaps_pay(apart, "k")
+    for df in (close, apart):
+        assert rows(sk.distinct_keys(df.unionAll(df.limit(5)), ["k"])) == [(100_005, 100_000)]
+    text = plan(sk.key_bitmaps(close, "k"))
+    assert "hashpartitioning(k" not in text
