@@ -39,17 +39,43 @@ def watermark(spark: SparkSession, state_path: str, table: str) -> tuple[int, st
     return (0, FIRST_WATERMARK) if row["batch"] is None else (row["batch"], row["value"])
 
 
-def _not_loaded(rows: DataFrame, target_path: str, batches: int, stamp: Column, value: str) -> DataFrame:
-    """``rows`` without those at the watermark that the first ``batches`` batches hold, each as often as they do."""
+LEDGER_SCHEMA = "cells string, held long"
+
+
+def _ledger_path(state_path: str, table: str, batch: int) -> str:
+    return f"{state_path}/ledger/{table}/batch_id={batch}"
+
+
+def _ledger(rows: DataFrame, target_path: str, state_path: str, table: str, batch: int, at_mark: Column) -> DataFrame:
+    """``cells, held``: the different rows at the watermark after ``batch`` and how often they are held.
+
+    A state from before ledgers were kept has none; then the batches are read.
+    """
     spark = rows.sparkSession
-    at_mark = stamp == F.lit(value).cast("timestamp_ntz")
-    loaded = spark.read.schema(rows.schema).parquet(*[f"{target_path}/batch_id={i}" for i in range(1, batches + 1)])
-    cells = xxhash(rows.columns)
-    held = loaded.filter(at_mark).groupBy(cells.alias("_cells")).agg(F.count(F.lit(1)).alias("_held"))
-    twin = F.row_number().over(W.partitionBy("_cells").orderBy("_cells"))
-    tied = rows.filter(at_mark).withColumn("_cells", cells).withColumn("_twin", twin)
-    fresh = tied.join(held, "_cells", "left").filter(F.col("_held").isNull() | (F.col("_twin") > F.col("_held")))
-    return rows.filter(stamp > F.lit(value).cast("timestamp_ntz")).unionAll(fresh.select(*[f"`{c}`" for c in rows.columns]))
+    path = _ledger_path(state_path, table, batch)
+    try:
+        return spark.read.schema(LEDGER_SCHEMA).parquet(path)
+    except AnalysisException:  # no ledger written
+        loaded = spark.read.schema(rows.schema).parquet(*[f"{target_path}/batch_id={i}" for i in range(1, batch + 1)])
+        return _tied(loaded.filter(at_mark))
+
+
+def _tied(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(xxhash(rows.columns).alias("cells")).agg(F.count(F.lit(1)).alias("held"))
+
+
+def _not_held(tied: DataFrame, ledger: DataFrame) -> DataFrame:
+    """``tied`` without what the ledger holds, each row as often as it does.
+
+    Equal rows are counted before the shuffle, so that many of them are one.
+    """
+    columns = tied.columns
+    counted = tied.groupBy(xxhash(columns).alias("cells")).agg(
+        F.count(F.lit(1)).alias("_n"), F.first(F.struct(*[F.col(f"`{c}`") for c in columns])).alias("_row")
+    )
+    left = counted.join(ledger, "cells", "left").withColumn("_n", F.col("_n") - F.coalesce("held", F.lit(0)))
+    copies = left.filter("_n > 0").select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
+    return copies.select("_row.*")
 
 
 def xxhash(columns: Sequence[str]) -> Column:
@@ -63,23 +89,39 @@ def incremental_load(source: DataFrame, target_path: str, state_path: str, table
     """Append the rows modified since the last load; returns the batch.
 
     The new watermark is the largest value in the rows copied, found as they
-    are written, so the source is scanned once. Rows *at* the old watermark may
-    have come later: they are loaded too, but for those that earlier batches
-    hold. Rows without a value are kept in ``state_path/rejects/table``, which
-    each load writes anew. Data goes first, state second; a run that died in
-    between, or found nothing, is repeated into the same batch folder.
+    are written. The source is read from the watermark on, with the filter
+    pushed to its files. Rows *at* the old watermark may have come later: they
+    are loaded too, but for those already held. Which those are is kept next to
+    the state, as a hash and a count per different row at the watermark, so that
+    no load reads earlier batches. Rows without a value are counted in the same
+    scan; only if there are some are they read and kept in
+    ``state_path/rejects/table``, which each load writes anew. Data goes first,
+    then the ledger, then the state; a run that died in between, or found
+    nothing, is repeated into the same batch folder.
     """
     spark = source.sparkSession
     batch, value = watermark(spark, state_path, table)
-    stamp = F.col(modified).cast("timestamp_ntz")
-    source.filter(stamp.isNull()).write.mode("overwrite").parquet(f"{state_path}/rejects/{table}")
-    known = source.filter(stamp.isNotNull())
-    fresh = _not_loaded(known.filter(stamp >= F.lit(value).cast("timestamp_ntz")), target_path, batch, stamp, value) if batch else known
-    seen = Observation(f"load-{table}")
+    stamp, mark = F.col(modified).cast("timestamp_ntz"), F.lit(value).cast("timestamp_ntz")
+    wanted = stamp.isNull() | (stamp >= mark) if batch else F.lit(True)  # goes down to the files
+    seen, rejected = Observation(f"load-{table}"), Observation(f"rejects-{table}")
+    read = source.filter(wanted).observe(rejected, F.count_if(stamp.isNull()).alias("n")).filter(stamp.isNotNull())
+    ledger = _ledger(source, target_path, state_path, table, batch, stamp == mark) if batch else None
+    fresh = read
+    if batch:
+        # Rows after the watermark pass as they are, the few at it are counted first.
+        fresh = read.filter(stamp > mark).unionAll(_not_held(source.filter(stamp == mark), ledger))
     told = fresh.observe(seen, F.count(F.lit(1)).alias("n"), F.max(stamp).cast("string").alias("upper"))
-    told.write.mode("overwrite").parquet(f"{target_path}/batch_id={batch + 1}")
+    path = f"{target_path}/batch_id={batch + 1}"
+    told.write.mode("overwrite").parquet(path)
+    rejects = source.filter(stamp.isNull()) if rejected.get["n"] else source.limit(0)
+    rejects.write.mode("overwrite").parquet(f"{state_path}/rejects/{table}")
     if not seen.get["n"]:
         return batch
+    upper = F.lit(seen.get["upper"]).cast("timestamp_ntz")
+    held = _tied(spark.read.schema(source.schema).parquet(path).filter(stamp == upper))
+    if ledger is not None and spark.range(1).select(upper == mark).first()[0]:  # only rows at the old watermark came
+        held = held.unionAll(ledger).groupBy("cells").agg(F.sum("held").alias("held"))
+    held.write.mode("overwrite").parquet(_ledger_path(state_path, table, batch + 1))
     state = spark.createDataFrame([(table, batch + 1, seen.get["upper"])], "table_name string, batch_id long, value string")
     state = state.select("table_name", "batch_id", F.col("value").cast("timestamp_ntz").alias("watermark_value"))
     state.write.mode("append").parquet(f"{state_path}/{table}")

@@ -4,7 +4,7 @@ import random
 
 import pytest
 import shop
-from frames import rows
+from frames import plan, rows
 from pyspark.sql import functions as F
 
 from drayage.operators import load
@@ -51,6 +51,32 @@ def test_rows_at_the_watermark_and_without_a_stamp(spark, tmp_path):
     assert rows(spark.read.parquet(f"{state}/rejects/t"), "id") == [(4,), (5,)]
 
 
+def test_many_loads_at_one_watermark_and_no_old_batch_is_read(spark, tmp_path):
+    """Rows keep coming with the same stamp; earlier batches are gone, the ledger is enough."""
+    target, state, source = str(tmp_path / "target"), str(tmp_path / "state"), []
+    day = "2024-01-02"
+    rng = random.Random(3)
+    for turn in range(5):
+        source += [(rng.randrange(4), day) for _ in range(6)] + [(None, day)]
+        assert load.incremental_load(stamped(spark, *source), target, state, "t", "m") == turn + 1
+        loaded = [r for b in range(1, turn + 2) for r in rows(spark.read.parquet(f"{tmp_path}/target/batch_id={b}"), "id")]
+        assert sorted(loaded, key=repr) == sorted([(i,) for i, _ in source], key=repr)
+    ledger = load._ledger(stamped(spark, *source), "nowhere", state, "t", 5, F.lit(True))
+    assert ledger.agg(F.sum("held")).first()[0] == len(source)
+    assert "nowhere" not in plan(load._not_held(stamped(spark, *source), ledger))
+    source += [(9, "2024-01-03")]
+    assert load.incremental_load(stamped(spark, *source), target, state, "t", "m") == 6
+    assert load._ledger(stamped(spark, *source), "nowhere", state, "t", 6, F.lit(True)).count() == 1
+
+
+def test_a_state_without_a_ledger_is_read_from_the_batches(spark, tmp_path):
+    target, state = str(tmp_path / "target"), str(tmp_path / "state")
+    first = stamped(spark, (1, "2024-01-01"), (2, "2024-01-02"))
+    load.incremental_load(first, target, state, "t", "m")
+    old = load._ledger(first, target, str(tmp_path / "none"), "t", 1, F.col("m") == F.expr("timestamp_ntz '2024-01-02'"))
+    assert rows(old) == rows(load._ledger(first, target, state, "t", 1, F.lit(True)))
+
+
 def test_a_first_load_takes_rows_of_any_age(spark, tmp_path):
     source = stamped(spark, (1, "1850-01-01"), (2, "2024-01-02"))
     load.incremental_load(source, str(tmp_path / "t"), str(tmp_path / "s"), "t", "m")
