@@ -115,28 +115,80 @@ def plan_outcome(steps: DataFrame) -> DataFrame:
     return steps.groupBy("plan_id").agg(F.when(failed, FAILED).otherwise(COMPLETED).alias("outcome"))
 
 
+# Steps of a plan that are folded in one row; longer plans are worked off link by link.
+FOLDED_STEPS = 4096
+
 # Rounds after which what was reached is written as one table.
 FOLD_ROUNDS = 8
 
 
-def dependency_gate(steps: DataFrame) -> DataFrame:
+def dependency_gate(steps: DataFrame, folded: int = FOLDED_STEPS) -> DataFrame:
     """Final ``gated_status`` of each step: skipped if a dependency is not met.
 
     ``steps`` holds ``plan_id, step_number, status, dependencies``, run in step
     order; ``status`` is the outcome of a step that runs. A dependency is met
     if it came earlier and is completed; one on an unknown step is ignored.
+    Rows of one step number are one step, with the dependencies of all.
 
-    Failures spread along the dependencies, one round per link, however deep.
-    A round reads only the links from steps found in the round before.
+    A plan's steps are one sorted array, folded once: the state is a flag per
+    step so far. So the number of jobs does not hang on how deep links go. Only numbers,
+    flags and dependencies are gathered. Plans of more than ``folded`` steps
+    are not gathered at all: there failures spread link by link.
     """
+    own = F.coalesce(F.col("status") != COMPLETED, F.lit(False))
+    numbered = steps.groupBy("plan_id", "step_number").agg(
+        F.bool_or(own).alias("bad"), F.array_distinct(F.flatten(F.collect_list("dependencies"))).alias("needs")
+    )
+    numbered = materialise(numbered, "gate-steps")
+    long = numbered.groupBy("plan_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > folded).select("plan_id")
+    long = materialise(long, "gate-long")
+    if long.isEmpty():
+        skipped = _folded_skips(numbered)
+    else:
+        by_plan = numbered["plan_id"].eqNullSafe(long["plan_id"])
+        skipped = _folded_skips(numbered.join(long, by_plan, "left_anti"))
+        skipped = skipped.unionAll(_spread_skips(numbered.join(long, by_plan, "left_semi")))
+    named = skipped.select(F.col("plan_id").alias("_plan"), F.col("step_number").alias("_step"), F.lit(True).alias("_skipped"))
+    same = steps["plan_id"].eqNullSafe(F.col("_plan")) & steps["step_number"].eqNullSafe(F.col("_step"))
+    joined = steps.join(named, same, "left")
+    status = F.when(F.col("_skipped"), SKIPPED).otherwise(F.col("status"))
+    return joined.withColumn("gated_status", status).drop("_plan", "_step", "_skipped")
+
+
+# Flags of a step that was folded.
+DONE, NOT_DONE, LEFT_OUT = (bytearray([i]) for i in range(3))
+
+
+def _folded_skips(numbered: DataFrame) -> DataFrame:
+    """``plan_id, step_number`` of the steps that are skipped, plan by plan in one fold."""
+    row = F.struct("step_number", "bad", F.coalesce("needs", F.array()).alias("needs"))
+    plans = numbered.groupBy("plan_id").agg(F.array_sort(F.collect_list(row)).alias("steps"))
+    plans = plans.withColumn("numbers", F.transform("steps", lambda x: x["step_number"]))
+
+    def flagged(flags: Column, x: Column) -> Column:
+        def unmet(need: Column) -> Column:
+            place = F.array_position("numbers", need)
+            earlier = F.substring(flags, place.cast("int"), F.lit(1)) != F.lit(DONE)
+            return (place > 0) & ((need >= x["step_number"]) | earlier)
+
+        flag = F.when(F.exists(x["needs"], unmet), F.lit(LEFT_OUT)).when(x["bad"], F.lit(NOT_DONE)).otherwise(F.lit(DONE))
+        return F.concat(flags, flag)
+
+    flags = F.aggregate("steps", F.lit(bytearray()), flagged)
+    plans = plans.select("plan_id", "numbers", flags.alias("flags"))
+    each = plans.select("plan_id", "flags", F.posexplode("numbers").alias("_at", "step_number"))
+    return each.filter(F.substring("flags", F.col("_at") + 1, F.lit(1)) == F.lit(LEFT_OUT)).select("plan_id", "step_number")
+
+
+def _spread_skips(numbered: DataFrame) -> DataFrame:
+    """The same, one round per link; a round reads only the links from steps found in the round before."""
     keys = ["plan_id", "step_number"]
-    known = steps.select("plan_id", F.col("step_number").alias("needs"))
-    links = steps.select(*keys, F.explode("dependencies").alias("needs")).distinct()
+    known = numbered.select("plan_id", F.col("step_number").alias("needs"))
+    links = numbered.select(*keys, F.explode("needs").alias("needs"))
     links = materialise(links.join(known, ["plan_id", "needs"], "left_semi").select(*keys, "needs"), "gate-links")
     too_early = links.filter(F.col("needs") >= F.col("step_number")).select(*keys).distinct()
     links = links.filter(F.col("needs") < F.col("step_number"))
-    not_done = steps.filter(F.col("status") != COMPLETED).select(*keys)
-    frontier = materialise(not_done.unionAll(too_early).distinct(), "gate")
+    frontier = materialise(numbered.filter("bad").select(*keys).unionAll(too_early).distinct(), "gate")
     reached, rounds = frontier, 0
     while True:  # a link leads to a later step, so this ends
         hit = links.join(frontier.withColumnRenamed("step_number", "needs"), ["plan_id", "needs"], "left_semi")
@@ -147,10 +199,7 @@ def dependency_gate(steps: DataFrame) -> DataFrame:
         if rounds % FOLD_ROUNDS == 0:  # one table again, so that scans and plans stay small
             reached = materialise(reached, "gate")
     blocked = links.join(reached.withColumnRenamed("step_number", "needs"), ["plan_id", "needs"], "left_semi")
-    skipped = blocked.select(*keys).unionAll(too_early).distinct().withColumn("_skipped", F.lit(True))
-    joined = steps.join(skipped, keys, "left")
-    status = F.when(F.col("_skipped"), SKIPPED).otherwise(F.col("status"))
-    return joined.withColumn("gated_status", status).drop("_skipped")
+    return blocked.select(*keys).unionAll(too_early).distinct()
 
 
 def output_head(output: Column) -> Column:

@@ -99,7 +99,15 @@ def test_gate_matches_a_loop(spark):
         data += [(p, *s) for s in steps]
         expected += [(p, n, s) for n, s in gate(steps).items()]
     df = spark.createDataFrame(data, "plan_id int, step_number int, status string, dependencies array<int>")
-    assert rows(r.dependency_gate(df), "plan_id", "step_number", "gated_status") == sorted(expected, key=repr)
+    for folded in (4096, 5):  # in one fold, and link by link
+        assert rows(r.dependency_gate(df, folded), "plan_id", "step_number", "gated_status") == sorted(expected, key=repr)
+
+
+def test_gate_folds_plans_without_a_number_or_dependencies(spark):
+    data = [(None, 1, "failed", None), (None, 2, "completed", [1, 9]), (1, 1, None, []), (1, 2, "completed", [1]), (1, 2, "failed", None), (1, 3, "completed", [2])]
+    df = spark.createDataFrame(data, "plan_id int, step_number int, status string, dependencies array<int>")
+    want = [(None, 1, "failed"), (None, 2, "skipped"), (1, 1, None), (1, 2, "completed"), (1, 2, "failed"), (1, 3, "skipped")]
+    assert rows(r.dependency_gate(df), "plan_id", "step_number", "gated_status") == sorted(want, key=repr)
 
 
 def test_gate_on_a_long_chain(spark):

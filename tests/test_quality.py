@@ -108,6 +108,46 @@ def test_waves_of_the_shop(spark):
     }
 
 
+def plain_waves(names, pairs):
+    ups = {n: {p for c, p in pairs if c == n and p != n and p in names} for n in names}
+    wave = {}
+    while ready := [n for n in names if n not in wave and all(p in wave for p in ups[n])]:
+        wave |= {n: 1 + max([wave[p] for p in ups[n]], default=0) for n in ready}
+    return {n: wave.get(n) for n in names}
+
+
+def test_waves_of_random_graphs(spark):
+    r = random.Random(12)
+    for size, edges in ((12, 8), (30, 26), (30, 33), (60, 55)):
+        names = [f"n{i}" for i in range(size)]
+        order = r.sample(names, size)
+        pairs = []
+        for _ in range(edges):
+            i, j = sorted(r.sample(range(size), 2))
+            pairs.append((order[j], order[i]) if r.random() < 0.96 else (order[i], order[j]))
+        pairs += [("n0", "n0"), ("n1", "nowhere"), pairs[0]]
+        assert waves_of(spark, names, pairs) == plain_waves(names, pairs)
+
+
+def test_waves_of_long_chains(spark):
+    """Two chains of 300, one closed into a ring, one that leads from a cycle: rounds grow with the logarithm."""
+    names = [f"{c}{i}" for c in "abrq" for i in range(300)] + ["x", "y", "z"]
+    pairs = [(f"{c}{i + 1}", f"{c}{i}") for c in "abrq" for i in range(299)]
+    pairs += [("r0", "r299"), ("q0", "x"), ("x", "y"), ("y", "x"), ("z", "a299"), ("z", "b7")]
+    nodes = spark.createDataFrame([(n, 1) for n in names], "node string, row_count bigint")
+    seen = []
+    from drayage.operators import graph
+
+    materialise = graph.materialise
+    graph.materialise = lambda df, label: seen.append(label) or materialise(df, label)
+    try:
+        got = {r.node: r.wave for r in dependency_waves(nodes, spark.createDataFrame(pairs, "child string, parent string")).collect()}
+    finally:
+        graph.materialise = materialise
+    assert got == plain_waves(names, pairs)
+    assert seen.count("chains") <= 12 and seen.count("depths") <= 8
+
+
 def test_waves_report_cycles_and_what_lies_behind(spark):
     got = waves_of(spark, "abcde", [("a", "b"), ("b", "a"), ("c", "a"), ("d", "e")])
     assert got == {"a": None, "b": None, "c": None, "d": 2, "e": 1}
@@ -151,8 +191,6 @@ def test_sketches_of_parts_merge(spark):
 
 
 def test_bitmaps_count_exactly(spark):
-    import random
-
     r = random.Random(8)
     keys = [r.choice([r.randint(-70_000, 70_000), r.randint(-(2**62), 2**62), 0, 32768, -32768, None]) for _ in range(3000)]
     df = spark.createDataFrame([(k,) for k in keys], "k long").repartition(3)
