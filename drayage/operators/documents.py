@@ -108,41 +108,86 @@ def common_fields(
     return kept.filter(fits.scalar())
 
 
+# Different fields from which an object of documents without a schema counts as a map.
+MAP_FIELDS = 200
+
+
+def inferred_schema(df: DataFrame, json_column: str, maps: Sequence[str] = (), map_fields: int = MAP_FIELDS) -> T.StructType:
+    """The schema that holds all documents, found in one pass over them.
+
+    Values of several types, and fields that are always null, become text.
+    Objects at the dotted paths in ``maps``, and those with more than
+    ``map_fields`` different fields, become maps. Texts that are no JSON object
+    do not count; no documents give no fields.
+    """
+    value = F.try_parse_json(json_column)
+    objects = df.select(F.when(F.startswith(F.schema_of_variant(value), F.lit("OBJECT")), value).alias("v"))
+    found = objects.filter("v IS NOT NULL").agg(F.schema_of_variant_agg("v")).first()[0]
+    if not found.startswith("OBJECT"):
+        return T.StructType([])
+    kind = df.sparkSession.createDataFrame([], f"doc {found.replace('OBJECT<', 'STRUCT<')}").schema["doc"].dataType
+
+    def settled(t: T.DataType, path: str) -> T.DataType:
+        if isinstance(t, (T.VariantType, T.NullType)):
+            return T.StringType()
+        if isinstance(t, T.ArrayType):
+            return T.ArrayType(settled(t.elementType, path))
+        if isinstance(t, T.StructType):
+            fields = [T.StructField(f.name, settled(f.dataType, f"{path}.{f.name}".lstrip("."))) for f in t.fields]
+            if path in maps or (path and len(fields) > map_fields):
+                kinds = {f.dataType.json(): f.dataType for f in fields}
+                return T.MapType(T.StringType(), next(iter(kinds.values())) if len(kinds) == 1 else T.StringType())
+            return T.StructType(fields)
+        return t
+
+    return settled(kind, "")
+
+
 def flatten_documents(
-    df: DataFrame, keys: Sequence[str], json_column: str, schema: T.StructType | str, name: str = "root"
+    df: DataFrame,
+    keys: Sequence[str],
+    json_column: str,
+    schema: T.StructType | str | None = None,
+    name: str = "root",
+    maps: Sequence[str] = (),
 ) -> dict[str, DataFrame]:
-    """Documents as flat tables: one for the objects, one per array.
+    """Documents as flat tables: one for the objects, one per array or map.
 
     Nested objects become columns ``a_b``. An array becomes a table named after
     its path, with the parent's keys, ``<array>_pos`` counted from 0 and the
-    flattened items (``value`` for plain items). Parents with an empty array
-    have no row there.
+    flattened items (``value`` for plain items). A map becomes such a table with
+    ``<map>_key``. Items that are arrays or maps themselves become a table below
+    that, named ``..._item``. Parents with an empty array or map have no row there.
+
+    Without ``schema`` it is found by :func:`inferred_schema`, to which ``maps``
+    is handed on.
     """
+    schema = inferred_schema(df, json_column, maps) if schema is None else schema
     parsed = df.select(*keys, F.from_json(json_column, schema).alias("_doc"))
-    return _flatten(parsed, list(keys), "_doc", name)
+    return _flatten(parsed, list(keys), F.col("_doc"), parsed.schema["_doc"].dataType, name)
 
 
-def _flatten(df: DataFrame, keys: list[str], column: str, name: str) -> dict[str, DataFrame]:
+def _flatten(df: DataFrame, keys: list[str], value: Column, kind: T.DataType, name: str) -> dict[str, DataFrame]:
     leaves: list[Column] = []
-    arrays: list[tuple[str, Column, T.DataType]] = []
-
-    def walk(kind: T.StructType, value: Column, prefix: str) -> None:
-        for f in kind.fields:
-            path, inner = f"{prefix}{f.name}", value.getField(f.name)
-            if isinstance(f.dataType, T.StructType):
-                walk(f.dataType, inner, f"{path}_")
-            elif isinstance(f.dataType, T.ArrayType):
-                arrays.append((path, inner, f.dataType.elementType))
-            else:
-                leaves.append(inner.alias(path))
-
-    walk(df.schema[column].dataType, F.col(column), "")
+    nested: list[tuple[str, Column, T.DataType]] = []
+
+    def walk(t: T.DataType, inner: Column, path: str) -> None:
+        if isinstance(t, T.StructType):
+            for f in t.fields:
+                walk(f.dataType, inner.getField(f.name), f"{path}_{f.name}" if path else f.name)
+        elif isinstance(t, (T.ArrayType, T.MapType)):
+            nested.append((path or "item", inner, t))
+        else:
+            leaves.append(inner.alias(path or "value"))
+
+    walk(kind, value, "")
     out = {name: df.select(*keys, *leaves)}
-    for path, value, item in arrays:
-        position = f"{path}_pos"
-        child = df.select(*keys, F.posexplode(value).alias(position, "_item"))
-        if isinstance(item, T.StructType):
-            out.update(_flatten(child, [*keys, position], "_item", f"{name}_{path}"))
+    for path, inner, t in nested:
+        if isinstance(t, T.MapType):
+            place, item = f"{path}_key", t.valueType
+            child = df.select(*keys, F.explode(inner).alias(place, "_item"))
         else:
-            out[f"{name}_{path}"] = child.withColumnRenamed("_item", "value")
+            place, item = f"{path}_pos", t.elementType
+            child = df.select(*keys, F.posexplode(inner).alias(place, "_item"))
+        out.update(_flatten(child, [*keys, place], F.col("_item"), item, f"{name}_{path}"))
     return out

@@ -150,3 +150,50 @@ def flatten_children(t: Tables) -> DataFrame:
 )
 def flatten_grandchildren(t: Tables) -> DataFrame:
     return d.flatten_documents(line_documents(t), KEYS, "doc", LINE_SCHEMA)["root_parts_prices"]
+
+
+# Documents without a schema: a map whose keys vary, arrays in arrays, a field of two types, one that is always null.
+LOOSE = """
+    '{"id": ' || event_id || ', "who": ' || CASE WHEN event_id % 7 = 0 THEN '"none"' ELSE '' || user_id END
+    || ', "gone": null, "hits": {"' || event_type || '": ' || (event_id % 10) || ', "all": ' || (event_id % 4) || '}'
+    || ', "grid": [[' || (event_id % 3) || ', ' || (event_id % 5) || '], [], [' || (event_id % 2) || ']]}'
+"""
+
+
+def loose(t: Tables) -> dict[str, DataFrame]:
+    docs = t.spread("events").selectExpr("event_id", f"{LOOSE} AS doc")
+    return d.flatten_documents(docs, ["event_id"], "doc", maps=["hits"])
+
+
+@query(
+    "flatten_loose",
+    """
+    SELECT event_id, NULL::VARCHAR AS gone, event_id AS id,
+           CASE WHEN event_id % 7 = 0 THEN 'none' ELSE user_id::VARCHAR END AS who FROM events
+    """,
+)
+def flatten_loose(t: Tables) -> DataFrame:
+    return loose(t)["root"]
+
+
+@query(
+    "flatten_map",
+    """
+    SELECT event_id, event_type AS hits_key, event_id % 10 AS value FROM events
+    UNION ALL SELECT event_id, 'all', event_id % 4 FROM events
+    """,
+)
+def flatten_map(t: Tables) -> DataFrame:
+    return loose(t)["root_hits"]
+
+
+@query(
+    "flatten_arrays_in_arrays",
+    """
+    SELECT event_id, 0::INTEGER AS grid_pos, 0::INTEGER AS item_pos, event_id % 3 AS value FROM events
+    UNION ALL SELECT event_id, 0, 1, event_id % 5 FROM events
+    UNION ALL SELECT event_id, 2, 0, event_id % 2 FROM events
+    """,
+)
+def flatten_arrays_in_arrays(t: Tables) -> DataFrame:
+    return loose(t)["root_grid_item"]

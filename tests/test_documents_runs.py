@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 from frames import plan, rows
+from pyspark.sql import types as T
 
 from drayage.operators import documents as d
 from drayage.operators import runs as r
@@ -154,3 +155,25 @@ def test_token_rollup_aggregates_steps_once(spark):
     out = r.token_rollup(subtasks)
     assert rows(out.filter("level = 'plan'"), "plan_id", "step_number", "total_tokens") == [(0, None, 40), (1, None, 50)]
     assert "CartesianProduct" not in plan(out)
+
+
+def test_flatten_without_a_schema(spark):
+    docs = [
+        (1, '{"a b": 1, "x": {"k": null, "deep": {"z": 1.5}}, "m": {"p": [1], "q": [2, 3]}, "g": [[{"u": 1}], [{"u": "t"}, {}]], "e": {}}'),
+        (2, '{"a b": 2, "g": [], "f": []}'),
+        (3, None),
+        (4, "no json"),
+        (5, "[1, 2]"),
+    ]
+    df = spark.createDataFrame(docs, "id int, doc string")
+    got = d.flatten_documents(df, ["id"], "doc", maps=["m"])
+    assert sorted(got) == ["root", "root_f", "root_g", "root_g_item", "root_m", "root_m_item"]
+    assert got["root"].columns == ["id", "a b", "x_deep_z", "x_k"]
+    assert [(x["id"], x["a b"], x["x_deep_z"] and float(x["x_deep_z"])) for x in got["root"].orderBy("id").collect()][:2] == [(1, 1, 1.5), (2, 2, None)]
+    assert rows(got["root_m"], "id", "m_key") == [(1, "p"), (1, "q")]
+    assert rows(got["root_m_item"], "id", "m_key", "item_pos", "value") == [(1, "p", 0, 1), (1, "q", 0, 2), (1, "q", 1, 3)]
+    assert rows(got["root_g_item"], "g_pos", "item_pos", "u") == [(0, 0, "1"), (1, 0, "t"), (1, 1, None)]
+    assert got["root_f"].count() == 0
+    wide = spark.createDataFrame([(1, '{"w": {' + ", ".join(f'"k{i}": {i}' for i in range(8)) + "}}")], "id int, doc string")
+    assert isinstance(d.inferred_schema(wide, "doc", map_fields=7)["w"].dataType, T.MapType)
+    assert d.flatten_documents(df.limit(0), ["id"], "doc")["root"].columns == ["id"]
