@@ -131,3 +131,30 @@ def stream_merge(t: Tables) -> DataFrame:
         changes = t.spark.readStream.schema(order_changes(t).schema).parquet(f"{base}/in")
         out = jobs.run_merge(changes, target, f"{base}/out", f"{base}/checkpoint", ["o_orderkey"], "seq", buckets=8)
     return out
+
+
+# The events of a user and a day are the deliveries of one message; two queues with limits of their own.
+DELIVERED = """
+    SELECT user_id, date_trunc('day', ts)::TIMESTAMP AS enqueued_at, count(*) AS n FROM events GROUP BY ALL
+"""
+
+
+def delivered(queue: str, days: int, most: int) -> str:
+    return f"""
+    SELECT '{queue}' AS queue, user_id, enqueued_at, CASE WHEN live THEN n END AS deliveries,
+           CASE WHEN NOT live THEN 'expired' WHEN n > {most} THEN 'max_deliveries' ELSE 'live' END AS route
+    FROM (SELECT *, enqueued_at >= TIMESTAMP '2024-02-01' - INTERVAL {days} DAY AS live FROM ({DELIVERED}))
+    """
+
+
+@query("stream_deliveries", delivered("fast", 7, 2) + " UNION ALL " + delivered("slow", 14, 4))
+def stream_deliveries(t: Tables) -> DataFrame:
+    messages = stream(t, "events").select("user_id", F.date_trunc("day", "ts").alias("enqueued_at"))
+    out = None
+    for queue, days, most in (("fast", 7, 2), ("slow", 14, 4)):
+        base = scratch_path(t.spark, f"deliveries-{queue}")
+        as_of = F.lit("2024-02-01").cast("timestamp")
+        routed = jobs.run_deliveries(messages, f"{base}/out", f"{base}/checkpoint", "user_id", "enqueued_at", as_of, most, days)
+        part = routed.select(F.lit(queue).alias("queue"), "user_id", F.col("enqueued_at").cast("timestamp_ntz").alias("enqueued_at"), "deliveries", "route")
+        out = part if out is None else out.unionAll(part)
+    return out

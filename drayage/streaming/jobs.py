@@ -57,9 +57,82 @@ def _bounds() -> list[Column]:
     ]
 
 
-def deduplicate(events: DataFrame, keys: Sequence[str], ts: str, within: str = DUPLICATE_WINDOW) -> DataFrame:
-    """Drop rows whose keys were seen less than ``within`` ago."""
-    return event_time(events, ts).withWatermark(ts, within).dropDuplicatesWithinWatermark(list(keys))
+# Keys of the first level of de-duplication that one key is dealt to.
+SALTS = 32
+
+
+def deduplicate(
+    events: DataFrame, keys: Sequence[str], ts: str, within: str = DUPLICATE_WINDOW, salts: int = SALTS
+) -> DataFrame:
+    """Drop rows whose keys were seen less than ``within`` ago.
+
+    On two levels, so that a key with many rows is no task of its own: first
+    per key and task that read the row (modulo ``salts``), then per key, of which
+    no more than ``salts`` rows are left per ``within``.
+    """
+    columns = events.columns
+    timed = event_time(events, ts).withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts))).withWatermark(ts, within)
+    some = timed.dropDuplicatesWithinWatermark([*keys, "_salt"]) if salts > 1 else timed
+    return some.dropDuplicatesWithinWatermark(list(keys)).select(*columns)
+
+
+def count_deliveries(
+    deliveries: DataFrame, key: str, enqueued: str, lifetime_days: int = MESSAGE_LIFETIME_DAYS
+) -> DataFrame:
+    """``enqueued, key, deliveries``: how often each message was delivered so far.
+
+    A message keeps the time it was enqueued at, and that time is part of the
+    key. So its count lives in the state until the watermark, ``lifetime_days``
+    behind the newest message, has passed it: just as long as the message does.
+    Deliveries are counted before the shuffle.
+    """
+    timed = event_time(deliveries, enqueued).withWatermark(enqueued, f"{lifetime_days} days")
+    return timed.groupBy(enqueued, key).agg(F.count(F.lit(1)).alias("deliveries"))
+
+
+def run_deliveries(
+    deliveries: DataFrame,
+    folder: str,
+    checkpoint: str,
+    key: str,
+    enqueued: str,
+    as_of: Column,
+    max_deliveries: int = MAX_DELIVERIES,
+    lifetime_days: int = MESSAGE_LIFETIME_DAYS,
+) -> DataFrame:
+    """Count the deliveries of a stream and route its messages; returns the messages delivered so far.
+
+    ``key, enqueued, deliveries, route``: expired messages are told by ``as_of``
+    and not counted; the others are dead-lettered once they were delivered more
+    than ``max_deliveries`` times. Each batch writes the messages it delivers, and a
+    repeated batch replaces itself. ``as_of`` must not lie before the newest message.
+    """
+    spark = deliveries.sparkSession
+    oldest = as_of.cast("timestamp") - F.make_dt_interval(F.lit(lifetime_days))
+    old = F.col(enqueued).cast("timestamp") < oldest
+    expired = event_time(deliveries.filter(old), enqueued).select(key, enqueued)
+
+    def write_expired(batch: DataFrame, batch_id: int) -> None:
+        batch.distinct().write.mode("overwrite").parquet(f"{folder}/expired/batch={batch_id}")
+
+    def write_live(batch: DataFrame, batch_id: int) -> None:
+        batch.select(key, enqueued, "deliveries").write.mode("overwrite").parquet(f"{folder}/live/batch={batch_id}")
+
+    run_batches(expired, write_expired, f"{checkpoint}/expired")
+    run_batches(count_deliveries(deliveries.filter(~old), key, enqueued, lifetime_days), write_live, f"{checkpoint}/live", "update")
+
+    def written(part: str, schema: str) -> DataFrame:
+        try:
+            return spark.read.schema(schema).parquet(f"{folder}/{part}/batch=*")
+        except AnalysisException:  # no batch had any
+            return spark.createDataFrame([], schema)
+
+    kind = deliveries.schema[key].dataType.simpleString()
+    fields = f"`{key}` {kind}, `{enqueued}` timestamp"
+    live = written("live", f"{fields}, deliveries long").groupBy(key, enqueued).agg(F.max("deliveries").alias("deliveries"))
+    route = F.when(F.col("deliveries") > max_deliveries, "max_deliveries").otherwise("live")
+    gone = written("expired", fields).distinct().select(key, enqueued, F.lit(None).cast("long"), F.lit("expired"))
+    return live.select(key, enqueued, "deliveries", route.alias("route")).unionAll(gone)
 
 
 def route_messages(

@@ -144,3 +144,34 @@ def test_a_failed_batch_is_repeated(spark, tmp_path):
     jobs.run_batches(arriving(spark, source, df.schema), flaky, checkpoint)
     assert calls == [0, 0]
     assert spark.read.parquet(f"{out}/batch=*").count() == 2
+
+
+def test_deliveries_are_counted_over_batches_and_restarts(spark, tmp_path):
+    source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "checkpoint"))
+    days = {1: 30, 2: 29, 3: 20, 4: 1}  # message: day it was enqueued
+    seen = []
+
+    def run(*ids, most=2):
+        seen.extend(ids)
+        df = spark.createDataFrame([(i, START + timedelta(days=days[i])) for i in ids], "id int, at timestamp_ntz")
+        df.write.mode("append").parquet(source)
+        as_of = F.lit(START + timedelta(days=31))
+        got = jobs.run_deliveries(arriving(spark, source, df.schema), out, checkpoint, "id", "at", as_of, most, 14)
+        return rows(got, "id", "deliveries", "route")
+
+    assert run(1, 1, 2, 4) == [(1, 2, "live"), (2, 1, "live"), (4, None, "expired")]
+    assert run(1, 3) == [(1, 3, "max_deliveries"), (2, 1, "live"), (3, 1, "live"), (4, None, "expired")]
+    got = run(3, 3, 3, 2, 4)
+    assert got == [(1, 3, "max_deliveries"), (2, 2, "live"), (3, 4, "max_deliveries"), (4, None, "expired")]
+    assert {i: n for i, n, _ in got} == {i: seen.count(i) if i != 4 else None for i in days}
+
+
+def test_a_hot_message_is_no_task_of_its_own(spark, tmp_path):
+    """A third of the rows have one id: after the first level no task holds more than its share."""
+    source = str(tmp_path / "in")
+    hot = spark.range(3000, numPartitions=12).selectExpr("if(id % 3 = 0, -1, id) AS event_id", "timestamp_ntz '2024-01-01' AS ts")
+    hot.write.parquet(source)
+    unique = jobs.deduplicate(arriving(spark, source, hot.schema), ["event_id"], "ts")
+    assert jobs.run_append(unique, str(tmp_path / "out"), str(tmp_path / "checkpoint")).count() == 2001
+    first = hot.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(jobs.SALTS)))
+    assert first.groupBy("event_id", "_salt").count().agg(F.max("count")).first()[0] <= 3000 / 12
