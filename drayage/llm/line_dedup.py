@@ -37,22 +37,30 @@ def line_hashes(lines: Column, min_length: int) -> Column:
     return F.transform(lines, hashed)
 
 
-def frequent_lines(docs: DataFrame, text: str, min_docs: int, min_length: int) -> DataFrame:
-    """Hashes ``a``, ``b`` of the lines found in ``min_docs`` rows of ``docs``.
+# Parts that the documents, and the places, of one line are dealt to.
+SALTS = 64
 
-    A line counts once per row, so the count is combined before the shuffle
-    and a line that every document holds is no hot key.
+
+def salt(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int")
+
+
+def frequent_lines(docs: DataFrame, text: str, min_docs: int, min_length: int, key: str | None) -> DataFrame:
+    """Hashes ``a``, ``b`` of the lines found in ``min_docs`` different documents of ``docs``.
+
+    The documents of a line are counted in parts and the parts added up, so a
+    line that every document holds is no hot key.
     """
     hashes = F.array_distinct(line_hashes(text_lines(F.col(text)), min_length))
-    return (
-        docs.select(F.explode(hashes).alias("h"))
+    document = F.struct(F.col(key) if key else F.monotonically_increasing_id())
+    parts = (
+        docs.select(document.alias("doc"), F.explode(hashes).alias("h"))
         .where(F.col("h").isNotNull())
-        .select("h.a", "h.b")
-        .groupBy("a", "b")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") >= min_docs)
-        .select("a", "b")
+        .select("h.a", "h.b", "doc", salt(F.col("doc")).alias("part"))
+        .groupBy("a", "b", "part")
+        .agg(F.count_distinct("doc").alias("n"))
     )
+    return parts.groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= min_docs).select("a", "b")
 
 
 def kept_lines(lines: Column, dropped: Column) -> Column:
@@ -68,27 +76,33 @@ def kept_lines(lines: Column, dropped: Column) -> Column:
     return F.transform(named, lambda x: between(x["b"], x["l"]))[0]
 
 
-def dedup_lines(docs: DataFrame, text: str = "text", min_docs: int = 10, min_length: int = 1) -> DataFrame:
-    """``docs`` without the lines that at least ``min_docs`` rows hold.
+def dedup_lines(
+    docs: DataFrame, text: str = "text", min_docs: int = 10, min_length: int = 1, key: str | None = "doc_id"
+) -> DataFrame:
+    """``docs`` without the lines that at least ``min_docs`` documents hold.
 
     Adds ``n_lines`` (before dropping) and ``n_dropped``, both long; ``text``
-    holds the other lines, joined by a newline. Every row is a document of its
-    own: repeated rows count each. A null or empty text is one empty line, and
+    holds the other lines, joined by a newline. Rows of one ``key`` are one
+    document and count once, those without a key too; with ``key`` None every
+    row is a document of its own. All rows are returned. A null or empty text is one empty line, and
     null becomes the empty text. All other columns stay; a column of ``docs``
     named ``n_lines`` or ``n_dropped`` is replaced.
 
     The texts are read twice and shuffled at most once, by a hash of the text:
     copies drop the same lines, so positions are found once per distinct text.
     """
-    frequent = frequent_lines(docs, text, min_docs, min_length)
+    frequent = frequent_lines(docs, text, min_docs, min_length, key)
     a, b = f"{KEY}_a", f"{KEY}_b"
     body = F.coalesce(F.col(text), F.lit(""))
     keys = (F.xxhash64(body).alias(a), F.xxhash64(F.lit(1), body).alias(b))
-    positions = docs.select(*keys, F.posexplode(line_hashes(text_lines(F.col(text)), min_length)).alias("pos", "h"))
+    part = salt(F.struct(F.col(key)) if key else body).alias("part")
+    positions = docs.select(*keys, part, F.posexplode(line_hashes(text_lines(F.col(text)), min_length)).alias("pos", "h"))
+    # The places of a line are dealt to parts, and the line is told to each of them.
+    told = frequent.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     dropped = (
         positions.where(F.col("h").isNotNull())
-        .select(a, b, "pos", F.col("h.a").alias("a"), F.col("h.b").alias("b"))
-        .join(frequent, ["a", "b"], "left_semi")
+        .select(a, b, "pos", "part", F.col("h.a").alias("a"), F.col("h.b").alias("b"))
+        .join(told, ["a", "b", "part"], "left_semi")
         .groupBy(a, b)
         .agg(F.array_sort(F.collect_set("pos")).alias(KEY))  # copies give the same positions
     )

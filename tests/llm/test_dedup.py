@@ -21,10 +21,11 @@ def key_of(line: str) -> str:
 
 
 def lines_left(rows, min_docs):
-    holders = defaultdict(int)
-    for _, text in rows:
+    held = defaultdict(set)
+    for doc, text in rows:
         for key in {key_of(x) for x in (text or "").split("\n")}:
-            holders[key] += 1
+            held[key].add(doc)
+    holders = {key: len(docs) for key, docs in held.items()}
     out = []
     for doc, text in rows:
         lines = (text or "").split("\n")
@@ -33,6 +34,16 @@ def lines_left(rows, min_docs):
     return out
 
 
+def test_rows_of_one_document_count_once(make):
+    rows = [(1, "often\nshared")] * 12 + [(2, "shared\nelse")] + [(10 + i, f"in ten\nown {i}") for i in range(9)] + [(None, "in ten")] * 2
+    got = line_dedup.dedup_lines(make(rows)).select("doc_id", "n_lines", "n_dropped", "text").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(lines_left(rows, 10), key=repr)
+    assert {r["n_dropped"] for r in got if r["doc_id"] in (1, 2)} == {0}
+    assert {r["n_dropped"] for r in got if r["doc_id"] not in (1, 2)} == {1}
+    each = line_dedup.dedup_lines(make(rows), key=None)
+    assert {r["n_dropped"] for r in each.where("doc_id = 1").collect()} == {2}
+
+
 @pytest.mark.parametrize("extra", [False, True])
 def test_line_dedup(make, extra):
     rows = cases.corpus()
