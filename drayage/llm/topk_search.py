@@ -27,7 +27,10 @@ def quantised(vector: Column, scale: int) -> Column:
     """floor(scale * x) of every component, null for vectors that take no part."""
     whole = F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("long"))
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return F.when(vector.isNotNull() & finite, whole)
+    # The products of two such vectors are below 2^62.
+    grown = F.transform(vector, lambda x: F.pow(F.abs(x.cast("double") * scale) + 1, F.lit(2.0)))
+    fits = F.aggregate(grown, F.lit(0.0), lambda total, x: total + x) < float(1 << 62)
+    return F.when(vector.isNotNull() & finite & fits, whole)
 
 
 def signed_digits(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -252,7 +255,9 @@ def top_k(
     """``query_id``, ``rank``, ``vec_id``, ``score`` for the rows of ``vectors`` that ``is_query`` picks.
 
     Components become floor(scale * x). Rows with a null key, and vectors that
-    are null or hold null or non-finite components, take no part. A shorter
+    are null or hold null or non-finite components, take no part; nor do vectors
+    whose squared length comes to 2^62 or more, each scaled component counted
+    one larger, as their scores may not fit 64 bits. A shorter
     vector's missing components are zero. Every row is searched but those with
     the query's own key; repeated rows are rows of their own, as queries as well.
     """

@@ -22,6 +22,7 @@ def scored(rows, k, modulus):
     valid = [
         (i, [math.floor(64 * x) for x in v]) for i, v in rows
         if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)
+        and sum((abs(64.0 * x) + 1) ** 2 for x in v) < 2**62
     ]
     out = []
     for q, a in valid:
@@ -39,8 +40,9 @@ def test_top_k(spark, monkeypatch, block_rows):
     rows = [(i, [r.gauss(0, 0.2) for _ in range(8)]) for i in range(300)]
     rows += [(300 + i, rows[3][1]) for i in range(40)]  # ties over a border
     rows += [(400, None), (401, [float("nan")] * 8), (402, [None] + [0.1] * 7), (403, [float("inf")] * 8), (None, [0.1] * 8)]
-    rows += [(404, []), (405, [0.5, -0.5]), (406, [100.0] * 8), (407, [-100.0] * 8), (420, [0.0] * 8), (500, rows[7][1]), (500, rows[8][1])]
-    df = spark.createDataFrame([(i, v, 1, 2) for i, v in rows], "vec_id long, embedding array<double>, row int, block int")
+    rows += [(404, []), (405, [0.5, -0.5]), (406, [100.0] * 8), (407, [-100.0] * 8), (408, [1e30] * 8), (440, [-1e17] + [0.0] * 7),
+             (409, [2.0**23, -(2.0**22)]), (460, [-(2.0**23), 2.0**22]), (420, [0.0] * 8), (500, rows[7][1]), (500, rows[8][1])]
+    df = spark.createDataFrame([(i, v, 1, 2, 3, 4, "x") for i, v in rows], "vec_id long, embedding array<double>, row int, block int, id int, vector int, body string")
     got = sorted(tuple(x) for x in K.top_k(df, F.col("vec_id") % 20 == 0, k=9).collect())
     assert got == scored(rows, 9, 20)
 
