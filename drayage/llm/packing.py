@@ -4,8 +4,9 @@ Documents are tokenised in the tasks; only the histogram of piece lengths, at
 most one count per length, reaches the driver. There, patterns of a few
 lengths that fill a sequence exactly are enumerated, their repeat counts are
 fitted to the histogram by non-negative least squares and rounded down, and
-what is left is packed best fit first, by length and count. Pieces find their
-places by their rank among those of their length.
+what is left is packed best fit first, by length and count. The plan has a row
+per pattern and length, whatever the number of pieces. Pieces find their places
+by their rank among those of their length.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import re
 import unicodedata
 import zlib
 from bisect import bisect_left, insort
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -33,8 +35,10 @@ KNOWN_PARTS = 1_000_000
 # What may be cut off a word's end: the tokenizer cuts there anyway.
 MARKS = ".,;:!?%$#*&|+=-_()[]{}/\\~^@\""
 
-# Patterns drawn of each number of lengths.
-DRAWN = {3: 12_000, 4: 12_000, 5: 12_000, 6: 12_000}
+# Patterns of three lengths and more are too many to list: of each number of lengths so many are drawn.
+DRAWN = 12_000
+FEW = range(3, 7)
+MOST = 64  # lengths to a pattern, for short texts
 
 
 def byte_characters() -> dict[int, str]:
@@ -184,19 +188,24 @@ def pieces_of(
 
 @dataclass(frozen=True)
 class Pattern:
-    lengths: tuple[int, ...]
+    """The content of ``repeats`` sequences: lengths, the longest first, and how many pieces of each."""
+
+    kinds: tuple[tuple[int, int], ...]
     repeats: int
 
 
 def enumerate_patterns(histogram: np.ndarray, capacity: int) -> np.ndarray:
     """Rows of a few lengths, 0 for none, that occur and sum up to ``capacity``.
 
-    All single lengths and pairs. Patterns of three lengths and more are too
-    many: of each depth some are drawn, with a fixed seed, all but one length
-    in proportion to the histogram, so that each length has patterns enough.
+    All single lengths and pairs. Of three to six lengths, and of about as many
+    as fill a sequence where texts are shorter than that, some are drawn with a
+    fixed seed: all but one length in proportion to the histogram, so that each
+    length has patterns enough, the last one such that they fill the sequence.
     """
     held = histogram > 0
-    width = max(DRAWN)
+    usual = -(-capacity * int(histogram.sum()) // max(1, int((histogram * np.arange(len(histogram))).sum())))
+    depths = sorted({*FEW, *(d for d in range(usual - 1, usual + 3) if 2 < d <= MOST)})
+    width = max(depths)
     b = np.arange(1, capacity // 2 + 1)
     b = b[held[b] & held[capacity - b]]
     pairs = np.zeros((len(b), width), np.int64)
@@ -206,8 +215,8 @@ def enumerate_patterns(histogram: np.ndarray, capacity: int) -> np.ndarray:
     if len(shorter):
         rng = np.random.default_rng(0)
         share = histogram[shorter] / histogram[shorter].sum()
-        for depth, count in DRAWN.items():
-            some = rng.choice(shorter, (count, depth - 1), p=share)
+        for depth in depths:
+            some = rng.choice(shorter, (DRAWN, depth - 1), p=share)
             rest = capacity - some.sum(axis=1)
             fits = (rest > 0) & held[np.maximum(rest, 0)]
             found = np.zeros((int(fits.sum()), width), np.int64)
@@ -257,53 +266,58 @@ def rounded(patterns: np.ndarray, fitted: np.ndarray, left: np.ndarray) -> list[
     for i in np.argsort(-fitted, kind="stable"):
         if fitted[i] < 1:
             break
-        lengths = tuple(int(x) for x in patterns[i] if x)
-        kinds = {x: lengths.count(x) for x in lengths}
+        kinds = Counter(int(x) for x in patterns[i][::-1] if x)
         repeats = min(int(fitted[i]), *(int(left[x]) // c for x, c in kinds.items()))
         if repeats:
             for x, c in kinds.items():
                 left[x] -= repeats * c
-            out.append(Pattern(lengths, repeats))
+            out.append(Pattern(tuple(kinds.items()), repeats))
     return out
 
 
 def best_fit(left: np.ndarray, capacity: int) -> list[Pattern]:
     """Patterns for what is left, longest first, each into the fullest sequence that has room.
 
-    Sequences of one content are held as one pattern with a count.
+    Pieces of one length are placed together: sequences of one content are a
+    pattern with a count, and each takes as many of the pieces as it has room for, one
+    sequence after another. So the work hangs on the lengths, not on the pieces.
     """
     rooms: list[int] = []  # sorted
-    open_: dict[int, list[list]] = {}  # room: [lengths, count]
+    open_: dict[int, list[tuple[tuple, int]]] = {}  # room: contents and their counts
     closed: list[Pattern] = []
 
-    def put(lengths: tuple[int, ...], room: int, count: int) -> None:
+    def put(kinds: tuple[tuple[int, int], ...], room: int, count: int) -> None:
+        if count == 0:
+            return
         if room == 0:
-            closed.append(Pattern(lengths, count))
+            closed.append(Pattern(kinds, count))
             return
         if room not in open_:
             insort(rooms, room)
             open_[room] = []
-        open_[room].append([lengths, count])
+        open_[room].append((kinds, count))
 
     for length in np.flatnonzero(left)[::-1].tolist():
-        count = int(left[length])
-        while count:
+        pieces = int(left[length])
+        while pieces:
             at = bisect_left(rooms, length)
-            if at == len(rooms):
-                put((length,), capacity - length, count if 2 * length > capacity else 1)
-                count -= count if 2 * length > capacity else 1
-                continue
-            room = rooms[at]
-            group = open_[room][-1]
-            taken = min(count, group[1])
-            group[1] -= taken
-            if not group[1]:
-                open_[room].pop()
+            if at < len(rooms):
+                room = rooms[at]
+                kinds, count = open_[room].pop()
                 if not open_[room]:
                     del open_[room], rooms[at]
-            put((*group[0], length), room - length, taken)
-            count -= taken
-    return closed + [Pattern(lengths, count) for groups in open_.values() for lengths, count in groups]
+            else:
+                kinds, room, count = (), capacity, pieces  # as many new ones as there may be need of
+            each = room // length
+            full = min(count, pieces // each)
+            put((*kinds, (length, each)), room - each * length, full)
+            pieces -= full * each
+            if full < count and pieces:  # fewer are left than one more takes
+                put((*kinds, (length, pieces)), room - pieces * length, 1)
+                full, pieces = full + 1, 0
+            if kinds:
+                put(kinds, room, count - full)
+    return closed + [Pattern(kinds, count) for groups in open_.values() for kinds, count in groups]
 
 
 def make_plan(counts: dict[int, int], capacity: int) -> list[Pattern]:
@@ -319,30 +333,34 @@ def make_plan(counts: dict[int, int], capacity: int) -> list[Pattern]:
 
 
 def places(plan: list[Pattern]) -> dict[str, np.ndarray]:
-    """Per length, which ranks go to which sequences: a row for each place in a pattern."""
+    """Per length, which ranks go to which sequences: a row for each length of a pattern."""
     used: dict[int, int] = {}
     rows, base = [], 0
     for pattern in plan:
         at = 0
-        for length in sorted(pattern.lengths, reverse=True):
+        for length, copies in pattern.kinds:
             rank = used.get(length, 0)
-            rows.append((length, rank, base, at))
-            used[length] = rank + pattern.repeats
-            at += length
+            rows.append((length, rank, base, at, pattern.repeats))
+            used[length] = rank + copies * pattern.repeats
+            at += copies * length
         base += pattern.repeats
-    table = np.array(sorted(rows), np.int64).reshape(-1, 4)
-    return {"key": (table[:, 0] << 44) + table[:, 1], "rank": table[:, 1], "sequence": table[:, 2], "offset": table[:, 3]}
+    table = np.array(sorted(rows), np.int64).reshape(-1, 5)
+    names = ("length", "rank", "sequence", "offset", "repeats")
+    return {"key": (table[:, 0] << 44) + table[:, 1]} | {n: table[:, i] for i, n in enumerate(names)}
 
 
 def place_batches(where: dict[str, np.ndarray]) -> Callable:
+    """Ranks to places: the first pieces of a row of the plan go to its sequences in turn, so do the next."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             length, rank = batch.column("length").to_numpy(), batch.column("rank").to_numpy()
             at = np.searchsorted(where["key"], (length << 44) + rank, side="right") - 1
+            copy, sequence = np.divmod(rank - where["rank"][at], where["repeats"][at])
             kept = [i for i, c in enumerate(batch.schema.names) if c != "rank"]
             yield pa.RecordBatch.from_arrays(
                 [batch.columns[i] for i in kept]
-                + [pa.array(where["sequence"][at] + rank - where["rank"][at]), pa.array(where["offset"][at])],
+                + [pa.array(where["sequence"][at] + sequence), pa.array(where["offset"][at] + copy * length)],
                 names=[batch.schema.names[i] for i in kept] + ["sequence_id", "offset"],
             )
 

@@ -83,11 +83,15 @@ def test_packing_of_nothing(make):
     assert packing.pack(make([]), PATH).count() == 0
 
 
+def filled_by(p):
+    return sum(x * copies for x, copies in p.kinds)
+
+
 def held(plan):
     out = Counter()
     for p in plan:
-        for x in p.lengths:
-            out[x] += p.repeats
+        for x, copies in p.kinds:
+            out[x] += copies * p.repeats
     return dict(out)
 
 
@@ -105,7 +109,7 @@ def test_plans_hold_every_piece_and_waste_little(shape):
     else:
         counts = {1025: 400, 1023: 400, 1024: 401}
     plan = packing.make_plan(dict(counts), 2048)
-    assert held(plan) == dict(counts) and all(sum(p.lengths) <= 2048 for p in plan)
+    assert held(plan) == dict(counts) and all(filled_by(p) <= 2048 for p in plan)
     used, least = sum(p.repeats for p in plan), -(-sum(k * v for k, v in counts.items()) // 2048)
     bound = {"one": 5001 - 0, "few": least * 1.06 + 1}.get(shape, least * 1.005 + 1)
     assert used <= bound
@@ -117,5 +121,27 @@ def test_most_of_a_large_histogram_is_packed_by_patterns():
     left = counts.copy()
     patterns = packing.enumerate_patterns(counts, 2048)
     done = packing.rounded(patterns, packing.fit_repeats(patterns, counts.astype(float)), left)
-    assert sum(p.repeats * sum(p.lengths) for p in done) > 0.75 * (counts * np.arange(2049)).sum()
+    assert sum(p.repeats * filled_by(p) for p in done) > 0.75 * (counts * np.arange(2049)).sum()
     assert (left >= 0).all()
+
+
+@pytest.mark.parametrize("shape", ["short", "ones", "mixed"])
+def test_the_plan_hangs_on_the_lengths_not_on_the_pieces(shape):
+    """A million pieces of 20 to 340 tokens, a million empty texts, and both with long ones."""
+    r = np.random.default_rng(1)
+    lengths = {"short": r.integers(20, 341, 1_000_000), "ones": np.ones(1_000_000, int)}
+    lengths["mixed"] = np.concatenate([lengths["short"][:200_000], lengths["ones"][:300_000], r.integers(1, 2049, 100_000)])
+    counts = np.bincount(lengths[shape], minlength=2049)
+    sizes = []
+    for times in (1, 100):
+        plan = packing.make_plan({i: int(n) * times for i, n in enumerate(counts) if n}, 2048)
+        assert held(plan) == {i: int(n) * times for i, n in enumerate(counts) if n}
+        used, least = sum(p.repeats for p in plan), -(-int((counts * np.arange(2049)).sum()) * times // 2048)
+        assert used <= 1.01 * least + 1
+        sizes.append(len(packing.places(plan)["key"]))
+    assert max(sizes) <= 400_000 and sizes[1] <= 3 * sizes[0] + 1000
+    if shape == "short":  # most of it by patterns
+        left = counts.copy()
+        patterns = packing.enumerate_patterns(counts, 2048)
+        done = packing.rounded(patterns, packing.fit_repeats(patterns, counts.astype(float)), left)
+        assert sum(p.repeats * filled_by(p) for p in done) > 0.5 * (counts * np.arange(2049)).sum()
