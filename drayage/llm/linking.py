@@ -34,6 +34,9 @@ WORTH = 0.7
 # Sets outside that one task holds at a time, by their bit maps.
 TOGETHER = 5_000
 
+# Sets of so many members at most are sent whole next to their bit map, so that a task can tell their links itself.
+FEW = 32
+
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those ``a``, ``b`` whose sets have 100 * intersection >= percent * union."""
@@ -79,10 +82,10 @@ def with_leaders(index: DataFrame, percent: int, round_no: int) -> DataFrame:
 
 
 def sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The members of each row as a bit map of ``bits`` bits, and their number."""
+    """The members of each row as a bit map of ``bits`` bits, their number, and few members themselves."""
     for batch in batches:
         bits, members = batch.column("bits").to_pylist(), batch.column("members")
-        out, sizes = [], []
+        out, sizes, few = [], [], []
         for i, size in enumerate(bits):
             held = members[i].values
             held = np.zeros(0, np.int64) if held is None else held.to_numpy()
@@ -90,33 +93,68 @@ def sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             marks[((held.view(np.uint64) >> np.uint64(20)) % np.uint64(size)).astype(np.int64)] = 1
             out.append(np.packbits(marks, bitorder="little").tobytes())
             sizes.append(len(held))
+            few.append(held.tobytes() if len(held) <= FEW else None)
         names = [c for c in batch.schema.names if c not in ("bits", "members")]
         yield pa.RecordBatch.from_arrays(
-            [*(batch.column(c) for c in names), pa.array(sizes, pa.int64()), pa.array(out, pa.binary())], names=[*names, "m", "sketch"]
+            [*(batch.column(c) for c in names), pa.array(sizes, pa.int64()), pa.array(out, pa.binary()), pa.array(few, pa.binary())],
+            names=[*names, "m", "sketch", "few"],
         )
 
 
+def members_of(few: bytes | None) -> frozenset | None:
+    return None if few is None else frozenset(np.frombuffer(few, np.int64).tolist())
+
+
 class Outside:
     """Sets by their bit maps, which tell how many members two sets have in common at most.
 
     A common member sets one bit in both maps. Members that share a bit of their
-    own set's map are counted on top, so the bound is never too low.
+    own set's map are counted on top, so the bound is never too low. Links of
+    sets whose members are here are certain: the components they join are one
+    from then on, and no more pairs of them are listed.
     """
 
-    def __init__(self, rows: list[tuple]):
-        self.ids, self.components, sizes, members, sketches = (list(x) for x in zip(*rows))
-        self.components, self.sizes, self.members = (np.array(x, np.int64) for x in (self.components, sizes, members))
+    def __init__(self, rows: list[tuple], percent: int):
+        self.percent = percent
+        self.ids, components, sizes, members, sketches, few = (list(x) for x in zip(*rows))
+        self.root, self.sizes, self.members = (np.array(x, np.int64) for x in (components, sizes, members))
         self.maps = np.stack([np.frombuffer(x, np.uint64) for x in sketches])
         self.doubled = self.members - np.bitwise_count(self.maps).sum(axis=1)
+        self.few = [members_of(x) for x in few]
+        self.joined: dict[int, int] = {}  # a component and the one it is part of
+
+    def find(self, component: int) -> int:
+        while component in self.joined:
+            component = self.joined[component]
+        return component
+
+    def join(self, component: int, other: int) -> None:
+        self.joined[other] = component
+        self.root[self.root == other] = component
 
-    def may_link(self, component: int, size: int, members: int, sketch: bytes, percent: int) -> np.ndarray:
-        """Numbers of the sets of other components that may be similar to this one."""
+    def may_link(self, size: int, members: int, sketch: bytes) -> np.ndarray:
+        """Whether each set may be similar to this one."""
         bits = np.frombuffer(sketch, np.uint64)
         doubled = members - int(np.bitwise_count(bits).sum())
         common = np.bitwise_count(self.maps & bits).sum(axis=1) + np.minimum(self.doubled, doubled)
-        common = np.minimum(common, np.minimum(self.members, members))
-        fit = 100 * common.astype(np.int64) >= percent * (self.sizes + size - common.astype(np.int64))
-        return np.flatnonzero(fit & (self.components != component))
+        common = np.minimum(common, np.minimum(self.members, members)).astype(np.int64)
+        return 100 * common >= self.percent * (self.sizes + size - common)
+
+    def links(self, component: int, size: int, members: int, sketch: bytes, few: bytes | None) -> list[int]:
+        """Numbers of sets to pair with this one: those that join components for certain, and those that may."""
+        found, mine, own = [], self.find(component), members_of(few)
+        left = np.flatnonzero(self.may_link(size, members, sketch) & (self.root != mine))
+        while len(left):
+            i, left = int(left[0]), left[1:]
+            if own is None or self.few[i] is None:
+                found.append(i)
+                continue
+            common = len(own & self.few[i])
+            if 100 * common >= self.percent * (int(self.sizes[i]) + size - common):
+                found.append(i)
+                self.join(mine, int(self.root[i]))
+                left = left[self.root[left] != mine]
+        return found
 
 
 def candidate_batches(percent: int) -> Callable:
@@ -126,17 +164,17 @@ def candidate_batches(percent: int) -> Callable:
         group, gathered, outside, seen = None, [], None, Seen()  # a pair may share many keys
         for batch in batches:
             pairs: list[tuple[int, int]] = []
-            columns = ("key", "part", "side", "id", "component", "n", "m", "sketch")
-            for key, part, side, id_, component, n, m, sketch in zip(*(batch.column(c).to_pylist() for c in columns)):
+            columns = ("key", "part", "side", "id", "component", "n", "m", "sketch", "few")
+            for key, part, side, id_, component, n, m, sketch, few in zip(*(batch.column(c).to_pylist() for c in columns)):
                 if (key, part) != group:
                     group, gathered, outside = (key, part), [], None
                 if side == 0:
-                    gathered.append((id_, component, n, m, sketch))
+                    gathered.append((id_, component, n, m, sketch, few))
                     continue
                 if outside is None and gathered:
-                    outside = Outside(gathered)
+                    outside = Outside(gathered, percent)
                 if outside is not None:
-                    for i in outside.may_link(component, n, m, sketch, percent).tolist():
+                    for i in outside.links(component, n, m, sketch, few):
                         pair = (min(outside.ids[i], id_), max(outside.ids[i], id_))
                         if seen.new(pair):
                             pairs.append(pair)
@@ -152,7 +190,8 @@ def across(index: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     One of two such ids lies outside the key's largest component. Those
     outside, in parts of bounded size, meet all ids of the key in one task by
     bit maps of their members, so that only pairs near the threshold and above
-    are listed, and whole sets are not sent.
+    are listed, and large sets are not sent whole. Of small sets a task lists no
+    more pairs than it takes to join their components.
     """
     sizes = index.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
     main = F.max_by(F.struct("component", "c"), F.struct("c", "component"))
@@ -166,10 +205,10 @@ def across(index: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     offered = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda p: F.struct(F.lit(1).alias("side"), p.alias("part")))
     sides = F.concat(F.coalesce(asked, F.array().cast("array<struct<side:int,part:bigint>>")), offered)
     full = keyed.select("key", "id", "component", "bits", sides.alias("sides")).join(sets.select("id", "n", "members"), "id")
-    schema = "key long, id long, component long, sides array<struct<side:int,part:bigint>>, n long, m long, sketch binary"
+    schema = "key long, id long, component long, sides array<struct<side:int,part:bigint>>, n long, m long, sketch binary, few binary"
     drawn = full.select("key", "id", "component", "bits", "sides", "n", "members").mapInArrow(sketch_batches, schema)
-    met = drawn.select("key", "id", "component", "n", "m", "sketch", F.explode("sides").alias("s"))
-    met = met.select("key", "s.part", "s.side", "id", "component", "n", "m", "sketch")
+    met = drawn.select("key", "id", "component", "n", "m", "sketch", "few", F.explode("sides").alias("s"))
+    met = met.select("key", "s.part", "s.side", "id", "component", "n", "m", "sketch", "few")
     sorted_ = met.repartition("key", "part").sortWithinPartitions("key", "part", "side", "id")
     return sorted_.mapInArrow(candidate_batches(percent), "a long, b long").distinct()
 

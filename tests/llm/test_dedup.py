@@ -126,12 +126,42 @@ def test_bit_maps_never_hide_a_link():
         batch = pa.RecordBatch.from_pydict({
             "id": list(range(120)), "bits": [bits] * 120, "members": pa.array([h.view(np.int64) for h in hashed], pa.list_(pa.int64()))})
         drawn = next(linking.sketch_batches(iter([batch]))).to_pylist()
-        outside = linking.Outside([(r["id"], r["id"], len(sets[r["id"]]), r["m"], r["sketch"]) for r in drawn])
+        rows = [(r["id"], r["id"], len(sets[r["id"]]), r["m"], r["sketch"], r["few"]) for r in drawn]
+        outside = linking.Outside(rows, 75)
         for r in drawn:
-            found = set(outside.may_link(r["id"], len(sets[r["id"]]), r["m"], r["sketch"], 75).tolist())
+            found = set(np.flatnonzero(outside.may_link(len(sets[r["id"]]), r["m"], r["sketch"])).tolist())
             assert {i for i in range(120) if i != r["id"] and brute.similar(sets[i], sets[r["id"]])} <= found
 
 
+def test_pairs_of_small_sets_join_what_they_must_and_no_more():
+    """Groups of small sets that are all alike, with large ones between: links of whole groups from few pairs."""
+    rng = random.Random(6)
+    sets = []
+    for group in range(6):
+        base = rng.sample(range(100 * group, 100 * group + 100), 40 if group == 0 else 16)
+        sets += [frozenset(base) - {base[i % 3]} for i in range(40)]
+    hashed = [np.array(sorted(x), np.uint64) * np.uint64(0x9E3779B97F4A7C15) for x in sets]
+    members = pa.array([np.sort(h.view(np.int64)) for h in hashed], pa.list_(pa.int64()))
+    batch = pa.RecordBatch.from_pydict({"id": list(range(240)), "bits": [256] * 240, "members": members})
+    drawn = next(linking.sketch_batches(iter([batch]))).to_pylist()
+    rows = [(r["id"], r["id"], len(sets[r["id"]]), r["m"], r["sketch"], r["few"]) for r in drawn]
+    sent = [{"key": 1, "part": 0, "side": side, "id": r[0], "component": r[1], "n": r[2], "m": r[3], "sketch": r[4], "few": r[5]} for side in (0, 1) for r in rows]
+    out = [p for b in linking.candidate_batches(75)(iter([pa.RecordBatch.from_pylist(sent)])) for p in zip(*b.to_pydict().values())]
+    small = [(a, b) for a, b in out if a >= 40]
+    assert len(small) == 5 * 39 and all(brute.similar(sets[a], sets[b]) for a, b in small)
+    assert {(a, b) for a in range(40) for b in range(a) if brute.similar(sets[a], sets[b])} <= {(max(p), min(p)) for p in out if max(p) < 40}
+    parent = list(range(240))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in out:
+        parent[root(a)] = root(b)
+    assert all((root(a) == root(b)) == (a // 40 == b // 40) for a in range(240) for b in range(240))
+
+
 def test_cluster_finds_links_between_members_that_no_leader_has(spark):
     """A chain under one key: only neighbours are similar."""
     members = {i: list(range(i * 2, i * 2 + 20)) for i in range(40)}
