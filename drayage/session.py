@@ -96,6 +96,20 @@ def scratch_root(spark: SparkSession) -> str:
     return f"{shared_root(spark)}/drayage/{spark.sparkContext.applicationId}"
 
 
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    """Remove a folder of tables, wherever it lies; nothing happens if there is none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def numbered_folders(spark: SparkSession, folder: str, name: str) -> list[int]:
+    """The numbers ``n`` of the folders ``name=n`` in a folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [str(x.getPath().getName()) for x in files.listStatus(path)] if files.exists(path) else []
+    return sorted(int(n.removeprefix(f"{name}=")) for n in names if n.startswith(f"{name}="))
+
+
 _scope: ContextVar[str] = ContextVar("scratch_scope", default="")
 
 
@@ -119,8 +133,7 @@ def drop_scratch(spark: SparkSession, scope: str = "") -> None:
 
     Shuffle files go too, as far as no plan that is still held needs them.
     """
-    path = spark._jvm.org.apache.hadoop.fs.Path("/".join(filter(None, [scratch_root(spark), scope])))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    drop_folder(spark, "/".join(filter(None, [scratch_root(spark), scope])))
     gc.collect()
     spark._jvm.System.gc()
 

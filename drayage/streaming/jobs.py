@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from drayage.operators.load import merge_upsert
+from drayage.session import drop_folder, numbered_folders
 
 # Windows and limits of the alerts, and of the message queues.
 FAILURE_WINDOW, FAILURE_EVERY = "15 minutes", "5 minutes"
@@ -195,40 +196,47 @@ def run_routed(stream: DataFrame, folder: str, checkpoint: str, route: str = "ro
     return stream.sparkSession.read.parquet(f"{folder}/batch=*")
 
 
-# Batches of changes after which run_state writes the newest rows anew.
+# Batches after which a job folds what it has written, and drops what the fold before that made useless.
 COMPACT_EVERY = 16
 
 
-def _noted(spark: SparkSession, folder: str, schema: str) -> list:
-    """The notes of a job, few and small; none before the first."""
+def _notes(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """The notes of a job since it last folded them; none before the first."""
     try:
-        return spark.read.schema(schema).parquet(f"{folder}/notes/batch=*").collect()
+        return spark.read.schema(schema).parquet(f"{folder}/notes/*")
     except AnalysisException:
-        return []
+        return spark.createDataFrame([], schema)
 
 
-def _note(spark: SparkSession, folder: str, batch_id: int, rows: list, schema: str) -> None:
+def _note(spark: SparkSession, folder: str, batch_id: int, rows: list, schema: str, name: str = "batch") -> None:
     """Notes of a batch, written when its data is; a repeated batch replaces them."""
-    spark.createDataFrame(rows, schema).coalesce(1).write.mode("overwrite").parquet(f"{folder}/notes/batch={batch_id}")
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("overwrite").parquet(f"{folder}/notes/{name}={batch_id}")
+
+
+def _drop_older(spark: SparkSession, folder: str, name: str, than: int) -> None:
+    for number in numbered_folders(spark, folder, name):
+        if number < than:
+            drop_folder(spark, f"{folder}/{name}={number}")
 
 
 def run_state(state: DataFrame, folder: str, checkpoint: str, keys: Sequence[str]) -> DataFrame:
     """Write the changed groups of each batch; returns the newest per key.
 
     Every ``COMPACT_EVERY`` batches the newest rows so far are written as one
-    table, so that a read never goes back further.
+    table, so that a read never goes back further. What that table replaces
+    stays until the next one, for results that still read it, and goes then.
     """
     spark, values = state.sparkSession, [c for c in state.columns if c not in keys]
     schema = state.withColumn("batch_id", F.lit(0)).schema
 
     def newest(upto: int | None) -> DataFrame:
-        whole = [r["compact"] for r in _noted(spark, folder, "compact long") if upto is None or r["compact"] <= upto]
-        since = max(whole, default=-1)
+        noted = _notes(spark, folder, "compact long")
+        since = (noted if upto is None else noted.filter(F.col("compact") <= upto)).agg(F.max("compact")).first()[0]
         read = spark.read.schema(schema)
-        changes = read.parquet(f"{folder}/batch=*").filter(F.col("batch_id") > since)
+        changes = read.parquet(f"{folder}/batch=*").filter(F.col("batch_id") > (-1 if since is None else since))
         if upto is not None:
             changes = changes.filter(F.col("batch_id") <= upto)
-        if whole:
+        if since is not None:
             changes = changes.unionByName(read.parquet(f"{folder}/compact={since}"))
         latest = changes.groupBy(*keys).agg(F.max_by(F.struct(*values, "batch_id"), "batch_id").alias("v"))
         return latest.select(*keys, "v.*")
@@ -238,6 +246,10 @@ def run_state(state: DataFrame, folder: str, checkpoint: str, keys: Sequence[str
         if (batch_id + 1) % COMPACT_EVERY == 0:
             newest(batch_id).write.mode("overwrite").parquet(f"{folder}/compact={batch_id}")
             _note(spark, folder, batch_id, [(batch_id,)], "compact long")
+            before = batch_id - COMPACT_EVERY
+            _drop_older(spark, folder, "batch", before + 1)
+            _drop_older(spark, folder, "compact", before)
+            _drop_older(spark, f"{folder}/notes", "batch", before)
 
     run_batches(state, write, checkpoint, "update")
     return newest(None).drop("batch_id")
@@ -248,7 +260,37 @@ MERGED = "bucket int, version long, has_rows boolean"
 
 def current_version(spark: SparkSession, folder: str) -> int | None:
     """The last batch that was merged whole; -1 if there is only the base, None before."""
-    return max((r["version"] for r in _noted(spark, folder, MERGED)), default=None)
+    return _notes(spark, folder, MERGED).agg(F.max("version")).first()[0]
+
+
+def bucket_versions(spark: SparkSession, folder: str, upto: int | None = None) -> dict[int, tuple[int, bool]]:
+    """Per bucket the version that holds its rows, and whether there are any: a row per bucket."""
+    notes = _notes(spark, folder, MERGED)
+    notes = notes if upto is None else notes.filter(F.col("version") <= upto)
+    last = notes.groupBy("bucket").agg(F.max(F.struct("version", "has_rows")).alias("v")).collect()
+    return {r["bucket"]: tuple(r["v"]) for r in last}
+
+
+def fold_versions(spark: SparkSession, folder: str, batch_id: int) -> None:
+    """Write which version each bucket has as one note, and drop notes and versions that the fold before had left behind."""
+    now = bucket_versions(spark, folder)
+    folds = numbered_folders(spark, f"{folder}/notes", "fold")
+    _note(spark, folder, batch_id, [(b, v, full) for b, (v, full) in sorted(now.items())], MERGED, "fold")
+    before = max((f for f in folds if f < batch_id), default=None)
+    if before is None:
+        return
+    kept = {b: {v, now[b][0]} for b, (v, _) in bucket_versions(spark, folder, before).items()}
+    for version in numbered_folders(spark, folder, "version"):
+        if version <= before:
+            path = f"{folder}/version={version}"
+            held = numbered_folders(spark, path, "bucket")
+            dead = [b for b in held if version not in kept.get(b, ())]
+            for b in dead:
+                drop_folder(spark, f"{path}/bucket={b}")
+            if len(dead) == len(held):
+                drop_folder(spark, path)
+    for name in ("batch", "fold"):
+        _drop_older(spark, f"{folder}/notes", name, before)
 
 
 def run_merge(
@@ -265,7 +307,9 @@ def run_merge(
 
     Rows lie in ``buckets`` folders by a hash of their keys. A batch rewrites
     the buckets that it touches, data first and their versions second, so a batch
-    that is repeated after a failure ends in the same versions. The first run
+    that is repeated after a failure ends in the same versions. Every
+    ``COMPACT_EVERY`` batches the versions are noted as one, and those that were
+    out of date at the note before are dropped. The first run
     copies ``base``; the number of buckets must stay the same.
     """
     spark, schema = changes.sparkSession, base.schema
@@ -275,10 +319,6 @@ def run_merge(
         paths = [f"{folder}/version={v}/bucket={b}" for b, (v, full) in versions.items() if full and b in wanted]
         return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
-    def current() -> dict[int, tuple[int, bool]]:
-        notes = sorted(_noted(spark, folder, MERGED), key=lambda r: r["version"])
-        return {r["bucket"]: (r["version"], r["has_rows"]) for r in notes}
-
     def store(rows: DataFrame, version: int, touched: set[int]) -> None:
         path = f"{folder}/version={version}"
         rows.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
@@ -294,11 +334,13 @@ def run_merge(
         held = batch.persist()
         touched = {r["bucket"] for r in held.select(bucket.alias("bucket")).distinct().collect()}  # as many as buckets
         if touched:
-            store(merge_upsert(read(current(), touched), held, keys, sequence, action), batch_id, touched)
+            store(merge_upsert(read(bucket_versions(spark, folder), touched), held, keys, sequence, action), batch_id, touched)
         held.unpersist()
+        if (batch_id + 1) % COMPACT_EVERY == 0:
+            fold_versions(spark, folder, batch_id)
 
     everything = set(range(buckets))
     if current_version(spark, folder) is None:
         store(base, -1, everything)
     run_batches(changes, write, checkpoint)
-    return read(current(), everything)
+    return read(bucket_versions(spark, folder), everything)

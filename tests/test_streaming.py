@@ -175,3 +175,37 @@ def test_a_hot_message_is_no_task_of_its_own(spark, tmp_path):
     assert jobs.run_append(unique, str(tmp_path / "out"), str(tmp_path / "checkpoint")).count() == 2001
     first = hot.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(jobs.SALTS)))
     assert first.groupBy("event_id", "_salt").count().agg(F.max("count")).first()[0] <= 3000 / 12
+
+
+def test_a_long_merge_keeps_few_notes_and_no_dead_versions(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(jobs, "COMPACT_EVERY", 2)
+    source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "checkpoint"))
+    base = spark.createDataFrame([(i, 0) for i in range(8)], "id int, v int")
+    want, held = {i: 0 for i in range(8)}, []
+    for turn in range(7):
+        batch = [(turn, 10 + turn, "upsert", turn), (100 + turn, turn, "upsert", turn), (7 - turn, 0, "delete", 100 + turn)]
+        df = spark.createDataFrame(batch, "id int, v int, row_action string, seq int")
+        df.write.mode("append").parquet(source)
+        merged = jobs.run_merge(arriving(spark, source, df.schema), base, out, checkpoint, ["id"], "seq", buckets=4)
+        want |= {turn: 10 + turn, 100 + turn: turn}
+        want.pop(7 - turn, None)
+        assert rows(merged) == sorted(want.items(), key=repr)
+        held.append(merged)
+        notes = [n for kind in ("batch", "fold") for n in jobs.numbered_folders(spark, f"{out}/notes", kind)]
+        assert len(notes) <= 8
+    assert rows(held[-2]) != rows(held[-1])  # a result of one batch before can still be read
+    versions = jobs.bucket_versions(spark, out)
+    alive = [(v, b) for v in jobs.numbered_folders(spark, out, "version") for b in jobs.numbered_folders(spark, f"{out}/version={v}", "bucket")]
+    assert set((v, b) for b, (v, full) in versions.items() if full) <= set(alive) and len(alive) <= 4 * 5
+
+
+def test_long_step_state_drops_what_was_folded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(jobs, "COMPACT_EVERY", 2)
+    source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "checkpoint"))
+    schema = "plan_id int, step_number int, status string, tokens int, message_id int, ts timestamp_ntz"
+    for turn in range(9):
+        spark.createDataFrame([(1, turn % 3, f"s{turn}", 1, turn, START + timedelta(minutes=turn))], schema).write.mode("append").parquet(source)
+        stream = arriving(spark, source, spark.read.parquet(source).schema)
+        got = rows(jobs.run_state(jobs.step_state(stream, "ts"), out, checkpoint, ["plan_id", "step_number"]), "step_number", "status", "message_count")
+        assert got == [(n, f"s{turn - (turn - n) % 3}", (turn - n) // 3 + 1) for n in range(min(3, turn + 1))]
+        assert len(jobs.numbered_folders(spark, out, "batch")) <= 4 and len(jobs.numbered_folders(spark, out, "compact")) <= 2
