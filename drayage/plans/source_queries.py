@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -74,6 +74,47 @@ def file_inventory(t: Tables) -> DataFrame:
     return files.file_inventory(t.spark, text_folder(t), glob="*.txt")
 
 
+FILES = """
+    WITH files AS (
+        SELECT doc_id // 50 AS file, string_agg(text, chr(10) ORDER BY doc_id) || chr(10) AS body FROM documents GROUP BY 1
+    )
+"""
+
+
+def document_files(t: Tables) -> str:
+    """Fifty documents to a file, in order."""
+    path = scratch_path(t.spark, "document-files")
+    rows = t.documents.selectExpr("text", "doc_id", "doc_id DIV 50 AS file").repartition("file").sortWithinPartitions("file", "doc_id")
+    rows.select("text", "file").write.partitionBy("file").text(path)
+    return path
+
+
+def file_number(column: str) -> Column:
+    return F.regexp_extract(column, "file=([0-9]+)", 1).cast("bigint")
+
+
+@query("scan_text_heads", FILES + "SELECT file, left(body, 2000) AS head, strlen(body) > 10000 AS truncated FROM files")
+def scan_text_heads(t: Tables) -> DataFrame:
+    heads = files.read_text_prefix(t.spark, document_files(t), 10_000)
+    return heads.select(file_number("path").alias("file"), F.left("text", F.lit(2000)).alias("head"), "truncated")
+
+
+@query("file_inventory_sizes", FILES + "SELECT file, strlen(body)::BIGINT AS size, 1::BIGINT AS file_count FROM files")
+def file_inventory_sizes(t: Tables) -> DataFrame:
+    listed = files.file_inventory(t.spark, document_files(t), glob="*.txt").withColumn("file", file_number("path"))
+    return listed.groupBy("file").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("file_count"))
+
+
+@query("scan_json_arrays", "SELECT event_id, event_type, value FROM events")
+def scan_json_arrays(t: Tables) -> DataFrame:
+    """Files that hold one array of 500 objects each."""
+    path = scratch_path(t.spark, "json-arrays")
+    rows = t.events.selectExpr("event_id DIV 500 AS file", "to_json(struct(event_id, event_type, value)) AS item")
+    arrays = rows.groupBy("file").agg(F.concat(F.lit("["), F.array_join(F.collect_list("item"), ", "), F.lit("]")).alias("text"))
+    arrays.repartition("file").write.partitionBy("file").text(path)
+    return files.read_json_documents(t.spark, path, "event_id bigint, event_type string, value double").drop("file")
+
+
 @query(
     "file_inventory_total",
     "SELECT sum(strlen(text) + 1)::BIGINT AS total_size, bool_and(text IS NOT NULL) AS all_text FROM documents",

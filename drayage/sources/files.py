@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -77,16 +78,28 @@ def read_json_documents(spark: SparkSession, path: str, schema: T.StructType | s
 
 
 def read_text_prefix(spark: SparkSession, path: str, max_bytes: int = 1_000_000, glob: str | None = None) -> DataFrame:
-    """The first bytes of each file as UTF-8, bad bytes replaced."""
-    reader = spark.read.format("binaryFile")
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    files = reader.load(path)
-    head = F.expr(f"substring(content, 1, {int(max_bytes)})")
-    return files.select(
-        "path",
-        F.make_valid_utf8(head.cast("string")).alias("text"),
-        (F.col("length") > max_bytes).alias("truncated"),
+    """The first bytes of each file as UTF-8, bad bytes replaced: ``path, text, truncated``.
+
+    Files of any size: they are read as lines, split by split, and of a file
+    only the lines of splits that begin within ``max_bytes`` go on, up to there. Files
+    of no bytes are not listed, as Spark plans none of them.
+    """
+    options = {"pathGlobFilter": glob} if glob else {}
+    listed = spark.read.format("binaryFile").options(**options).load(path)
+    files = listed.select("path", F.col("length"), F.col("_metadata.file_path").alias("_file"))
+    lines = spark.read.option("lineSep", "\n").options(**options).text(path).select(
+        F.col("value"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_line"),
+    )
+    order = W.partitionBy("_file").orderBy("_block", "_line").rowsBetween(W.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.octet_length("value") + 1).over(order), F.lit(0))
+    near = lines.filter(F.col("_block") < max_bytes).withColumn("_before", before).filter(F.col("_before") < max_bytes)
+    heads = near.groupBy("_file").agg(F.array_sort(F.collect_list(F.struct("_before", "value"))).alias("_lines"))
+    whole = F.concat(F.array_join(F.transform("_lines", lambda x: x["value"]), "\n"), F.lit("\n")).cast("binary")
+    kept = F.least(F.col("length"), F.lit(max_bytes)).cast("int")  # the last line may have no end
+    head = F.substring(F.coalesce("_head", F.lit(bytearray())), F.lit(1), kept)
+    return files.join(heads.select("_file", whole.alias("_head")), "_file", "left").select(
+        "path", F.make_valid_utf8(head.cast("string")).alias("text"), (F.col("length") > max_bytes).alias("truncated")
     )
 
 

@@ -71,6 +71,26 @@ def test_text_prefix_and_listing(spark, tmp_path):
     assert files.file_inventory(spark, str(tmp_path), glob="*.txt", recursive=False).count() == 1
 
 
+def test_text_prefixes_of_files_with_odd_ends(spark, tmp_path):
+    bodies = {
+        "ends": b"one\ntwo\n", "open": b"one\ntwo", "blank": b"\n\n", "cr": b"a\r\nb\r\n", "bad": b"ok \xff\xfe\nx",
+        "long": b"".join(b"line %d \xc3\xa9\n" % i for i in range(3000)),
+    }
+    for name, body in bodies.items():
+        (tmp_path / f"{name}.txt").write_bytes(body)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")  # several splits to the long file
+    try:
+        for most in (1, 9, 20_000, 10**6):
+            got = {r["path"].rsplit("/")[-1][:-4]: r for r in files.read_text_prefix(spark, str(tmp_path), most).collect()}
+            for name, body in bodies.items():
+                assert got[name].text == body[:most].decode("utf-8", "replace"), (name, most)
+                assert got[name].truncated == (len(body) > most)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert "content" not in plan(files.read_text_prefix(spark, str(tmp_path), 9).select("path", "text"))
+
+
 def test_jdbc_options():
     options = databases.jdbc_options("postgresql", "host", "db", table="t", user="u", password="p")
     assert options == {
