@@ -183,9 +183,9 @@ def _fixed_hits(cases: _Cases, unreadable: Sequence[TableRule], manual: Mapping[
         rows.append((case_id, SUBSCRIPTION, "", f"Could not read {r.table}"))
     for control_id, (title, guidance) in manual.items():
         outcome = Outcome(MANUAL_REVIEW, "Medium", "", guidance)
-        reason = "No inventory shows whether this control is met"
+        value, reason = cat.MANUAL_REASONS.get(control_id.split("-")[0], ("Requires review", None))
         case_id = cases.add(control_id, title, "Organization", guidance, outcome, reason)
-        rows.append((case_id, "Organization", "", "Requires review"))
+        rows.append((case_id, "Organization", "", value))
     return rows
 
 

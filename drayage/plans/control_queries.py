@@ -356,10 +356,16 @@ def control_manual(t: Tables) -> DataFrame:
 
 def manual_sql() -> str:
     rows = ", ".join(f"('{control_id}')" for control_id in MANUAL_CONTROLS)
-    return (
-        "SELECT control_id, 'MANUAL_REVIEW', 'Medium', 'Organization', 'Organization', '', 'Requires review' "
-        f"FROM (VALUES {rows}) v(control_id)"
-    )
+    return f"""
+    SELECT control_id, 'MANUAL_REVIEW', 'Medium', 'Organization', 'Organization', '',
+           'Requires ' || CASE left(control_id, 2)
+               WHEN 'IM' THEN 'Entra ID' WHEN 'DP' THEN 'policy' WHEN 'LT' THEN 'configuration'
+               WHEN 'IR' THEN 'organizational process' WHEN 'PV' THEN 'process' WHEN 'ES' THEN 'signature status'
+               WHEN 'BR' THEN 'operational' WHEN 'DS' THEN 'DevOps process' WHEN 'GS' THEN 'strategic/policy'
+               ELSE 'organizational' END
+           || CASE left(control_id, 2) WHEN 'ES' THEN ' verification' ELSE ' review' END
+    FROM (VALUES {rows}) v(control_id)
+    """
 
 
 @query(

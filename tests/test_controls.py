@@ -6,7 +6,7 @@ import pytest
 from frames import rows
 from pyspark.sql import functions as F
 
-from drayage.functions.control_catalogue import DOMAINS, MANUAL_CONTROLS
+from drayage.functions.control_catalogue import DOMAINS, MANUAL_CONTROLS, MANUAL_REASONS
 from drayage.operators import controls as c
 from drayage.operators import findings as f
 
@@ -109,6 +109,10 @@ def test_manual_controls(spark):
     found = evaluate(spark, {}, c.ALL).filter("resource_type = 'Organization'")
     assert found.count() == len(MANUAL_CONTROLS) == 56
     assert found.select("status").distinct().collect()[0].status == "MANUAL_REVIEW"
+    by_id = {r.control_id: r for r in found.collect()}
+    assert by_id["IM-5"].current_value == "Requires Entra ID review"
+    assert by_id["GS-11"].expected_value == by_id["GS-11"].recommendation == MANUAL_CONTROLS["GS-11"][1]
+    assert {r.current_value for r in by_id.values()} == {value for value, _ in MANUAL_REASONS.values()}
 
 
 def test_domains_without_findings_are_kept(spark):
